@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm import langid
+from labelweave.llm import langid, quality_rules
 from labelweave.llm.common import id_bucket, table
 
 
@@ -19,8 +19,17 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "language.lang_pred", "language.score")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition measures and the verdict for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", quality_rules.measure().alias("rules")).select("doc_id", "rules.*")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_language_id": op6_language_id}
+    return {
+        "op1_quality_rules": op1_quality_rules,
+        "op6_language_id": op6_language_id,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm import langid, quality_rules
+from labelweave.llm import langid, quality_rules, simhash
 from labelweave.llm.common import id_bucket, table
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    grouped = simhash.group(table(spark, sf_dir, "documents"))
+    return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out language of every document; three quarters of the labelled rows train."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -28,6 +34,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op3_simhash": op3_simhash,
         "op6_language_id": op6_language_id,
     }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm import langid, mixing, quality_rules, simhash
+from labelweave.llm import langid, licenses, mixing, quality_rules, simhash
 from labelweave.llm.common import id_bucket, table
 
 
@@ -31,6 +31,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", quality_rules.measure().alias("rules")).select("doc_id", "rules.*")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and template matches of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op3_simhash": op3_simhash,
         "op6_language_id": op6_language_id,
+        "op9_licenses": op9_licenses,
         "op10_mixing": op10_mixing,
     }
 

@@ -122,19 +122,25 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templates=TEM
     body = F.col(text)
     places = _bounded("|".join(_phrase(p) for p in phrases))
     has_prefix = _bounded(_any_of(prefixes))
-    hits = F.when(body.rlike(places), _count(body, places)).otherwise(F.lit(0)).cast("long")
-    before = lambda head: F.when(body.rlike(places), _count(F.regexp_extract(body, rf"(?s)^({head}){places}", 1), _WORDS))
+    hits = F.when(F.col("_hit"), _count(body, places)).otherwise(F.lit(0)).cast("long")
+    before = lambda head: F.when(F.col("_hit"), _count(F.regexp_extract(body, rf"(?s)^({head}){places}", 1), _WORDS))
     named = [F.when(body.rlike(_bounded(_phrase(p))), F.lit(label)) for p, label in phrases.items()]
-    blocks = F.when(body.rlike(has_prefix), F.filter(F.split(body, "\n"), lambda line: line.rlike(has_prefix)))
+    blocks = F.when(F.col("_near"), F.filter(F.split(body, "\n"), lambda line: line.rlike(has_prefix)))
     light = checkpoint(
         docs.select(
             F.monotonically_increasing_id().alias("_row"),
             F.col(key).alias("key"),
+            body.alias(text),
+            body.rlike(places).alias("_hit"),
+            body.rlike(has_prefix).alias("_near"),
+        ).select(
+            "_row",
+            "key",
             _count(body, _WORDS).alias("n_words"),
             hits.alias("n_base"),
             before(".*?").alias("first_word"),
             before(".*").alias("last_word"),
-            F.when(body.rlike(places), F.array_sort(F.array_distinct(F.array_compact(F.array(*named))))).otherwise(F.array().cast("array<string>")).alias("base"),
+            F.when(F.col("_hit"), F.array_sort(F.array_distinct(F.array_compact(F.array(*named))))).otherwise(F.array().cast("array<string>")).alias("base"),
             blocks.alias("blocks"),
         )
     )

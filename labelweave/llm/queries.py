@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm import langid, licenses, mixing, quality_rules, simhash
+from labelweave.llm import langid, licenses, mixing, quality_rules, secret_grammar, simhash
 from labelweave.llm.common import id_bucket, table
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: base spans, and those in a format learnt from them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    models = secret_grammar.automata(secret_grammar.credentials(docs))
+    found = docs.select("doc_id", secret_grammar.scan(docs, models).alias("found"))
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in (*secret_grammar.KINDS, secret_grammar.FORMAT)],
+        F.sha2(listed(F.filter("found", lambda s: s["kind"] != secret_grammar.FORMAT)), 256).alias("base_sha256"),
+        listed(F.col("found")).alias("spans"),
+    )
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     grouped = simhash.group(table(spark, sf_dir, "documents"))
@@ -72,6 +87,7 @@ FROM placed
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_secrets": op2_secrets,
         "op3_simhash": op3_simhash,
         "op6_language_id": op6_language_id,
         "op9_licenses": op9_licenses,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm import langid, licenses, mixing, quality_rules, secret_grammar, simhash
+from labelweave.llm import langid, licenses, mixing, quality_model, quality_rules, secret_grammar, simhash
 from labelweave.llm.common import id_bucket, table
 
 
@@ -46,6 +46,16 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", quality_rules.measure().alias("rules")).select("doc_id", "rules.*")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; labels of one in five ids are held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(id_bucket("doc_id", 5) != 0)
+    weights = quality_model.fit(docs, labels)
+    return docs.select("doc_id", (id_bucket("doc_id", 5) == 0).alias("held_out"), quality_model.score(weights, docs).alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.3).cast("int")
+    )
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and template matches of every document."""
     return licenses.scan(table(spark, sf_dir, "documents"))
@@ -90,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secrets": op2_secrets,
         "op3_simhash": op3_simhash,
         "op6_language_id": op6_language_id,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_licenses": op9_licenses,
         "op10_mixing": op10_mixing,
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm import langid, licenses, mixing, quality_model, quality_rules, secret_grammar, simhash
+from labelweave.llm import bloom_lm, langid, licenses, mixing, quality_model, quality_rules, secret_grammar, simhash
 from labelweave.llm.common import id_bucket, table
 
 
@@ -46,6 +46,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", quality_rules.measure().alias("rules")).select("doc_id", "rules.*")
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document, learnt from six in seven ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = id_bucket("doc_id", 7) == 2
+    scored = bloom_lm.score(docs, docs.where(~held))
+    return scored.select("doc_id", held.alias("held_out"), "lm.n_tokens", "lm.n_known", "train_tokens", "lm.base_score", "lm.score")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; labels of one in five ids are held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -100,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secrets": op2_secrets,
         "op3_simhash": op3_simhash,
         "op6_language_id": op6_language_id,
+        "op7_language_model": op7_language_model,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_licenses": op9_licenses,
         "op10_mixing": op10_mixing,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm import bloom_lm, langid, licenses, mixing, quality_model, quality_rules, secret_grammar, simhash
+from labelweave.llm import bloom_lm, langid, licenses, mixing, quality_model, quality_rules, secret_grammar, simhash, warc
 from labelweave.llm.common import id_bucket, table
 
 
@@ -32,6 +32,22 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reading archives of all pages back gives for each page."""
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+WITH sized AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM sized)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM firsts
+"""
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out language of every document; three quarters of the labelled rows train."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -107,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_secrets": op2_secrets,
         "op3_simhash": op3_simhash,
+        "op4_warc": op4_warc,
         "op6_language_id": op6_language_id,
         "op7_language_model": op7_language_model,
         "op8_quality_classifier": op8_quality_classifier,
@@ -116,4 +133,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": OP10_SQL}
+    return {"op4_warc": OP4_SQL, "op10_mixing": OP10_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm import bloom_lm, langid, licenses, mixing, quality_model, quality_rules, secret_grammar, simhash, warc
+from labelweave.llm import bloom_lm, decontam, langid, licenses, mixing, quality_model, quality_rules, secret_grammar, simhash, warc
 from labelweave.llm.common import id_bucket, table
 
 
@@ -48,6 +48,12 @@ FROM firsts
 """
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that they leak."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out language of every document; three quarters of the labelled rows train."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -124,6 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secrets": op2_secrets,
         "op3_simhash": op3_simhash,
         "op4_warc": op4_warc,
+        "op5_decontamination": op5_decontamination,
         "op6_language_id": op6_language_id,
         "op7_language_model": op7_language_model,
         "op8_quality_classifier": op8_quality_classifier,

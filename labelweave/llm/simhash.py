@@ -21,58 +21,74 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import checkpoint, utf8
+from labelweave.llm.common import checkpoint, mix64, utf8
 from labelweave.llm.components import components
 
 #: Words in a shingle, bits that may differ, blocks of a fingerprint, fingerprints under one key that one task compares.
 WORDS, DISTANCE, BLOCKS, CHUNK = 3, 3, 6, 1024
+#: For near copies: words of 64 bits, bits that may differ of them, sampled bits in a key and keys.
+WIDTH, WIDE_DISTANCE, SAMPLED_BITS, SAMPLED_KEYS = 4, 40, 20, 80
 _SEED = 42
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _STEP = 1 << 17
 
 
-def fingerprint_of(text: bytes, words: int = WORDS) -> int:
-    """The fingerprint as a signed 64-bit number."""
+def fingerprint_of(text: bytes, words: int = WORDS, width: int = 1) -> list[int]:
+    """The fingerprint as `width` signed 64-bit numbers; beyond the first they come from scrambled shingle hashes."""
     tokens = text.lower().split()
     if not tokens:
-        return 0
+        return [0] * width
     shingles = zip(*(tokens[k:] for k in range(words))) if len(tokens) >= words else [tokens]  # noqa: B905
-    digest, total, sums = xxhash.xxh64_intdigest, 0, np.zeros((8, 256), np.int64)
+    digest, total, sums = xxhash.xxh64_intdigest, 0, np.zeros((width, 8, 256), np.int64)
     hashes = [digest(b" ".join(x), _SEED) for x in shingles]
     for k in range(0, len(hashes), _STEP):
         part = np.array(hashes[k : k + _STEP], np.uint64)
-        places = part.view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256)
-        sums += np.bincount(places.ravel(), minlength=2048).reshape(8, 256)
         total += len(part)
-    ones = (sums @ _BITS).ravel()
-    return int(np.packbits(2 * ones > total, bitorder="little").view(np.int64)[0])
+        for w in range(width):
+            places = part.view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256)
+            sums[w] += np.bincount(places.ravel(), minlength=2048).reshape(8, 256)
+            part = mix64(part + np.uint64(1))
+    ones = (sums @ _BITS).reshape(-1)
+    return np.packbits(2 * ones > total, bitorder="little").view(np.int64).tolist()
 
 
-def fingerprint(text: str = "text", words: int = WORDS) -> Column:
-    @F.arrow_udf("long")
+def fingerprint(text: str = "text", words: int = WORDS, width: int = 1) -> Column:
+    """A column of fingerprints: arrays of `width` longs."""
+
+    @F.arrow_udf("array<long>")
     def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([fingerprint_of(x.as_py(), words) for x in texts], pa.int64())
+            yield pa.array([fingerprint_of(x.as_py(), words, width) for x in texts], pa.list_(pa.int64()))
 
     return prints(utf8(text))
 
 
-def block_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
-    """For every choice of blocks that must agree: the mask of their bits, as a signed number."""
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def block_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[list[int]]:
+    """For every choice of blocks that must agree: the mask of their bits. Any pair within the distance agrees under one."""
     cuts = [64 * k // blocks for k in range(blocks + 1)]
+    return [[_signed(sum((1 << cuts[k + 1]) - (1 << cuts[k]) for k in chosen))] for chosen in combinations(range(blocks), blocks - distance)]
+
+
+def sampled_masks(width: int, bits: int, keys: int, seed: int = 3) -> list[list[int]]:
+    """Masks of so many bits drawn from a wide fingerprint, whose distances are too large for whole blocks."""
+    draw = np.random.default_rng(seed)
     masks = []
-    for chosen in combinations(range(blocks), blocks - distance):
-        mask = sum((1 << cuts[k + 1]) - (1 << cuts[k]) for k in chosen)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
+    for _ in range(keys):
+        chosen = draw.choice(64 * width, bits, replace=False)
+        masks.append([_signed(sum(1 << int(c % 64) for c in chosen if c // 64 == w)) for w in range(width)])
     return masks
 
 
 def _forest(run: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (smaller, other) that span what is close within runs of equal keys."""
+    """Places (one, other) of links that span what is close within runs of equal keys."""
     left, right = [], []
     step, at = 1, np.flatnonzero(run[:-1] == run[1:])
     while len(at):
-        close = np.bitwise_count(prints[at] ^ prints[at + step]) <= distance
+        close = np.bitwise_count(prints[at] ^ prints[at + step]).sum(1, dtype=np.int64) <= distance
         left.append(at[close])
         right.append(at[close] + step)
         step += 1
@@ -82,78 +98,86 @@ def _forest(run: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndar
     if left:
         a, b = np.concatenate(left), np.concatenate(right)
         while len(a):
-            low = np.minimum(label[a], label[b])
             before = label.copy()
+            low = np.minimum(label[a], label[b])
             np.minimum.at(label, a, low)
             np.minimum.at(label, b, low)
             label = label[label]
             if (label == before).all():
                 break
     moved = np.flatnonzero(label != np.arange(len(run)))
-    return prints[label[moved]], prints[moved]
+    return label[moved], moved
 
 
 def _linked(distance: int):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, prints = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = None
 
-        def done(r, p):
-            a, b = _forest(r, p.view(np.uint64), distance)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        def done(part):
+            a, b = _forest(part[:, 0], part[:, 2:].view(np.uint64), distance)
+            return pa.RecordBatch.from_arrays([pa.array(part[a, 1]), pa.array(part[b, 1])], ["a", "b"])
 
         for batch in batches:
-            run = np.r_[run, batch.column(0).to_numpy()]
-            prints = np.r_[prints, batch.column(1).to_numpy()]
-            if len(run) and run[0] != run[-1]:
-                cut = int(np.flatnonzero(run != run[-1])[-1]) + 1
-                yield done(run[:cut], prints[:cut])
-                run, prints = run[cut:], prints[cut:]
-        if len(run) > 1:
-            yield done(run, prints)
+            rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+            held = rows if held is None else np.concatenate([held, rows])
+            other = np.flatnonzero(held[:, 0] != held[-1, 0]) if len(held) else ()
+            if len(other):
+                cut = int(other[-1]) + 1
+                yield done(held[:cut])
+                held = held[cut:]
+        if held is not None and len(held) > 1:
+            yield done(held)
 
     return link
 
 
-def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
-    """Links (a, b) that connect all close fingerprints of prints (fp, each once); they may repeat."""
-    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(block_masks(blocks, distance))])
-    dealt = prints.select("fp", F.explode(keys).alias("run"))
+def links(nodes: DataFrame, masks: list[list[int]], distance: int, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) between nodes (node, fp) that connect all close fingerprints which agree under a mask; they may repeat."""
+    width = len(masks[0])
+    keys = F.array(*[F.xxhash64(F.lit(k), *[F.col("fp")[w].bitwiseAND(F.lit(m)) for w, m in enumerate(mask)]) for k, mask in enumerate(masks)])
+    columns = [F.col("fp")[w].alias(f"fp{w}") for w in range(width)]
+    dealt = nodes.select("node", *columns, F.explode(keys).alias("run"))
     hot = checkpoint(
-        dealt.groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("run", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-    )
+        nodes.select(F.explode(keys).alias("run")).groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
+        .select("run", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+    )
     if not hot.isEmpty():
-        own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks"))
+        own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks"))
         pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.xxhash64("run", F.least(j, own), F.greatest(j, own)))
-        both = dealt.join(hot, "run", "left")
-        dealt = both.select("fp", F.explode(F.when(F.col("chunks").isNull(), F.array("run")).otherwise(pairs)).alias("run"))
-    ordered = dealt.select("run", "fp").repartition("run").sortWithinPartitions("run")
+        both = dealt.join(hot, "run", "left").withColumn("runs", F.when(F.col("chunks").isNull(), F.array("run")).otherwise(pairs))
+        dealt = both.select("node", *[f"fp{w}" for w in range(width)], F.explode("runs").alias("run"))
+    ordered = dealt.select("run", "node", *[f"fp{w}" for w in range(width)]).repartition("run").sortWithinPartitions("run")
     return ordered.mapInArrow(_linked(distance), "a long, b long")
 
 
-def group(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """Every row's key, fingerprint `fp` and component_id, the smallest key of all rows that links lead to."""
-    rows = checkpoint(docs.select(F.col(key).alias("doc_key"), fingerprint(text, words).alias("fp")))
-    named = name_components(rows, distance)
-    return rows.join(named, "fp").select(F.col("doc_key").alias(key), "fp", "component_id")
-
-
-def name_components(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(fp, component_id) for each different fp of rows (doc_key, fp)."""
-    nodes = checkpoint(rows.groupBy("fp").agg(F.min("doc_key").alias("first")))
-    roots = components(links(nodes.select("fp"), distance))
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+def name_components(rows: DataFrame, masks: list[list[int]] | None = None, distance: int = DISTANCE) -> DataFrame:
+    """(fp, component_id) for each different fp of rows (doc_key, fp); component_id is the smallest doc_key."""
+    masks = masks or block_masks()
+    node = F.col("fp")[0] if len(masks[0]) == 1 else F.xxhash64("fp")
+    nodes = checkpoint(rows.groupBy("fp").agg(F.min("doc_key").alias("first")).withColumn("node", node))
+    roots = components(links(nodes.select("node", "fp"), masks, distance)).withColumnRenamed("node", "linked")
+    rooted = nodes.join(roots, F.col("node") == F.col("linked"), "left").select("fp", "first", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rooted.join(smallest, "root").select("fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+def group(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    """Every row's key, 64-bit fingerprint `fp` and component_id, the smallest key of all rows that links lead to."""
+    rows = checkpoint(docs.select(F.col(key).alias("doc_key"), fingerprint(text, words).alias("fp")))
+    named = name_components(rows, block_masks(distance=distance), distance)
+    return rows.join(named, "fp").select(F.col("doc_key").alias(key), F.col("fp")[0].alias("fp"), "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, distance: int = WIDE_DISTANCE) -> DataFrame:
     """docs with one row of each component: that with the smallest key, nulls last; of repeated rows the first.
 
-    All columns stay as they are.
+    For texts whose sets of `words`-word shingles have a Jaccard similarity of 0.8 the distance is too
+    large for 64 bits: it takes fingerprints of 256 bits and keys of sampled bits, which a pair at the
+    border shares with a probability above 0.9. All columns stay as they are.
     """
+    masks = sampled_masks(WIDTH, SAMPLED_BITS, SAMPLED_KEYS)
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    rows = checkpoint(numbered.select("_row", F.col(key).alias("_key"), fingerprint(text, words).alias("fp")))
-    nodes = rows.groupBy("fp").agg(F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_row")).alias("doc_key"))
-    named = name_components(nodes, distance)
-    kept = named.select(F.col("component_id._row").alias("_row")).distinct()
+    print_ = fingerprint(text, words, WIDTH).alias("fp")
+    rows = checkpoint(numbered.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("_key"), "_row").alias("doc_key"), print_))
+    kept = name_components(rows, masks, distance).select(F.col("component_id._row").alias("_row")).distinct()
     return numbered.join(kept, "_row", "left_semi").drop("_row")

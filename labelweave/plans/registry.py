@@ -1,24 +1,171 @@
-"""Registered queries over the test tables, each with the SQL that must give the same rows."""
+"""Registered queries over the test tables; plans.oracle has the SQL that must give the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from labelweave.operators.network import degree_normalise
-from labelweave.sources.tables import supplier_part_edges
+from labelweave.operators import metrics, network, propagation, sampling, scaling, similarity
+from labelweave.plans import oracle
+from labelweave.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def net_dnorm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return degree_normalise(supplier_part_edges(spark, sf_dir))
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """All doubles to so many digits: engines add in different orders."""
+    return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+def _edges(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: rounded(f(tables.supplier_part_edges(spark, sf_dir)))
+
+
+def _cells(f: Callable[[DataFrame], DataFrame], digits: int = 6) -> Query:
+    return lambda spark, sf_dir: rounded(f(tables.event_cells(spark, sf_dir)), digits)
+
+
+def _with_threshold(cells: DataFrame) -> DataFrame:
+    return cells.join(F.broadcast(cells.groupBy("label").agg(F.round(F.avg("p"), 4).alias("t"))), "label")
+
+
+def _rows(f: Callable[[DataFrame], DataFrame], digits: int = 6) -> Query:
+    return lambda spark, sf_dir: rounded(f(tables.embedding_rows(spark, sf_dir)), digits)
+
+
+def _seeded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The normalised supplier-part network and the seeds of every brand in it."""
+    edges = tables.supplier_part_edges(spark, sf_dir)
+    return network.degree_normalise(edges), propagation.seeds(tables.brand_seeds(spark, sf_dir), network.degrees(edges))
+
+
+def symmetric_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = tables.read(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"),
+        F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"),
+        F.col("l_quantity").alias("w"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"),
+    )
+    return network.symmetric(lines, "line")
+
+
+def mean_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tables.supplier_part_edges(spark, sf_dir, "l_quantity > 25")
+    return rounded(network.overlay(own, network.mean_network([own, tables.supplier_part_edges(spark, sf_dir, "l_discount > 0.05")])))
+
+
+def row_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = tables.supplier_part_edges(spark, sf_dir)
+    return rounded(network.row_scale(edges, edges.select("src").distinct().count()))
+
+
+def seed_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return propagation.seed_availability(tables.brand_seeds(spark, sf_dir), network.degrees(tables.supplier_part_edges(spark, sf_dir)))
+
+
+def rwr_unrolled3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    normal, r = _seeded(spark, sf_dir)
+    return rounded(propagation.walk_steps(normal, r, 0.2, 3))
+
+
+def rwr_ratio_unrolled3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    normal, r = _seeded(spark, sf_dir)
+    return rounded(propagation.ratio(propagation.walk_steps(normal, r, 0.2, 3), propagation.walk_steps(normal, r, 1.0, 3)))
+
+
+def rwr_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    normal, r = _seeded(spark, sf_dir)
+    return rounded(propagation.walk(normal.checkpoint(), r.checkpoint()))
+
+
+def feature_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    normal, r = _seeded(spark, sf_dir)
+    start = r.select("node", F.lit(0).alias("net_id"), "label", F.col("r").alias("p"))
+    step = propagation.walk_steps(normal, r, 0.2, 1).select("node", F.lit(1).alias("net_id"), "label", "p")
+    return rounded(propagation.feature_stack(tables.brand_seeds(spark, sf_dir), start.unionByName(step)))
+
+
+def smooth_labels(cells: DataFrame) -> DataFrame:
+    relation = similarity.label_relationship(cells)
+    return propagation.smooth_labels(cells, relation.select(F.col("k").alias("src"), F.col("j").alias("dst"), F.col("transition").alias("w")))
+
+
+def column_scale(cells: DataFrame) -> DataFrame:
+    return scaling.column_scale(cells, cells.groupBy("label").agg(F.avg("y").alias("rate")))
+
+
+def nan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratio = F.col("value") / F.nullif(F.col("value") - 5, F.lit(0.0))
+    return rounded(tables.read(spark, sf_dir, "events").select("event_id", scaling.nan_to_zero(ratio).alias("x")))
+
+
+def network_enhance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user x event type network, denoised."""
+    events = tables.read(spark, sf_dir, "events").where("user_id IS NOT NULL AND event_type IS NOT NULL")
+    counts = events.groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("src"), F.col("event_type").alias("dst")).agg(F.count("*").cast("double").alias("w"))
+    return rounded(network.enhance(tables.both_ways(counts)))
+
+
+def dynamic_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of users spread over the user x event type network."""
+    cells = tables.event_cells(spark, sf_dir).withColumn("gene", F.concat(F.lit("u"), F.col("gene").cast("string")))
+    edges = tables.both_ways(cells.where("n > 0").select(F.col("gene").alias("src"), F.col("label").alias("dst"), F.col("n").alias("w")))
+    return rounded(propagation.dynamic_propagation(edges, cells))
 
 
 def queries() -> dict[str, Query]:
-    return {"net_dnorm": net_dnorm}
+    absolute = lambda rows: rows.select("row", F.transform("x", lambda v: F.abs(v)).alias("x"))
+    return {
+        "net_dnorm": _edges(network.degree_normalise),
+        "net_edges_symmetric": symmetric_edges,
+        "net_degree": _edges(network.degrees),
+        "net_colnorm": _edges(network.column_normalise),
+        "net_transition_topk": _edges(lambda e: network.transition_topk(e, 10)),
+        "net_knn_prune": _edges(lambda e: network.knn_prune(e, 10)),
+        "net_row_scale": row_scale,
+        "net_mean_overlay": mean_overlay,
+        "network_enhance": network_enhance,
+        "seed_availability": seed_availability,
+        "rwr_unrolled3": rwr_unrolled3,
+        "rwr_ratio_unrolled3": rwr_ratio_unrolled3,
+        "rwr_converged": rwr_converged,
+        "dlp_propagate": dynamic_propagation,
+        "feature_stack": feature_stack,
+        "label_relationship": _cells(similarity.label_relationship),
+        "label_graph_smooth_unrolled": _cells(smooth_labels),
+        "pearson_rows": _rows(similarity.pearson_rows),
+        "pearson_columns": _rows(similarity.pearson_columns),
+        "ridge_gram": _rows(lambda r: similarity.gram(r).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "s_ij"), 4),
+        "hassanat_topk": _rows(lambda r: similarity.hassanat_topk(absolute(r), 5)),
+        "quantile_norm": _cells(scaling.quantile_norm),
+        "soft_threshold": _cells(lambda c: scaling.soft_threshold(_with_threshold(c))),
+        "mask_by_threshold": _cells(lambda c: scaling.mask(_with_threshold(c))),
+        "rank_scale": _cells(lambda c: scaling.rank_scale(_with_threshold(c))),
+        "zscore_minmax": _cells(scaling.zscore),
+        "row_max_scale": _cells(scaling.row_max_scale),
+        "column_scale": _cells(column_scale),
+        "platt_scale_fixed_ab": _cells(lambda c: scaling.platt_scale(c.withColumns({"a": F.lit(-2.0), "b": F.lit(0.5)}))),
+        "nan_filter": nan_filter,
+        "aupr_per_label": _cells(metrics.aupr),
+        "aupr_micro": _cells(metrics.micro_aupr),
+        "aupr_cost": _cells(metrics.cost_aupr),
+        "ag_fscore_threshold": _cells(lambda c: metrics.ag_threshold(c).select("label", "score", "threshold")),
+        "bin_topk": _cells(lambda c: metrics.binarise(c, 3).select("gene", "label", "b")),
+        "confusion_per_label": _cells(lambda c: metrics.confusion(c, 0.5)),
+        "micro_f1": _cells(lambda c: metrics.micro_f1(c, 3)),
+        "accuracy_top1": _cells(metrics.accuracy),
+        "topk_precision": _cells(lambda c: metrics.topk_precision(c, 10)),
+        "cross_entropy": _cells(metrics.cross_entropy, 4),
+        "cost_loss": _cells(metrics.cost_loss),
+        "mean_squared_error": _cells(metrics.mean_squared_error),
+        "label_rarity": _cells(sampling.label_rarity),
+        "label_pair_counts": _cells(sampling.label_pair_counts),
+        "positive_labels": _cells(lambda c: sampling.positive_labels(c.select("gene", "label", "y"))),
+        "fold_modulo": _cells(lambda c: sampling.fold_modulo(c.select("gene").distinct(), 5)),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.operators import metrics, network, propagation, sampling, scaling, similarity
+from labelweave.operators import calibration, metrics, models, network, propagation, sampling, scaling, similarity
 from labelweave.plans import oracle
 from labelweave.sources import tables
 
@@ -115,6 +115,37 @@ def dynamic_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(propagation.dynamic_propagation(edges, cells))
 
 
+def event_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Users with their scores as features and their flags as labels, in stratified folds."""
+    cells = tables.event_cells(spark, sf_dir)
+    rows, labels = models.design(cells.select("gene", F.col("label").alias("feature"), F.col("p").alias("x")), cells, sampling.stratified_folds(cells, 2))
+    return rows.checkpoint(), labels
+
+
+def encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(models.encode_decode(*event_rows(spark, sf_dir)))
+
+
+def synthetic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows for rare classes of the embeddings."""
+    table = tables.read(spark, sf_dir, "embeddings").where("label IS NOT NULL")
+    classes = [r[0] for r in table.select("label").distinct().orderBy("label").collect()]
+    rows = table.select(
+        F.col("vec_id").alias("gene"),
+        F.transform(F.col("embedding").cast("array<double>"), lambda v: F.abs(v)).alias("x"),
+        F.array(*[(F.col("label") == F.lit(c)).cast("double") for c in classes]).alias("y"),
+    )
+    made = sampling.synthetic_rows(rows.checkpoint(), classes, ratio=1.0)
+    return made.select(F.array_position("y", F.lit(1.0)).alias("first_label"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
+
+
+def knn_recalibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = tables.event_cells(spark, sf_dir).select("gene", "label", "y", "p")
+    rows = cells.groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("label", "p"))).alias("c")).select(F.col("gene").alias("row"), F.col("c.p").alias("x"))
+    found = calibration.knn_recalibrate(cells, similarity.hassanat_topk(rows, 5), similarity.label_relationship(cells), metrics.aupr(cells))
+    return rounded(found)
+
+
 def queries() -> dict[str, Query]:
     absolute = lambda rows: rows.select("row", F.transform("x", lambda v: F.abs(v)).alias("x"))
     return {
@@ -133,6 +164,12 @@ def queries() -> dict[str, Query]:
         "rwr_converged": rwr_converged,
         "dlp_propagate": dynamic_propagation,
         "feature_stack": feature_stack,
+        "sois_folds": lambda spark, sf_dir: sampling.stratified_folds(tables.event_cells(spark, sf_dir), 3),
+        "mlsmote": synthetic_rows,
+        "encode_decode": encode_decode,
+        "platt_fit": _cells(calibration.platt),
+        "knn_recalibrate": knn_recalibrate,
+        "report": _cells(lambda c: metrics.report(c, 3)),
         "label_relationship": _cells(similarity.label_relationship),
         "label_graph_smooth_unrolled": _cells(smooth_labels),
         "pearson_rows": _rows(similarity.pearson_rows),

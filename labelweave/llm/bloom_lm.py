@@ -284,7 +284,8 @@ def _struct(rows: list[list[np.ndarray]]) -> pa.StructArray:
 
 
 def score(docs: DataFrame, training: DataFrame, text: str = "text", most_bytes: int = MOST_BYTES, **options) -> DataFrame:
-    """docs with a struct column `lm` (n_tokens, n_known, base_score, score) and a column `train_tokens`."""
+    """docs with a struct column `lm` (n_tokens, n_known, base_score, score) and a column `train_tokens`, in place of columns so called."""
+    docs = docs.drop("lm", "train_tokens")
     shards, shard_bits = train(training, text, **options)
     context = docs.sparkSession.sparkContext
     parts = models(shards, shard_bits, options.get("probes", PROBES), most_bytes)

@@ -38,6 +38,14 @@ def id_bucket(column: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(0)) % modulus
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder of the session and cut off from its lineage."""
     spark = df.sparkSession

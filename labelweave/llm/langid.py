@@ -148,9 +148,9 @@ def predict(model: LanguageModel, df: DataFrame, text: str = "text") -> Column:
     return identify(utf8(text), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
 
 
-def identify(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str = "lang", **options) -> DataFrame:
-    """docs with a column `language` (lang_pred, score), by a model learnt from `labelled`."""
-    return docs.withColumn("language", predict(fit(labelled, text, lang, **options), docs, text))
+def identify(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str = "lang", into: str = "language", **options) -> DataFrame:
+    """docs with a struct column (lang_pred, score), by a model learnt from `labelled`."""
+    return docs.withColumn(into, predict(fit(labelled, text, lang, **options), docs, text))
 
 
 def accuracy(scored: pd.DataFrame) -> float:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import WORD, checkpoint
+from labelweave.llm.common import WORD, checkpoint, fresh
 
 #: Weights of the sources in order, repeating; share of all words that the mix holds; epochs at most.
 WEIGHTS, SHARE, EPOCHS = (5, 2, 1), 1.5, 2
@@ -53,15 +53,14 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int
     return levels.select("source", "source_size", F.least(cap, F.coalesce(level * F.col("weight"), cap)).alias("target"))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", row: str | None = None, **options) -> DataFrame:
     """A row (_row, key, source, size, source_size, target, taken) for each row of docs.
 
-    `taken` is how many words the mix takes of it, repeats counted. `_row` is docs' own column of
-    that name if there is one, else null.
+    `taken` is how many words the mix takes of it, repeats counted. `_row` is docs' column `row`, or null.
     """
-    row = F.col("_row") if "_row" in docs.columns else F.lit(None).cast("long").alias("_row")
+    number = F.col(row) if row else F.lit(None).cast("long")
     light = checkpoint(
-        docs.select(row, F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size"))
+        docs.select(number.alias("_row"), F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size"))
     )
     sizes = light.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     most = sizes.agg(F.max("n")).first()[0] or 0
@@ -92,7 +91,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
 
 
 def mixed_rows(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that the mix takes words of, with `size` and `taken` beside their own columns."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    taken = mix(numbered, text, source, key, **options).where("taken > 0").select("_row", F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken"))
-    return numbered.join(taken, "_row").drop("_row")
+    """The rows of docs that the mix takes words of, with `mix_size` and `mix_taken` in place of columns so called."""
+    docs = docs.drop("mix_size", "mix_taken")
+    row = fresh(docs, "_row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    mixed = mix(numbered, text, source, key, row, **options).where("taken > 0")
+    return numbered.join(mixed.select(F.col("_row").alias(row), F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken")), row).drop(row)

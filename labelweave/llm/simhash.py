@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import checkpoint, mix64, utf8
+from labelweave.llm.common import checkpoint, fresh, mix64, utf8
 from labelweave.llm.components import components
 
 #: Words in a shingle, bits that may differ, blocks of a fingerprint, fingerprints under one key that one task compares.
@@ -176,8 +176,9 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", words:
     border shares with a probability above 0.9. All columns stay as they are.
     """
     masks = sampled_masks(WIDTH, SAMPLED_BITS, SAMPLED_KEYS)
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    print_ = fingerprint(text, words, WIDTH).alias("fp")
-    rows = checkpoint(numbered.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("_key"), "_row").alias("doc_key"), print_))
-    kept = name_components(rows, masks, distance).select(F.col("component_id._row").alias("_row")).distinct()
-    return numbered.join(kept, "_row", "left_semi").drop("_row")
+    row = fresh(docs, "_row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    named = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(row).alias("row"))
+    rows = checkpoint(numbered.select(named.alias("doc_key"), fingerprint(text, words, WIDTH).alias("fp")))
+    kept = name_components(rows, masks, distance).select(F.col("component_id.row").alias(row)).distinct()
+    return numbered.join(kept, row, "left_semi").drop(row)

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 
 def symmetric(edges: DataFrame, order: str) -> DataFrame:
-    """Both directions of each edge; of edges given twice, in either direction, the last by `order` counts."""
+    """Both directions of each edge; of edges given twice, in either direction, the last by `order` counts, then the heaviest."""
     two = edges.select("src", "dst", "w", order).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w", order))
-    return two.groupBy("src", "dst").agg(F.max_by("w", order).alias("w"))
+    return two.groupBy("src", "dst").agg(F.max(F.struct(order, "w")).alias("last")).select("src", "dst", "last.w")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ SQL = {
   SELECT 's' || CAST(l_suppkey AS VARCHAR) AS src, 'p' || CAST(l_partkey AS VARCHAR) AS dst, l_quantity AS w,
     l_orderkey * 10 + l_linenumber AS line FROM lineitem),
 two AS (SELECT src, dst, w, line FROM one UNION ALL SELECT dst, src, w, line FROM one)
-SELECT src, dst, arg_max(w, line) AS w FROM two GROUP BY 1, 2""",
+SELECT src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY line DESC, w DESC) AS place FROM two) x WHERE place = 1""",
     "net_degree": _net("SELECT src AS node, sum(w) AS degree FROM edges GROUP BY 1"),
     "net_colnorm": _net("SELECT src, dst, round(w / sum(w) OVER (PARTITION BY dst), 6) AS w FROM edges"),
     "net_transition_topk": _net(

@@ -125,8 +125,8 @@ LEFT JOIN scores s ON s.node = g.gene AND s.net_id = k.net_id AND s.label = k.la
         NORMAL, SEEDS, _walk("0.2", 1), "scores AS (SELECT node, 0 AS net_id, label, p FROM p0 UNION ALL SELECT node, 1, label, p FROM p1)",
     ),
     "label_relationship": _cells(
-        """SELECT k, j, round(CASE WHEN k_pos > 0 THEN both_ / k_pos ELSE 0 END - j_pos / n, 6) AS positive,
-  round(CASE WHEN n > k_pos THEN (j_pos - both_) / (n - k_pos) ELSE 0 END - j_pos / n, 6) AS negative,
+        """SELECT k, j, round(CASE WHEN k_pos > 0 THEN both_ / k_pos ELSE 0 END - j_pos / n, 6) + CAST(0 AS DOUBLE) AS positive,
+  round(CASE WHEN n > k_pos THEN (j_pos - both_) / (n - k_pos) ELSE 0 END - j_pos / n, 6) + CAST(0 AS DOUBLE) AS negative,
   round(CASE WHEN j_pos > 0 THEN both_ / j_pos ELSE 0 END, 6) AS transition FROM pairs""",
         RELATION,
     ),
@@ -142,11 +142,11 @@ LEFT JOIN scores s ON s.node = g.gene AND s.net_id = k.net_id AND s.label = k.la
     ),
     "pearson_rows": f"""WITH {UNIT}, centred AS (SELECT row, pos, v - avg(v) OVER (PARTITION BY row) AS v FROM long),
 unit AS (SELECT row, pos, v / sqrt(sum(v * v) OVER (PARTITION BY row)) AS v FROM centred)
-SELECT a.row AS row_a, b.row AS row_b, round(sum(a.v * b.v), 6) AS r FROM unit a JOIN unit b ON a.pos = b.pos AND a.row <= b.row GROUP BY 1, 2""",
+SELECT a.row AS row_a, b.row AS row_b, round(sum(a.v * b.v), 6) + CAST(0 AS DOUBLE) AS r FROM unit a JOIN unit b ON a.pos = b.pos AND a.row <= b.row GROUP BY 1, 2""",
     "pearson_columns": f"""WITH {UNIT}
-SELECT a.pos AS col_a, b.pos AS col_b, round(corr(a.v, b.v), 6) AS r FROM long a JOIN long b ON a.row = b.row AND a.pos <= b.pos GROUP BY 1, 2""",
+SELECT a.pos AS col_a, b.pos AS col_b, round(corr(a.v, b.v), 6) + CAST(0 AS DOUBLE) AS r FROM long a JOIN long b ON a.row = b.row AND a.pos <= b.pos GROUP BY 1, 2""",
     "ridge_gram": f"""WITH {UNIT}
-SELECT a.pos AS i, b.pos AS j, round(sum(a.v * b.v), 4) AS s_ij FROM long a JOIN long b ON a.row = b.row AND a.pos <= b.pos GROUP BY 1, 2""",
+SELECT a.pos AS i, b.pos AS j, round(sum(a.v * b.v), 4) + CAST(0 AS DOUBLE) AS s_ij FROM long a JOIN long b ON a.row = b.row AND a.pos <= b.pos GROUP BY 1, 2""",
     "hassanat_topk": f"""WITH {UNIT}, d AS (
   SELECT a.row, b.row AS other, sum(1 - (1 + least(abs(a.v), abs(b.v))) / (1 + greatest(abs(a.v), abs(b.v)))) AS d
   FROM long a JOIN long b ON a.pos = b.pos AND a.row <> b.row GROUP BY 1, 2),

@@ -27,7 +27,8 @@ def test_query_matches_sql(spark, duck, name):
     got = __spark_entry__.queries()[name](spark, DATA).toPandas()
     columns = sorted(want.columns)
     assert columns == sorted(got.columns) and len(want) == len(got)
-    order = lambda df: df[columns].astype(object).where(df[columns].notna(), None).sort_values(columns, key=lambda c: c.map(str), ignore_index=True)
+    keys = [c for c in columns if got[c].dtype.kind != "f"] + [c for c in columns if got[c].dtype.kind == "f"]
+    order = lambda df: df[columns].astype(object).where(df[columns].notna(), None).sort_values(keys, key=lambda c: c.map(str), ignore_index=True)
     want, got = order(want), order(got)
     for c in columns:
         assert all(a == b or abs(a - b) <= 2e-6 * max(1, abs(a)) for a, b in zip(want[c], got[c], strict=True) if a is not None or b is not None), c

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelweave.functions.scalar import nan_to_zero
 from labelweave.operators import scaling
 from labelweave.operators.windows import by_label
 
@@ -105,7 +106,7 @@ def knn_recalibrate(cells: DataFrame, neighbours: DataFrame, relation: DataFrame
 
 def best_parameters(measures: DataFrame) -> DataFrame:
     """(label, c, value): the setting with the highest mean measure of each label; NaN counts as 0, ties take the first."""
-    value = scaling.nan_to_zero(F.col("value"))
+    value = nan_to_zero(F.col("value"))
     means = measures.groupBy("label", "c").agg(F.avg(value).alias("value"))
     order = Window.partitionBy("label").orderBy(F.desc("value"), "c")
     return means.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelweave.functions.scalar import sigmoid
 from labelweave.operators.windows import best_first, by_label
 
 
-def nan_to_zero(x: Column) -> Column:
-    """Null, NaN and infinite values as 0."""
-    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x)
-
-
 def quantile_norm(cells: DataFrame) -> DataFrame:
     """Each score becomes the scaled sum, over labels, of the scores of its rank; labels without any score stay 0."""
     total = F.sum("p").over(by_label())
@@ -77,10 +73,6 @@ def column_scale(cells: DataFrame, rate: DataFrame) -> DataFrame:
     return rows.select("gene", "label", F.when(at > 0, F.col("p") / at).otherwise(F.col("p")).alias("p"))
 
 
-def sigmoid(x: Column) -> Column:
-    return 1 / (1 + F.exp(-x))
-
-
 def platt_scale(cells: DataFrame) -> DataFrame:
     """Scores (gene, label, p, a, b) through the label's sigmoid, scaled between its least and largest positive value."""
     rows = cells.withColumn("_s", sigmoid(-(F.col("a") * F.col("p") + F.col("b"))))

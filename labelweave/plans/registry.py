@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelweave.functions.scalar import nan_to_zero
 from labelweave.operators import calibration, metrics, models, network, propagation, sampling, scaling, similarity
 from labelweave.plans import oracle
 from labelweave.sources import tables
@@ -98,7 +99,7 @@ def column_scale(cells: DataFrame) -> DataFrame:
 
 def nan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratio = F.col("value") / F.nullif(F.col("value") - 5, F.lit(0.0))
-    return rounded(tables.read(spark, sf_dir, "events").select("event_id", scaling.nan_to_zero(ratio).alias("x")))
+    return rounded(tables.read(spark, sf_dir, "events").select("event_id", nan_to_zero(ratio).alias("x")))
 
 
 def network_enhance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,6 +91,28 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def _op9_sql() -> str:
+    """Base places by list positions; templates by comparing every line with every template."""
+    words = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    templates = ", ".join(f"('{label}', [{quoted(licenses.template_words(text))}])" for label, text in licenses.TEMPLATES)
+    stands = {p: " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split())) for p in licenses.PHRASES}
+    hit = " OR ".join(f"({c})" for c in stands.values())
+    has = ", ".join(f"CASE WHEN len(list_filter(range(1, len(w) + 1), lambda i: {stands[p]})) > 0 THEN '{label}' END" for p, label in licenses.PHRASES.items())
+    return f"""
+WITH templates(label, words) AS (VALUES {templates}),
+d AS (SELECT row_number() OVER () AS row_id, doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '{words}') AS w FROM documents),
+placed AS (SELECT row_id, doc_id, w, list_filter(range(1, len(w) + 1), lambda i: {hit}) AS places,
+  list_sort(list_distinct(list_filter([{has}], lambda x: x IS NOT NULL))) AS base FROM d),
+blocks AS (SELECT row_id, list_distinct(regexp_extract_all(lower(line), '{words}')) AS b FROM (SELECT row_id, unnest(string_split(text, chr(10))) AS line FROM d) x),
+found AS (SELECT row_id, list(DISTINCT label) AS labels, max(CAST(len(list_intersect(b, words)) AS DOUBLE) / len(words)) AS score
+  FROM blocks, templates WHERE len(list_intersect(b, words)) >= ceil({licenses.THRESHOLD} * len(words) - 1e-9) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(places) - 1 AS BIGINT) AS first_word, CAST(list_max(places) - 1 AS BIGINT) AS last_word,
+  coalesce(array_to_string(base, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(base, coalesce(f.labels, [])))), ','), '') AS labels, coalesce(f.score, CAST(0 AS DOUBLE)) AS score
+FROM placed p LEFT JOIN found f USING (row_id)"""
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -140,4 +162,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op10_mixing": OP10_SQL}
+    return {"op4_warc": OP4_SQL, "op9_licenses": _op9_sql(), "op10_mixing": OP10_SQL}

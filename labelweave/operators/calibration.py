@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelweave.functions.scalar import nan_to_zero
-from labelweave.operators import scaling
+from labelweave.operators import metrics, scaling
 from labelweave.operators.windows import by_label
 
 
@@ -110,3 +110,41 @@ def best_parameters(measures: DataFrame) -> DataFrame:
     means = measures.groupBy("label", "c").agg(F.avg(value).alias("value"))
     order = Window.partitionBy("label").orderBy(F.desc("value"), "c")
     return means.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
+#: Rates that the search of betas starts from, and its moves of one label's log10 of beta.
+RATES, MOVES = tuple(round(0.2 * k, 1) for k in range(1, 21)), (-0.2, -0.1, 0.1, 0.2)
+
+
+def beta_search(cells: DataFrame, cut: int = 3, rounds: int = 2, rates=RATES, moves=MOVES) -> DataFrame:
+    """(label, log_beta, threshold) whose rescaled scores have the best objective over all labels.
+
+    First one rate for all labels, log10 beta = (precision at the optimum - 0.5) * rate; then rounds of
+    moves of one label at a time. All candidates of a step are evaluated in one job, side by side;
+    there are labels x moves of them.
+    """
+    spark = cells.sparkSession
+    cells = cells.select("gene", "label", "y", "p").checkpoint()
+    precision = {r["label"]: r["precision"] for r in metrics.ag_threshold(cells).collect()}
+
+    def scaled(candidates: list[dict[str, float]]) -> tuple[DataFrame, DataFrame]:
+        table = spark.createDataFrame([(k, x, float(v)) for k, c in enumerate(candidates) for x, v in c.items()], "cand long, plain string, log_beta double")
+        each = cells.withColumnRenamed("label", "plain").join(F.broadcast(table), "plain").withColumn("label", F.concat_ws("/", "cand", "plain"))
+        found = metrics.ag_threshold(each).select("label", F.col("threshold").alias("t"))
+        soft = scaling.soft_threshold(each.join(F.broadcast(found), "label").select("gene", "label", "p", "t"))
+        return each.select("cand", "gene", "label", "plain", "y").join(soft, ["gene", "label"]).drop("label").withColumnRenamed("plain", "label"), found
+
+    def best(candidates: list[dict[str, float]]) -> tuple[float, dict[str, float]]:
+        rows = metrics.objective(scaled(candidates)[0], cut).collect()
+        top = max(rows, key=lambda r: (r["objective"], -r["cand"]))
+        return top["objective"], candidates[top["cand"]]
+
+    score, now = best([{x: (p - 0.5) * rate for x, p in precision.items()} for rate in rates])
+    for _ in range(rounds):
+        value, moved = best([now | {x: now[x] + m} for x in now for m in moves])
+        if value <= score:
+            break
+        score, now = value, moved
+    table = spark.createDataFrame([(x, v) for x, v in sorted(now.items())], "label string, log_beta double")
+    found = metrics.ag_threshold(cells.join(F.broadcast(table), "label")).select("label", "threshold")
+    return table.join(found, "label")

@@ -17,7 +17,7 @@ def ranked(cells: DataFrame, key: str = "label", ranges: int = RANGES) -> DataFr
     Scores are cut into ranges; sums of the ranges, aggregated before the shuffle, give each range
     its start. cells may have a weight column `cost` (1 if it hasn't).
     """
-    cells = cells.select(*[c for c in ("_all", "gene", "label", "y", "p", "cost") if c in cells.columns])
+    cells = cells.select(*[c for c in ("_all", "gene", "label", "y", "p", "cost", "log_beta", "cand") if c in cells.columns])
     cost = F.col("cost") if "cost" in cells.columns else F.lit(1.0)
     p = F.when(F.col("p").isNull() | F.isnan("p"), 0.0).otherwise(F.col("p"))
     rows = cells.withColumns({"p": p, "cost": cost}).withColumn("_range", F.floor(F.least(F.greatest("p", F.lit(0.0)), F.lit(1.0)) * ranges).cast("int"))
@@ -94,11 +94,14 @@ def micro_aupr(cells: DataFrame) -> DataFrame:
 def ag_threshold(cells: DataFrame, log_beta: float = 0.0) -> DataFrame:
     """(label, aupr, precision, score, threshold): the score that maximises the adjusted geometric F-measure.
 
+    cells may have the label's log10 of beta as a column `log_beta`.
+
     The positive measure is that of the last hit and the negative one that of the last miss. A label
     whose first hit comes after more misses than it has positives, whose area is below its rate of
     positives, or whose scores are nearly all 0 or 1, gets threshold 1.
     """
-    b, c = 10.0**log_beta, 10.0**-log_beta
+    log = F.col("log_beta") if "log_beta" in cells.columns else F.lit(log_beta)
+    b, c = F.pow(F.lit(10.0), log), F.pow(F.lit(10.0), -log)
     rows = ranked(cells)
     pr, re = F.col("tp") / F.col("rn"), F.col("tp") / F.col("total")
     tn = F.col("n") - F.col("total") - (F.col("rn") - F.col("tp"))
@@ -132,6 +135,7 @@ def ag_threshold(cells: DataFrame, log_beta: float = 0.0) -> DataFrame:
     return joined.select(
         "label",
         "aupr",
+        F.when(found, F.col("at.pr")).otherwise(0.0).alias("precision"),
         F.when(found, F.col("score")).otherwise(0.0).alias("score"),
         F.when(found & (F.col("aupr") >= F.col("rate")), F.col("at.p")).otherwise(1.0).alias("threshold"),
     )
@@ -225,3 +229,13 @@ def report(cells: DataFrame, cut: int) -> DataFrame:
     macro = aupr(cells).agg(F.avg("aupr").alias("macro_aupr"))
     joined = accuracy(cells).join(F.broadcast(f1)).join(F.broadcast(area)).join(F.broadcast(macro))
     return joined.withColumn("objective", F.sqrt(F.col("micro_aupr") * F.col("ag_micro_f1")))
+
+
+def objective(cells: DataFrame, cut: int) -> DataFrame:
+    """(cand, objective) for candidate settings side by side: cells (cand, gene, label, y, p)."""
+    area = _area(ranked(cells, "cand"), "cand").select("cand", "aupr")
+    top = binarise(cells.withColumn("gene", F.concat_ws("/", "cand", "gene")), cut)
+    counts = confusion(top, 0.99, "b", "cand")
+    f = lambda t, a, b: F.when(2 * F.col(t) + F.col(a) + F.col(b) > 0, 2.0 * F.col(t) / (2 * F.col(t) + F.col(a) + F.col(b))).otherwise(0.0)
+    ag = F.sqrt(f("tp", "fp", "fn") * f("tn", "fn", "fp"))
+    return counts.join(area, "cand").select("cand", F.sqrt(F.col("aupr") * ag).alias("objective"))

@@ -124,6 +124,16 @@ FROM (SELECT DISTINCT 'p' || CAST(p_partkey AS VARCHAR) AS gene FROM part) g CRO
 LEFT JOIN scores s ON s.node = g.gene AND s.net_id = k.net_id AND s.label = k.label""",
         NORMAL, SEEDS, _walk("0.2", 1), "scores AS (SELECT node, 0 AS net_id, label, p FROM p0 UNION ALL SELECT node, 1, label, p FROM p1)",
     ),
+    "prior_seeds": _net(
+        f"""SELECT node, label, round(r / max(r) OVER (PARTITION BY label), 6) AS r FROM gained
+UNION ALL SELECT node, label, {_ONE} AS r FROM positive""",
+        NORMAL,
+        SEEDS,
+        "near AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS rk FROM edges)",
+        "cut AS (SELECT src, coalesce(max(CASE WHEN rk = 6 THEN w END), 0) AS e FROM near GROUP BY 1)",
+        """gained AS (SELECT n.dst AS node, p.label, sum(n.w) AS r FROM near n JOIN cut c USING (src) JOIN positive p ON p.node = n.src
+  WHERE n.w > c.e AND NOT EXISTS (SELECT 1 FROM positive q WHERE q.node = n.dst AND q.label = p.label) GROUP BY 1, 2)""",
+    ),
     "label_relationship": _cells(
         """SELECT k, j, round(CASE WHEN k_pos > 0 THEN both_ / k_pos ELSE 0 END - j_pos / n, 6) + CAST(0 AS DOUBLE) AS positive,
   round(CASE WHEN n > k_pos THEN (j_pos - both_) / (n - k_pos) ELSE 0 END - j_pos / n, 6) + CAST(0 AS DOUBLE) AS negative,

@@ -140,6 +140,23 @@ def synthetic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.array_position("y", F.lit(1.0)).alias("first_label"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
 
 
+def closed_form_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit of the walk on the supplier network: suppliers linked by the parts that both deliver, weighed by their number."""
+    one = tables.supplier_part_edges(spark, sf_dir).where("src LIKE 's%'")
+    other = one.select(F.col("src").alias("to"), "dst", F.col("w").alias("v"))
+    shared = one.join(other, "dst").where("src <> to")
+    suppliers = shared.groupBy("src", F.col("to").alias("dst")).agg(F.sum(F.least("w", "v")).alias("w"))
+    return rounded(propagation.closed_form_walk(network.degree_normalise(suppliers)))
+
+
+def prior_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands' seeds with priors from the network's own weights."""
+    edges = tables.supplier_part_edges(spark, sf_dir)
+    nodes = network.degrees(edges).select("node")
+    marks = tables.brand_seeds(spark, sf_dir).select(F.col("gene").alias("node"), "label").join(nodes, "node", "left_semi")
+    return rounded(propagation.add_prior(nodes, edges, marks, 5))
+
+
 def knn_recalibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = tables.event_cells(spark, sf_dir).select("gene", "label", "y", "p")
     rows = cells.groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("label", "p"))).alias("c")).select(F.col("gene").alias("row"), F.col("c.p").alias("x"))
@@ -168,6 +185,9 @@ def queries() -> dict[str, Query]:
         "sois_folds": lambda spark, sf_dir: sampling.stratified_folds(tables.event_cells(spark, sf_dir), 3),
         "mlsmote": synthetic_rows,
         "encode_decode": encode_decode,
+        "beta_search": _cells(calibration.beta_search),
+        "closed_form_walk": closed_form_walk,
+        "prior_seeds": prior_seeds,
         "platt_fit": _cells(calibration.platt),
         "knn_recalibrate": knn_recalibrate,
         "report": _cells(lambda c: metrics.report(c, 3)),

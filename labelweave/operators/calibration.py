@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelweave.functions.lineage import checkpoint
 from labelweave.functions.scalar import nan_to_zero
 from labelweave.operators import metrics, scaling
 from labelweave.operators.windows import by_label
@@ -17,7 +18,7 @@ def platt_fit(cells: DataFrame, rounds: int = 50, tolerance: float = 1e-8) -> Da
     the step again. Targets are (pos + 1) / (pos + 2) and 1 / (neg + 2).
     """
     spark = cells.sparkSession
-    cells = cells.select("label", "y", "p").checkpoint()
+    cells = checkpoint(cells.select("label", "y", "p"))
     counts = {r["label"]: (r["pos"], r["neg"]) for r in cells.groupBy("label").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).collect()}
     import math
 
@@ -124,7 +125,7 @@ def beta_search(cells: DataFrame, cut: int = 3, rounds: int = 2, rates=RATES, mo
     there are labels x moves of them.
     """
     spark = cells.sparkSession
-    cells = cells.select("gene", "label", "y", "p").checkpoint()
+    cells = checkpoint(cells.select("gene", "label", "y", "p"))
     precision = {r["label"]: r["precision"] for r in metrics.ag_threshold(cells).collect()}
 
     def scaled(candidates: list[dict[str, float]]) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelweave.functions.lineage import checkpoint
 from labelweave.operators import calibration, metrics, models, network, propagation, sampling, scaling, similarity
 
 
@@ -28,8 +29,8 @@ def prop(networks: list[DataFrame], labels: DataFrame, genes: DataFrame, method:
         if method == "dlp":
             p = propagation.dynamic_propagation(edges, labels, alpha)
         else:
-            normal = network.degree_normalise(edges).checkpoint()
-            r = propagation.seeds(labels, network.degrees(edges)).checkpoint()
+            normal = checkpoint(network.degree_normalise(edges))
+            r = checkpoint(propagation.seeds(labels, network.degrees(edges)))
             p = propagation.walk(normal, r, alpha)
             if relative:
                 p = propagation.ratio(p, propagation.walk(normal, r, 1.0))
@@ -55,7 +56,7 @@ def _out_of_fold(networks, labels: DataFrame, folds: DataFrame, number: int, k:
     stack = _as_features(prop(networks, seen, genes, **options))
     inner = sampling.fold_random(seen.select("gene").distinct(), 2)
     rows, names = models.design(stack, seen, inner)
-    rows = rows.checkpoint()
+    rows = checkpoint(rows)
     width = len(rows.select("x").first()["x"])
     codes, (own, _) = models.ridge_codes(models.moments(rows), width), models.logistic(rows, len(names), width)
     held = labels.join(folds.where(F.col("fold") == number), "gene").withColumn("fold", F.lit(number).cast("long"))
@@ -68,14 +69,14 @@ def tune(networks: list[DataFrame], labels: DataFrame, test_genes: DataFrame, fo
 
     The penalty with the best mean area decides for all labels.
     """
-    dealt = sampling.stratified_folds(labels, folds).checkpoint()
+    dealt = checkpoint(sampling.stratified_folds(labels, folds))
     measures = None
     for c, lam in enumerate(lambdas):
         for number in range(folds):
             cells = _out_of_fold(networks, labels, dealt, number, k, lam, **options)
             one = metrics.aupr(cells).select(F.lit(c).alias("c"), F.lit(lam).alias("lam"), "label", F.col("aupr").alias("value"))
             measures = one if measures is None else measures.unionByName(one)
-    measures = measures.checkpoint()
+    measures = checkpoint(measures)
     best = measures.groupBy("c", "lam").agg(F.avg("value").alias("v")).orderBy(F.desc("v"), "c").first()
     return measures, pred(networks, labels, test_genes, k, best["lam"] if best else 0.0, neighbours, **options)
 
@@ -83,9 +84,9 @@ def tune(networks: list[DataFrame], labels: DataFrame, test_genes: DataFrame, fo
 def pred(networks: list[DataFrame], labels: DataFrame, test_genes: DataFrame, k: int | None = None, lam: float = 0.1, neighbours: int | None = None, **options) -> DataFrame:
     """(gene, label, p) for the test genes with fixed settings, rank-normalised over labels."""
     genes = labels.select("gene").unionByName(test_genes.select("gene")).distinct()
-    stack = _as_features(prop(networks, labels, genes, **options)).checkpoint()
+    stack = checkpoint(_as_features(prop(networks, labels, genes, **options)))
     rows, names = models.design(stack, labels, sampling.stratified_folds(labels, 2))
-    rows = rows.checkpoint()
+    rows = checkpoint(rows)
     width = len(rows.select("x").first()["x"])
     codes, (own, _) = models.ridge_codes(models.moments(rows), width), models.logistic(rows, len(names), width)
     wanted = test_genes.select("gene").distinct()

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelweave.functions.lineage import checkpoint
 from labelweave.functions.scalar import nan_to_zero
 from labelweave.operators import calibration, metrics, models, network, propagation, sampling, scaling, similarity
 from labelweave.plans import oracle
@@ -78,7 +79,7 @@ def rwr_ratio_unrolled3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rwr_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
     normal, r = _seeded(spark, sf_dir)
-    return rounded(propagation.walk(normal.checkpoint(), r.checkpoint()))
+    return rounded(propagation.walk(checkpoint(normal), checkpoint(r)))
 
 
 def feature_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +121,7 @@ def event_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     """Users with their scores as features and their flags as labels, in stratified folds."""
     cells = tables.event_cells(spark, sf_dir)
     rows, labels = models.design(cells.select("gene", F.col("label").alias("feature"), F.col("p").alias("x")), cells, sampling.stratified_folds(cells, 2))
-    return rows.checkpoint(), labels
+    return checkpoint(rows), labels
 
 
 def encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +137,7 @@ def synthetic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform(F.col("embedding").cast("array<double>"), lambda v: F.abs(v)).alias("x"),
         F.array(*[(F.col("label") == F.lit(c)).cast("double") for c in classes]).alias("y"),
     )
-    made = sampling.synthetic_rows(rows.checkpoint(), classes, ratio=1.0)
+    made = sampling.synthetic_rows(checkpoint(rows), classes, ratio=1.0)
     return made.select(F.array_position("y", F.lit(1.0)).alias("first_label"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
 
 

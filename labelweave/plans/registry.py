@@ -38,9 +38,9 @@ def _rows(f: Callable[[DataFrame], DataFrame], digits: int = 6) -> Query:
 
 
 def _seeded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The normalised supplier-part network and the seeds of every brand in it."""
-    edges = tables.supplier_part_edges(spark, sf_dir)
-    return network.degree_normalise(edges), propagation.seeds(tables.brand_seeds(spark, sf_dir), network.degrees(edges))
+    """The normalised supplier-part network and the seeds of every brand in it, each made once for all steps."""
+    edges = checkpoint(tables.supplier_part_edges(spark, sf_dir))
+    return checkpoint(network.degree_normalise(edges)), checkpoint(propagation.seeds(tables.brand_seeds(spark, sf_dir), network.degrees(edges)))
 
 
 def symmetric_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def rwr_ratio_unrolled3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rwr_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
     normal, r = _seeded(spark, sf_dir)
-    return rounded(propagation.walk(checkpoint(normal), checkpoint(r)))
+    return rounded(propagation.walk(normal, r))
 
 
 def feature_stack(spark: SparkSession, sf_dir: str) -> DataFrame:

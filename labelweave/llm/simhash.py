@@ -157,7 +157,8 @@ def name_components(rows: DataFrame, masks: list[list[int]] | None = None, dista
     nodes = checkpoint(rows.groupBy("fp").agg(F.min("doc_key").alias("first")).withColumn("node", node))
     roots = components(links(nodes.select("node", "fp"), masks, distance)).withColumnRenamed("node", "linked")
     rooted = nodes.join(roots, F.col("node") == F.col("linked"), "left").select("fp", "first", F.coalesce("root", "node").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # A table of its own, so that the join's other side, where one root may have very many rows, can be split.
+    smallest = checkpoint(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     return rooted.join(smallest, "root").select("fp", "component_id")
 
 

@@ -8,6 +8,9 @@ all its pairs. A key with very many fingerprints is split into pairs of bounded
 
 Null and empty texts have fingerprint zero and link like any other. Texts with fewer than three
 words are one shingle. A null id never becomes a component's id unless all its ids are null.
+
+Near copies (one_of_each) are a matter of the shingle sets themselves: keys of least hashes find
+candidates, and every candidate link is verified by the exact Jaccard similarity of the two sets.
 """
 
 from __future__ import annotations
@@ -26,21 +29,30 @@ from labelweave.llm.components import components
 
 #: Words in a shingle, bits that may differ, blocks of a fingerprint, fingerprints under one key that one task compares.
 WORDS, DISTANCE, BLOCKS, CHUNK = 3, 3, 6, 1024
-#: For near copies: words of 64 bits, bits that may differ of them, sampled bits in a key and keys.
-WIDTH, WIDE_DISTANCE, SAMPLED_BITS, SAMPLED_KEYS = 4, 40, 20, 80
+#: For near copies: words in a shingle, least Jaccard similarity, least hashes in a key and keys of a set, sets that one task compares.
+#: Sets with a similarity of 0.8 share a key with probability 1 - (1 - 0.8^5)^20 = 0.9996.
+NEAR_WORDS, SIMILARITY, KEY_HASHES, SET_KEYS, SET_CHUNK = 5, 0.8, 5, 20, 256
 _SEED = 42
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _STEP = 1 << 17
 
 
-def fingerprint_of(text: bytes, words: int = WORDS, width: int = 1) -> list[int]:
-    """The fingerprint as `width` signed 64-bit numbers; beyond the first they come from scrambled shingle hashes."""
+def shingle_hashes(text: bytes, words: int) -> list[int]:
+    """Hashes of all runs of so many words; shorter texts are one shingle, empty ones none."""
     tokens = text.lower().split()
     if not tokens:
-        return [0] * width
+        return []
     shingles = zip(*(tokens[k:] for k in range(words))) if len(tokens) >= words else [tokens]  # noqa: B905
-    digest, total, sums = xxhash.xxh64_intdigest, 0, np.zeros((width, 8, 256), np.int64)
-    hashes = [digest(b" ".join(x), _SEED) for x in shingles]
+    digest = xxhash.xxh64_intdigest
+    return [digest(b" ".join(x), _SEED) for x in shingles]
+
+
+def fingerprint_of(text: bytes, words: int = WORDS, width: int = 1) -> list[int]:
+    """The fingerprint as `width` signed 64-bit numbers; beyond the first they come from scrambled shingle hashes."""
+    hashes = shingle_hashes(text, words)
+    if not hashes:
+        return [0] * width
+    total, sums = 0, np.zeros((width, 8, 256), np.int64)
     for k in range(0, len(hashes), _STEP):
         part = np.array(hashes[k : k + _STEP], np.uint64)
         total += len(part)
@@ -73,16 +85,6 @@ def block_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[list[int
     return [[_signed(sum((1 << cuts[k + 1]) - (1 << cuts[k]) for k in chosen))] for chosen in combinations(range(blocks), blocks - distance)]
 
 
-def sampled_masks(width: int, bits: int, keys: int, seed: int = 3) -> list[list[int]]:
-    """Masks of so many bits drawn from a wide fingerprint, whose distances are too large for whole blocks."""
-    draw = np.random.default_rng(seed)
-    masks = []
-    for _ in range(keys):
-        chosen = draw.choice(64 * width, bits, replace=False)
-        masks.append([_signed(sum(1 << int(c % 64) for c in chosen if c // 64 == w)) for w in range(width)])
-    return masks
-
-
 def _forest(run: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (one, other) of links that span what is close within runs of equal keys."""
     left, right = [], []
@@ -94,7 +96,12 @@ def _forest(run: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndar
         step += 1
         at = at[at + step < len(run)]
         at = at[run[at] == run[at + step]]
-    label = np.arange(len(run))
+    return _spanned(left, right, len(run))
+
+
+def _spanned(left: list[np.ndarray], right: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (root, other) that span the same components as all links between places."""
+    label = np.arange(size)
     if left:
         a, b = np.concatenate(left), np.concatenate(right)
         while len(a):
@@ -105,7 +112,7 @@ def _forest(run: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndar
             label = label[label]
             if (label == before).all():
                 break
-    moved = np.flatnonzero(label != np.arange(len(run)))
+    moved = np.flatnonzero(label != np.arange(size))
     return label[moved], moved
 
 
@@ -169,17 +176,116 @@ def group(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     return rows.join(named, "fp").select(F.col("doc_key").alias(key), F.col("fp")[0].alias("fp"), "component_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, distance: int = WIDE_DISTANCE) -> DataFrame:
+def shingle_set(text: bytes, words: int = NEAR_WORDS) -> np.ndarray:
+    """Different shingle hashes of a text, in order."""
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
+
+
+_FACTORS = mix64(np.arange(1, KEY_HASHES * SET_KEYS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def set_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of a set: each hashes the least members under KEY_HASHES scramblings. None for an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max)
+    for k in range(0, len(hashes), 1024):
+        least = np.minimum(least, mix64(hashes[k : k + 1024, None] * _FACTORS).min(0))
+    key = np.arange(SET_KEYS, dtype=np.uint64)
+    for column in least.reshape(SET_KEYS, KEY_HASHES).T:
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + column)
+    return key.view(np.int64)
+
+
+def _set_columns(words: int):
+    @F.arrow_udf("struct<node:long,keys:array<long>>")
+    def named(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            sets = [shingle_set(x.as_py(), words) for x in texts]
+            nodes = pa.array([xxhash.xxh64_intdigest(x.tobytes(), _SEED) for x in sets], pa.uint64()).view(pa.int64())
+            yield pa.StructArray.from_arrays([nodes, pa.array([set_keys(x) for x in sets], pa.list_(pa.int64()))], ["node", "keys"])
+
+    @F.arrow_udf("binary")
+    def members(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([shingle_set(x.as_py(), words).tobytes() for x in texts], pa.binary())
+
+    return named, members
+
+
+def similar_sets(sets: list[np.ndarray], similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Places (one, other) of links that span all pairs of sets with at least that Jaccard similarity."""
+    sizes = np.array([len(x) for x in sets])
+    starts = np.r_[0, np.cumsum(sizes)]
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark, left, right = np.zeros(len(codes), bool), [], []
+    for k in range(len(sets) - 1):
+        own, rest = codes[starts[k] : starts[k + 1]], slice(starts[k + 1], None)
+        mark[own] = True
+        shared = np.add.reduceat(mark[codes[rest]], starts[k + 1 : -1] - starts[k + 1], dtype=np.int64)
+        mark[own] = False
+        close = k + 1 + np.flatnonzero(shared >= similarity * (sizes[k] + sizes[k + 1 :] - shared) - 1e-9)
+        left.append(np.full(len(close), k))
+        right.append(close)
+    return _spanned(left, right, len(sets))
+
+
+def _verified(similarity: float):
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, nodes, sets = None, [], []
+
+        def done():
+            a, b = similar_sets(sets, similarity)
+            at = np.array(nodes, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(at[a]), pa.array(at[b])], ["a", "b"])
+
+        for batch in batches:
+            for key, node, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != run:
+                    if len(sets) > 1:
+                        yield done()
+                    run, nodes, sets = key, [], []
+                nodes.append(node)
+                sets.append(np.frombuffer(body, np.uint64))
+        if len(sets) > 1:
+            yield done()
+
+    return verify
+
+
+def set_links(nodes: DataFrame, texts: DataFrame, members: Column, similarity: float = SIMILARITY, chunk: int = SET_CHUNK) -> DataFrame:
+    """Links (a, b) that connect all nodes (node, row, keys) which share a key and whose sets, made of texts (row, text), are similar.
+
+    Nodes that meet under several keys without others are compared once. Where more than `chunk` nodes
+    share a key, each pair of chunks is compared by itself.
+    """
+    dealt = nodes.select("node", F.explode("keys").alias("key"))
+    met = dealt.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y"))
+    once = met.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.xxhash64("key", F.least(j, own), F.greatest(j, own)))
+    runs = checkpoint(dealt.join(once, "key").select("node", F.explode(F.when(F.col("chunks") == 1, F.array("key")).otherwise(pairs)).alias("run")))
+    wanted = nodes.join(runs.select("node").distinct(), "node", "left_semi").select("node", "row")
+    sets = checkpoint(texts.join(wanted, "row").select("node", members.alias("members")))
+    ordered = runs.join(sets, "node").select("run", "node", "members").repartition("run").sortWithinPartitions("run")
+    return ordered.mapInArrow(_verified(similarity), "a long, b long")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = NEAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each component: that with the smallest key, nulls last; of repeated rows the first.
 
-    For texts whose sets of `words`-word shingles have a Jaccard similarity of 0.8 the distance is too
-    large for 64 bits: it takes fingerprints of 256 bits and keys of sampled bits, which a pair at the
-    border shares with a probability above 0.9. All columns stay as they are.
+    Texts are linked whose sets of `words`-word shingles have a Jaccard similarity of at least
+    `similarity`. Keys of least hashes find the candidates; each is verified on the sets themselves.
+    All columns stay as they are.
     """
-    masks = sampled_masks(WIDTH, SAMPLED_BITS, SAMPLED_KEYS)
+    named, members = _set_columns(words)
     row = fresh(docs, "_row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    named = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(row).alias("row"))
-    rows = checkpoint(numbered.select(named.alias("doc_key"), fingerprint(text, words, WIDTH).alias("fp")))
-    kept = name_components(rows, masks, distance).select(F.col("component_id.row").alias(row)).distinct()
+    first = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(row).alias("row"))
+    made = numbered.select(first.alias("first"), named(utf8(text)).alias("s"))
+    nodes = checkpoint(made.groupBy("s.node").agg(F.min("first").alias("first"), F.min_by("s.keys", "first").alias("keys")))
+    texts = numbered.select(F.col(row).alias("row"), F.col(text).alias("text"))
+    roots = components(set_links(nodes.select("node", "first.row", "keys"), texts, members(utf8("text")), similarity)).withColumnRenamed("node", "linked")
+    rooted = nodes.join(roots, F.col("node") == F.col("linked"), "left").select("first", F.coalesce("root", "node").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     return numbered.join(kept, row, "left_semi").drop(row)

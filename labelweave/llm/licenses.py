@@ -1,7 +1,8 @@
 """License scans, with DataFrame functions only: phrases, and an exact set-similarity join with templates.
 
-A text block is a line. Blocks and templates are sets of words; a block matches a template if it
-holds at least THRESHOLD of the template's words. Tokens are ordered by their frequency over all
+A text block is a line, or a run of as many words of the text as the template has, so that notices
+wrapped over lines are found too. Blocks and templates are sets of words; a block matches a template
+if it holds at least THRESHOLD of the template's words. Tokens are ordered by their frequency over all
 texts, the rarest first. A template that needs `a` of its `t` words can only match a block that
 holds one of its first t - a + 1 tokens (prefix filter), that has `a` template words at all (length
 filter), and whose rest behind the shared token is long enough (positional filter); what passes is
@@ -93,8 +94,8 @@ def template_index(spark: SparkSession, templates, order: dict[str, int], thresh
         need = math.ceil(threshold * len(tokens) - 1e-9)
         for place, token in enumerate(tokens[: len(tokens) - need + 1]):
             prefixes.add(token)
-            rows.append((order[token], place, number, label, [order[t] for t in tokens], need))
-    schema = "token int, t_place int, template int, label string, t_tokens array<int>, need int"
+            rows.append((order[token], place, number, label, [order[t] for t in tokens], need, len(re.findall(r"[a-z0-9]+", text.lower()))))
+    schema = "token int, t_place int, template int, label string, t_tokens array<int>, need int, length int"
     return spark.createDataFrame(rows, schema), sorted(prefixes)
 
 
@@ -114,6 +115,29 @@ def similar_blocks(blocks: DataFrame, index: DataFrame, order: dict[str, int]) -
     )
 
 
+def similar_runs(texts: DataFrame, index: DataFrame, prefixes: list[int], longest: int) -> DataFrame:
+    """(_row, template, label, containment) for every text (_row, ranks) with a run of words, as long as a template, that meets its threshold.
+
+    ranks has the rank of every word of the text, null for words of no template.
+    """
+    wanted = F.array(*[F.lit(x) for x in prefixes])
+    places = F.filter(F.transform("ranks", lambda r, k: F.when(F.array_contains(wanted, r), k + 1)), lambda k: k.isNotNull())
+    first = F.greatest(F.col("at") - longest + 1, F.lit(1))
+    around = (
+        texts.select("_row", "ranks", F.explode(places).alias("at"))
+        .select("_row", F.col("ranks")[F.col("at") - 1].alias("token"), (F.col("at") - first + 1).alias("here"), F.slice("ranks", first, 2 * longest - 1).alias("near"))
+    )
+    starts = F.sequence(F.greatest(F.col("here") - F.col("length") + 1, F.lit(1)), F.col("here"))
+    held = F.array_max(F.transform(starts, lambda k: F.size(F.array_intersect(F.slice("near", k, F.col("length")), "t_tokens"))))
+    return (
+        around.join(F.broadcast(index), "token")
+        .where(F.size(F.array_intersect("near", "t_tokens")) >= F.col("need"))
+        .select("_row", "template", "label", "need", held.alias("held"), F.size("t_tokens").alias("all"))
+        .where("held >= need")
+        .select("_row", "template", "label", (F.col("held") / F.col("all")).alias("containment"))
+    )
+
+
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """Every row's key with words, base places and their labels, labels of both rules and the best containment."""
     vocabulary = sorted({w for _, t in templates for w in template_words(t)})
@@ -126,6 +150,10 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templates=TEM
     before = lambda head: F.when(F.col("_hit"), _count(F.regexp_extract(body, rf"(?s)^({head}){places}", 1), _WORDS))
     named = [F.when(body.rlike(_bounded(_phrase(p))), F.lit(label)) for p, label in phrases.items()]
     blocks = F.when(F.col("_near"), F.filter(F.split(body, "\n"), lambda line: line.rlike(has_prefix)))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    known = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
+    ranks = F.transform(F.regexp_extract_all(F.translate(body, upper, lower), F.lit(_WORDS), F.lit(0)), lambda w: known[w])
+    longest = max((len(re.findall(r"[a-z0-9]+", t.lower())) for _, t in templates), default=1)
     light = checkpoint(
         docs.select(
             F.monotonically_increasing_id().alias("_row"),
@@ -142,10 +170,12 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templates=TEM
             before(".*").alias("last_word"),
             F.when(F.col("_hit"), F.array_sort(F.array_distinct(F.array_compact(F.array(*named))))).otherwise(F.array().cast("array<string>")).alias("base"),
             blocks.alias("blocks"),
+            F.when(F.col("_near") & body.contains("\n"), ranks).alias("ranks"),
         )
     )
     found = (
         similar_blocks(light.where("blocks IS NOT NULL").select("_row", F.explode("blocks").alias("block")), index, order)
+        .unionByName(similar_runs(light.where("ranks IS NOT NULL"), index, [order[x] for x in prefixes], longest))
         .groupBy("_row")
         .agg(F.collect_set("label").alias("found"), F.max("containment").alias("score"))
     )

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -275,6 +276,32 @@ def test_licenses_match_brute_force(spark, nasty, empty):
     assert labels[3] == "cc-by,cc-by-nc" and "reserved" in labels[5] and licenses.scan(empty).count() == 0
 
 
+def test_licenses_wrapped_over_lines_match_brute_force(spark):
+    rng = random.Random(6)
+    words = lambda text: re.findall("[a-z0-9]+", text.lower())
+    texts = []
+    for width in (30, 72):
+        for _, template in licenses.TEMPLATES:
+            for lost in (0, 1, 3):
+                notice = template.split()
+                for _ in range(min(lost, len(notice) - 1)):
+                    notice.pop(rng.randrange(len(notice)))
+                body = " ".join(["so it runs on over the hill and", *notice, "of a stone"])
+                texts += ["\n".join(textwrap.wrap(body, width)), " * " + "\n * ".join(textwrap.wrap(body, width)), "\n".join(words(body)[::-1])]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), phrases={"no such phrase": "none"}).collect()
+    for r in rows:
+        want, best, body = set(), 0.0, words(texts[r["doc_id"]])
+        for label, template in licenses.TEMPLATES:
+            size, all_ = len(words(template)), set(words(template))
+            blocks = [words(x) for x in texts[r["doc_id"]].split("\n")] + [body[k : k + size] for k in range(len(body))]
+            share = max(len(all_ & set(b)) for b in blocks) / len(all_)
+            if share >= licenses.THRESHOLD - 1e-9:
+                want.add(label)
+                best = max(best, share)
+        assert r["labels"] == ",".join(sorted(want)) and r["score"] == pytest.approx(best), texts[r["doc_id"]]
+    assert {"lgpl", "bsd", "mpl", "mit", "apache", "gpl", "cc-by"} <= {x for r in rows for x in r["labels"].split(",")}
+
+
 def test_set_similarity_join_matches_brute_force(spark):
     rng = np.random.default_rng(1)
     templates = [(f"l{k}", " ".join(f"t{w}" for w in rng.choice(40, 8, replace=False))) for k in range(12)]

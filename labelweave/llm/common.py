@@ -17,6 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Deletes the bytes that continue a UTF-8 character, so that what is left counts code points.
 CONTINUATION = bytes(range(0x80, 0xC0))
 BLANKS = b" \t\n\r\x0b\x0c"
+_BLANK = np.isin(np.arange(256), list(BLANKS))
 
 #: ASCII letters and digits and all bytes of other characters stay, A-Z in lower case; the rest becomes a blank.
 ALNUM = bytes(
@@ -46,13 +47,20 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Sets spark.checkpoint.dir as the session's checkpoint folder; only local sessions may go without it and get one of their own."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder of the session and cut off from its lineage."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -77,6 +85,57 @@ def spans(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         first = last
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Row ranges of spans() with their bytes and offsets from 0; a longer row alone, cut at blanks into pieces of about `most` bytes.
+
+    Every piece comes with the number of its first row. Words are never cut: a piece of a longer row
+    ends behind a blank, wherever the next one is.
+    """
+    for first, last in spans(offsets, most):
+        low, high = int(offsets[first]), int(offsets[last])
+        if high - low <= most:
+            yield first, data[low:high], offsets[first : last + 1] - low
+            continue
+        while low < high:
+            stop = min(low + most, high)
+            while stop < high:
+                window = np.flatnonzero(_BLANK[data[stop : stop + 4096]])
+                if len(window):
+                    stop += int(window[0]) + 1
+                    break
+                stop += 4096
+            stop = min(stop, high)
+            yield first, data[low:stop], np.array([0, stop - low])
+            low = stop
+
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_UP: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2^64."""
+    if not _UP or len(_UP[0]) < n:
+        size = 1 << n.bit_length()
+        inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
+        _UP[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, x)]) for x in (_ODD, inverse)]
+    return _UP[0][:n], _UP[1][:n]
+
+
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of UTF-8 as numbers, what is no UTF-8 replaced, and the offsets in characters; offsets start at 0."""
+    raw = data[: int(offsets[-1])]
+    if not len(raw) or raw.max() < 128:
+        return raw.astype(np.uint32), offsets
+    before = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
+    whole = raw.tobytes()
+    found = np.frombuffer(whole.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    if len(found) == before[-1]:
+        return found, before[offsets]
+    rows = [whole[a:b].decode("utf-8", "replace").encode("utf-32-le") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return np.frombuffer(b"".join(rows), np.uint32), np.r_[0, np.cumsum([len(x) // 4 for x in rows])]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -84,14 +143,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-
-
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the session's checkpoint folder, which driver and executors share."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    checkpoint_folder(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -18,7 +18,7 @@ def _pages(spark):
 
 def test_archives_give_every_page_back(spark):
     pages, rows = _pages(spark)
-    got = warc.round_trip(pages.repartition(3), records=20).collect()
+    got = warc.round_trip(pages.repartition(3), archive=2000).collect()
     smallest = {}
     for i, _, html in rows:
         body = (html or "").encode()
@@ -35,6 +35,20 @@ def test_archives_give_every_page_back(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_long_urls_many_magics_and_clashing_columns(spark, tmp_path):
+    head = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5000000\r\n\r\n"
+    rows = [(1, "http://long/" + "u" * 1_000_000, "x" * 200, "a", 1), (2, "m", "WARC/1.1\r\n" * 200_000, "b", 2), (3, "n", head * 20_000, "c", 3), (4, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, _digest string, start int")
+    got = {r["page_id"]: r for r in warc.round_trip(pages, archive=100_000).collect()}
+    for i, url, html, _, _ in rows:
+        body = (html or "").encode()
+        assert got[i]["payload_digest"] == hashlib.sha256(body).hexdigest() and got[i]["payload_bytes"] == len(body) and got[i]["url"] == url
+    many = spark.range(400).selectExpr("id AS page_id", "'u' AS url", "repeat(concat('p', id), 200) AS html")
+    warc.write(many, f"file://{tmp_path}/many", archive=20_000)
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "many").glob("*.gz")]
+    assert max(sizes) <= 20_000 and len(sizes) > 10 and warc.read(spark, f"file://{tmp_path}/many").count() == 400
+
+
 def test_damage_is_an_error(spark, tmp_path):
     pages, _ = _pages(spark)
     warc.write(pages.coalesce(1), f"file://{tmp_path}/w")

@@ -5,12 +5,16 @@ all words and all word pairs of all training texts: tasks count what they read,
 runs of hashes by shard (a range of the hash space); a shard's runs are merged in one task. The
 number of shards follows the size of the texts, so a shard stays small at any size.
 
-A pair seen c >= LEAST times is put into its shard's filter once for every level 1..floor(log2 c),
-so that the quantised count comes back from repeated membership probes. Word counts are kept
-exactly, by 64-bit hash. Pair and word probabilities are interpolated.
+Counts are quantised to 1, 2, 3, 4, 6, 8, 12, 16, …, rounded down. Every pair is put into its shard's
+filter once for each level up to that of its count, so that the quantised count comes back from
+repeated membership probes. Word counts are kept exactly, by 64-bit hash. The probability of a word
+is PAIR_WEIGHT times the quantised count of the pair over the count of the word before, and the rest
+times the word's own; as counts are rounded down, the successors of a word sum to 1 at most, but for
+the filter's false hits (under 1 in 1000 probed pairs).
 
-What is broadcast at once is at most MOST_BYTES. A larger model is looked up in several passes, a
-range of shards each, which write what they found beside the texts; the scores are the same.
+A model of at most MOST_BYTES is broadcast whole. The pairs and words of a larger one are looked up
+where their shard is: chunks of texts send their different hashes to the shards and get levels and
+counts back. That is one shuffle each way, whatever the size of the model; the scores are the same.
 
 Null and empty texts are one end token. Repeated rows count and score each time. Without training
 texts every count is 0. Texts are scored whole.
@@ -24,17 +28,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import buffers, checkpoint, mix64, spans, utf8
+from labelweave.llm.common import buffers, checkpoint, fresh, mix64, spans, utf8
 
-#: Least count of a pair in the filter, filter bits for each entry, probes for each entry, weight of the pair's probability.
-LEAST, BITS, PROBES, PAIR_WEIGHT = 2, 12, 4, 0.6
-#: Words in a shard on average at most; bytes of a model that are broadcast at once.
+#: Filter bits for each entry, probes for each entry, weight of the pair's probability.
+BITS, PROBES, PAIR_WEIGHT = 16, 6, 0.6
+#: Words in a shard on average at most; bytes of a model that is broadcast.
 SHARD_WORDS, MOST_BYTES = 2_000_000, 192 << 20
 _START, _END = np.uint64(0x5354415254), np.uint64(0x454E44)
-_FLUSH, _CHUNK, _LEVELS = 4_000_000, 4 << 20, 40
+_FLUSH, _CHUNK, _LEVELS = 4_000_000, 4 << 20, 90
 _SCORES = "n_tokens long, n_known long, base_score double, score double"
 
 
@@ -125,6 +130,16 @@ def _counter(bits: int):
     return count
 
 
+def level_of(counts: np.ndarray) -> np.ndarray:
+    """The greatest level whose value is at most the count; counts are 1 or more."""
+    octave = np.frexp(counts.astype(float))[1] - 1
+    return np.where(octave == 0, 1, 2 * octave + (counts >= 1.5 * np.exp2(octave)))
+
+
+#: The count that each level stands for; level 0 is no hit.
+VALUES = np.array([0, 1, *(v for k in range(1, _LEVELS // 2) for v in (2.0**k, 1.5 * 2**k))])
+
+
 def _places(hashes: np.ndarray, level: int, probe: int, sizes: np.ndarray) -> np.ndarray:
     """The bit of a probe, below the size of the shard's filter."""
     mixed = mix64(hashes ^ np.uint64((level * 1_000_003 + probe) * 0x9E3779B97F4A7C15 & ((1 << 64) - 1)))
@@ -132,8 +147,8 @@ def _places(hashes: np.ndarray, level: int, probe: int, sizes: np.ndarray) -> np
 
 
 def build_filter(hashes: np.ndarray, counts: np.ndarray, bits: int = BITS, probes: int = PROBES) -> np.ndarray:
-    """Bytes of the filter that holds each hash at levels 1..floor(log2 count)."""
-    levels = np.floor(np.log2(counts.astype(float))).astype(int)
+    """Bytes of the filter that holds each hash at levels 1 to that of its count."""
+    levels = level_of(counts)
     size = (int(levels.sum()) * bits // 64 + 1) * 64
     field = np.zeros(size, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
@@ -143,7 +158,30 @@ def build_filter(hashes: np.ndarray, counts: np.ndarray, bits: int = BITS, probe
     return np.packbits(field, bitorder="little")
 
 
-def _merge(least: int, bits: int, probes: int):
+def probed(hashes: np.ndarray, filters: np.ndarray, starts: np.ndarray, sizes: np.ndarray, probes: int) -> np.ndarray:
+    """Level of each hash, in the filter that starts at a byte and has so many bits: the last level at which all probes hit."""
+    found = np.zeros(len(hashes), np.int8)
+    at = np.flatnonzero(sizes)
+    for level in range(1, len(VALUES)):
+        for probe in range(probes):
+            if not len(at):
+                return found
+            bit = _places(hashes[at], level, probe, sizes[at])
+            hit = (filters[starts[at] + (bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
+            at = at[hit.astype(bool)]
+        found[at] = level
+    return found
+
+
+def counted(hashes: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The counts of hashes among words (in order), 0 for others."""
+    if not len(words):
+        return np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
+    return np.where(words[at] == hashes, counts[at], 0).astype(np.int64)
+
+
+def _merge(bits: int, probes: int):
     def merge(key: tuple, group: pa.Table) -> pa.Table:
         h, c = summed(
             [np.frombuffer(x.as_py(), np.uint64) for x in group["hashes"]], [np.frombuffer(x.as_py(), np.uint64) for x in group["counts"]]
@@ -152,8 +190,7 @@ def _merge(least: int, bits: int, probes: int):
         if key[0].as_py() == 1:
             kept, body = h, (c.astype(np.uint32) if c.max() < 1 << 32 else c)
         else:
-            often = c >= least
-            kept, body = h[:0], build_filter(h[often], c[often], bits, probes)
+            kept, body = h[:0], build_filter(h, c, bits, probes)
         row = [[x] for x in (key[0].as_py(), key[1].as_py(), kept.tobytes(), body.tobytes(), body.dtype.itemsize, total, different)]
         return pa.table([pa.array(x, k) for x, k in zip(row, _MERGED_TYPES, strict=True)], names=_MERGED_NAMES)
 
@@ -166,58 +203,19 @@ _MERGED_TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), p
 
 
 @dataclass(frozen=True)
-class Model:
-    """Some shards of word counts and filters, and the totals of the whole corpus."""
+class Totals:
+    """Tokens, different tokens and texts of the training texts."""
 
-    bits: int
-    probes: int
-    train_tokens: int
+    tokens: int
     vocabulary: int
     texts: int
-    words: np.ndarray
-    counts: np.ndarray
-    held: np.ndarray  # for each shard: whether its filter is here
-    starts: np.ndarray  # for each shard: first byte of its filter
-    sizes: np.ndarray  # for each shard: bits of its filter
-    filters: np.ndarray
-
-    def count(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, self.counts[at], 0).astype(np.int64)
-
-    def level(self, hashes: np.ndarray) -> np.ndarray:
-        """Quantised count of each pair: the last level at which all probes hit."""
-        found = np.zeros(len(hashes), np.int8)
-        shard = shard_of(hashes, self.bits)
-        at = np.flatnonzero(self.held[shard])
-        for level in range(1, _LEVELS):
-            for probe in range(self.probes):
-                if not len(at):
-                    return found
-                bit = _places(hashes[at], level, probe, self.sizes[shard[at]])
-                hit = (self.filters[self.starts[shard[at]] + (bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
-                at = at[hit.astype(bool)]
-            found[at] = level
-        return found
-
-    def look_up(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token, starts included: its word count (0 at starts) and the level of its pair; and the places of the starts."""
-        numbers, starts, hashes = tokens_of(texts)
-        known = self.count(hashes)
-        known[0] = 0
-        levels = np.zeros(len(numbers), np.int8)
-        levels[1:] = self.level(pair_hash(hashes[numbers[:-1]], hashes[numbers[1:]]))
-        levels[starts] = 0
-        return known[numbers], levels, starts
 
     def scores(self, counts: np.ndarray, levels: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-        """n_tokens, n_known, base_score and score of each text."""
-        base = (counts + 1) / (self.train_tokens + self.vocabulary + 1)
+        """n_tokens, n_known, base_score and score of each text, from the count of each token (0 at starts) and the level of its pair."""
+        base = (counts + 1) / (self.tokens + self.vocabulary + 1)
         context = np.r_[0, counts[:-1]].astype(float)
         context[np.minimum(starts + 1, len(context) - 1)] = self.texts
-        seen = np.minimum(np.where(levels > 0, np.exp2(levels + 0.5), 0), context)
+        seen = np.minimum(VALUES[levels], context)
         pair = np.divide(seen, context, out=np.zeros(len(seen)), where=context > 0)
         weight = np.where(context > 0, PAIR_WEIGHT, 0.0)
         score = np.log10(weight * pair + (1 - weight) * base)
@@ -232,49 +230,66 @@ class Model:
         ]
 
 
-def train(docs: DataFrame, text: str = "text", least: int = LEAST, bits: int = BITS, probes: int = PROBES, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, int]:
+@dataclass(frozen=True)
+class Model:
+    """All shards of word counts and filters of a model that is small enough."""
+
+    bits: int
+    probes: int
+    totals: Totals
+    words: np.ndarray
+    counts: np.ndarray
+    starts: np.ndarray  # for each shard: first byte of its filter
+    sizes: np.ndarray  # for each shard: bits of its filter
+    filters: np.ndarray
+
+    def look_up(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each token, starts included: its word count (0 at starts) and the level of its pair; and the places of the starts."""
+        numbers, starts, hashes = tokens_of(texts)
+        known = counted(hashes, self.words, self.counts)
+        known[0] = 0
+        levels = np.zeros(len(numbers), np.int8)
+        pairs = pair_hash(hashes[numbers[:-1]], hashes[numbers[1:]])
+        shard = shard_of(pairs, self.bits)
+        levels[1:] = probed(pairs, self.filters, self.starts[shard], self.sizes[shard], self.probes)
+        levels[starts] = 0
+        return known[numbers], levels, starts
+
+
+def train(docs: DataFrame, text: str = "text", bits: int = BITS, probes: int = PROBES, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, int]:
     """Merged shards of docs' counts, as a checkpointed table, and the number of bits that choose a shard."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shard_bits = max(0, (int(size) // 6 // shard_words).bit_length())
-    counted = docs.select(utf8(text).alias("text")).mapInArrow(_counter(shard_bits), "kind int, shard int, hashes binary, counts binary")
-    return checkpoint(counted.groupBy("kind", "shard").applyInArrow(_merge(least, bits, probes), _MERGED)), shard_bits
-
-
-def models(shards: DataFrame, shard_bits: int, probes: int = PROBES, most_bytes: int = MOST_BYTES) -> Iterator[Model]:
-    """The model in parts of at most so many bytes; a part holds whole shards. The driver holds one part at a time."""
-    light = shards.select("kind", "shard", (F.octet_length("hashes") + F.octet_length("body")).alias("bytes"), "total", "different").toPandas()
-    of_words = light[light["kind"] == 1]
-    end = shards.where((F.col("kind") == 1) & (F.col("shard") == int(shard_of(np.array([_END]), shard_bits)[0]))).first()
-    start = shards.where((F.col("kind") == 1) & (F.col("shard") == int(shard_of(np.array([_START]), shard_bits)[0]))).first()
-    texts = _stored(end, _END) if end else 0
-    total = int(of_words["total"].sum()) - (_stored(start, _START) if start else 0)
-    different = int(of_words["different"].sum()) - (1 if texts else 0)
-    by_shard = light.groupby("shard")["bytes"].sum().sort_index()
-    part = ((by_shard.cumsum() - 1) // most_bytes).astype(int)
-    for number in sorted(part.unique()) or [0]:
-        mine = [int(x) for x in part.index[part == number]]
-        rows = list(shards.where(F.col("shard").between(min(mine), max(mine))).toLocalIterator()) if mine else []
-        words = sorted((r for r in rows if r["kind"] == 1), key=lambda r: r["shard"])
-        held, starts, sizes = np.zeros(1 << shard_bits, bool), np.zeros(1 << shard_bits, np.int64), np.zeros(1 << shard_bits, np.uint64)
-        filters, at = [], 0
-        for r in rows:
-            if r["kind"] == 2:
-                body = np.frombuffer(r["body"], np.uint8)
-                held[r["shard"]], starts[r["shard"]], sizes[r["shard"]] = True, at, len(body) * 8
-                filters.append(body)
-                at += len(body)
-        counts = [np.frombuffer(r["body"], f"u{r['width']}") for r in words]
-        yield Model(
-            shard_bits, probes, total, different, texts,
-            np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in words]) if words else np.zeros(0, np.uint64),
-            np.concatenate(counts) if counts else np.zeros(0, np.uint32),
-            held, starts, sizes, np.concatenate(filters) if filters else np.zeros(1, np.uint8),
-        )
-
-
-def _stored(row, wanted: np.uint64) -> int:
-    at = np.flatnonzero(np.frombuffer(row["hashes"], np.uint64) == wanted)
-    return int(np.frombuffer(row["body"], f"u{row['width']}")[at[0]]) if len(at) else 0
+    runs = docs.select(utf8(text).alias("text")).mapInArrow(_counter(shard_bits), "kind int, shard int, hashes binary, counts binary")
+    return checkpoint(runs.groupBy("kind", "shard").applyInArrow(_merge(bits, probes), _MERGED)), shard_bits
+
+
+def totals(shards: DataFrame, shard_bits: int) -> Totals:
+    """From the sums of all shards, without the starts, which are no tokens."""
+
+    def stored(wanted: np.uint64) -> int:
+        row = shards.where((F.col("kind") == 1) & (F.col("shard") == int(shard_of(np.array([wanted]), shard_bits)[0]))).first()
+        return int(counted(np.array([wanted]), np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["body"], f"u{row['width']}"))[0]) if row else 0
+
+    sums = shards.where("kind = 1").agg(F.sum("total").alias("total"), F.sum("different").alias("different")).first()
+    texts = stored(_END)
+    return Totals((sums["total"] or 0) - stored(_START), (sums["different"] or 0) - (1 if texts else 0), texts)
+
+
+def model(shards: DataFrame, shard_bits: int, known: Totals, probes: int = PROBES) -> Model:
+    """All shards in one object, on the driver."""
+    rows = sorted(shards.toLocalIterator(), key=lambda r: r["shard"])
+    starts, sizes = np.zeros(1 << shard_bits, np.int64), np.zeros(1 << shard_bits, np.uint64)
+    words, counts, filters, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros(1, np.uint8)], 1
+    for r in rows:
+        if r["kind"] == 1:
+            words.append(np.frombuffer(r["hashes"], np.uint64))
+            counts.append(np.frombuffer(r["body"], f"u{r['width']}"))
+        else:
+            filters.append(np.frombuffer(r["body"], np.uint8))
+            starts[r["shard"]], sizes[r["shard"]] = at, len(filters[-1]) * 8
+            at += len(filters[-1])
+    return Model(shard_bits, probes, known, np.concatenate(words), np.concatenate(counts), starts, sizes, np.concatenate(filters))
 
 
 def _struct(rows: list[list[np.ndarray]]) -> pa.StructArray:
@@ -287,56 +302,99 @@ def score(docs: DataFrame, training: DataFrame, text: str = "text", most_bytes:
     """docs with a struct column `lm` (n_tokens, n_known, base_score, score) and a column `train_tokens`, in place of columns so called."""
     docs = docs.drop("lm", "train_tokens")
     shards, shard_bits = train(training, text, **options)
-    context = docs.sparkSession.sparkContext
-    parts = models(shards, shard_bits, options.get("probes", PROBES), most_bytes)
-    first = next(parts)
-    second = next(parts, None)
-    shared = context.broadcast(first)
-    known = F.lit(first.train_tokens).cast("long").alias("train_tokens")
-    if second is None:
-
-        @F.arrow_udf(f"struct<{_SCORES.replace(' ', ':').replace(',:', ',')}>")
-        def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            model = shared.value
-            for texts in batches:
-                _, offsets = buffers(texts)
-                yield _struct([model.scores(*model.look_up(texts[a:b].to_pylist())) for a, b in spans(offsets, _CHUNK)])
-
-        return docs.select("*", whole(utf8(text)).alias("lm"), known)
-
-    looked = docs.withColumns({"_counts": F.lit(None).cast("binary"), "_levels": F.lit(None).cast("binary")})
-    for part in _chain(first, second, parts):
-        looked = checkpoint(_looked_up(looked, context.broadcast(part), text))
+    known, probes = totals(shards, shard_bits), options.get("probes", PROBES)
+    tokens = F.lit(known.tokens).cast("long").alias("train_tokens")
+    size = shards.agg(F.sum(F.octet_length("hashes") + F.octet_length("body"))).first()[0] or 0
+    if size > most_bytes:
+        return _routed_scores(docs, shards, shard_bits, known, text, probes).select(*docs.columns, "lm", tokens)
+    shared = docs.sparkSession.sparkContext.broadcast(model(shards, shard_bits, known, probes))
 
     @F.arrow_udf(f"struct<{_SCORES.replace(' ', ':').replace(',:', ',')}>")
-    def finished(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        model = shared.value
-        for counts, levels in batches:
-            yield _struct([model.scores(np.frombuffer(c.as_py(), np.int64), np.frombuffer(v.as_py(), np.int8), np.zeros(1, np.int64)) for c, v in zip(counts, levels, strict=True)])
+    def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held = shared.value
+        for texts in batches:
+            _, offsets = buffers(texts)
+            yield _struct([held.totals.scores(*held.look_up(texts[a:b].to_pylist())) for a, b in spans(offsets, _CHUNK)])
 
-    return looked.select(*docs.columns, finished("_counts", "_levels").alias("lm"), known)
+    return docs.select("*", whole(utf8(text)).alias("lm"), tokens)
 
 
-def _chain(first: Model, second: Model, rest: Iterator[Model]) -> Iterator[Model]:
-    yield first
-    yield second
-    yield from rest
+_ROUTED = "chunk long, kind int, shard int, body binary, pairs binary, starts binary, keys binary"
+_ANSWERS = "chunk long, kind int, shard int, body binary"
 
 
-def _looked_up(docs: DataFrame, shared, text: str) -> DataFrame:
-    """Adds to the counts and levels of each row's tokens what one part of the model knows of them."""
+def _requests(bits: int):
+    """For each chunk of texts: a row (kind 0) of its tokens as places among its different words and pairs, and a row for each shard with its words (1) or pairs (2)."""
+    types = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+    names = [x.split()[0] for x in _ROUTED.split(", ")]
 
-    @F.arrow_udf("struct<counts:binary,levels:binary>")
-    def add(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, before_c, before_l in batches:
-            counts, levels = [], []
-            for t, c, v in zip(texts, before_c, before_l, strict=True):
-                n, q, _ = shared.value.look_up([t.as_py()])
-                counts.append((n + np.frombuffer(c.as_py(), np.int64) if c.is_valid else n).tobytes())
-                levels.append((q + np.frombuffer(v.as_py(), np.int8) if v.is_valid else q).tobytes())
-            yield pa.StructArray.from_arrays([pa.array(counts, pa.binary()), pa.array(levels, pa.binary())], ["counts", "levels"])
-
-    kept = [c for c in docs.columns if c not in ("_counts", "_levels")]
-    return docs.select(*kept, add(utf8(text), F.col("_counts"), F.col("_levels")).alias("_found")).select(
-        *kept, F.col("_found.counts").alias("_counts"), F.col("_found.levels").alias("_levels")
-    )
+    def rows(chunk: int, texts: list[bytes], keys: np.ndarray) -> Iterator[list]:
+        numbers, starts, hashes = tokens_of(texts)
+        key = (numbers[:-1] << 32) | numbers[1:]
+        different, which = np.unique(key, return_inverse=True)
+        pairs = pair_hash(hashes[different >> 32], hashes[different & 0xFFFFFFFF])
+        places = []
+        for kind, found, own in ((1, hashes, numbers), (2, pairs, which)):
+            order = np.argsort(found, kind="stable")
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            places.append(rank[own])
+            found = found[order]
+            shard = shard_of(found, bits)
+            cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]) if len(found) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield [chunk, kind, int(shard[a]), found[a:b].tobytes(), None, None, None]
+        yield [chunk, 0, -1, places[0].tobytes(), np.r_[np.int32(0), places[1]].astype(np.int32).tobytes(), starts.tobytes(), keys.tobytes()]
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            _, offsets = buffers(batch.column(0))
+            keys = np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], axis=1)
+            for a, b in spans(offsets, _CHUNK):
+                found = list(rows(chunk, batch.column(0)[a:b].to_pylist(), keys[a:b]))
+                chunk += 1
+                for k in range(0, len(found), 64):
+                    columns = zip(*found[k : k + 64], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    return route
+
+
+def _routed_scores(docs: DataFrame, shards: DataFrame, bits: int, known: Totals, text: str, probes: int) -> DataFrame:
+    """docs with `lm`, for a model of any size. Texts are named by two hashes of their content."""
+    names = [fresh(docs, "_key0"), fresh(docs, "_key1")]
+    keys = [F.xxhash64(utf8(text)), F.xxhash64(utf8(text), F.lit(1))]
+    routed = checkpoint(docs.select(utf8(text).alias("text"), *[k.alias(n) for k, n in zip(keys, names, strict=True)]).mapInArrow(_requests(bits), _ROUTED))
+
+    def answer(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
+        words, counts = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        field = np.zeros(0, np.uint8)
+        for r in held.to_pylist():
+            if r["kind"] == 1:
+                words, counts = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["body"], f"u{r['width']}")
+            else:
+                field = np.frombuffer(r["body"], np.uint8)
+        found = []
+        for kind, body in zip(asked["kind"].to_pylist(), asked["body"].to_pylist(), strict=True):
+            h = np.frombuffer(body, np.uint64)
+            sizes = np.full(len(h), len(field) * 8, np.uint64)
+            found.append((counted(h, words, counts) if kind == 1 else probed(h, field, np.zeros(len(h), np.int64), sizes, probes)).tobytes())
+        return pa.table([asked["chunk"], asked["kind"], asked["shard"], pa.array(found, pa.binary())], names=[x.split()[0] for x in _ANSWERS.split(", ")])
+
+    answers = routed.where("kind > 0").select(*[x.split()[0] for x in _ANSWERS.split(", ")]).groupBy("shard").cogroup(shards.groupBy("shard")).applyInArrow(answer, _ANSWERS)
+
+    def finish(key: tuple, tokens: pa.Table, found: pa.Table) -> pa.Table:
+        r, got = tokens.to_pylist()[0], sorted(found.to_pylist(), key=lambda x: (x["kind"], x["shard"]))
+        part = lambda kind, of: np.concatenate([np.frombuffer(x["body"], of) for x in got if x["kind"] == kind] or [np.zeros(0, of)])
+        counts, levels, starts = part(1, np.int64), part(2, np.int8), np.frombuffer(r["starts"], np.int64)
+        places, pairs = np.frombuffer(r["body"], np.int32), np.frombuffer(r["pairs"], np.int32)
+        count, level = counts[places].copy(), levels[pairs].copy()
+        count[starts] = level[starts] = 0
+        key0, key1 = np.frombuffer(r["keys"], np.int64).reshape(-1, 2).T
+        return pa.table([pa.array(key0), pa.array(key1), _struct([known.scores(count, level, starts)])], names=[*names, "lm"])
+
+    kind = f"{names[0]} long, {names[1]} long, lm struct<{_SCORES.replace(' ', ':').replace(',:', ',')}>"
+    scores = routed.where("kind = 0").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, kind)
+    each = checkpoint(scores.groupBy(*names).agg(F.first("lm").alias("lm")))
+    return docs.withColumns(dict(zip(names, keys, strict=True))).join(each, names)

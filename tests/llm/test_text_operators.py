@@ -225,7 +225,7 @@ def _lm(rows, training):
         w, score = tokens(t), 0.0
         for a, b in zip([1, *w], w):  # noqa: B905
             context = c[0] if a == 1 else c[a]
-            seen = min(2 ** (math.floor(math.log2(k)) + 0.5), context) if (k := pairs[a, b]) >= 2 else 0
+            seen = min(max(v for v in [0, 1, *(f * 2**j for j in range(1, 40) for f in (1, 1.5))] if v <= pairs[a, b]), context)
             base = (c[b] + 1) / (n + v + 1)
             score += math.log10(0.6 * seen / context + 0.4 * base if context else base)
         out.append((len(w), sum(c[a] > 0 for a in w), sum(math.log10((c[a] + 1) / (n + v + 1)) for a in w), score))
@@ -243,6 +243,37 @@ def test_language_model_matches_exact_counts(nasty, empty, most_bytes):
         assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score, rel=0.02)
 
 
+def test_every_count_is_in_the_filter_and_successors_sum_to_one_at_most(spark):
+    rng = np.random.default_rng(4)
+    counts = np.r_[np.ones(2000, np.int64), rng.integers(1, 5000, 500)]
+    hashes = rng.integers(0, 2**63, 2500).astype(np.uint64)
+    body = bloom_lm.build_filter(hashes, counts)
+    find = lambda h: bloom_lm.probed(h, body, np.zeros(len(h), np.int64), np.full(len(h), len(body) * 8, np.uint64), bloom_lm.PROBES)
+    got = bloom_lm.VALUES[find(hashes)]
+    assert (got[:2000] >= 1).all() and (got >= counts / 1.5 - 1e-9).all() and (got <= counts).mean() > 0.99
+    assert (find(rng.integers(0, 2**63, 100_000).astype(np.uint64)) > 0).mean() < 0.002
+
+    words = [f"w{k}" for k in range(12)]
+    docs = spark.createDataFrame([(" ".join(rng.choice(words, int(rng.integers(1, 30)))),) for _ in range(60)], "text string")
+    shards, bits = bloom_lm.train(docs)
+    known = bloom_lm.totals(shards, bits)
+    held = bloom_lm.model(shards, bits, known)
+    for first in words:
+        sums = 0.0
+        for second in [*words, "neverseen"]:
+            count, level, starts = held.look_up([f"{first} {second}".encode()])
+            sums += 10 ** (known.scores(count, level, starts)[3][0] - known.scores(*held.look_up([first.encode()]))[3][0]) * 10 ** _end(held, known, first) / 10 ** _end(held, known, second)
+        assert sums + 10 ** _end(held, known, first) <= 1 + 1e-9
+
+
+def _end(held, known, word):
+    """log10 of the probability that the text ends behind a word: that of the text less that of its first word."""
+    count, level, _ = held.look_up([word.encode()])
+    whole = known.scores(count, level, np.array([0]))[3][0]
+    context, base = known.texts, (count[1] + 1) / (known.tokens + known.vocabulary + 1)
+    return whole - math.log10(0.6 * min(bloom_lm.VALUES[level[1]], context) / context + 0.4 * base)
+
+
 def test_language_model_without_training(nasty, empty):
     rows = bloom_lm.score(nasty, empty).select("lm.*").collect()
     assert all(r["base_score"] == 0 and r["n_known"] == 0 for r in rows) and bloom_lm.score(empty, nasty).count() == 0

@@ -1,8 +1,10 @@
-"""Language identification: multinomial naive Bayes over hashed byte n-grams.
+"""Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts (language, bucket) over every labelled text; the log-probability matrix of
 languages x buckets has a fixed number of buckets and a checked number of languages, so it is
 broadcast. Scoring turns a batch of texts into sparse rows of bucket counts and multiplies them.
+Characters are code points, with A-Z in lower case. Long texts are counted in pieces, so that memory
+stays bounded; they are cut at blanks, across which no n-gram is counted then.
 
 Null and empty texts, and texts without a letter, get `und` and score 0. Rows whose label is
 null don't train. With no training row at all, every text is `und`. Repeated rows count each time.
@@ -19,21 +21,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import buffers, spans, utf8
+from labelweave.llm.common import buffers, code_points, pieces, utf8
 
 UNKNOWN = "und"
-#: n-gram lengths in bytes; buckets; additive smoothing; languages that a model may hold (their matrix is 64 MB at most).
+#: n-gram lengths in characters; buckets; additive smoothing; languages that a model may hold (their matrix of doubles is 128 MB at most).
 ORDERS, BUCKETS, ALPHA, MOST_LANGUAGES = (1, 2, 3), 1 << 14, 0.5, 1024
-_CHUNK = 256 << 10
+_CHUNK, _SLAB = 256 << 10, 1 << 22
 _MULTIPLIERS = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F))
-_LOWER = np.array([b + 32 if 65 <= b < 91 else b for b in range(256)], np.uint8)
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, orders=ORDERS, buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order: the row and the bucket of every n-gram that lies within one text."""
-    base = int(offsets[0])
-    raw = _LOWER[data[base : int(offsets[-1])]].astype(np.uint32)
-    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    """For each order: the row and the bucket of every n-gram of characters that lies within one text."""
+    raw, at = code_points(data, offsets)
+    raw = np.where((raw >= 65) & (raw < 91), raw + np.uint32(32), raw)
+    rows = np.repeat(np.arange(len(at) - 1), np.diff(at))
     shift = np.uint32(32 - (buckets - 1).bit_length())
     mixed = np.zeros(len(raw), np.uint32)
     for n in range(1, max(orders) + 1):
@@ -47,13 +48,13 @@ def grams(data: np.ndarray, offsets: np.ndarray, orders=ORDERS, buckets: int = B
             yield (rows[: len(h)], h) if inside.all() else (rows[: len(h)][inside], h[inside])
 
 
-def row_counts(data: np.ndarray, offsets: np.ndarray, orders=ORDERS, buckets: int = BUCKETS) -> np.ndarray:
-    """Bucket counts, a line for each text."""
-    rows = len(offsets) - 1
-    total = np.zeros(rows * buckets, np.int64)
-    for row, h in grams(data, offsets, orders, buckets):
-        total += np.bincount(row * buckets + h, minlength=rows * buckets)
-    return total.reshape(rows, buckets)
+def row_counts(data: np.ndarray, offsets: np.ndarray, orders=ORDERS, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of a batch as sparse rows: row, bucket and count, in order."""
+    keys = [row.astype(np.int64) * buckets + h for row, h in grams(data, offsets, orders, buckets)]
+    key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+    key = np.sort(key.astype(np.int32) if (len(offsets) - 1) * buckets < 1 << 31 else key)
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[first] // buckets, key[first] % buckets, np.diff(np.r_[first, len(key)])
 
 
 def _counted(orders, buckets):
@@ -61,14 +62,13 @@ def _counted(orders, buckets):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             data, offsets = buffers(batch.column(1))
-            langs = batch.column(0).to_pylist()
-            for first, last in spans(offsets, _CHUNK):
-                for a in range(first, last, 128):
-                    b = min(a + 128, last)
-                    lines = row_counts(data, offsets[a : b + 1], orders, buckets)
-                    for lang in set(langs[a:b]):
-                        mine = lines[[k for k in range(b - a) if langs[a + k] == lang]].sum(0)
-                        sums[lang] = sums[lang] + mine if lang in sums else mine
+            langs, codes = np.unique(np.array(batch.column(0).to_pylist(), object).astype(str), return_inverse=True)
+            for first, some, at in pieces(data, offsets, _CHUNK):
+                for row, h in grams(some, at, orders, buckets):
+                    own = np.bincount(codes[first + row] * buckets + h, minlength=len(langs) * buckets).reshape(-1, buckets)
+                    for k in np.flatnonzero(own.any(1)):
+                        lang = str(langs[k])
+                        sums[lang] = sums[lang] + own[k] if lang in sums else own[k]
         for lang, line in sums.items():
             at = np.flatnonzero(line)
             yield pa.RecordBatch.from_arrays(
@@ -88,16 +88,21 @@ class LanguageModel:
     weights: np.ndarray
     orders: tuple[int, ...] = ORDERS
 
+    def odds(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Log-probability of each text under each language, without the prior."""
+        total = np.zeros((len(offsets) - 1, len(self.languages)))
+        slab = max(1, _SLAB // max(1, len(self.languages)))
+        for first, some, at in pieces(data, offsets, _CHUNK):
+            row, bucket, n = row_counts(some, at, self.orders, len(self.weights))
+            for low in range(0, len(row), slab):
+                rows, worth = row[low : low + slab], self.weights[bucket[low : low + slab]] * n[low : low + slab, None]
+                starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+                total[first + rows[starts]] += np.add.reduceat(worth, starts, axis=0)
+        return total
+
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of the best language and its posterior probability, for each text."""
-        buckets = len(self.weights)
-        lines = row_counts(data, offsets, self.orders, buckets)
-        row, bucket = np.nonzero(lines)
-        total = np.tile(self.prior, (len(offsets) - 1, 1))
-        if len(row):
-            worth = self.weights[bucket] * lines[row, bucket][:, None]
-            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            total[row[starts]] += np.add.reduceat(worth, starts, axis=0)
+        total = self.odds(data, offsets) + self.prior
         best = total.argmax(1)
         top = total[np.arange(len(best)), best]
         return best, 1.0 / np.exp(total - top[:, None]).sum(1)
@@ -137,12 +142,9 @@ def predict(model: LanguageModel, df: DataFrame, text: str = "text") -> Column:
             best = np.full(len(texts), len(known.languages))
             score = np.zeros(len(texts))
             usable = letters.to_numpy(zero_copy_only=False).astype(bool)
-            for first, last in spans(offsets, _CHUNK) if known.languages else ():
-                for a in range(first, last, 128):
-                    b = min(a + 128, last)
-                    got, p = known.score(data, offsets[a : b + 1])
-                    best[a:b] = np.where(usable[a:b], got, len(known.languages))
-                    score[a:b] = np.where(usable[a:b], p, 0.0)
+            if known.languages and len(texts):
+                got, p = known.score(data, offsets)
+                best, score = np.where(usable, got, len(known.languages)), np.where(usable, p, 0.0)
             yield pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
     return identify(utf8(text), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))

@@ -1,12 +1,16 @@
-"""Quality classifier: learnt vectors of hashed words and their byte n-grams, averaged for each text.
+"""Quality classifier: learnt vectors of hashed words, their character n-grams and word patterns, averaged for each text.
+
+A word pattern is a run of three words with only their identity left: aaa, aab, aba, abb or abc. Each has
+a vector of its own behind the hashed buckets. Without patterns no bag of subwords can tell a text that
+repeats words which training never saw repeated (held-out AUC at sf0.1: 0.906 without, see README).
 
 The mean vector of a text goes through a linear layer and a softmax; vectors and layer are trained
 together by stochastic gradient descent in numpy. The layer is linear, so for scoring each bucket's
 vector is multiplied with it once: what is broadcast is one number for each bucket.
 
 The model is fitted on a bounded sample of labelled rows (about FIT_ROWS, by hash of the id), in one
-task; scoring covers all rows and whole texts. Null and empty texts have the zero vector and get
-the layer's bias. Labels that are null, or whose id is null or not among the texts, don't train;
+task, of which each id gives one text with one label; scoring covers all rows and whole texts, long ones
+in pieces. Characters are code points. Null and empty texts have the zero vector and get the layer's bias. Labels that are null, or whose id is null or not among the texts, don't train;
 with no labelled row the score is 0.5.
 """
 
@@ -20,37 +24,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import buffers, mix64, spans, utf8
+from labelweave.llm.common import BLANKS, buffers, code_points, mix64, pieces, powers, utf8
 
 #: Labelled rows to fit on (the sample's expected size), buckets, vector length, n-gram lengths, epochs, first learning rate.
 FIT_ROWS, BUCKETS, DIMENSIONS, ORDERS, EPOCHS, RATE = 3000, 1 << 17, 8, (3, 4, 5), 6, 8.0
-_CHUNK = 512 << 10
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_SPACES = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-_UP: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _UP or len(_UP[0]) < n:
-        size = 1 << n.bit_length()
-        inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
-        _UP[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, x)]) for x in (_ODD, inverse)]
-    return _UP[0][:n], _UP[1][:n]
-
-
+_CHUNK, PATTERNS = 512 << 10, 5
 def features(data: np.ndarray, offsets: np.ndarray, orders=ORDERS, buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row and bucket of every n-gram and of every word; n-grams may begin or end in a blank but hold none inside.
-
-    A word that repeats the one before it also counts for bucket 0.
-    """
-    raw = data[int(offsets[0]) : int(offsets[-1])]
+    """Row and bucket of every n-gram of characters, word and word pattern; n-grams may begin or end in a blank but hold none inside."""
+    raw, at = code_points(data, offsets)
     n = len(raw)
     if not n:
         return
-    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    blank = _SPACES[raw]
+    rows = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    blank = np.isin(raw, list(BLANKS))
     symbols = np.where(blank, 32, raw).astype(np.uint64) + np.uint64(1)
-    up, down = _powers(n)
+    up, down = powers(n)
     prefix = np.r_[np.uint64(0), np.cumsum(symbols * up, dtype=np.uint64)]
     blanks = np.r_[0, np.cumsum(blank)]
     shift = np.uint64(64 - (buckets - 1).bit_length())
@@ -58,37 +46,41 @@ def features(data: np.ndarray, offsets: np.ndarray, orders=ORDERS, buckets: int
         if n < k:
             break
         inside = (blanks[k - 1 : n] - blanks[1 : n - k + 2] == 0) & (rows[: n - k + 1] == rows[k - 1 :])
-        at = np.flatnonzero(inside)
-        yield rows[at], (mix64((prefix[at + k] - prefix[at]) * down[at] + np.uint64(k)) >> shift).astype(np.int64)
-    edge = np.flatnonzero(np.diff(rows)) + 1
+        some = np.flatnonzero(inside)
+        yield rows[some], (mix64((prefix[some + k] - prefix[some]) * down[some] + np.uint64(k)) >> shift).astype(np.int64)
     new = np.zeros(n, bool)
-    new[edge] = True
+    new[np.flatnonzero(np.diff(rows)) + 1] = True
     starts = np.flatnonzero(~blank & (np.r_[True, blank[:-1]] | new))
     stops = np.flatnonzero(~blank & (np.r_[blank[1:], True] | np.r_[new[1:], True])) + 1
-    words = mix64((prefix[stops] - prefix[starts]) * down[starts])
-    yield rows[starts], (words >> shift).astype(np.int64)
-    again = starts[1:][(words[1:] == words[:-1]) & (rows[starts[1:]] == rows[starts[:-1]])]
-    yield rows[again], np.zeros(len(again), np.int64)
+    words, owner = mix64((prefix[stops] - prefix[starts]) * down[starts]), rows[starts]
+    yield owner, (words >> shift).astype(np.int64)
+    a, b, c = words[:-2], words[1:-1], words[2:]
+    pattern = np.select([(a == b) & (b == c), a == b, a == c, b == c], [0, 1, 2, 3], 4)
+    whole = owner[:-2] == owner[2:]
+    yield owner[:-2][whole], buckets + pattern[whole]
 
 
 def train(texts: list[bytes], labels: np.ndarray, buckets=BUCKETS, dimensions=DIMENSIONS, epochs=EPOCHS, rate=RATE, seed=7) -> np.ndarray:
-    """One number for each bucket and, last, the bias: the log-odds of label 1 are their mean over a text plus the bias."""
+    """One number for each bucket and pattern and, last, the bias: the log-odds of label 1 are their mean over a text plus the bias."""
     draw = np.random.default_rng(seed)
-    vectors = draw.uniform(-1 / dimensions, 1 / dimensions, (buckets, dimensions)).astype(np.float32)
+    vectors = draw.uniform(-1 / dimensions, 1 / dimensions, (buckets + PATTERNS, dimensions)).astype(np.float32)
     layer = draw.normal(0, dimensions**-0.5, (dimensions, 2)).astype(np.float32)
     share = np.clip(labels.mean(), 0.01, 0.99) if len(labels) else 0.5
     bias = np.log([1 - share, share]).astype(np.float32)
+    counted = []
+    for text in texts:
+        data = np.frombuffer(text, np.uint8)
+        found = [h for _, some, at in pieces(data, np.array([0, len(data)]), _CHUNK) for _, h in features(some, at, buckets=buckets)]
+        used, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0))
+        counted.append((used.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)))
     steps, done = epochs * len(texts), 0
     for _ in range(epochs):
         for k in draw.permutation(len(texts)):
             now = rate * (1 - done / steps)
             done += 1
-            data = np.frombuffer(texts[k], np.uint8)
-            found = [h for _, h in features(data, np.array([0, len(data)]), buckets=buckets)]
-            if not found:
+            used, weight = counted[k]
+            if not len(used):
                 continue
-            used, counts = np.unique(np.concatenate(found), return_counts=True)
-            weight = (counts / counts.sum()).astype(np.float32)
             mean = weight @ vectors[used]
             odds = mean @ layer + bias
             p = np.exp(odds - odds.max())
@@ -105,25 +97,27 @@ def train(texts: list[bytes], labels: np.ndarray, buckets=BUCKETS, dimensions=DI
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id", rows: int = FIT_ROWS) -> np.ndarray:
     """Weights learnt from labels (key, label 0 or 1) and the texts of docs with these keys."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(F.col(label).cast("int")).alias("_label"))
     share = min(1.0, rows / max(1, known.count()))
     drawn = known.where(F.pmod(F.xxhash64("_key", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
-    sample = docs.select(F.col(key).alias("_key"), utf8(text).alias("_text")).join(F.broadcast(drawn), "_key").select("_key", "_text", "_label")
+    sample = docs.select(F.col(key).alias("_key"), utf8(text).alias("_text")).join(F.broadcast(drawn), "_key")
+    sample = sample.groupBy("_key").agg(F.min("_text").alias("_text"), F.min("_label").alias("_label"))
 
     def learn(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["_key", "_label", "_text"])
         return pd.DataFrame({"weights": [train(list(part["_text"]), part["_label"].to_numpy()).tobytes()]})
 
     model = sample.groupBy().applyInPandas(learn, "weights binary").first()
-    return np.frombuffer(model["weights"], np.float32) if model else np.zeros(BUCKETS + 1, np.float32)
+    return np.frombuffer(model["weights"], np.float32) if model else np.zeros(BUCKETS + PATTERNS + 1, np.float32)
 
 
 def score_batch(weights: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     rows = len(offsets) - 1
     total, seen = np.zeros(rows), np.zeros(rows)
-    for row, bucket in features(data, offsets, buckets=len(weights) - 1):
-        total += np.bincount(row, weights[bucket], minlength=rows)
-        seen += np.bincount(row, minlength=rows)
+    for first, some, at in pieces(data, offsets, _CHUNK):
+        for row, bucket in features(some, at, buckets=len(weights) - 1 - PATTERNS):
+            total += np.bincount(first + row, weights[bucket], minlength=rows)
+            seen += np.bincount(first + row, minlength=rows)
     return 1 / (1 + np.exp(-(total / np.maximum(seen, 1) + weights[-1])))
 
 
@@ -135,7 +129,6 @@ def score(weights: np.ndarray, df: DataFrame, text: str = "text") -> Column:
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             data, offsets = buffers(texts)
-            parts = [score_batch(shared.value, data, offsets[a : b + 1]) for a, b in spans(offsets, _CHUNK)]
-            yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+            yield pa.array(score_batch(shared.value, data, offsets), pa.float64())
 
     return scored(utf8(text))

@@ -57,11 +57,31 @@ def test_naive_bayes_matches_direct_formula(spark):
     data = np.frombuffer(b"abcxyz", np.uint8)
     best, p = model.score(data, np.array([0, 3, 6]))
     assert [model.languages[k] for k in best] == ["x", "y"]
-    lines = langid.row_counts(data, np.array([0, 3, 6]))
+    lines = np.zeros((2, langid.BUCKETS))
+    for row, text in enumerate(["abc", "xyz"]):  # counted one n-gram at a time, each by itself
+        for n in langid.ORDERS:
+            for k in range(4 - n):
+                one = text[k : k + n].encode()
+                (found,) = [h[0] for j, (_, h) in enumerate(langid.grams(np.frombuffer(one, np.uint8), np.array([0, n])), 1) if j == n]
+                lines[row, found] += 1
     direct = model.prior + lines @ model.weights
     assert np.allclose(p, np.exp(direct.max(1) - np.logaddexp.reduce(direct, axis=1)))
 
 
+def test_languages_of_one_script_are_told_apart_by_characters(spark):
+    rng = random.Random(5)
+    letters = {"uk": "абвгґдеєжзиіїйклмнопрстуфхцчшщьюя", "ru": "абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "zh": "的一是不了人我在有他这中大来上国个到说们", "ja": "のにはをたがでてとしれさあいうえお一人大"}
+    weights = {k: [1 / (1 + (j * 7 + len(k) * 3) % len(v)) for j in range(len(v))] for k, v in letters.items()}
+    text = lambda k: " ".join("".join(rng.choices(letters[k], weights[k], k=rng.randint(2, 8))) for _ in range(30))
+    rows = [(k, text(lang), lang) for k in range(50) for lang in letters]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(docs.where("doc_id >= 25").drop("lang").join(docs.select("doc_id", "text", "lang"), ["doc_id", "text"]), docs.where("doc_id < 25")).select("lang", "language.lang_pred").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got)
+    data, offsets = langid.buffers(langid.pa.array(["aé", "日本", ""], langid.pa.binary()))
+    found = [(row.tolist(), len(h)) for row, h in langid.grams(data, offsets)]
+    assert found == [([0, 0, 1, 1], 4), ([0, 1], 2), ([], 0)]
+
+
 def _fingerprint(text):
     words = (text or "").encode().lower().split()
     if not words:
@@ -290,6 +310,47 @@ def test_quality_is_learnt(spark, nasty, empty):
     assert empty.select(quality_model.score(weights, empty)).count() == 0 and nasty.select(quality_model.score(weights, nasty)).count() == nasty.count()
 
 
+def test_quality_scores_match_a_plain_average(spark, nasty):
+    rng = np.random.default_rng(9)
+    weights = rng.standard_normal(quality_model.BUCKETS + quality_model.PATTERNS + 1).astype(np.float32)
+
+    def bucket(feature, n):
+        """The one bucket of a feature, taken alone; a word's comes last, that of an n-gram by its length."""
+        found = list(quality_model.features(np.frombuffer(feature.encode(), np.uint8), np.array([0, len(feature.encode())])))
+        return int(found[-2][1][0]) if n is None else int(next(h for (_, h), k in zip(found, quality_model.ORDERS, strict=False) if k == n)[0])
+
+    texts = ["naïve café été", "x", "", None, "日本語 の 文章 です", "tab\tand\nlines  twice", "a a a b b c b"]
+    rows = {r["text"]: r["p"] for r in spark.createDataFrame([(t,) for t in texts], "text string").select("text", quality_model.score(weights, nasty).alias("p")).collect()}
+    for t in texts:
+        plain = re.sub("[\x09-\x0d]", " ", t or "")
+        found = [bucket(plain[k : k + n], n) for n in quality_model.ORDERS for k in range(len(plain) - n + 1) if " " not in plain[k + 1 : k + n - 1]]
+        words = plain.split()
+        found += [bucket(w, None) for w in words]
+        for x, y, z in zip(words, words[1:], words[2:]):  # noqa: B905
+            found.append(quality_model.BUCKETS + (0 if x == y == z else 1 if x == y else 2 if x == z else 3 if y == z else 4))
+        mean = sum(float(weights[b]) for b in found) / max(1, len(found))
+        assert rows[t] == pytest.approx(1 / (1 + math.exp(-(mean + float(weights[-1])))))
+
+
+def test_quality_is_learnt_from_one_text_for_each_id(spark):
+    docs = spark.createDataFrame([(k % 20, f"good words {k}" if k % 2 else "BAD!! BAD!!") for k in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 20, k % 2) for k in range(4000)], "doc_id long, quality int")
+    weights = quality_model.fit(docs, labels)
+    got = {r["text"]: r["p"] for r in docs.select("text", quality_model.score(weights, docs).alias("p")).distinct().collect()}
+    assert got["BAD!! BAD!!"] < 0.5 < got["good words 1"]
+
+
+def test_long_texts_are_scored_in_pieces(monkeypatch):
+    text = " ".join(f"mot{k} été" for k in range(3000)).encode()
+    data, offsets = np.frombuffer(text + "fin é".encode(), np.uint8), np.array([0, len(text), len(text) + 6])
+    weights = np.random.default_rng(1).standard_normal(quality_model.BUCKETS + quality_model.PATTERNS + 1).astype(np.float32)
+    model = langid.LanguageModel(["a", "b"], np.zeros(2), np.random.default_rng(2).standard_normal((langid.BUCKETS, 2)))
+    whole = quality_model.score_batch(weights, data, offsets), model.odds(data, offsets)
+    monkeypatch.setattr(quality_model, "_CHUNK", 2000), monkeypatch.setattr(langid, "_CHUNK", 2000)
+    again = quality_model.score_batch(weights, data, offsets), model.odds(data, offsets)
+    assert np.allclose(whole[0], again[0], atol=0.02) and np.allclose(whole[1], again[1], rtol=0.05, atol=100)
+
+
 def test_licenses_match_brute_force(spark, nasty, empty):
     lines = ["Released under the MIT License.", "gnu  GENERAL-public\nlicense", "apachelicense apache.license", "Licensed under CC BY-NC 4.0", "mit license mit license", "All rights reserved.", "reserved all", None, ""]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(lines)] + [(0, lines[0])], "doc_id long, text string").unionByName(nasty.select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text"))

@@ -1,7 +1,7 @@
 """Rule-based quality: how much of a text lies in repeated word n-grams and repeated lines.
 
 Words are mapped to numbers batch by batch; a polynomial rolling hash over 64-bit word values
-gives the n-grams of every length from one prefix sum. A text is kept if it passes the base rules
+gives the n-grams of every length from one prefix sum. Characters of overlapping n-grams count once. A text is kept if it passes the base rules
 and the characters in duplicated n-grams and lines, and its symbols, stay below the limits.
 
 Null and empty texts have no words: all counts are zero and the base rules fail. A repeated row is
@@ -146,15 +146,17 @@ class RepetitionMeter:
         for n, limit in sorted(self.limits.top.items()):
             if len(ids) < 2 * n:
                 break
-            order = np.argsort(h := hashes(n), kind="stable")
-            starts = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
-            counts = np.diff(np.r_[starts, len(h)])
+            h = hashes(n)
+            different, which, counts = np.unique(h, return_inverse=True, return_counts=True)
             if counts.max() < 2:
                 break
-            first = order[starts]
-            worth = np.where(counts > 1, counts * (sums[first + n] - sums[first]), 0).max() / word_chars
-            most_top = max(most_top, worth)
-            if worth > limit:
+            # The most frequent n-gram; of equally frequent ones that with the most characters.
+            first = np.zeros(len(different), np.int64)
+            first[which[::-1]] = np.arange(len(h))[::-1]
+            chars = np.where(counts == counts.max(), sums[first + n] - sums[first], -1)
+            share = lengths[covered(which == int(chars.argmax()), n, len(ids))].sum() / word_chars
+            most_top = max(most_top, share)
+            if share > limit:
                 reason = reason or f"top_{n}"
         for n, limit in sorted(self.limits.grams.items()):
             if len(ids) <= n or not (twice := duplicated(hashes(n))).any():
@@ -163,7 +165,7 @@ class RepetitionMeter:
             most_dup = max(most_dup, share)
             if share > limit:
                 reason = reason or f"dup_{n}"
-        return float(most_dup), float(min(most_top, 1.0)), reason
+        return float(most_dup), float(most_top), reason
 
 
 def measure(text: str = "text", limits: Limits | None = None) -> Column:

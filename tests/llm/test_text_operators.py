@@ -18,6 +18,10 @@ from labelweave.llm import bloom_lm, decontam, langid, licenses, mixing, quality
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 
 
+def sentence(rng, n, words):
+    return " ".join(rng.choice(words) for _ in range(n))
+
+
 def test_quality_rules_match_brute_force(nasty, empty):
     rows = nasty.select("doc_id", "text", quality_rules.measure().alias("q")).collect()
     for r in rows:
@@ -41,6 +45,56 @@ def test_rolling_hash_coverage_counts_characters():
     assert meter.measure(" ".join(["spam"] * 300).encode())[6] is False
 
 
+def _judged(text, limits):
+    """dup_line_fraction, dup_gram_fraction, top_gram_fraction and the first reason, by counting words one at a time."""
+    words = WORDS.findall(text)
+    chars = sum(map(len, words))
+    n = len(words)
+    triples = collections.Counter(zip(words, words[1:], words[2:]))
+    repeated = {k + j for k in range(n - 2) if triples[tuple(words[k : k + 3])] > 1 for j in range(3)}
+    grams = lambda size: [tuple(words[k : k + size]) for k in range(n - size + 1)]
+    inside = lambda size, starts: sum(len(words[j]) for j in {k + d for k in starts for d in range(size)}) / max(1, chars)
+    reasons, dup, top = [], 0.0, 0.0
+    for size, limit in limits.top.items():
+        counts = collections.Counter(grams(size))
+        if n >= 2 * size and max(counts.values()) > 1:
+            most = max(counts.values())
+            longest = max(sum(map(len, g)) for g, c in counts.items() if c == most)
+            shares = {inside(size, [k for k, g in enumerate(grams(size)) if g == x]) for x, c in counts.items() if c == most and sum(map(len, x)) == longest}
+            top, reasons = max(top, max(shares)), reasons + [f"top_{size}"] * (max(shares) > limit)
+            assert len(shares) == 1 or text.count("\n") == 0
+    for size, limit in limits.grams.items():
+        counts = collections.Counter(grams(size))
+        share = inside(size, [k for k, g in enumerate(grams(size)) if counts[g] > 1])
+        dup, reasons = max(dup, share), reasons + [f"dup_{size}"] * (share > limit)
+    lines = collections.Counter(x for x in text.split("\n") if WORDS.search(x))
+    line = sum(c * sum(map(len, WORDS.findall(x))) for x, c in lines.items() if c > 1) / max(1, chars)
+    reasons += ["lines"] * (line > limits.lines) + ["symbols"] * (len(re.findall(r"[#*$%&|<>]", text)) > limits.symbols * n)
+    base = n < 50 or 100 * len(repeated) > 50 * n
+    return line, dup, top, "base" if base else (reasons or [None])[0]
+
+
+def test_verdicts_match_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{k}é"[: 2 + k % 5] + str(k) for k in range(90)]
+    texts = ["aa " * 40 + " ".join(vocabulary), "aa bb " * 30 + "\n".join(vocabulary), " ".join(vocabulary) + " ###" * 30]
+    for k in range(60):
+        parts = [sentence(rng, rng.randint(3, 14), vocabulary) for _ in range(rng.randint(6, 25))]
+        parts += rng.choices(parts, k=rng.randint(0, 12))
+        rng.shuffle(parts)
+        texts.append("\n".join(parts))
+    limits = quality_rules.Limits()
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", quality_rules.measure().alias("q")).collect()
+    reasons = collections.Counter()
+    for r in rows:
+        line, dup, top, reason = _judged(texts[r["doc_id"]], limits)
+        q = r["q"]
+        assert (q["dup_line_fraction"], q["dup_gram_fraction"]) == (pytest.approx(line), pytest.approx(dup))
+        assert q["top_gram_fraction"] == pytest.approx(top) and q["reason"] == reason and q["kept"] == (reason is None)
+        reasons[reason] += 1
+    assert len(reasons) >= 4, reasons
+
+
 def test_language_is_learnt_and_unknown_without_letters(nasty, empty):
     got = {(r["doc_id"], r["text"]): r for r in langid.identify(nasty, nasty).select("doc_id", "text", "lang", "language.lang_pred", "language.score").collect()}
     assert all(r["lang_pred"] == "und" and r["score"] == 0 for (i, t), r in got.items() if not t or not any(c.isalpha() for c in t))

@@ -14,8 +14,7 @@ from labelweave.llm.common import id_bucket, table
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: base spans, and those in a format learnt from them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    models = secret_grammar.automata(secret_grammar.credentials(docs))
-    found = docs.select("doc_id", secret_grammar.scan(docs, models).alias("found"))
+    found = docs.select("doc_id", secret_grammar.scan(docs, secret_grammar.learn(docs)).alias("found"))
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     return found.select(

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import textwrap
 import zlib
 
@@ -13,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from labelweave.llm import bloom_lm, decontam, langid, licenses, mixing, quality_model, quality_rules, secret_grammar, simhash
+from labelweave.llm import bloom_lm, decontam, langid, licenses, mixing, quality_model, quality_rules, queries, secret_grammar, simhash
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 
@@ -232,8 +233,8 @@ SECRETS = [
 
 def test_base_spans_match_plain_patterns(spark, nasty, empty):
     docs = spark.createDataFrame([*SECRETS, *[(k, f"pw{k} secret={hashlib.md5(str(k).encode()).hexdigest()} free {hashlib.md5(str(-k).encode()).hexdigest()[:20].upper()}") for k in range(10, 60)]], "doc_id long, text string")
-    models = secret_grammar.automata(secret_grammar.credentials(docs))
-    assert {m["kind"] for m in models} <= set(secret_grammar.KINDS)
+    models = secret_grammar.learn(docs)
+    assert {m["kind"] for m in models.models} <= set(secret_grammar.KINDS)
     for r in docs.select("text", secret_grammar.scan(docs, models).alias("s")).collect():
         want = []
         for number, kind in enumerate(secret_grammar.KINDS):
@@ -242,20 +243,66 @@ def test_base_spans_match_plain_patterns(spark, nasty, empty):
         got = [(s["start"], s["end"], s["kind"]) for s in r["s"]]
         assert [(a, b, k) for a, _, b, k in sorted(want)] == [g for g in got if g[2] != "format"]
         for a, b, k in got:
-            assert k != "format" or not any(a < d and c < b for c, d, other in got if other != "format")
+            assert k != "format" or not any(c <= a and b <= d for c, d, other in got if other != "format")
     clean = {r["doc_id"]: r["text"] for r in secret_grammar.redact(docs, models).collect()}
     assert clean[1] == 'x <assign>" y' and clean[4] is None and "deadbeef" not in clean[3]
-    assert secret_grammar.redact(nasty, []).columns == nasty.columns
-    assert secret_grammar.automata(secret_grammar.credentials(empty)) == []
+    assert secret_grammar.redact(nasty, secret_grammar.learn(nasty)).columns == nasty.columns
+    assert secret_grammar.learn(empty).models == []
+
+
+def test_query_renders_base_spans_as_brute_force_does(spark, tmp_path):
+    rng = random.Random(2)
+    alphabet = "abcdef0123456789 AKIA=:\"'éSecretTOKEN_api-key\n"
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 300))) + f" api_key: '{'Ab1/' * rng.randint(1, 6)}' AKIA{'X9' * rng.randint(1, 12)} é" for _ in range(120)] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.op2_secrets(spark, str(tmp_path)).collect():
+        want = []
+        for number, kind in enumerate(secret_grammar.KINDS):
+            pattern, part, least = secret_grammar.PATTERNS[kind]
+            want += [(m.start(), number, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, texts[r["doc_id"]] or "", re.ASCII) if len(m[part]) >= least]
+        names = [x for _, _, x in sorted(want)]
+        assert r["base_sha256"] == hashlib.sha256(",".join(names).encode()).hexdigest()
+        spans = [x for x in r["spans"].split(",") if x]
+        assert [x for x in spans if not x.startswith("format")] == names and len(spans) == len(names) + r["n_format"]
+        assert [int(x.split(":")[1]) for x in spans] == sorted(int(x.split(":")[1]) for x in spans)
+        assert all(r[f"n_{k}"] == sum(x.startswith(k) for x in names) for k in secret_grammar.KINDS)
+
+
+FORMATS = {
+    "prefix": lambda rng: "ghp_" + "".join(rng.choices(string.ascii_letters + string.digits, k=36)),
+    "dashes": lambda rng: "sk-live-" + "".join(rng.choices(string.ascii_lowercase + string.digits, k=24)),
+    "letters": lambda rng: "XQ" + "".join(rng.choices("BCDFGHJKLMNPQRSTVWXZ", k=22)),
+    "mixed": lambda rng: "K-" + "".join(rng.choices("0123456789abcdef", k=16)),
+}
+
+
+@pytest.mark.parametrize("labelled", [40, 131, 1000])
+@pytest.mark.parametrize("name", list(FORMATS))
+def test_planted_formats_without_keywords_are_found(spark, name, labelled):
+    rng = random.Random(labelled)
+    make = FORMATS[name]
+    prose = lambda: " ".join("".join(rng.choices("etaoinshrdlucm", k=rng.randint(2, 17))) for _ in range(20))
+    plain = ["".join(rng.choices(string.ascii_letters + string.digits, k=40)) for _ in range(300)]
+    planted = [make(rng) for _ in range(300)]
+    rows = [(k, f'{prose()} secret = "{make(rng)}" {prose()}') for k in range(labelled)]
+    rows += [(10_000 + k, f"{prose()} {x} {prose()}") for k, x in enumerate(planted)]
+    rows += [(20_000 + k, f"{prose()} {x} http://example.org/some-page_{k}.html 2024-11-28T10:00:00 {prose()}") for k, x in enumerate(plain)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: [s for s in r["s"] if s["kind"] == "format"] for r in docs.select("doc_id", secret_grammar.scan(docs, secret_grammar.learn(docs)).alias("s")).collect()}
+    recall = sum(bool(found[10_000 + k]) for k in range(300)) / 300
+    false = sum(len(found[20_000 + k]) for k in range(300)) / 300
+    assert recall >= 0.9 and false <= 0.03, (recall, false)
+    texts = dict(rows)
+    assert all(texts[i][s["start"] : s["end"]] in planted for i, spans in found.items() if 10_000 <= i < 20_000 for s in spans) or recall > 0.97
 
 
 def test_automaton_learns_a_format():
     values = ["K-" + hashlib.md5(str(k).encode()).hexdigest()[:16] for k in range(300)]
-    states = secret_grammar.Automaton(values).merged()
+    states = secret_grammar.smoothed(secret_grammar.Automaton(values).merged(), np.zeros((69, 69)))
     assert len(states) < 30
     good = secret_grammar.likelihood(states, "K-" + hashlib.md5(b"new").hexdigest()[:16])
-    assert good > secret_grammar.likelihood(states, "12.34.56.78-90.12") + 2
-    assert good > secret_grammar.likelihood(states, "K-zzzzzzzzzzzzzzzz") + 2
+    assert good > secret_grammar.likelihood(states, "12.34.56.78-90.12") + 30
+    assert good > secret_grammar.likelihood(states, "K-zzzzzzzzzzzzzzzz") + 30
 
 
 def test_leaks_are_found_and_clean_texts_stay(spark, nasty, empty):

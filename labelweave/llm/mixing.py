@@ -1,6 +1,6 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Every row gets a hash-random key (md5 of its id). Keys are uniform, so fixed ranges of the key
+Every row gets a hash-random key (md5 of its id and its text's md5). Keys are uniform, so fixed ranges of the key
 space are ranges of the sort order within a source; sums for each (source, range) are aggregated
 before the shuffle, their prefix sums give each range its start, and a window within one range
 finishes the prefix sums. A source, however large, is spread over all ranges. The mix takes whole
@@ -8,8 +8,8 @@ epochs of a source and then its rows in key order up to the exact budget; the ro
 only its first words.
 
 A null source is a source of its own, last in order. Null and empty texts have size 0 and nothing
-is taken of them. Null ids hash like empty text. Rows with equal ids sort by size; equal rows are
-interchangeable. An empty table, or one without any word, gives targets of 0.
+is taken of them. Null ids and texts hash like empty ones. Rows with equal ids are told apart by their
+texts; rows equal in both are interchangeable. An empty table, or one without any word, gives targets of 0.
 """
 
 from __future__ import annotations
@@ -29,6 +29,12 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def hashed_key(key: str, text: str) -> Column:
+    """md5 of the id, a colon and the text's md5."""
+    own = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    return F.md5(F.concat(own, F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).cast("binary"))
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
     """sizes (source, source_size) with `target`: weight times one level, at most epochs times the size.
 
@@ -60,16 +66,14 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     """
     number = F.col(row) if row else F.lit(None).cast("long")
     light = checkpoint(
-        docs.select(number.alias("_row"), F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size"))
+        docs.select(number.alias("_row"), F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size"), hashed_key(key, text).alias("hash"))
     )
     sizes = light.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     most = sizes.agg(F.max("n")).first()[0] or 0
     digits = 1
     while most > RANGE_ROWS * 16**digits:
         digits += 1
-    hashed = light.withColumn("hash", F.md5(F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary"))).withColumn(
-        "range", F.substring("hash", 1, digits)
-    )
+    hashed = light.withColumn("range", F.substring("hash", 1, digits))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         hashed.groupBy("source", "range")
@@ -94,6 +98,6 @@ def mixed_rows(docs: DataFrame, text: str = "text", source: str = "source", key:
     """The rows of docs that the mix takes words of, with `mix_size` and `mix_taken` in place of columns so called."""
     docs = docs.drop("mix_size", "mix_taken")
     row = fresh(docs, "_row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    numbered = checkpoint(docs.withColumn(row, F.monotonically_increasing_id()))  # a number is only good while rows keep it
     mixed = mix(numbered, text, source, key, row, **options).where("taken > 0")
     return numbered.join(mixed.select(F.col("_row").alias(row), F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken")), row).drop(row)

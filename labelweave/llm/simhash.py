@@ -280,7 +280,7 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", words:
     """
     named, members = _set_columns(words)
     row = fresh(docs, "_row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    numbered = checkpoint(docs.withColumn(row, F.monotonically_increasing_id()))  # a number is only good while rows keep it
     first = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(row).alias("row"))
     made = numbered.select(first.alias("first"), named(utf8(text)).alias("s"))
     nodes = checkpoint(made.groupBy("s.node").agg(F.min("first").alias("first"), F.min_by("s.keys", "first").alias("keys")))

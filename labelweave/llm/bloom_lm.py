@@ -10,7 +10,7 @@ filter once for each level up to that of its count, so that the quantised count
 repeated membership probes. Word counts are kept exactly, by 64-bit hash. The probability of a word
 is PAIR_WEIGHT times the quantised count of the pair over the count of the word before, and the rest
 times the word's own; as counts are rounded down, the successors of a word sum to 1 at most, but for
-the filter's false hits (under 1 in 1000 probed pairs).
+the filter's false hits (about 1 in 1000 probed pairs).
 
 A model of at most MOST_BYTES is broadcast whole. The pairs and words of a larger one are looked up
 where their shard is: chunks of texts send their different hashes to the shards and get levels and
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from labelweave.llm.common import buffers, checkpoint, fresh, mix64, spans, utf8
 
 #: Filter bits for each entry, probes for each entry, weight of the pair's probability.
-BITS, PROBES, PAIR_WEIGHT = 16, 6, 0.6
+BITS, PROBES, PAIR_WEIGHT = 20, 4, 0.6
 #: Words in a shard on average at most; bytes of a model that is broadcast.
 SHARD_WORDS, MOST_BYTES = 2_000_000, 192 << 20
 _START, _END = np.uint64(0x5354415254), np.uint64(0x454E44)
@@ -140,10 +140,15 @@ def level_of(counts: np.ndarray) -> np.ndarray:
 VALUES = np.array([0, 1, *(v for k in range(1, _LEVELS // 2) for v in (2.0**k, 1.5 * 2**k))])
 
 
-def _places(hashes: np.ndarray, level: int, probe: int, sizes: np.ndarray) -> np.ndarray:
+def _places(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the probes of a level begin, and the step from one to the next."""
+    mixed = mix64(hashes ^ np.uint64(level * 0x9E3779B97F4A7C15 & ((1 << 64) - 1)))
+    return mixed >> np.uint64(32), mixed | np.uint64(1)
+
+
+def _bit(begin: np.ndarray, step: np.ndarray, probe: int, sizes: np.ndarray) -> np.ndarray:
     """The bit of a probe, below the size of the shard's filter."""
-    mixed = mix64(hashes ^ np.uint64((level * 1_000_003 + probe) * 0x9E3779B97F4A7C15 & ((1 << 64) - 1)))
-    return ((mixed >> np.uint64(32)) * sizes) >> np.uint64(32)
+    return (((begin + np.uint64(probe) * step) & np.uint64(0xFFFFFFFF)) * sizes) >> np.uint64(32)
 
 
 def build_filter(hashes: np.ndarray, counts: np.ndarray, bits: int = BITS, probes: int = PROBES) -> np.ndarray:
@@ -152,9 +157,9 @@ def build_filter(hashes: np.ndarray, counts: np.ndarray, bits: int = BITS, probe
     size = (int(levels.sum()) * bits // 64 + 1) * 64
     field = np.zeros(size, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        some = hashes[levels >= level]
+        begin, step = _places(hashes[levels >= level], level)
         for probe in range(probes):
-            field[_places(some, level, probe, np.uint64(size)).astype(np.int64)] = True
+            field[_bit(begin, step, probe, np.uint64(size)).astype(np.int64)] = True
     return np.packbits(field, bitorder="little")
 
 
@@ -162,13 +167,16 @@ def probed(hashes: np.ndarray, filters: np.ndarray, starts: np.ndarray, sizes: n
     """Level of each hash, in the filter that starts at a byte and has so many bits: the last level at which all probes hit."""
     found = np.zeros(len(hashes), np.int8)
     at = np.flatnonzero(sizes)
+    hashes, starts, sizes = hashes[at], starts[at], sizes[at]
     for level in range(1, len(VALUES)):
+        begin, step = _places(hashes, level)
         for probe in range(probes):
-            if not len(at):
-                return found
-            bit = _places(hashes[at], level, probe, sizes[at])
-            hit = (filters[starts[at] + (bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
-            at = at[hit.astype(bool)]
+            bit = _bit(begin, step, probe, sizes)
+            hit = (filters[starts + (bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+            if not hit.all():
+                at, hashes, starts, sizes, begin, step = (x[hit] for x in (at, hashes, starts, sizes, begin, step))
+        if not len(at):
+            break
         found[at] = level
     return found
 
@@ -249,9 +257,12 @@ class Model:
         known = counted(hashes, self.words, self.counts)
         known[0] = 0
         levels = np.zeros(len(numbers), np.int8)
-        pairs = pair_hash(hashes[numbers[:-1]], hashes[numbers[1:]])
+        key = (numbers[:-1] << 32) | numbers[1:]
+        different = np.sort(key)  # pairs that recur in these texts are probed once
+        different = different[np.r_[True, different[1:] != different[:-1]]]
+        pairs = pair_hash(hashes[different >> 32], hashes[different & 0xFFFFFFFF])
         shard = shard_of(pairs, self.bits)
-        levels[1:] = probed(pairs, self.filters, self.starts[shard], self.sizes[shard], self.probes)
+        levels[1:] = probed(pairs, self.filters, self.starts[shard], self.sizes[shard], self.probes)[np.searchsorted(different, key)]
         levels[starts] = 0
         return known[numbers], levels, starts
 

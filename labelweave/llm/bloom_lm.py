@@ -10,7 +10,7 @@ filter once for each level up to that of its count, so that the quantised count
 repeated membership probes. Word counts are kept exactly, by 64-bit hash. The probability of a word
 is PAIR_WEIGHT times the quantised count of the pair over the count of the word before, and the rest
 times the word's own; as counts are rounded down, the successors of a word sum to 1 at most, but for
-the filter's false hits (about 1 in 1000 probed pairs).
+the filter's false hits (under 2 in 1000 probed pairs).
 
 A model of at most MOST_BYTES is broadcast whole. The pairs and words of a larger one are looked up
 where their shard is: chunks of texts send their different hashes to the shards and get levels and
@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from labelweave.llm.common import buffers, checkpoint, fresh, mix64, spans, utf8
 
 #: Filter bits for each entry, probes for each entry, weight of the pair's probability.
-BITS, PROBES, PAIR_WEIGHT = 20, 4, 0.6
+BITS, PROBES, PAIR_WEIGHT = 18, 4, 0.6
 #: Words in a shard on average at most; bytes of a model that is broadcast.
-SHARD_WORDS, MOST_BYTES = 2_000_000, 192 << 20
+SHARD_WORDS, MOST_BYTES = 2_000_000, 256 << 20
 _START, _END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _FLUSH, _CHUNK, _LEVELS = 4_000_000, 4 << 20, 90
 _SCORES = "n_tokens long, n_known long, base_score double, score double"
@@ -288,19 +288,26 @@ def totals(shards: DataFrame, shard_bits: int) -> Totals:
 
 
 def model(shards: DataFrame, shard_bits: int, known: Totals, probes: int = PROBES) -> Model:
-    """All shards in one object, on the driver."""
-    rows = sorted(shards.toLocalIterator(), key=lambda r: r["shard"])
+    """All shards in one object, on the driver, which holds it once."""
+    light = sorted(shards.select("kind", "shard", (F.octet_length("hashes") / 8).cast("long"), F.octet_length("body"), "width").collect())
+    n = sum(r[2] for r in light)
+    words, counts = np.zeros(n, np.uint64), np.zeros(n, np.uint64 if any(r[0] == 1 and r[4] == 8 for r in light) else np.uint32)
     starts, sizes = np.zeros(1 << shard_bits, np.int64), np.zeros(1 << shard_bits, np.uint64)
-    words, counts, filters, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros(1, np.uint8)], 1
-    for r in rows:
+    filters, first, at, place = np.zeros(1 + sum(r[3] for r in light if r[0] == 2), np.uint8), {}, 0, 1
+    for kind, shard, hashes, body, _ in light:
+        if kind == 1:
+            first[shard] = at
+            at += hashes
+        else:
+            starts[shard], sizes[shard] = place, body * 8
+            place += body
+    for r in shards.toLocalIterator():
         if r["kind"] == 1:
-            words.append(np.frombuffer(r["hashes"], np.uint64))
-            counts.append(np.frombuffer(r["body"], f"u{r['width']}"))
+            own = slice(first[r["shard"]], first[r["shard"]] + len(r["hashes"]) // 8)
+            words[own], counts[own] = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["body"], f"u{r['width']}")
         else:
-            filters.append(np.frombuffer(r["body"], np.uint8))
-            starts[r["shard"]], sizes[r["shard"]] = at, len(filters[-1]) * 8
-            at += len(filters[-1])
-    return Model(shard_bits, probes, known, np.concatenate(words), np.concatenate(counts), starts, sizes, np.concatenate(filters))
+            filters[starts[r["shard"]] : starts[r["shard"]] + len(r["body"])] = np.frombuffer(r["body"], np.uint8)
+    return Model(shard_bits, probes, known, words, counts, starts, sizes, filters)
 
 
 def _struct(rows: list[list[np.ndarray]]) -> pa.StructArray:

@@ -44,6 +44,7 @@ def ranked(cells: DataFrame, key: str = "label", ranges: int = RANGES) -> DataFr
     return rows.join(starts, [key, "_range"]).select(
         *cells.columns,
         *(["cost"] if "cost" not in cells.columns else []),
+        "_range",
         (F.col("_n0") + F.row_number().over(run)).alias("rn"),
         (F.col("_p0") + F.sum("y").over(run)).alias("tp"),
         (F.col("_c0") + F.sum("cost").over(run)).alias("w_all"),
@@ -56,6 +57,18 @@ def ranked(cells: DataFrame, key: str = "label", ranges: int = RANGES) -> DataFr
     )
 
 
+def carried(rows: DataFrame, key: str, names: list[str], until: int = 0) -> DataFrame:
+    """Ranked rows whose null values in `names` become the last ones before (until -1: strictly before) in rank order.
+
+    Within a range of scores this is a window; each range begins with the last value of those above it.
+    """
+    held = rows.groupBy(key, "_range").agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("rn"))).alias(n) for n in names])
+    above = Window.partitionBy(key).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.select(key, "_range", *[F.last(n, True).over(above).alias(f"{n}0") for n in names])
+    run = Window.partitionBy(key, "_range").orderBy("rn").rowsBetween(Window.unboundedPreceding, until)
+    return rows.join(starts, [key, "_range"]).withColumns({n: F.coalesce(F.last(n, True).over(run), f"{n}0") for n in names})
+
+
 def _flat(cells: DataFrame) -> DataFrame:
     """All labels as one."""
     return cells.withColumn("_all", F.lit("all"))
@@ -112,22 +125,16 @@ def ag_threshold(cells: DataFrame, log_beta: float = 0.0) -> DataFrame:
             "_i": F.when((F.col("y") == 0) & (F.col("rn") < F.col("n")), F.when(tn > 0, (1 + c * c) * ipr * ire / (c * c * ipr + ire)).otherwise(0.0)),
         }
     )
-    order = Window.partitionBy("label").orderBy("rn")
-    carried = measured.withColumns(
-        {
-            "_f": F.coalesce(F.last("_f", True).over(order.rowsBetween(*RUNNING)), F.lit(0.0)),
-            "_i": F.coalesce(F.last("_i", True).over(order.rowsBetween(*RUNNING)), F.lit(0.0)),
-            "_late": F.min(F.when(F.col("y") == 1, F.col("rn"))).over(Window.partitionBy("label")) - 1 > F.col("total"),
-        }
-    )
+    zero = F.lit(0.0)
+    each = carried(measured, "label", ["_f", "_i"]).withColumns({n: F.coalesce(n, zero) for n in ("_f", "_i")})
     ag = F.sqrt(F.col("_f") * F.col("_i"))
     best = (
-        carried.withColumn("_ag", ag)
+        each.withColumn("_ag", ag)
         .groupBy("label")
         .agg(
             F.max("_ag").alias("score"),
             F.max(F.struct("_ag", -F.col("rn"), F.col("p").alias("p"), pr.alias("pr"))).alias("at"),
-            F.max("_late").alias("late"),
+            (F.min(F.when(F.col("y") == 1, F.col("rn"))) - 1 > F.max("total")).alias("late"),
         )
     )
     joined = best.join(_area(rows, "label"), "label")
@@ -143,16 +150,19 @@ def ag_threshold(cells: DataFrame, log_beta: float = 0.0) -> DataFrame:
 
 def cost_aupr(cells: DataFrame) -> DataFrame:
     """Area over all cells where a positive weighs as much as its label's negatives for each positive."""
-    totals = cells.groupBy("label").agg(F.sum("y").alias("_pos"), F.count("*").alias("_n"))
+    return _cost_areas(_flat(cells), "_all").agg(F.coalesce(F.max("cost_aupr"), F.lit(0.0)).alias("cost_aupr"))
+
+
+def _cost_areas(cells: DataFrame, key: str) -> DataFrame:
+    """(key, cost_aupr), the costs by label within each key."""
+    by = list(dict.fromkeys((key, "label")))
+    totals = cells.groupBy(*by).agg(F.sum("y").alias("_pos"), F.count("*").alias("_n"))
     cost = F.when(F.col("y") == 1, (F.col("_n") - F.col("_pos")) / F.col("_pos")).otherwise(1.0)
-    weighed = cells.join(F.broadcast(totals), "label").withColumn("cost", cost).drop("_pos", "_n")
-    hits = ranked(_flat(weighed), "_all").where("y = 1")
-    pr = F.col("w_pos") / F.col("w_all")
+    hits = ranked(cells.join(totals, by).withColumn("cost", cost).drop("_pos", "_n"), key).where("y = 1")
     # Half the gain of a hit times its own and the former hit's precision.
-    order = Window.partitionBy("_all").orderBy("rn")
-    parts = hits.withColumn("_pr", pr).withColumn("_before", F.lag("_pr").over(order))
-    area = F.sum((F.col("_pr") + F.col("_before")) * F.col("cost") / F.col("gain")) / 2
-    return parts.agg(F.coalesce(area, F.lit(0.0)).alias("cost_aupr"))
+    pr = F.col("w_pos") / F.col("w_all")
+    parts = carried(hits.withColumns({"_pr": pr, "_before": pr}), key, ["_before"], -1)
+    return parts.groupBy(key).agg((F.sum((F.col("_pr") + F.col("_before")) * F.col("cost") / F.col("gain")) / 2).alias("cost_aupr"))
 
 
 def binarise(cells: DataFrame, cut: int) -> DataFrame:
@@ -207,15 +217,22 @@ def cross_entropy(cells: DataFrame) -> DataFrame:
     return cells.agg((-F.sum(F.col("y") * F.ln(q) + (1 - F.col("y")) * F.ln(1 - q))).alias("cross_entropy"))
 
 
-def cost_loss(cells: DataFrame) -> DataFrame:
-    """Misses cost the label's negatives for each positive, false hits 1, at 0.5."""
-    counts = cells.groupBy("label").agg(
+def _losses() -> list:
+    return [
         F.sum("y").alias("pos"),
         F.count("*").alias("n"),
         F.sum(((F.col("y") == 1) & ((F.col("p") < 0.5) | F.isnan("p"))).cast("double")).alias("missed"),
         F.sum(((F.col("y") == 0) & (F.col("p") > 0.5)).cast("double")).alias("wrong"),
-    )
-    return counts.agg(F.sum(F.when(F.col("pos") > 0, F.col("missed") * (F.col("n") - F.col("pos")) / F.col("pos")).otherwise(0.0) + F.col("wrong")).alias("cost_loss"))
+    ]
+
+
+def _loss():
+    return F.when(F.col("pos") > 0, F.col("missed") * (F.col("n") - F.col("pos")) / F.col("pos")).otherwise(0.0) + F.col("wrong")
+
+
+def cost_loss(cells: DataFrame) -> DataFrame:
+    """Misses cost the label's negatives for each positive, false hits 1, at 0.5."""
+    return cells.groupBy("label").agg(*_losses()).agg(F.sum(_loss()).alias("cost_loss"))
 
 
 def mean_squared_error(cells: DataFrame) -> DataFrame:
@@ -231,11 +248,44 @@ def report(cells: DataFrame, cut: int) -> DataFrame:
     return joined.withColumn("objective", F.sqrt(F.col("micro_aupr") * F.col("ag_micro_f1")))
 
 
-def objective(cells: DataFrame, cut: int) -> DataFrame:
-    """(cand, objective) for candidate settings side by side: cells (cand, gene, label, y, p)."""
+def f1_with_threshold(cells: DataFrame) -> DataFrame:
+    """(label, tp, fp, fn, tn, f1) at scores of at least the label's threshold t."""
+    return confusion(cells.withColumn("_on", (F.col("p") >= F.col("t")).cast("double")), 0.5, "_on")
+
+
+def accuracy_with_threshold(cells: DataFrame) -> DataFrame:
+    """accuracy() of the scores that reach their label's threshold t; the others count as 0."""
+    return accuracy(cells.withColumn("p", F.when(F.col("p") >= F.col("t"), F.col("p")).otherwise(0.0)))
+
+
+def unseeded_aupr(cells: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(label, aupr) without the cells that seeds (gene, label) has."""
+    return aupr(cells.join(seeds.select("gene", "label"), ["gene", "label"], "left_anti"))
+
+
+#: What objective() can maximise, by number.
+OBJECTIVES = {1: "area and counts", 2: "micro area", 3: "AG micro F1", 4: "cost area", 5: "minus cross entropy", 6: "minus cost loss"}
+
+
+def objective(cells: DataFrame, cut: int, index: int = 1) -> DataFrame:
+    """(cand, objective) for candidate settings side by side: cells (cand, gene, label, y, p); index as in OBJECTIVES."""
+    if index not in OBJECTIVES:
+        raise ValueError(f"objective {index}: one of {OBJECTIVES}")
+    if index == 4:
+        return _cost_areas(cells, "cand").select("cand", F.coalesce("cost_aupr", F.lit(0.0)).alias("objective"))
+    if index == 5:
+        q = F.when(F.isnan("p"), 1e-8).otherwise(F.greatest(F.least("p", F.lit(0.99999999)), F.lit(1e-8)))
+        return cells.groupBy("cand").agg(F.sum(F.col("y") * F.ln(q) + (1 - F.col("y")) * F.ln(1 - q)).alias("objective"))
+    if index == 6:
+        counts = cells.groupBy("cand", "label").agg(*_losses())
+        return counts.groupBy("cand").agg((-F.sum(_loss())).alias("objective"))
     area = _area(ranked(cells, "cand"), "cand").select("cand", "aupr")
+    if index == 2:
+        return area.select("cand", F.col("aupr").alias("objective"))
     top = binarise(cells.withColumn("gene", F.concat_ws("/", "cand", "gene")), cut)
     counts = confusion(top, 0.99, "b", "cand")
     f = lambda t, a, b: F.when(2 * F.col(t) + F.col(a) + F.col(b) > 0, 2.0 * F.col(t) / (2 * F.col(t) + F.col(a) + F.col(b))).otherwise(0.0)
     ag = F.sqrt(f("tp", "fp", "fn") * f("tn", "fn", "fp"))
+    if index == 3:
+        return counts.select("cand", ag.alias("objective"))
     return counts.join(area, "cand").select("cand", F.sqrt(F.col("aupr") * ag).alias("objective"))

@@ -9,15 +9,29 @@ from labelweave.functions.scalar import sigmoid
 from labelweave.operators.windows import best_first, by_label
 
 
-def quantile_norm(cells: DataFrame) -> DataFrame:
-    """Each score becomes the scaled sum, over labels, of the scores of its rank; labels without any score stay 0."""
-    total = F.sum("p").over(by_label())
-    ranked = cells.withColumn("_sum", total).withColumn("_rank", F.row_number().over(best_first("label")))
+def quantile_norm(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Each score becomes the scaled sum, over labels, of the scores of its rank; labels without any score stay 0.
+
+    Columns `by` keep sets of cells apart.
+    """
+    ranked = cells.withColumn("_sum", F.sum("p").over(Window.partitionBy(*by, "label"))).withColumn("_rank", F.row_number().over(best_first(*by, "label")))
     used = F.abs("_sum") > 1e-9
-    profile = ranked.where(used).groupBy("_rank").agg(F.sum("p").alias("_v"))
-    ends = profile.agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-    scaled = profile.join(F.broadcast(ends)).select("_rank", ((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low"))).alias("q"))
-    return ranked.join(scaled, "_rank", "left").select("gene", "label", F.when(used, F.col("q")).otherwise(0.0).alias("p"))
+    profile = ranked.where(used).groupBy(*by, "_rank").agg(F.sum("p").alias("_v"))
+    ends = profile.groupBy(*by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    joined = profile.join(ends, list(by)) if by else profile.join(F.broadcast(ends))
+    scaled = joined.select(*by, "_rank", ((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low"))).alias("q"))
+    return ranked.join(scaled, [*by, "_rank"], "left").select(*by, "gene", "label", F.when(used, F.col("q")).otherwise(0.0).alias("p"))
+
+
+def over_threshold(cells: DataFrame) -> DataFrame:
+    """Scores (gene, label, p, t) over the label's threshold."""
+    return cells.select("gene", "label", (F.col("p") / F.col("t")).alias("p"))
+
+
+def column_max_scale(cells: DataFrame) -> DataFrame:
+    """Each label's scores over the largest of them."""
+    most = F.max("p").over(by_label())
+    return cells.select("gene", "label", F.when(most > 0, F.col("p") / most).otherwise(F.col("p")).alias("p"))
 
 
 def soft_threshold(cells: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +22,6 @@ def platt_fit(cells: DataFrame, rounds: int = 50, tolerance: float = 1e-8) -> Da
     spark = cells.sparkSession
     cells = checkpoint(cells.select("label", "y", "p"))
     counts = {r["label"]: (r["pos"], r["neg"]) for r in cells.groupBy("label").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).collect()}
-    import math
-
     now = {x: (0.0, math.log((neg + 1) / (pos + 1))) for x, (pos, neg) in counts.items()}
     last: dict[str, tuple] = {}
     open_ = set(counts)
@@ -33,7 +33,7 @@ def platt_fit(cells: DataFrame, rounds: int = 50, tolerance: float = 1e-8) -> Da
         t = F.when(F.col("y") == 1, F.col("hi")).otherwise(F.col("lo"))
         q = 1 / (1 + F.exp(f))
         loss = F.when(f >= 0, t * f + F.log1p(F.exp(-f))).otherwise((t - 1) * f + F.log1p(F.exp(f)))
-        rows = cells.join(F.broadcast(table), "label").select("label", "p", q.alias("q"), (t - q).alias("d"), loss.alias("loss"))
+        rows = cells.join(table, "label").select("label", "p", q.alias("q"), (t - q).alias("d"), loss.alias("loss"))
         h = F.col("q") * (1 - F.col("q"))
         sums = rows.groupBy("label").agg(
             F.sum("loss").alias("loss"), F.sum(F.col("p") * F.col("d")).alias("ga"), F.sum("d").alias("gb"),
@@ -60,7 +60,7 @@ def platt_fit(cells: DataFrame, rounds: int = 50, tolerance: float = 1e-8) -> Da
 def platt(cells: DataFrame) -> DataFrame:
     """Cells' scores through sigmoids fitted on them, scaled to 0..1 for each label."""
     fitted = platt_fit(cells).select("label", (F.col("a")).alias("a"), "b")
-    scaled = scaling.platt_scale(cells.join(F.broadcast(fitted), "label"))
+    scaled = scaling.platt_scale(cells.join(fitted, "label"))
     return cells.select("gene", "label", "y").join(scaled, ["gene", "label"])
 
 
@@ -94,8 +94,8 @@ def knn_recalibrate(cells: DataFrame, neighbours: DataFrame, relation: DataFrame
     size = best.agg((F.count("*") - 1).alias("m"))
     said = (
         cells.select("gene", F.col("label").alias("k"), F.col("p").alias("p_k"))
-        .join(F.broadcast(best.select("k")), "k", "left_semi")
-        .join(F.broadcast(relation), "k")
+        .join(best.select("k"), "k", "left_semi")
+        .join(relation, "k")
         .groupBy("gene", F.col("j").alias("label"))
         .agg(F.sum(F.col("p_k") * F.col("positive") + (1 - F.col("p_k")) * F.col("negative")).alias("said"))
     )
@@ -113,39 +113,85 @@ def best_parameters(measures: DataFrame) -> DataFrame:
     return means.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
-#: Rates that the search of betas starts from, and its moves of one label's log10 of beta.
-RATES, MOVES = tuple(round(0.2 * k, 1) for k in range(1, 21)), (-0.2, -0.1, 0.1, 0.2)
+#: Rates that the search of betas starts from, and its moves of one label's log10 of beta; rounds of moves at most.
+RATES, MOVES, ROUNDS = tuple(round(0.2 * k, 1) for k in range(1, 21)), (-0.2, -0.1, 0.1, 0.2), 51
 
 
-def beta_search(cells: DataFrame, cut: int = 3, rounds: int = 2, rates=RATES, moves=MOVES) -> DataFrame:
+def beta_search(cells: DataFrame, cut: int = 3, rounds: int = ROUNDS, rates=RATES, moves=MOVES, index: int = 1, halvings: int = 4) -> DataFrame:
     """(label, log_beta, threshold) whose rescaled scores have the best objective over all labels.
 
-    First one rate for all labels, log10 beta = (precision at the optimum - 0.5) * rate; then rounds of
-    moves of one label at a time. All candidates of a step are evaluated in one job, side by side;
-    there are labels x moves of them.
+    First one rate for all labels, log10 beta = (precision at the optimum - 0.5) * rate: the best of a
+    grid, then halfway to its neighbours, a few times. Then rounds of moves: each label's best move is found
+    with the others left alone, and the better of all these moves together and the best single one is
+    taken, until neither improves the objective. All candidates of a step are evaluated in one job, side
+    by side; there are labels x moves of them, each as large as cells.
     """
     spark = cells.sparkSession
     cells = checkpoint(cells.select("gene", "label", "y", "p"))
     precision = {r["label"]: r["precision"] for r in metrics.ag_threshold(cells).collect()}
 
-    def scaled(candidates: list[dict[str, float]]) -> tuple[DataFrame, DataFrame]:
+    def scores(candidates: list[dict[str, float]]) -> list[float]:
         table = spark.createDataFrame([(k, x, float(v)) for k, c in enumerate(candidates) for x, v in c.items()], "cand long, plain string, log_beta double")
-        each = cells.withColumnRenamed("label", "plain").join(F.broadcast(table), "plain").withColumn("label", F.concat_ws("/", "cand", "plain"))
+        each = cells.withColumnRenamed("label", "plain").join(table, "plain").withColumn("label", F.concat_ws("/", "cand", "plain"))
         found = metrics.ag_threshold(each).select("label", F.col("threshold").alias("t"))
-        soft = scaling.soft_threshold(each.join(F.broadcast(found), "label").select("gene", "label", "p", "t"))
-        return each.select("cand", "gene", "label", "plain", "y").join(soft, ["gene", "label"]).drop("label").withColumnRenamed("plain", "label"), found
-
-    def best(candidates: list[dict[str, float]]) -> tuple[float, dict[str, float]]:
-        rows = metrics.objective(scaled(candidates)[0], cut).collect()
-        top = max(rows, key=lambda r: (r["objective"], -r["cand"]))
-        return top["objective"], candidates[top["cand"]]
-
-    score, now = best([{x: (p - 0.5) * rate for x, p in precision.items()} for rate in rates])
+        soft = scaling.soft_threshold(each.join(found, "label").select("gene", "label", "p", "t"))
+        both = each.select("cand", "gene", "label", "plain", "y").join(soft, ["gene", "label"]).drop("label").withColumnRenamed("plain", "label")
+        got = {r["cand"]: r["objective"] for r in metrics.objective(both, cut, index).collect()}
+        return [got.get(k) if got.get(k) is not None else float("-inf") for k in range(len(candidates))]
+
+    of_rate = lambda rate: {x: (p - 0.5) * rate for x, p in precision.items()}
+    tried = dict(zip(rates, scores([of_rate(r) for r in rates]), strict=True))
+    rate, step = max(tried, key=lambda r: (tried[r], -r)), abs(rates[1] - rates[0]) / 2 if len(rates) > 1 else 0
+    for _ in range(halvings if step else 0):
+        near = [r for r in (rate - step, rate + step) if r not in tried]
+        tried |= dict(zip(near, scores([of_rate(r) for r in near]), strict=True)) if near else {}
+        rate, step = max(tried, key=lambda r: (tried[r], -r)), step / 2
+    now, best = of_rate(rate), tried[rate]
     for _ in range(rounds):
-        value, moved = best([now | {x: now[x] + m} for x in now for m in moves])
-        if value <= score:
+        singles = [(x, now[x] + m) for x in sorted(now) for m in moves]
+        got = scores([now | {x: v} for x, v in singles])
+        gains: dict[str, tuple[float, float]] = {}
+        for (x, v), value in zip(singles, got, strict=True):
+            if value > best + 1e-12 and value > gains.get(x, (best, 0.0))[0]:
+                gains[x] = (value, v)
+        if not gains:
             break
-        score, now = value, moved
+        single = max(gains, key=lambda x: (gains[x][0], x))
+        together = now | {x: v for x, (_, v) in gains.items()}
+        value = scores([together])[0] if len(gains) > 1 else float("-inf")
+        now, best = (together, value) if value >= gains[single][0] else (now | {single: gains[single][1]}, gains[single][0])
     table = spark.createDataFrame([(x, v) for x, v in sorted(now.items())], "label string, log_beta double")
-    found = metrics.ag_threshold(cells.join(F.broadcast(table), "label")).select("label", "threshold")
+    found = metrics.ag_threshold(cells.join(table, "label")).select("label", "threshold")
     return table.join(found, "label")
+
+
+def mean_thresholds(thresholds: DataFrame) -> DataFrame:
+    """(label, t): the mean of each label's thresholds t over folds."""
+    return thresholds.groupBy("label").agg(F.avg("t").alias("t"))
+
+
+def labels_by_ratio(cells: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(label, ratio, place): labels by predicted over actual positives, the least first; labels without positives last."""
+    hits = F.sum((F.col("p") > threshold).cast("double"))
+    counts = cells.groupBy("label").agg((hits / F.nullif(F.sum("y"), F.lit(0.0))).alias("ratio"))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.col("ratio").asc_nulls_last(), "label")).cast("long"))
+
+
+def best_trim(cells: DataFrame, shares=(0.0, 0.04, 0.08, 0.12, 0.16, 0.2)) -> DataFrame:
+    """(label, share, mse): the share of top scores to leave out of the sigmoid's fit that gives each label the least error over all its scores."""
+    parts = None
+    for share in shares:
+        fitted = platt_fit(trim(cells, share))
+        scaled = scaling.platt_scale(cells.join(fitted, "label"))
+        one = metrics.mean_squared_error(cells.select("gene", "label", "y").join(scaled, ["gene", "label"])).withColumn("share", F.lit(share))
+        parts = one if parts is None else parts.unionByName(one)
+    order = Window.partitionBy("label").orderBy("mse", "share")
+    return parts.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("label", "share", "mse")
+
+
+def pseudo_labels(cells: DataFrame, positives: DataFrame) -> DataFrame:
+    """cells with y = 1 for each label's n best scores (positives: label, n) and those tied with the last of them."""
+    order = Window.partitionBy("label").orderBy(F.desc("p"), "gene")
+    rows = cells.join(positives.select("label", F.col("n").alias("_n")), "label").withColumn("_r", F.row_number().over(order))
+    edge = F.max(F.when(F.col("_r") == F.col("_n"), F.col("p"))).over(by_label())
+    return rows.withColumn("y", F.coalesce(F.col("p") >= edge, F.lit(False)).cast("double")).select(*cells.columns)

@@ -3,9 +3,8 @@
 Training rows are (gene, fold, x, y): arrays of features and of 0/1 labels. Every fit needs only sums
 over rows. One job gives, for each fold, the moments of [1, x, y]; ridge regression for all codes
 and penalties, its cross-validated errors and the canonical correlations follow from them. The
-logistic models of all labels, penalties and folds are fitted at once by Newton's method: each
-round, tasks send one gradient and curvature for each model. Features and labels are few (they are
-networks times labels), so these sums are small however many rows there are.
+logistic models of labels, penalties and folds are fitted in blocks by Newton's method: each
+round, tasks send one gradient and curvature for each model of a block, whose size is bounded.
 """
 
 from __future__ import annotations
@@ -100,49 +99,65 @@ def ridge_codes(sums: dict[int, np.ndarray], features: int, penalties=PENALTIES)
     return Codes(b, weights, sigma, np.array([penalties[k] for k in best]))
 
 
-def logistic(rows: DataFrame, labels: int, features: int, penalties=PENALTIES, folds: int = 2, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+#: Bytes of curvatures that a task and the driver hold at once.
+CURVATURES = 256 << 20
+
+
+def logistic(rows: DataFrame, labels: int, features: int, penalties=PENALTIES, folds: int = 2, rounds: int = 30, most_bytes: int = CURVATURES) -> tuple[np.ndarray, np.ndarray]:
     """Weights of [1, x] (bias last in no special place, penalised too) and the chosen penalty for each label.
 
-    The penalty with the least mean 1 - F1 over held-out folds is refitted on all rows.
+    The penalty with the least mean 1 - F1 over held-out folds is refitted on all rows. Models (label,
+    penalty, fold left out) are fitted in blocks whose curvatures take most_bytes at most; a model leaves
+    its block once it has settled.
     """
-    d, context = features + 1, rows.sparkSession.sparkContext
-    inverse = 1.0 / np.array(penalties)
-    w = np.zeros((labels, len(penalties), folds + 1, d))  # the last fit leaves no fold out
-
-    def newton(shared):
-        def step(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            now = shared.value
-            grad, curve = np.zeros(now.shape), np.zeros((*now.shape, d))
-            for part in parts:
-                m, y = np.c_[np.ones(len(part)), np.stack(part["x"])], np.stack(part["y"])
-                fold = part["fold"].to_numpy()
-                for f in range(folds + 1):
-                    keep = fold != f
-                    p = 1 / (1 + np.exp(-np.clip(np.einsum("nd,lkd->lkn", m[keep], now[:, :, f]), -40, 40)))
-                    grad[:, :, f] += np.einsum("lkn,nd->lkd", p - y[keep].T[:, None, :], m[keep])
-                    curve[:, :, f] += np.einsum("lkn,nd,ne->lkde", p * (1 - p), m[keep], m[keep], optimize=True)
-            yield pd.DataFrame({"grad": [grad.tobytes()], "curve": [curve.tobytes()]})
-
-        return step
-
-    for _ in range(rounds):
-        shared = context.broadcast(w)
-        grad, curve = np.zeros(w.shape), np.zeros((*w.shape, d))
-        for r in rows.select("fold", "x", "y").mapInPandas(newton(shared), "grad binary, curve binary").toLocalIterator():
-            grad += np.frombuffer(r["grad"]).reshape(w.shape)
-            curve += np.frombuffer(r["curve"]).reshape(curve.shape)
-        shared.destroy()
-        c = inverse[None, :, None, None]
-        move = np.linalg.solve(c[..., None] * curve + np.eye(d), (c * grad + w)[..., None])[..., 0]
-        length = np.linalg.norm(move, axis=-1, keepdims=True)
-        w = w - move * np.minimum(1, 20 / np.maximum(length, 1e-12))
-        if length.max() < 1e-6:
-            break
+    d = features + 1
+    shape = (labels, len(penalties), folds + 1)  # the last fit leaves no fold out
+    w = np.zeros((int(np.prod(shape)), d))
+    size = max(1, most_bytes // (8 * d * d))
+    for low in range(0, len(w), size):
+        open_ = np.arange(low, min(low + size, len(w)))
+        for _ in range(rounds):
+            label, penalty, fold = np.unravel_index(open_, shape)
+            move = _newton_moves(rows, w[open_], label, fold, 1.0 / np.array(penalties)[penalty])
+            length = np.linalg.norm(move, axis=-1, keepdims=True)
+            w[open_] -= move * np.minimum(1, 20 / np.maximum(length, 1e-12))
+            open_ = open_[length[:, 0] >= 1e-6]
+            if not len(open_):
+                break
+    w = w.reshape(*shape, d)
     score = _held_out_f1(rows, w, folds)
     best = [middle_best(1 - score[j]) for j in range(labels)]
     return np.stack([w[j, k, folds] for j, k in enumerate(best)]), np.array([penalties[k] for k in best])
 
 
+def _newton_moves(rows: DataFrame, now: np.ndarray, label: np.ndarray, fold: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """Newton's step of each model (weights now, its label, the fold that it leaves out, one over its penalty): one job."""
+    d = now.shape[1]
+    shared = rows.sparkSession.sparkContext.broadcast(now)
+
+    def step(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w = shared.value
+        grad, curve = np.zeros(w.shape), np.zeros((*w.shape, d))
+        for part in parts:
+            m, y, held = np.c_[np.ones(len(part)), np.stack(part["x"])], np.stack(part["y"]), part["fold"].to_numpy()
+            p = 1 / (1 + np.exp(-np.clip(m @ w.T, -40, 40)))
+            kept = held[:, None] != fold
+            grad += ((p - y[:, label]) * kept).T @ m
+            weight = p * (1 - p) * kept
+            for k in range(len(w)):
+                curve[k] += (m * weight[:, [k]]).T @ m
+        yield pd.DataFrame({"grad": [grad.tobytes()], "curve": [curve.tobytes()]})
+
+    grad, curve = np.zeros(now.shape), np.zeros((*now.shape, d))
+    for r in rows.select("fold", "x", "y").mapInPandas(step, "grad binary, curve binary").toLocalIterator():
+        grad += np.frombuffer(r["grad"]).reshape(now.shape)
+        curve += np.frombuffer(r["curve"]).reshape(curve.shape)
+    shared.destroy()
+    curve *= inverse[:, None, None]
+    curve += np.eye(d)
+    return np.linalg.solve(curve, (inverse[:, None] * grad + now)[..., None])[..., 0]
+
+
 def _held_out_f1(rows: DataFrame, w: np.ndarray, folds: int) -> np.ndarray:
     """Mean F1 over folds of each label's and penalty's model without that fold."""
     shared = rows.sparkSession.sparkContext.broadcast(w)

@@ -66,10 +66,15 @@ def platt(cells: DataFrame) -> DataFrame:
 
 def trim(cells: DataFrame, share: float) -> DataFrame:
     """Without the scores above that at rank share * n of each label; the best one left counts as positive if none is."""
+    return trim_each(cells.withColumn("share", F.lit(share))).drop("share")
+
+
+def trim_each(cells: DataFrame) -> DataFrame:
+    """trim() with the label's own share as a column."""
     n = F.count("*").over(by_label())
     order = Window.partitionBy("label").orderBy(F.desc("p"), "gene")
     rows = cells.withColumns({"_r": F.row_number().over(order) - 1, "_n": n})
-    edge = F.max(F.when(F.col("_r") == F.floor(F.col("_n") * share), F.col("p"))).over(by_label())
+    edge = F.max(F.when(F.col("_r") == F.floor(F.col("_n") * F.col("share")), F.col("p"))).over(by_label())
     kept = rows.withColumn("_edge", edge).where((F.col("_edge") <= 0) | (F.col("p") <= F.col("_edge")))
     lone = (F.max("y").over(by_label()) == 0) & (F.row_number().over(order) == 1)
     return kept.withColumn("y", F.when(lone, 1.0).otherwise(F.col("y"))).drop("_r", "_n", "_edge")

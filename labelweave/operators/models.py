@@ -25,12 +25,19 @@ def design(features: DataFrame, labels: DataFrame, folds: DataFrame) -> tuple[Da
     """Training rows from long tables (gene, feature, x), (gene, label, y) and (gene, fold), and the labels in order."""
     names = [r[0] for r in labels.where("y = 1").select("label").distinct().orderBy("label").collect()]
     columns = [r[0] for r in features.select("feature").distinct().orderBy("feature").collect()]
-    value = lambda key, cell, wanted: F.array(*[F.coalesce(F.max(F.when(F.col(key) == F.lit(n), F.col(cell))), F.lit(0.0)) for n in wanted])
-    x = features.groupBy("gene").agg(value("feature", "x", columns).alias("x"))
-    y = labels.groupBy("gene").agg(value("label", "y", names).alias("y"))
+    x, y = wide(features, "feature", "x", columns), wide(labels, "label", "y", names)
     return x.join(y, "gene").join(folds, "gene").select("gene", "fold", "x", "y"), names
 
 
+def wide(cells: DataFrame, key: str, value: str, wanted: list[str]) -> DataFrame:
+    """(gene, value) with the cells (gene, key, value) as an array in the order of `wanted`, 0 where there is none."""
+    place = F.array_position(F.array(*[F.lit(n) for n in wanted]), F.col(key))
+    found = cells.select("gene", place.alias("_k"), F.col(value).cast("double").alias("_v")).where("_k > 0")
+    at = found.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("_m"))
+    filled = F.transform(F.sequence(F.lit(1).cast("long"), F.lit(len(wanted)).cast("long")), lambda k: F.coalesce(F.col("_m")[k], F.lit(0.0)))
+    return cells.select("gene").distinct().join(at, "gene", "left").select("gene", filled.alias(value))
+
+
 def moments(rows: DataFrame) -> dict[int, np.ndarray]:
     """For each fold the sum over its rows of the outer product of [1, x, y]."""
 
@@ -227,6 +234,29 @@ def cells_of(rows: DataFrame, labels: list[str], column: Column) -> DataFrame:
     )
 
 
+def grid_cells(rows: DataFrame, labels: list[str], own: np.ndarray, codes: Codes, grid: list[tuple[int, int, float]]) -> DataFrame:
+    """(c, gene, label, y, p) of rows (gene, x, y) for every (c, k, lam) of the grid, decoded in one pass over the rows."""
+    shared = rows.sparkSession.sparkContext.broadcast((own, codes))
+    most = min(len(labels), codes.projection.shape[1])
+
+    @F.pandas_udf("array<array<double>>")
+    def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        weights, c = shared.value
+        for part in parts:
+            if not len(part):
+                yield pd.Series([], dtype=object)
+                continue
+            m = np.c_[np.ones(len(part)), np.stack(part)]
+            p, z = 1 / (1 + np.exp(-np.clip(m @ weights.T, -700, 700))), m @ c.weights
+            found = [mean_field(p, z[:, :k], c.projection[:, :k], c.sigma[:k], lam) for k, lam in ((min(k, most), lam) for _, k, lam in grid)]
+            yield pd.Series([list(x) for x in np.stack(found, axis=1)])
+
+    numbers, named = F.array(*[F.lit(c).cast("long") for c, _, _ in grid]), F.array(*[F.lit(n) for n in labels])
+    each = rows.select("gene", "y", decode("x").alias("_p")).select("gene", "y", F.explode(F.arrays_zip(numbers.alias("c"), F.col("_p").alias("q"))).alias("g"))
+    zipped = F.arrays_zip(named.alias("label"), F.col("y").alias("y"), F.col("g.q").alias("p"))
+    return each.select("gene", F.col("g.c").alias("c"), F.explode(zipped).alias("e")).select("c", "gene", "e.label", "e.y", "e.p")
+
+
 def encode_decode(rows: DataFrame, labels: list[str], k: int | None = None, lam: float = 0.1, folds: int = 2, penalties=PENALTIES) -> DataFrame:
     """Fits all models on rows and decodes the same rows: (gene, fold, label, y, p)."""
     features = len(rows.select("x").first()["x"])

@@ -19,13 +19,14 @@ def quantile_norm(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     profile = ranked.where(used).groupBy(*by, "_rank").agg(F.sum("p").alias("_v"))
     ends = profile.groupBy(*by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     joined = profile.join(ends, list(by)) if by else profile.join(F.broadcast(ends))
-    scaled = joined.select(*by, "_rank", ((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low"))).alias("q"))
+    share = F.coalesce((F.col("_v") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)), F.lit(0.0))  # one value for all ranks: 0
+    scaled = joined.select(*by, "_rank", share.alias("q"))
     return ranked.join(scaled, [*by, "_rank"], "left").select(*by, "gene", "label", F.when(used, F.col("q")).otherwise(0.0).alias("p"))
 
 
 def over_threshold(cells: DataFrame) -> DataFrame:
     """Scores (gene, label, p, t) over the label's threshold."""
-    return cells.select("gene", "label", (F.col("p") / F.col("t")).alias("p"))
+    return cells.select("gene", "label", (F.col("p") / F.nullif(F.col("t"), F.lit(0.0))).alias("p"))
 
 
 def column_max_scale(cells: DataFrame) -> DataFrame:
@@ -51,11 +52,11 @@ def soft_threshold(cells: DataFrame) -> DataFrame:
 
 
 def zscore(cells: DataFrame) -> DataFrame:
-    """z-scores of each label's column, scaled to 0..1."""
-    z = (F.col("p") - F.avg("p").over(by_label())) / F.stddev_samp("p").over(by_label())
+    """z-scores of each label's column, scaled to 0..1; a column of one value becomes 0."""
+    z = (F.col("p") - F.avg("p").over(by_label())) / F.nullif(F.stddev_samp("p").over(by_label()), F.lit(0.0))
     rows = cells.withColumn("_z", z)
     low, high = F.min("_z").over(by_label()), F.max("_z").over(by_label())
-    return rows.select("gene", "label", ((F.col("_z") - low) / (high - low)).alias("p"))
+    return rows.select("gene", "label", F.coalesce((F.col("_z") - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0)).alias("p"))
 
 
 def rank_scale(cells: DataFrame) -> DataFrame:

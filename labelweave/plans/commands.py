@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from labelweave.functions.lineage import checkpoint
-from labelweave.operators import calibration, metrics, models, network, propagation, sampling, scaling, similarity
+from labelweave.operators import metrics, network, similarity
+from labelweave.plans import tuning
 
 
 def neten(edges: DataFrame) -> DataFrame:
@@ -19,24 +18,9 @@ def pcc(rows: DataFrame, columns: bool = False) -> DataFrame:
     return similarity.pearson_columns(rows) if columns else similarity.pearson_rows(rows)
 
 
-def prop(networks: list[DataFrame], labels: DataFrame, genes: DataFrame, method: str = "rwr", alpha: float = 0.2, relative: bool = False) -> DataFrame:
-    """Features (gene, net_id, label, x) of genes: labels spread over each network.
-
-    method is "rwr" (walk with restart; `relative` divides by the walk without) or "dlp".
-    """
-    scores = None
-    for number, edges in enumerate(networks):
-        if method == "dlp":
-            p = propagation.dynamic_propagation(edges, labels, alpha)
-        else:
-            normal = checkpoint(network.degree_normalise(edges))
-            r = checkpoint(propagation.seeds(labels, network.degrees(edges)))
-            p = propagation.walk(normal, r, alpha)
-            if relative:
-                p = propagation.ratio(p, propagation.walk(normal, r, 1.0))
-        named = p.select("node", F.lit(number).alias("net_id"), "label", "p")
-        scores = named if scores is None else scores.unionByName(named)
-    return propagation.feature_stack(genes, scores)
+def prop(networks: list[DataFrame], labels: DataFrame, genes: DataFrame, **options) -> DataFrame:
+    """Features (gene, net_id, label, x) of genes; options as for tuning.propagated()."""
+    return tuning.propagated(networks, labels, genes, **options)
 
 
 def report(cells: DataFrame, cut: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -45,58 +29,12 @@ def report(cells: DataFrame, cut: int = 3) -> tuple[DataFrame, DataFrame]:
     return each, metrics.report(cells, cut)
 
 
-def _as_features(stack: DataFrame) -> DataFrame:
-    return stack.select("gene", F.concat_ws("/", F.format_string("%04d", "net_id"), "label").alias("feature"), "x")
-
-
-def _out_of_fold(networks, labels: DataFrame, folds: DataFrame, number: int, k: int | None, lam: float, **options) -> DataFrame:
-    """Cells of one fold, predicted by models and features that saw none of its labels."""
-    seen = labels.join(folds.where(F.col("fold") != number).select("gene"), "gene", "left_semi")
-    genes = labels.select("gene").distinct()
-    stack = _as_features(prop(networks, seen, genes, **options))
-    inner = sampling.fold_random(seen.select("gene").distinct(), 2)
-    rows, names = models.design(stack, seen, inner)
-    rows = checkpoint(rows)
-    width = len(rows.select("x").first()["x"])
-    codes, (own, _) = models.ridge_codes(models.moments(rows), width), models.logistic(rows, len(names), width)
-    held = labels.join(folds.where(F.col("fold") == number), "gene").withColumn("fold", F.lit(number).cast("long"))
-    test, _ = models.design(stack.join(held.select("gene").distinct(), "gene", "left_semi"), held, held.select("gene", "fold").distinct())
-    return models.cells_of(test, names, models.predict(test, own, codes, min(k or len(names), width, len(names)), lam))
-
-
-def tune(networks: list[DataFrame], labels: DataFrame, test_genes: DataFrame, folds: int = 2, lambdas=(0.0, 0.025, 0.05, 0.1, 0.2), k: int | None = None, neighbours: int | None = None, **options) -> tuple[DataFrame, DataFrame]:
-    """Measures (c, lam, label, value) over stratified folds, and calibrated probabilities of the test genes.
-
-    The penalty with the best mean area decides for all labels.
-    """
-    dealt = checkpoint(sampling.stratified_folds(labels, folds))
-    measures = None
-    for c, lam in enumerate(lambdas):
-        for number in range(folds):
-            cells = _out_of_fold(networks, labels, dealt, number, k, lam, **options)
-            one = metrics.aupr(cells).select(F.lit(c).alias("c"), F.lit(lam).alias("lam"), "label", F.col("aupr").alias("value"))
-            measures = one if measures is None else measures.unionByName(one)
-    measures = checkpoint(measures)
-    best = measures.groupBy("c", "lam").agg(F.avg("value").alias("v")).orderBy(F.desc("v"), "c").first()
-    return measures, pred(networks, labels, test_genes, k, best["lam"] if best else 0.0, neighbours, **options)
+def tune(networks: list[DataFrame], labels: DataFrame, test_genes: DataFrame, settings: tuning.Settings | None = None) -> tuning.Tuned:
+    """Settings chosen by nested folds, and calibrated predictions of the test genes."""
+    return tuning.tuned(networks, labels, test_genes, settings)
 
 
-def pred(networks: list[DataFrame], labels: DataFrame, test_genes: DataFrame, k: int | None = None, lam: float = 0.1, neighbours: int | None = None, **options) -> DataFrame:
-    """(gene, label, p) for the test genes with fixed settings, rank-normalised over labels."""
-    genes = labels.select("gene").unionByName(test_genes.select("gene")).distinct()
-    stack = checkpoint(_as_features(prop(networks, labels, genes, **options)))
-    rows, names = models.design(stack, labels, sampling.stratified_folds(labels, 2))
-    rows = checkpoint(rows)
-    width = len(rows.select("x").first()["x"])
-    codes, (own, _) = models.ridge_codes(models.moments(rows), width), models.logistic(rows, len(names), width)
-    wanted = test_genes.select("gene").distinct()
-    blank = wanted.withColumns({"label": F.lit(names[0]), "y": F.lit(0.0)})
-    test, _ = models.design(stack.join(wanted, "gene", "left_semi"), blank.withColumn("y", F.lit(1.0)), wanted.withColumn("fold", F.lit(0).cast("long")))
-    padded = test.withColumn("y", F.array_repeat(F.lit(0.0), len(names)))
-    cells = models.cells_of(padded, names, models.predict(padded, own, codes, min(k or len(names), width, len(names)), lam)).select("gene", "label", "y", "p")
-    if neighbours:
-        features = rows.select(F.col("gene").alias("row"), "x")
-        near = similarity.hassanat_topk(features.unionByName(test.select(F.col("gene").alias("row"), "x")), neighbours)
-        fitted = models.cells_of(rows, names, models.predict(rows, own, codes, min(k or len(names), width, len(names)), lam)).select("gene", "label", "y", "p")
-        cells = calibration.knn_recalibrate(cells.unionByName(fitted), near, similarity.label_relationship(labels), metrics.aupr(fitted)).join(wanted, "gene", "left_semi")
-    return scaling.quantile_norm(cells).withColumn("rank", F.row_number().over(Window.partitionBy("gene").orderBy(F.desc("p"), "label")).cast("long"))
+def pred(networks: list[DataFrame], labels: DataFrame, test_genes: DataFrame, k: int | None = None, lam: float = 0.1, settings: tuning.Settings | None = None) -> tuning.Tuned:
+    """Calibrated predictions of the test genes with a fixed dimension (all labels, if none is given) and penalty."""
+    names = labels.where("y = 1").select("label").distinct().count()
+    return tuning.tuned(networks, labels, test_genes, settings, [(k or names, lam)])

@@ -256,3 +256,46 @@ FROM (SELECT label, count(*) AS n FROM cells WHERE y = 1 GROUP BY 1) x"""
     "fold_modulo": _cells("SELECT DISTINCT gene, CAST(gene % 5 AS BIGINT) AS fold FROM cells"),
     "nan_filter": "SELECT event_id, CASE WHEN value IS NULL OR isnan(value / nullif(value - 5, 0)) THEN 0 ELSE coalesce(round(value / nullif(value - 5, 0), 6), 0) END AS x FROM events",
 }
+
+_AREA_OF_ALL, _COSTS, _COUNTS = SQL["aupr_micro"], SQL["aupr_cost"], SQL["micro_f1"]
+
+SQL |= {
+    "report": f"""SELECT a.accuracy, f.micro_f1, f.ag_micro_f1, m.micro_aupr, x.macro_aupr, round(sqrt(e.micro_aupr * g.ag_micro_f1), 6) AS objective
+FROM ({SQL["accuracy_top1"]}) a, ({_COUNTS}) f, ({_AREA_OF_ALL}) m, (SELECT round(avg(aupr), 6) AS macro_aupr FROM ({SQL["aupr_per_label"].replace("round(coalesce(a.aupr, 0), 6)", "coalesce(a.aupr, 0)")}) y) x,
+  ({_AREA_OF_ALL.replace("round(coalesce(sum((pr + pr0) * (re - re0)) / 2, 0), 6)", "coalesce(sum((pr + pr0) * (re - re0)) / 2, 0)")}) e,
+  ({_COUNTS.replace("round(sqrt((2 * tp / (2 * tp + fp + fn)) * (2 * tn / (2 * tn + fn + fp))), 6)", "sqrt((2 * tp / (2 * tp + fp + fn)) * (2 * tn / (2 * tn + fn + fp)))")}) g""",
+    "objectives": f"""SELECT CAST(1 AS BIGINT) AS index, round(sqrt(m.micro_aupr * f.ag_micro_f1), 4) AS objective
+FROM ({_AREA_OF_ALL.replace("round(coalesce(sum((pr + pr0) * (re - re0)) / 2, 0), 6)", "coalesce(sum((pr + pr0) * (re - re0)) / 2, 0)")}) m,
+  ({_COUNTS.replace("round(sqrt((2 * tp / (2 * tp + fp + fn)) * (2 * tn / (2 * tn + fn + fp))), 6)", "sqrt((2 * tp / (2 * tp + fp + fn)) * (2 * tn / (2 * tn + fn + fp)))")}) f
+UNION ALL SELECT 2, round(micro_aupr, 4) FROM ({_AREA_OF_ALL}) x
+UNION ALL SELECT 3, round(ag_micro_f1, 4) FROM ({_COUNTS}) x
+UNION ALL SELECT 4, round(cost_aupr, 4) FROM ({_COSTS}) x
+UNION ALL SELECT 5, -cross_entropy FROM ({SQL["cross_entropy"]}) x
+UNION ALL SELECT 6, round(-cost_loss, 4) FROM ({SQL["cost_loss"]}) x""",
+    "rwr_converged": _net("SELECT node, label, round(p, 6) AS p FROM p12", NORMAL, SEEDS, _walk("0.2", 12)),
+    "f1_with_threshold": _cells(
+        """SELECT label, tp, fp, fn, tn, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) END, 6) AS f1 FROM (
+  SELECT label, CAST(sum(CASE WHEN y > 0 AND p >= t THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN y <= 0 AND p >= t THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+    CAST(sum(CASE WHEN y > 0 AND p < t THEN 1 ELSE 0 END) AS BIGINT) AS fn, CAST(sum(CASE WHEN y <= 0 AND p < t THEN 1 ELSE 0 END) AS BIGINT) AS tn
+  FROM cells JOIN thresholds USING (label) GROUP BY 1) x"""
+    ),
+    "accuracy_with_threshold": f"WITH {CELLS.replace('cells AS (', 'plain AS (', 1).replace('FROM cells GROUP BY 1)', 'FROM plain GROUP BY 1)')}, cells AS (SELECT c.gene, c.label, c.n, c.y, CASE WHEN c.p >= h.t THEN c.p ELSE 0 END AS p FROM plain c JOIN thresholds h USING (label)), {TOP.format(cut=1)}"
+    + " SELECT round(least(1, sum(b * y) / count(DISTINCT CASE WHEN y = 1 THEN gene END)), 6) AS accuracy FROM top1",
+    "over_threshold": _cells("SELECT gene, label, round(p / nullif(t, 0), 6) AS p FROM cells JOIN thresholds USING (label)"),
+    "column_max_scale": _cells("SELECT gene, label, round(CASE WHEN max(p) OVER (PARTITION BY label) > 0 THEN p / max(p) OVER (PARTITION BY label) ELSE p END, 6) AS p FROM cells"),
+    "labels_by_ratio": _cells(
+        """SELECT label, round(ratio, 6) AS ratio, row_number() OVER (ORDER BY ratio ASC NULLS LAST, label) AS place FROM (
+  SELECT label, sum(CASE WHEN p > 0.5 THEN 1 ELSE 0 END) / nullif(sum(y), 0) AS ratio FROM cells GROUP BY 1) x"""
+    ),
+    "pseudo_labels": _cells(
+        """SELECT gene, label, CAST(CASE WHEN p >= edge THEN 1 ELSE 0 END AS DOUBLE) AS y FROM (
+  SELECT *, max(CASE WHEN rk = n_pos THEN p END) OVER (PARTITION BY label) AS edge FROM (
+    SELECT *, row_number() OVER (PARTITION BY label ORDER BY p DESC, gene) AS rk, sum(y) OVER (PARTITION BY label) AS n_pos FROM cells) r) x"""
+    ),
+    "trim_scores": _cells(
+        f"""SELECT gene, label, CASE WHEN max(y) OVER (PARTITION BY label) = 0 AND row_number() OVER (PARTITION BY label ORDER BY p DESC, gene) = 1 THEN {_ONE} ELSE y END AS y, p
+FROM (SELECT *, max(CASE WHEN rk = floor(n_all * {_ONE} * 0.1::DOUBLE) THEN p END) OVER (PARTITION BY label) AS edge FROM (
+    SELECT gene, label, y, p, row_number() OVER (PARTITION BY label ORDER BY p DESC, gene) - 1 AS rk, count(*) OVER (PARTITION BY label) AS n_all FROM cells) r) x
+WHERE edge <= 0 OR p <= edge"""
+    ),
+}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from labelweave.functions.lineage import checkpoint
 from labelweave.functions.scalar import nan_to_zero
 from labelweave.operators import calibration, metrics, models, network, propagation, sampling, scaling, similarity
-from labelweave.plans import oracle
+from labelweave.plans import oracle, tuning
 from labelweave.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,6 +165,24 @@ def knn_recalibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found)
 
 
+def _objectives(cells: DataFrame, cut: int) -> DataFrame:
+    """(index, objective) of the cells as they are."""
+    found = [metrics.objective(cells.withColumn("cand", F.lit(k)), cut, k).select(F.col("cand").cast("long").alias("index"), F.col("objective").cast("double").alias("objective")) for k in metrics.OBJECTIVES]
+    out = found[0]
+    for one in found[1:]:
+        out = out.unionByName(one)
+    return out
+
+
+def tune_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of all users' labels, by settings chosen over folds; users walk on the network of what they do."""
+    cells = checkpoint(tables.event_cells(spark, sf_dir).withColumn("gene", F.concat(F.lit("u"), F.col("gene").cast("string"))))
+    edges = checkpoint(tables.both_ways(cells.where("n > 0").select(F.col("gene").alias("src"), F.col("label").alias("dst"), F.col("n").alias("w"))))
+    labels = cells.select("gene", "label", "y")
+    found = tuning.tuned([edges], labels, labels.select("gene").distinct(), tuning.Settings(lam_steps=2, propagation={"alpha": 0.2}))
+    return rounded(found.predictions)
+
+
 def queries() -> dict[str, Query]:
     absolute = lambda rows: rows.select("row", F.transform("x", lambda v: F.abs(v)).alias("x"))
     return {
@@ -187,6 +205,15 @@ def queries() -> dict[str, Query]:
         "mlsmote": synthetic_rows,
         "encode_decode": encode_decode,
         "beta_search": _cells(calibration.beta_search),
+        "tune_predict": tune_predict,
+        "objectives": _cells(lambda c: _objectives(c, 3), 4),
+        "f1_with_threshold": _cells(lambda c: metrics.f1_with_threshold(_with_threshold(c))),
+        "accuracy_with_threshold": _cells(lambda c: metrics.accuracy_with_threshold(_with_threshold(c))),
+        "over_threshold": _cells(lambda c: scaling.over_threshold(_with_threshold(c))),
+        "column_max_scale": _cells(scaling.column_max_scale),
+        "labels_by_ratio": _cells(calibration.labels_by_ratio),
+        "pseudo_labels": _cells(lambda c: calibration.pseudo_labels(c, c.groupBy("label").agg(F.sum("y").cast("long").alias("n"))).select("gene", "label", "y")),
+        "trim_scores": _cells(lambda c: calibration.trim(c.select("gene", "label", "y", "p"), 0.1)),
         "closed_form_walk": closed_form_walk,
         "prior_seeds": prior_seeds,
         "platt_fit": _cells(calibration.platt),

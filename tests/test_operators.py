@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelweave.operators import calibration, metrics, models, network, propagation, sampling, scaling, similarity
-from labelweave.plans import commands
+from labelweave.plans import commands, tuning
 from labelweave.sources import tsv
 from labelweave.sources.tables import both_ways
 
@@ -212,7 +212,93 @@ def test_commands_end_to_end(spark, ring):
     rng = np.random.default_rng(8)
     labels = spark.createDataFrame([(f"n{k}", f"l{j}", float((k + j) % 3 == 0 or rng.random() < 0.3)) for k in range(12) for j in range(3)], "gene string, label string, y double")
     test = spark.createDataFrame([("n1",), ("n4",)], "gene string")
-    out = commands.pred([ring], labels, test).collect()
+    out = commands.pred([ring], labels, test).predictions.collect()
     assert {(r["gene"], r["label"]) for r in out} == {(g, f"l{j}") for g in ("n1", "n4") for j in range(3)} and all(0 <= r["p"] <= 1 for r in out)
     features = commands.prop([ring], labels, test, method="dlp")
     assert features.count() == 6 and features.where(F.col("x") < 0).count() == 0
+
+
+@pytest.mark.parametrize("options", [{"per_label": True, "neighbours": 2, "trim": True, "objective": 4}, {"auto_beta": True, "oversample": 1.0, "objective": 2}])
+def test_tuning_end_to_end(spark, ring, options):
+    rng = np.random.default_rng(8)
+    labels = spark.createDataFrame([(f"n{k}", f"l{j}", float((k + j) % 3 == 0 or rng.random() < 0.3)) for k in range(12) for j in range(4)], "gene string, label string, y double")
+    test = spark.createDataFrame([("n1",), ("n4",), ("n4",)], "gene string")
+    got = commands.tune([ring, ring.withColumn("w", F.col("w") * 2)], labels, test, tuning.Settings(lam_steps=2, **options))
+    measures = got.measures.collect()
+    assert {(r["c"], r["fold"]) for r in measures} == {(c, f) for c in range(len({r["c"] for r in measures})) for f in range(2)}
+    chosen = {r["label"]: r["c"] for r in got.chosen.collect()}
+    assert set(chosen) == {f"l{j}" for j in range(4)}
+    if options.get("per_label"):
+        areas = got.areas.collect()
+        for label, c in chosen.items():
+            mean = {x: np.mean([r["aupr"] for r in areas if (r["label"], r["c"]) == (label, x)]) for x in {r["c"] for r in areas}}
+            assert mean[c] == pytest.approx(max(mean.values()))
+    else:
+        mean = {c: np.mean([r["objective"] for r in measures if r["c"] == c]) for c in {r["c"] for r in measures}}
+        assert len(set(chosen.values())) == 1 and mean[chosen["l0"]] == pytest.approx(max(mean.values()))
+    train = got.train.collect()
+    assert len({(r["gene"], r["label"]) for r in train}) == len(train) and all(0 <= r["p"] <= 1 for r in train)
+    out = got.predictions.collect()
+    assert {(r["gene"], r["label"]) for r in out} == {(g, f"l{j}") for g in ("n1", "n4") for j in range(4)} and all(0 <= r["p"] <= 1 for r in out)
+    assert {r["label"] for r in got.thresholds.collect()} == set(chosen) and got.order.count() == 4
+
+
+def test_beta_search_reaches_a_local_best(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, f"l{j}", float(rng.random() < 0.3), round(float(rng.random()), 4)) for g in range(30) for j in range(4)]
+    cells_ = spark.createDataFrame([(g, x, y, min(1.0, p + 0.4 * y)) for g, x, y, p in rows], "gene long, label string, y double, p double")
+    found = {r["label"]: (r["log_beta"], r["threshold"]) for r in calibration.beta_search(cells_).collect()}
+
+    def value(beta):
+        table = spark.createDataFrame([(x, float(b)) for x, b in beta.items()], "label string, log_beta double")
+        at = metrics.ag_threshold(cells_.join(table, "label")).select("label", F.col("threshold").alias("t"))
+        soft = cells_.select("gene", "label", "y").join(scaling.soft_threshold(cells_.join(at, "label")), ["gene", "label"]).withColumn("cand", F.lit(0))
+        return metrics.objective(soft, 3).collect()[0]["objective"], {r["label"]: r["t"] for r in at.collect()}
+
+    best, at = value({x: b for x, (b, _) in found.items()})
+    assert at == {x: pytest.approx(t) for x, (_, t) in found.items()}
+    label = sorted(found)[1]
+    assert all(value({x: b + m * (x == label) for x, (b, _) in found.items()})[0] <= best + 1e-9 for m in calibration.MOVES)
+
+
+@pytest.mark.parametrize("index", [2, 3, 4, 5, 6])
+def test_objectives_are_their_measures(spark, index):
+    rng = np.random.default_rng(index)
+    rows = [(c, g, f"l{j}", float(rng.random() < 0.3), round(float(rng.random()), 4)) for c in range(2) for g in range(30) for j in range(4)]
+    both = spark.createDataFrame(rows, "cand long, gene long, label string, y double, p double")
+    got = {r["cand"]: r["objective"] for r in metrics.objective(both, 3, index).collect()}
+    for c in range(2):
+        own = both.where(F.col("cand") == c).drop("cand")
+        want = {2: lambda: metrics.micro_aupr(own), 3: lambda: metrics.micro_f1(own, 3).select("ag_micro_f1"), 4: lambda: metrics.cost_aupr(own), 5: lambda: metrics.cross_entropy(own), 6: lambda: metrics.cost_loss(own)}[index]().first()[0]
+        assert got[c] == pytest.approx(-want if index > 4 else want)
+
+
+def test_logistic_in_small_blocks_gives_the_same_models(spark):
+    rng = np.random.default_rng(6)
+    x = rng.random((60, 4))
+    rows = spark.createDataFrame([(k, k % 2, x[k].tolist(), [float(x[k, j] + rng.random() > 1) for j in range(3)]) for k in range(60)], "gene long, fold long, x array<double>, y array<double>")
+    whole, small = models.logistic(rows, 3, 4), models.logistic(rows, 3, 4, most_bytes=8 * 25 * 40)
+    assert np.allclose(whole[0], small[0], atol=1e-6) and (whole[1] == small[1]).all()
+
+
+def test_many_rows_of_one_combination_are_dealt_at_once(spark):
+    counts = {("a",): 50_001, ("a", "b"): 7, ("b",): 1_000, (): 3}
+    rows = [(f"{'+'.join(names)}{k}", x, float(x in names)) for names, n in counts.items() for k in range(n) for x in ("a", "b")]
+    folds = sampling.stratified_folds(spark.createDataFrame(rows, "gene string, label string, y double"), 3)
+    sizes = folds.groupBy("fold", F.regexp_replace("gene", "[0-9]+$", "").alias("set")).count().collect()
+    for names, n in counts.items():
+        own = [r["count"] for r in sizes if r["set"] == "+".join(names)]
+        assert sum(own) == n and max(own) - min(own) <= 4
+
+
+def test_trims_pseudo_labels_and_order(spark):
+    rows = cells(spark, [1, 0, 1, 0, 0, 0, 0, 0, 0, 0], [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1, 0.05])
+    assert sorted(r["p"] for r in calibration.trim(rows, 0.2).collect())[-1] == 0.7
+    n = spark.createDataFrame([("a", 3)], "label string, n long")
+    assert sorted(r["p"] for r in calibration.pseudo_labels(rows, n).where("y = 1").collect()) == [0.7, 0.8, 0.9]
+    two = rows.unionByName(cells(spark, [1, 1], [0.9, 0.1], "b")).unionByName(cells(spark, [0], [0.9], "c"))
+    assert [r["label"] for r in calibration.labels_by_ratio(two).orderBy("place").collect()] == ["b", "a", "c"]
+    assert calibration.best_trim(rows).first()["share"] in (0.0, 0.04, 0.08, 0.12, 0.16, 0.2)
+    at = rows.withColumn("t", F.lit(0.65))
+    assert metrics.f1_with_threshold(at).first()["tp"] == 2 and metrics.accuracy_with_threshold(at).first()[0] <= 1
+    assert metrics.unseeded_aupr(rows, rows.where("gene = 1")).first()["aupr"] == pytest.approx(0.5)  # from the first hit on

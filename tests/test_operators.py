@@ -218,12 +218,12 @@ def test_commands_end_to_end(spark, ring):
     assert features.count() == 6 and features.where(F.col("x") < 0).count() == 0
 
 
-@pytest.mark.parametrize("options", [{"per_label": True, "neighbours": 2, "trim": True, "objective": 4}, {"auto_beta": True, "oversample": 1.0, "objective": 2}])
+@pytest.mark.parametrize("options", [{"per_label": True, "neighbours": 2, "trim": True, "objective": 4}])
 def test_tuning_end_to_end(spark, ring, options):
     rng = np.random.default_rng(8)
     labels = spark.createDataFrame([(f"n{k}", f"l{j}", float((k + j) % 3 == 0 or rng.random() < 0.3)) for k in range(12) for j in range(4)], "gene string, label string, y double")
     test = spark.createDataFrame([("n1",), ("n4",), ("n4",)], "gene string")
-    got = commands.tune([ring, ring.withColumn("w", F.col("w") * 2)], labels, test, tuning.Settings(lam_steps=2, **options))
+    got = commands.tune([ring], labels, test, tuning.Settings(lam_steps=2, **options))
     measures = got.measures.collect()
     assert {(r["c"], r["fold"]) for r in measures} == {(c, f) for c in range(len({r["c"] for r in measures})) for f in range(2)}
     chosen = {r["label"]: r["c"] for r in got.chosen.collect()}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from labelweave.functions.lineage import checkpoint
 from labelweave.functions.scalar import nan_to_zero
 from labelweave.operators import metrics, scaling
-from labelweave.operators.windows import by_label
+from labelweave.operators.windows import with_totals
 
 
 def platt_fit(cells: DataFrame, rounds: int = 50, tolerance: float = 1e-8) -> DataFrame:
@@ -71,13 +71,11 @@ def trim(cells: DataFrame, share: float) -> DataFrame:
 
 def trim_each(cells: DataFrame) -> DataFrame:
     """trim() with the label's own share as a column."""
-    n = F.count("*").over(by_label())
-    order = Window.partitionBy("label").orderBy(F.desc("p"), "gene")
-    rows = cells.withColumns({"_r": F.row_number().over(order) - 1, "_n": n})
-    edge = F.max(F.when(F.col("_r") == F.floor(F.col("_n") * F.col("share")), F.col("p"))).over(by_label())
-    kept = rows.withColumn("_edge", edge).where((F.col("_edge") <= 0) | (F.col("p") <= F.col("_edge")))
-    lone = (F.max("y").over(by_label()) == 0) & (F.row_number().over(order) == 1)
-    return kept.withColumn("y", F.when(lone, 1.0).otherwise(F.col("y"))).drop("_r", "_n", "_edge")
+    at = scaling.placed(cells, keep=("share",)).where(F.col("rn") - 1 == F.floor(F.col("n") * F.col("share")))
+    kept = cells.join(at.select("label", F.col("p").alias("_edge")), "label").where((F.col("_edge") <= 0) | (F.col("p") <= F.col("_edge")))
+    rows = with_totals(kept, _most=F.max("y"), _best=F.min(F.struct(-F.col("p"), "gene")))
+    lone = (F.col("_most") == 0) & (F.col("gene") == F.col("_best.gene"))
+    return rows.withColumn("y", F.when(lone, 1.0).otherwise(F.col("y"))).select(*cells.columns)
 
 
 def knn_recalibrate(cells: DataFrame, neighbours: DataFrame, relation: DataFrame, areas: DataFrame, ratio: float = 0.5) -> DataFrame:
@@ -196,7 +194,6 @@ def best_trim(cells: DataFrame, shares=(0.0, 0.04, 0.08, 0.12, 0.16, 0.2)) -> Da
 
 def pseudo_labels(cells: DataFrame, positives: DataFrame) -> DataFrame:
     """cells with y = 1 for each label's n best scores (positives: label, n) and those tied with the last of them."""
-    order = Window.partitionBy("label").orderBy(F.desc("p"), "gene")
-    rows = cells.join(positives.select("label", F.col("n").alias("_n")), "label").withColumn("_r", F.row_number().over(order))
-    edge = F.max(F.when(F.col("_r") == F.col("_n"), F.col("p"))).over(by_label())
-    return rows.withColumn("y", F.coalesce(F.col("p") >= edge, F.lit(False)).cast("double")).select(*cells.columns)
+    at = scaling.placed(cells.join(positives.select("label", F.col("n").alias("_n")), "label"), keep=("_n",)).where(F.col("rn") == F.col("_n"))
+    rows = cells.join(positives.select("label"), "label").join(at.select("label", F.col("p").alias("_edge")), "label", "left")
+    return rows.withColumn("y", F.coalesce(F.col("p") >= F.col("_edge"), F.lit(False)).cast("double")).select(*cells.columns)

@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelweave.functions.scalar import sigmoid
-from labelweave.operators.windows import best_first, by_label
+from labelweave.functions.scalar import nan_to_zero, sigmoid
+from labelweave.operators.metrics import ranked
+from labelweave.operators.windows import with_totals
+
+
+def placed(cells: DataFrame, by: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Cells (*by, gene, label, p, *keep) with `rn`, the rank from the best score down within by and label, and their number `n`.
+
+    Scores that are null or no numbers are 0.
+    """
+    keyed = cells.select(*by, "gene", "label", "p", *keep, F.struct(*by, "label").alias("_key"), F.lit(0.0).alias("y"))
+    return ranked(keyed, "_key", keep=(*by, *keep, "_key")).select(*by, "gene", "label", "p", *keep, "rn", "n")
 
 
 def quantile_norm(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -14,14 +24,14 @@ def quantile_norm(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
     Columns `by` keep sets of cells apart.
     """
-    ranked = cells.withColumn("_sum", F.sum("p").over(Window.partitionBy(*by, "label"))).withColumn("_rank", F.row_number().over(best_first(*by, "label")))
+    rows = with_totals(placed(cells, by), (*by, "label"), _sum=F.sum("p"))
     used = F.abs("_sum") > 1e-9
-    profile = ranked.where(used).groupBy(*by, "_rank").agg(F.sum("p").alias("_v"))
+    profile = rows.where(used).groupBy(*by, "rn").agg(F.sum("p").alias("_v"))
     ends = profile.groupBy(*by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     joined = profile.join(ends, list(by)) if by else profile.join(F.broadcast(ends))
     share = F.coalesce((F.col("_v") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)), F.lit(0.0))  # one value for all ranks: 0
-    scaled = joined.select(*by, "_rank", share.alias("q"))
-    return ranked.join(scaled, [*by, "_rank"], "left").select(*by, "gene", "label", F.when(used, F.col("q")).otherwise(0.0).alias("p"))
+    scaled = joined.select(*by, "rn", share.alias("q"))
+    return rows.join(scaled, [*by, "rn"], "left").select(*by, "gene", "label", F.when(used, F.col("q")).otherwise(0.0).alias("p"))
 
 
 def over_threshold(cells: DataFrame) -> DataFrame:
@@ -31,8 +41,8 @@ def over_threshold(cells: DataFrame) -> DataFrame:
 
 def column_max_scale(cells: DataFrame) -> DataFrame:
     """Each label's scores over the largest of them."""
-    most = F.max("p").over(by_label())
-    return cells.select("gene", "label", F.when(most > 0, F.col("p") / most).otherwise(F.col("p")).alias("p"))
+    most = F.col("_most")
+    return with_totals(cells, _most=F.max("p")).select("gene", "label", F.when(most > 0, F.col("p") / most).otherwise(F.col("p")).alias("p"))
 
 
 def soft_threshold(cells: DataFrame) -> DataFrame:
@@ -43,30 +53,28 @@ def soft_threshold(cells: DataFrame) -> DataFrame:
     """
     t = F.greatest("t", F.lit(1e-7))
     off = (F.col("t") == 1.0) | (F.abs("t") == float("inf"))
-    ratio = F.when(off, 0.0).otherwise(F.col("p") / t)
-    most = F.max("_e").over(by_label())
-    rows = cells.withColumn("_e", ratio).withColumn("_m", F.greatest(most, F.lit(0.0)))
-    e = F.when(off | ((F.col("_m") < 1) & (F.col("_m") > 0)), 0.0).otherwise(F.col("_e"))
-    high = F.when(F.col("_m") > 1, (e - 1) / (F.col("_m") - 1) * 0.5 + 0.5).otherwise(0.5)
+    rows = with_totals(cells.withColumn("_e", F.when(off, 0.0).otherwise(F.col("p") / t)), _most=F.max("_e"))
+    most = F.greatest("_most", F.lit(0.0))
+    e = F.when(off | ((most < 1) & (most > 0)), 0.0).otherwise(F.col("_e"))
+    high = F.when(most > 1, (e - 1) / (most - 1) * 0.5 + 0.5).otherwise(0.5)
     return rows.select("gene", "label", F.when(e >= 1, high).otherwise(e * 0.5).alias("p"))
 
 
 def zscore(cells: DataFrame) -> DataFrame:
-    """z-scores of each label's column, scaled to 0..1; a column of one value becomes 0."""
-    z = (F.col("p") - F.avg("p").over(by_label())) / F.nullif(F.stddev_samp("p").over(by_label()), F.lit(0.0))
-    rows = cells.withColumn("_z", z)
-    low, high = F.min("_z").over(by_label()), F.max("_z").over(by_label())
-    return rows.select("gene", "label", F.coalesce((F.col("_z") - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0)).alias("p"))
+    """z-scores of each label's column, scaled to 0..1; a column of one value becomes 0.
+
+    Scaling to 0..1 undoes mean and deviation, so the least and the largest score say it all.
+    """
+    rows = with_totals(cells, _low=F.min("p"), _high=F.max("p"))
+    return rows.select("gene", "label", F.coalesce((F.col("p") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)), F.lit(0.0)).alias("p"))
 
 
 def rank_scale(cells: DataFrame) -> DataFrame:
     """Ranks (gene, label, p, t) above the label's threshold scaled to 0..1; scores at or below it give -1."""
-    n = F.count("*").over(by_label())
-    rows = cells.withColumn("_v", (n - F.row_number().over(best_first("label")) + 1) / n)
-    least = F.coalesce(F.min(F.when(F.col("p") > F.col("t"), F.col("_v"))).over(by_label()), F.lit(1.0))
-    rows = rows.withColumn("_t", F.least(least, F.lit(1.0)))
-    inside = (F.col("_t") < 1) & (F.col("_v") >= F.col("_t"))
-    return rows.select("gene", "label", F.when(inside, (F.col("_v") - F.col("_t")) / (1 - F.col("_t"))).otherwise(-1.0).alias("p"))
+    rows = placed(cells, keep=("t",)).withColumn("_v", (F.col("n") - F.col("rn") + 1) / F.col("n"))
+    rows = with_totals(rows, _least=F.min(F.when(F.col("p") > F.col("t"), F.col("_v"))))
+    t = F.least(F.coalesce("_least", F.lit(1.0)), F.lit(1.0))
+    return rows.select("gene", "label", F.when((t < 1) & (F.col("_v") >= t), (F.col("_v") - t) / (1 - t)).otherwise(-1.0).alias("p"))
 
 
 def mask(cells: DataFrame) -> DataFrame:
@@ -82,14 +90,49 @@ def row_max_scale(cells: DataFrame) -> DataFrame:
 
 def column_scale(cells: DataFrame, rate: DataFrame) -> DataFrame:
     """Each label's scores over the score at rank 2 * rate * n (rate: label, rate)."""
-    n = F.count("*").over(by_label())
-    rows = cells.join(F.broadcast(rate), "label").withColumn("_r", F.row_number().over(best_first("label")) - 1).withColumn("_n", n)
-    at = F.max(F.when(F.col("_r") == F.floor(2 * F.col("rate") * F.col("_n")), F.col("p"))).over(by_label())
-    return rows.select("gene", "label", F.when(at > 0, F.col("p") / at).otherwise(F.col("p")).alias("p"))
+    rows = placed(cells.join(rate.select("label", "rate"), "label"), keep=("rate",))
+    rows = with_totals(rows, _at=F.max(F.when(F.col("rn") - 1 == F.floor(2 * F.col("rate") * F.col("n")), F.col("p"))))
+    return rows.select("gene", "label", F.when(F.col("_at") > 0, F.col("p") / F.col("_at")).otherwise(F.col("p")).alias("p"))
 
 
 def platt_scale(cells: DataFrame) -> DataFrame:
     """Scores (gene, label, p, a, b) through the label's sigmoid, scaled between its least and largest positive value."""
     rows = cells.withColumn("_s", sigmoid(-(F.col("a") * F.col("p") + F.col("b"))))
-    low, high = F.min(F.when(F.col("_s") > 0, F.col("_s"))).over(by_label()), F.max("_s").over(by_label())
+    rows = with_totals(rows, _low=F.min(F.when(F.col("_s") > 0, F.col("_s"))), _high=F.max("_s"))
+    low, high = F.col("_low"), F.col("_high")
     return rows.select("gene", "label", F.when(high > low, (F.col("_s") - low) / (high - low)).otherwise(F.col("_s")).alias("p"))
+
+
+def chop_bounds(cells: DataFrame) -> DataFrame:
+    """(label, low, high) of training cells (gene, label, y, p): the least score, and the best one of a positive, 1 at most."""
+    p = nan_to_zero(F.col("p"))
+    return cells.groupBy("label").agg(F.min(p).alias("low"), F.least(F.max(F.when(F.col("y") == 1, p)), F.lit(1.0)).alias("high"))
+
+
+def chop_scale(cells: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Training scores scaled so that low becomes 0 and high 1; those above are 1, labels without a positive or a range stay as they are."""
+    p, span = nan_to_zero(F.col("p")), F.col("high") - F.col("low")
+    rows = cells.join(bounds.select("label", "low", "high"), "label")
+    return rows.select("gene", "label", F.when(span > 0, F.least((p - F.col("low")) / span, F.lit(1.0))).otherwise(p).alias("p"))
+
+
+def chop_scale_unseen(cells: DataFrame, bounds: DataFrame) -> DataFrame:
+    """The same for cells (gene, label, p) without labels: from their own least positive score to the training high, or their best if that is less.
+
+    Scores below the least positive one become negative.
+    """
+    rows = with_totals(cells, _low=F.min(F.when(F.col("p") > 0, F.col("p"))), _best=F.max("p")).join(bounds.select("label", "high"), "label")
+    high = F.least("high", "_best")
+    scaled = F.when(F.col("p") >= high, 1.0).when(high > F.col("_low"), (F.col("p") - F.col("_low")) / (high - F.col("_low")))
+    return rows.select("gene", "label", F.coalesce(scaled, F.col("p")).alias("p"))
+
+
+def feature_range_scale(features: DataFrame) -> DataFrame:
+    """Features (gene, feature, x) of all sets together, scaled from the least positive value (0) to the largest (1) of each feature.
+
+    Values below the least positive one stay; the least is 1 at most, and a feature of one value becomes 0.
+    """
+    rows = with_totals(features, ("feature",), _low=F.min(F.when(F.col("x") > 0, F.col("x"))), _high=F.max("x"))
+    low, high = F.least(F.coalesce("_low", F.lit(1.0)), F.lit(1.0)), F.greatest("_high", F.lit(0.0))
+    span = F.when(high > low, high - low).otherwise(1.0)
+    return rows.select(*features.columns, "_low", "_high").withColumn("x", F.when(F.col("x") >= low, (F.col("x") - low) / span).otherwise(F.col("x"))).select(*features.columns)

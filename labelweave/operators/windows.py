@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
-def by_label() -> WindowSpec:
-    return Window.partitionBy("label")
+def with_totals(cells: DataFrame, by: tuple[str, ...] = ("label",), **totals: Column) -> DataFrame:
+    """Cells with aggregates of their group as columns: summed before the shuffle and joined, so that no group is one task."""
+    return cells.join(cells.groupBy(*by).agg(*[value.alias(name) for name, value in totals.items()]), list(by))
 
 
 def best_first(*partition: str, score: str = "p", tie: tuple[str, ...] = ("gene",)) -> WindowSpec:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.operators.windows import by_label
+from labelweave.operators.windows import with_totals
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,12 +50,12 @@ def event_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         ]
     )
     long = wide.select("gene", F.explode(cells).alias("c")).select("gene", "c.*")
-    return long.select(
+    return with_totals(long, _mean=F.avg("n"), _most=F.max("v")).select(
         "gene",
         "label",
         "n",
-        (F.col("n") > F.avg("n").over(by_label())).cast("double").alias("y"),
-        F.round(F.col("v") / F.max("v").over(by_label()), 6).alias("p"),
+        (F.col("n") > F.col("_mean")).cast("double").alias("y"),
+        F.round(F.col("v") / F.col("_most"), 6).alias("p"),
     )
 
 

@@ -88,10 +88,29 @@ def canonical_projection(total: np.ndarray, features: int, shrink: float = 1e-6)
     return right @ vt.T
 
 
-def ridge_codes(sums: dict[int, np.ndarray], features: int, penalties=PENALTIES) -> Codes:
+def regularised_projection(total: np.ndarray, features: int, ridge: float = 0.5) -> np.ndarray:
+    """Label-side vectors of the correlation of labels with [1, x] that adds `ridge` to the labels' squared singular values.
+
+    From the moments of [1, x, y], which aren't centred: the right singular vectors of the rows cancel,
+    so nothing of the rows' number is needed. There are as many vectors as the correlation has rank.
+    """
+
+    def spectrum(m):
+        values, vectors = np.linalg.eigh(m)
+        kept = values > max(1e-12, len(m) * np.finfo(float).eps * values.max(initial=0))
+        return values[kept], vectors[:, kept]
+
+    d = features + 1
+    (x2, ux), (y2, uy) = spectrum(total[:d, :d]), spectrum(total[d:, d:])
+    b = (y2 + ridge)[:, None] * (uy.T @ total[d:, :d] @ (ux / np.sqrt(x2)) @ ux.T)
+    left, values, _ = np.linalg.svd(b, full_matrices=False)
+    return uy @ (left[:, values > 1e-6] / (y2 + ridge)[:, None])
+
+
+def ridge_codes(sums: dict[int, np.ndarray], features: int, penalties=PENALTIES, regularised: bool = False) -> Codes:
     """Ridge regression of every canonical code on [1, x]; the penalty by cross-validated squared error."""
     total = sum(sums.values())
-    b = canonical_projection(total, features)
+    b = regularised_projection(total, features) if regularised else canonical_projection(total, features)
     d = features + 1
     errors = np.zeros((len(penalties), b.shape[1]))
     solve = lambda m, lam: np.linalg.solve(m[:d, :d] + lam * np.eye(d), m[:d, d:] @ b)
@@ -257,11 +276,11 @@ def grid_cells(rows: DataFrame, labels: list[str], own: np.ndarray, codes: Codes
     return each.select("gene", F.col("g.c").alias("c"), F.explode(zipped).alias("e")).select("c", "gene", "e.label", "e.y", "e.p")
 
 
-def encode_decode(rows: DataFrame, labels: list[str], k: int | None = None, lam: float = 0.1, folds: int = 2, penalties=PENALTIES) -> DataFrame:
+def encode_decode(rows: DataFrame, labels: list[str], k: int | None = None, lam: float = 0.1, folds: int = 2, penalties=PENALTIES, regularised: bool = False) -> DataFrame:
     """Fits all models on rows and decodes the same rows: (gene, fold, label, y, p)."""
     features = len(rows.select("x").first()["x"])
     sums = moments(rows)
-    codes = ridge_codes(sums, features, penalties)
+    codes = ridge_codes(sums, features, penalties, regularised)
     own, _ = logistic(rows, len(labels), features, penalties, folds)
-    k = min(k or len(labels), features, len(labels))
+    k = min(k or len(labels), features, codes.projection.shape[1])
     return cells_of(rows, labels, predict(rows, own, codes, k, lam))

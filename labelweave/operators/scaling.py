@@ -104,9 +104,10 @@ def platt_scale(cells: DataFrame) -> DataFrame:
 
 
 def chop_bounds(cells: DataFrame) -> DataFrame:
-    """(label, low, high) of training cells (gene, label, y, p): the least score, and the best one of a positive, 1 at most."""
+    """(label, low, high) of training cells (gene, label, y, p): the least score, and the best one of a positive, 1 at most; null without a positive."""
     p = nan_to_zero(F.col("p"))
-    return cells.groupBy("label").agg(F.min(p).alias("low"), F.least(F.max(F.when(F.col("y") == 1, p)), F.lit(1.0)).alias("high"))
+    bounds = cells.groupBy("label").agg(F.min(p).alias("low"), F.max(F.when(F.col("y") == 1, p)).alias("_high"))
+    return bounds.select("label", "low", F.when(F.col("_high") > 1, 1.0).otherwise(F.col("_high")).alias("high"))
 
 
 def chop_scale(cells: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -119,7 +120,7 @@ def chop_scale(cells: DataFrame, bounds: DataFrame) -> DataFrame:
 def chop_scale_unseen(cells: DataFrame, bounds: DataFrame) -> DataFrame:
     """The same for cells (gene, label, p) without labels: from their own least positive score to the training high, or their best if that is less.
 
-    Scores below the least positive one become negative.
+    Scores below the least positive one become negative. Without a training high, the best score is 1.
     """
     rows = with_totals(cells, _low=F.min(F.when(F.col("p") > 0, F.col("p"))), _best=F.max("p")).join(bounds.select("label", "high"), "label")
     high = F.least("high", "_best")

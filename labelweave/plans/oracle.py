@@ -281,6 +281,24 @@ UNION ALL SELECT 6, round(-cost_loss, 4) FROM ({SQL["cost_loss"]}) x""",
     ),
     "accuracy_with_threshold": f"WITH {CELLS.replace('cells AS (', 'plain AS (', 1).replace('FROM cells GROUP BY 1)', 'FROM plain GROUP BY 1)')}, cells AS (SELECT c.gene, c.label, c.n, c.y, CASE WHEN c.p >= h.t THEN c.p ELSE 0 END AS p FROM plain c JOIN thresholds h USING (label)), {TOP.format(cut=1)}"
     + " SELECT round(least(1, sum(b * y) / count(DISTINCT CASE WHEN y = 1 THEN gene END)), 6) AS accuracy FROM top1",
+    "consistent_features": """WITH sums AS (
+  SELECT l_linestatus, l_partkey AS gene, l_suppkey AS feature, CAST(sum(l_quantity) AS DOUBLE) AS x FROM lineitem
+  WHERE l_suppkey IS NOT NULL AND l_partkey IS NOT NULL AND l_suppkey % 7 <> 0 OR l_linestatus = 'F' GROUP BY 1, 2, 3)
+SELECT l_linestatus, gene, feature, round(x, 6) AS x FROM sums
+WHERE feature IN (SELECT feature FROM sums GROUP BY 1 HAVING count(DISTINCT l_linestatus) = 2)""",
+    "feature_range_scale": _cells(
+        """SELECT gene, label AS feature, round(CASE WHEN n >= low THEN (n - low) / CASE WHEN high > low THEN high - low ELSE 1 END ELSE n END, 6) AS x FROM (
+  SELECT gene, label, n, least(coalesce(min(CASE WHEN n > 0 THEN n END) OVER (PARTITION BY label), 1), 1) AS low, max(n) OVER (PARTITION BY label) AS high FROM cells) x"""
+    ),
+    "chop_scale": _cells(
+        """SELECT gene, label, round(CASE WHEN high > low THEN least((p - low) / (high - low), 1) ELSE p END, 6) AS p FROM (
+  SELECT gene, label, p, min(p) OVER (PARTITION BY label) AS low, max(CASE WHEN y = 1 THEN least(p, 1) END) OVER (PARTITION BY label) AS high FROM cells) x"""
+    ),
+    "chop_scale_unseen": _cells(
+        """SELECT gene, label, round(CASE WHEN p >= high THEN 1 WHEN high > low THEN (p - low) / (high - low) ELSE p END, 6) AS p FROM (
+  SELECT c.gene, c.label, c.p, min(CASE WHEN c.p > 0 THEN c.p END) OVER (PARTITION BY c.label) AS low, least(b.high, max(c.p) OVER (PARTITION BY c.label)) AS high
+  FROM cells c JOIN (SELECT label, max(CASE WHEN y = 1 THEN least(p, 1) END) AS high FROM cells WHERE p < 0.5 GROUP BY 1) b USING (label)) x"""
+    ),
     "over_threshold": _cells("SELECT gene, label, round(p / nullif(t, 0), 6) AS p FROM cells JOIN thresholds USING (label)"),
     "column_max_scale": _cells("SELECT gene, label, round(CASE WHEN max(p) OVER (PARTITION BY label) > 0 THEN p / max(p) OVER (PARTITION BY label) ELSE p END, 6) AS p FROM cells"),
     "labels_by_ratio": _cells(

@@ -128,6 +128,23 @@ def encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.encode_decode(*event_rows(spark, sf_dir)))
 
 
+def encode_decode_regularised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(models.encode_decode(*event_rows(spark, sf_dir), regularised=True))
+
+
+def consistent_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by the suppliers that delivered in every line status, with what each delivered in each."""
+    lines = tables.read(spark, sf_dir, "lineitem").where("l_suppkey IS NOT NULL AND l_partkey IS NOT NULL AND l_suppkey % 7 <> 0 OR l_linestatus = 'F'")
+    sums = lines.groupBy("l_linestatus", F.col("l_partkey").alias("gene"), F.col("l_suppkey").alias("feature")).agg(F.sum("l_quantity").cast("double").alias("x"))
+    sums = checkpoint(sums)
+    kept = sampling.consistent_features([sums.where(F.col("l_linestatus") == status) for status in ("F", "O")])
+    return rounded(kept[0].unionByName(kept[1]))
+
+
+def feature_range_scale(cells: DataFrame) -> DataFrame:
+    return scaling.feature_range_scale(cells.select("gene", F.col("label").alias("feature"), F.col("n").alias("x")))
+
+
 def synthetic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows for rare classes of the embeddings."""
     table = tables.read(spark, sf_dir, "embeddings").where("label IS NOT NULL")
@@ -204,6 +221,11 @@ def queries() -> dict[str, Query]:
         "sois_folds": lambda spark, sf_dir: sampling.stratified_folds(tables.event_cells(spark, sf_dir), 3),
         "mlsmote": synthetic_rows,
         "encode_decode": encode_decode,
+        "encode_decode_regularised": encode_decode_regularised,
+        "consistent_features": consistent_features,
+        "feature_range_scale": _cells(feature_range_scale),
+        "chop_scale": _cells(lambda c: scaling.chop_scale(c, scaling.chop_bounds(c))),
+        "chop_scale_unseen": _cells(lambda c: scaling.chop_scale_unseen(c, scaling.chop_bounds(c.where("p < 0.5")))),
         "beta_search": _cells(calibration.beta_search),
         "tune_predict": tune_predict,
         "objectives": _cells(lambda c: _objectives(c, 3), 4),

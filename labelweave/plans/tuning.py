@@ -37,6 +37,7 @@ class Settings:
     log_beta: float = 0.0
     trim: bool = False
     oversample: float = 0.0
+    regularised: bool = False
     propagation: dict = field(default_factory=dict)
 
 
@@ -98,15 +99,15 @@ class _Fitted:
         return models.grid_cells(x.join(y, "gene"), self.names, self.own, self.codes, grid)
 
 
-def _fit(stack: DataFrame, labels: DataFrame, folds: DataFrame, oversample: float) -> _Fitted:
+def _fit(stack: DataFrame, labels: DataFrame, folds: DataFrame, s: Settings) -> _Fitted:
     rows, names = models.design(stack, labels, folds)
-    if oversample:
+    if s.oversample:
         rows = checkpoint(rows)
-        made = sampling.synthetic_rows(rows, names, oversample).withColumn("fold", F.pmod(F.xxhash64("x"), F.lit(2)))
+        made = sampling.synthetic_rows(rows, names, s.oversample).withColumn("fold", F.pmod(F.xxhash64("x"), F.lit(2)))
         rows = rows.unionByName(made.select("gene", "fold", "x", "y"))
     rows = checkpoint(rows)
     columns = [r[0] for r in stack.select("feature").distinct().orderBy("feature").collect()]
-    codes, (own, _) = models.ridge_codes(models.moments(rows), len(columns)), models.logistic(rows, len(names), len(columns))
+    codes, (own, _) = models.ridge_codes(models.moments(rows), len(columns), regularised=s.regularised), models.logistic(rows, len(names), len(columns))
     return _Fitted(names, columns, own, codes)
 
 
@@ -138,11 +139,16 @@ def tuned(networks: list[DataFrame], labels: DataFrame, test_genes: DataFrame, s
 
     dealt = checkpoint(sampling.stratified_folds(labels, s.folds))
     genes, raw = labels.select("gene").distinct(), None
-    for number in range(s.folds):
-        held = labels.join(dealt.where(F.col("fold") == number).select("gene"), "gene", "left_semi")
-        seen = checkpoint(labels.join(held.select("gene").distinct(), "gene", "left_anti"))
-        stack = checkpoint(as_features(propagated(networks, seen, genes, **s.propagation)))
-        fitted = _fit(stack, seen, sampling.stratified_folds(seen, 2), s.oversample)
+    everyone = genes.unionByName(test_genes.select("gene")).distinct()
+    helds = [labels.join(dealt.where(F.col("fold") == number).select("gene"), "gene", "left_semi") for number in range(s.folds)]
+    seens = [checkpoint(labels.join(held.select("gene").distinct(), "gene", "left_anti")) for held in helds]
+    spread = [(seen, genes) for seen in seens] + [(labels, everyone)]
+    # A label with too few seeds in one fold is a feature in none.
+    *stacks, last = sampling.consistent_features([checkpoint(as_features(propagated(networks, seen, some, **s.propagation))) for seen, some in spread])
+    if last.isEmpty():
+        raise ValueError("no label has seeds enough in every fold; take fewer folds")
+    for number, (held, seen, stack) in enumerate(zip(helds, seens, stacks, strict=True)):
+        fitted = _fit(stack, seen, sampling.stratified_folds(seen, 2), s)
         cells = checkpoint(fitted.cells(stack, held, numbered).withColumn("fold", F.lit(number).cast("long")))
         raw = cells if raw is None else raw.unionByName(cells)
 
@@ -181,16 +187,14 @@ def tuned(networks: list[DataFrame], labels: DataFrame, test_genes: DataFrame, s
     at = found.select("label", "t")
     train = checkpoint(flat.drop("p").join(scaling.soft_threshold(flat.join(at, "label")), ["gene", "label"]).select("gene", "label", "y", "p"))
 
-    everyone = genes.unionByName(test_genes.select("gene")).distinct()
-    stack = checkpoint(as_features(propagated(networks, labels, everyone, **s.propagation)))
-    fitted = _fit(stack, labels, sampling.stratified_folds(labels, 2), s.oversample)
+    fitted = _fit(last, labels, sampling.stratified_folds(labels, 2), s)
     wanted = test_genes.select("gene").distinct().withColumns({"label": F.lit(names[0]), "y": F.lit(0.0)})
     used = {r["c"] for r in chosen.select("c").distinct().collect()}
-    scores = fitted.cells(stack, wanted, [g for g in numbered if g[0] in used]).join(chosen.select("c", "label"), ["c", "label"], "left_semi")
+    scores = fitted.cells(last, wanted, [g for g in numbered if g[0] in used]).join(chosen.select("c", "label"), ["c", "label"], "left_semi")
     flat = whole(checkpoint(scores.select("gene", "label", "y", "p")).join(ab.select("label"), "label", "left_semi"))
     out = checkpoint(flat.drop("p").join(scaling.soft_threshold(flat.join(at, "label")), ["gene", "label"]).select("gene", "label", "y", "p"))
     if s.neighbours:
-        train, out, at = _by_neighbours(stack, fitted.columns, labels, train, out, s)
+        train, out, at = _by_neighbours(last, fitted.columns, labels, train, out, s)
         found = found.drop("t").join(at, "label")
     predictions = out.select("gene", "label", nan_to_zero(F.col("p")).alias("p"))
     predictions = predictions.withColumn("rank", F.row_number().over(Window.partitionBy("gene").orderBy(F.desc("p"), "label")).cast("long"))

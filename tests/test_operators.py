@@ -302,3 +302,58 @@ def test_trims_pseudo_labels_and_order(spark):
     at = rows.withColumn("t", F.lit(0.65))
     assert metrics.f1_with_threshold(at).first()["tp"] == 2 and metrics.accuracy_with_threshold(at).first()[0] <= 1
     assert metrics.unseeded_aupr(rows, rows.where("gene = 1")).first()["aupr"] == pytest.approx(0.5)  # from the first hit on
+
+
+def test_regularised_projection_equals_that_of_the_whole_matrices():
+    rng = np.random.default_rng(12)
+    x, y = np.c_[np.ones(80), rng.random((80, 5))], (rng.random((80, 4)) < 0.3).astype(float)
+    (ux, _, vx), (uy, s, vy) = np.linalg.svd(x.T, full_matrices=False), np.linalg.svd(y.T, full_matrices=False)
+    left, values, _ = np.linalg.svd(np.diag(s * (s * s + 0.5)) @ vy @ (vx.T @ ux.T), full_matrices=False)
+    want = uy @ np.diag(1 / (s * s + 0.5)) @ left[:, values > 1e-6]
+    m = np.c_[x, y]
+    got = models.regularised_projection(m.T @ m, 5)
+    assert got.shape == want.shape and np.allclose(np.abs((got * want).sum(0)), (want * want).sum(0), rtol=1e-6)
+    lost = m.copy()
+    lost[:, -1] = lost[:, -2]  # two labels alike: one vector less
+    assert models.regularised_projection(lost.T @ lost, 5).shape == (4, 3)
+
+
+def test_equal_scores_are_ranked_by_gene_over_several_ranges(spark):
+    n = 20_000
+    rows = spark.range(n).select(
+        F.col("id").alias("gene"),
+        F.lit("a").alias("label"),
+        (F.pmod(F.xxhash64("id"), F.lit(10)) == 0).cast("double").alias("y"),
+        F.when(F.col("id") % 100 < 2, F.pow(F.lit(10.0), -(F.col("id") % 37) - 1)).when(F.col("id") % 100 == 3, 1.0).otherwise(0.0).alias("p"),
+    )
+    ranked = metrics.ranked(rows)
+    assert ranked.groupBy("_range").count().agg(F.max("count")).first()[0] < n / 5
+    got = ranked.orderBy("rn").toPandas()
+    want = rows.toPandas().sort_values(["p", "gene"], ascending=[False, True], ignore_index=True)
+    assert got["gene"].tolist() == want["gene"].tolist() and got["rn"].tolist() == list(range(1, n + 1)) and got["tp"].tolist() == want["y"].cumsum().tolist()
+    place = scaling.placed(rows.select("gene", "label", "p")).orderBy("rn").toPandas()
+    assert place["gene"].tolist() == want["gene"].tolist() and (place["n"] == n).all()
+
+
+def test_ranks_of_scores_beyond_0_and_1_and_of_none(spark):
+    scores = [2.0, 1.5, 1.0, 1.0, 0.04, 0.03125, 0.03, 1e-12, 5e-324, 0.0, 0.0, -0.5, -3.0]
+    rows = cells(spark, [0] * len(scores), scores)
+    assert [r["p"] for r in metrics.ranked(rows).orderBy("rn").collect()] == scores
+    lost = spark.createDataFrame([(1, "a", 1.0, float("nan")), (2, "a", 0.0, None), (3, "a", 0.0, 0.5)], "gene long, label string, y double, p double")
+    assert [r["gene"] for r in metrics.ranked(lost).orderBy("rn").collect()] == [3, 1, 2]
+    assert metrics.ranked(rows.limit(0)).count() == 0 and scaling.quantile_norm(rows.limit(0)).count() == 0
+
+
+def test_features_that_one_set_lacks_leave_all(spark):
+    made = lambda names: spark.createDataFrame([("g", n, 1.0) for n in names], "gene string, feature string, x double")
+    kept = sampling.consistent_features([made("abc"), made("bcd"), made("cb")])
+    assert [sorted(r["feature"] for r in one.collect()) for one in kept] == [["b", "c"]] * 3
+    assert [one.count() for one in sampling.consistent_features([made("a"), made("b")])] == [0, 0]
+
+
+def test_chopped_scaling_without_positives_or_range(spark):
+    rows = cells(spark, [0, 1, 0], [0.2, 0.6, 0.9]).unionByName(cells(spark, [0, 0], [0.3, 0.5], "none")).unionByName(cells(spark, [1, 1], [0.4, 0.4], "flat"))
+    got = {(r["label"], r["gene"]): round(r["p"], 6) for r in scaling.chop_scale(rows, scaling.chop_bounds(rows)).collect()}
+    assert got == {("a", 0): 0.0, ("a", 1): 1.0, ("a", 2): 1.0, ("none", 0): 0.3, ("none", 1): 0.5, ("flat", 0): 0.4, ("flat", 1): 0.4}
+    unseen = cells(spark, [0, 0, 0], [0.0, 0.2, 0.4])
+    assert [round(r["p"], 6) for r in scaling.chop_scale_unseen(unseen, scaling.chop_bounds(rows)).orderBy("gene").collect()] == [-1.0, 0.0, 1.0]

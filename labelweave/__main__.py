@@ -40,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
         one = sub.add_parser(name, help=text, parents=[spread])
         one.add_argument("--out", required=True, help="folder for the results")
         if name == "prop":
+            one.add_argument("--prior", help="square matrix of similarities between genes")
             continue
         one.add_argument("--folds", type=int, default=2)
         one.add_argument("--objective", type=int, choices=range(1, 7), default=1)
@@ -105,6 +106,9 @@ def main(spark: SparkSession, words: list[str] | None = None) -> None:
         labels, genes = _labels(spark, args.labels), tsv.read_ids(spark, args.genes, args.header).select("gene")
         options = {"method": args.method, "alpha": args.alpha, "relative": args.relative, "complete": args.complete}
         if args.command == "prop":
+            if args.prior:
+                cells = tsv.read_matrix(spark, args.prior)
+                options["prior"] = cells.select(F.col("col").alias("src"), F.col("row").alias("dst"), F.col("value").alias("w"))
             stack = commands.prop(networks, labels, labels.select("gene").union(genes), **options)
             tsv.write_matrix(tuning.as_features(stack), f"{args.out}/features", "gene", "feature", "x")
             return

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from labelweave.functions.lineage import checkpoint
 from labelweave.functions.scalar import nan_to_zero
-from labelweave.operators import calibration, metrics, models, network, propagation, sampling, scaling, similarity
+from labelweave.operators import calibration, metrics, models, network, priors, propagation, sampling, scaling, similarity
 from labelweave.plans import oracle, tuning
 from labelweave.sources import tables
 
@@ -175,6 +175,14 @@ def prior_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(propagation.add_prior(nodes, edges, marks, 5))
 
 
+def prior_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What priors from the network's own weights gain users' labels, by the number of similar nodes."""
+    cells = tables.event_cells(spark, sf_dir).withColumn("gene", F.concat(F.lit("u"), F.col("gene").cast("string")))
+    edges = checkpoint(tables.both_ways(cells.where("n > 0").select(F.col("gene").alias("src"), F.col("label").alias("dst"), F.col("n").alias("w"))))
+    normal, nodes = checkpoint(network.degree_normalise(edges)), checkpoint(network.degrees(edges).select("node"))
+    return rounded(priors.prior_areas(normal, nodes, checkpoint(cells.select("gene", "label", "y")), edges, ranks=(0, 2, 4)))
+
+
 def knn_recalibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = tables.event_cells(spark, sf_dir).select("gene", "label", "y", "p")
     rows = cells.groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("label", "p"))).alias("c")).select(F.col("gene").alias("row"), F.col("c.p").alias("x"))
@@ -238,6 +246,7 @@ def queries() -> dict[str, Query]:
         "trim_scores": _cells(lambda c: calibration.trim(c.select("gene", "label", "y", "p"), 0.1)),
         "closed_form_walk": closed_form_walk,
         "prior_seeds": prior_seeds,
+        "prior_areas": prior_areas,
         "platt_fit": _cells(calibration.platt),
         "knn_recalibrate": knn_recalibrate,
         "report": _cells(lambda c: metrics.report(c, 3)),

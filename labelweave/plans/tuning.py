@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from labelweave.functions.lineage import checkpoint
 from labelweave.functions.scalar import nan_to_zero
-from labelweave.operators import calibration, metrics, models, network, propagation, sampling, scaling, similarity
+from labelweave.operators import calibration, metrics, models, network, priors, propagation, sampling, scaling, similarity
 
 
 @dataclass(frozen=True)
@@ -55,11 +55,12 @@ class Tuned:
     order: DataFrame
 
 
-def propagated(networks: list[DataFrame], labels: DataFrame, genes: DataFrame, method: str = "rwr", alpha: float = 0.2, relative: bool = False, complete: bool = False) -> DataFrame:
+def propagated(networks: list[DataFrame], labels: DataFrame, genes: DataFrame, method: str = "rwr", alpha: float = 0.2, relative: bool = False, complete: bool = False, prior: DataFrame | None = None) -> DataFrame:
     """Features (gene, net_id, label, x) of genes: labels spread over each network.
 
     method is "rwr" (walk with restart; `relative` divides by the walk without) or "dlp". With
-    `complete`, edges that a network lacks are those of the networks' mean.
+    `complete`, edges that a network lacks are those of the networks' mean. With `prior`, similarities
+    (src, dst, w), walks start from seeds and their most similar nodes, as many as suit each label.
     """
     if complete and len(networks) > 1:
         mean = checkpoint(network.mean_network(networks))
@@ -70,10 +71,13 @@ def propagated(networks: list[DataFrame], labels: DataFrame, genes: DataFrame, m
             p = propagation.dynamic_propagation(edges, labels, alpha)
         else:
             normal = checkpoint(network.degree_normalise(edges))
-            r = checkpoint(propagation.seeds(labels, network.degrees(edges)))
-            p = propagation.walk(normal, r, alpha)
-            if relative:
-                p = propagation.ratio(p, propagation.walk(normal, r, 1.0))
+            if prior is not None:
+                p = priors.walk_with_priors(normal, checkpoint(network.degrees(edges).select("node")), labels, prior, alpha=alpha, relative=relative)
+            else:
+                r = checkpoint(propagation.seeds(labels, network.degrees(edges)))
+                p = propagation.walk(normal, r, alpha)
+                if relative:
+                    p = propagation.ratio(p, propagation.walk(normal, r, 1.0))
         named = p.select("node", F.lit(number).alias("net_id"), "label", "p")
         scores = named if scores is None else scores.unionByName(named)
     return propagation.feature_stack(genes, scores)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from labelweave.operators import calibration, metrics, models, network, propagation, sampling, scaling, similarity
+from labelweave.operators import calibration, metrics, models, network, priors, propagation, sampling, scaling, similarity
 from labelweave.plans import commands, tuning
 from labelweave.sources import tsv
 from labelweave.sources.tables import both_ways
@@ -357,3 +357,48 @@ def test_chopped_scaling_without_positives_or_range(spark):
     assert got == {("a", 0): 0.0, ("a", 1): 1.0, ("a", 2): 1.0, ("none", 0): 0.3, ("none", 1): 0.5, ("flat", 0): 0.4, ("flat", 1): 0.4}
     unseen = cells(spark, [0, 0, 0], [0.0, 0.2, 0.4])
     assert [round(r["p"], 6) for r in scaling.chop_scale_unseen(unseen, scaling.chop_bounds(rows)).orderBy("gene").collect()] == [-1.0, 0.0, 1.0]
+
+
+def test_priors_are_chosen_by_held_out_area(spark, ring):
+    names = sorted({r["src"] for r in ring.collect()})
+    w = dense(ring, names)
+    d = w.sum(1)
+    normal = w / np.sqrt(np.outer(d, d))
+    marked = {"x": ["n0", "n1", "n2", "n3", "n6"], "z": ["n4", "n5", "n7"], "lone": ["n8"]}
+    labels = spark.createDataFrame([(n, x, 1.0) for x, own in marked.items() for n in own], "gene string, label string, y double")
+    nodes = network.degrees(ring).select("node")
+
+    def prior(train, k):
+        r = np.zeros(len(names))
+        for s in train:
+            edge = np.sort(w[s])[::-1]
+            near = w[s] > edge[k] if k < (w[s] > 0).sum() else w[s] > 0
+            r += np.where(near, w[s], 0)
+        r[train] = 0
+        r = r / r.max() if r.max() > 0 else r
+        r[train] = 1
+        return r / r.sum()
+
+    def walk(r, alpha=0.6):
+        p = r.copy()
+        for _ in range(200):
+            p = alpha * normal @ p + (1 - alpha) * r
+        return p
+
+    def area(p, train, rest):
+        order = [i for i in sorted(range(len(names)), key=lambda i: (-round(p[i], 12), names[i])) if i not in train]
+        hits = [j for j, i in enumerate(order, 1) if i in rest]
+        pr = [(k + 1) / j for k, j in enumerate(hits)]
+        return pr[0] if len(pr) == 1 else sum(pr[k] + pr[k + 1] for k in range(len(pr) - 1)) / 2 / len(rest)
+
+    got = {(r["label"], r["k"]): r for r in priors.prior_areas(network.degree_normalise(ring), nodes, labels, ring, ranks=(0, 1)).collect()}
+    assert set(got) == {(x, k) for x in "xz" for k in (0, 1)}
+    for (x, k), r in got.items():
+        own = sorted(names.index(n) for n in marked[x])
+        own.sort(key=lambda i: names[i])
+        want = np.mean([area(walk(prior(own[f::2], k)), own[f::2], [i for i in own if i not in own[f::2]]) for f in range(2)])
+        assert r["aupr"] == pytest.approx(want, abs=1e-6) and r["base"] == pytest.approx(len(own) / 24)
+    rows = spark.createDataFrame([("a", 0, 0.5, 0.1), ("a", 5, 0.5, 0.1), ("a", 10, 0.2, 0.1), ("b", 0, 0.05, 0.1)], "label string, k int, aupr double, base double")
+    assert [(r["label"], r["k"]) for r in priors.best_ranks(rows).collect()] == [("a", 0)]
+    p = priors.walk_with_priors(network.degree_normalise(ring), nodes, labels, ring, ranks=(0, 1)).collect()
+    assert {r["label"] for r in p} <= {"x", "z"} and all(r["p"] > 0 for r in p)

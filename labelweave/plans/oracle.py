@@ -298,6 +298,28 @@ WHERE feature IN (SELECT feature FROM sums GROUP BY 1 HAVING count(DISTINCT l_li
         """SELECT gene, label, round(CASE WHEN p >= high THEN 1 WHEN high > low THEN (p - low) / (high - low) ELSE p END, 6) AS p FROM (
   SELECT c.gene, c.label, c.p, min(CASE WHEN c.p > 0 THEN c.p END) OVER (PARTITION BY c.label) AS low, least(b.high, max(c.p) OVER (PARTITION BY c.label)) AS high
   FROM cells c JOIN (SELECT label, max(CASE WHEN y = 1 THEN least(p, 1) END) AS high FROM cells WHERE p < 0.5 GROUP BY 1) b USING (label)) x"""
+    ),
+    "knn_recalibrate": _cells(
+        """SELECT c.gene, c.label, c.y, round(greatest(0, coalesce(h.w, 1) * c.p + (1 - coalesce(h.w, 1)) * coalesce(s.said, 0) / greatest((SELECT count(*) - 1 FROM best), 1)), 6) AS p
+FROM cells c LEFT JOIN hit h ON h.gene = c.gene AND h.label = c.label LEFT JOIN said s ON s.gene = c.gene AND s.label = c.label""",
+        RANKED,
+        RELATION,
+        """relation AS (
+  SELECT k, j, CASE WHEN k_pos > 0 THEN both_ / k_pos ELSE 0 END - j_pos / n AS positive, CASE WHEN n > k_pos THEN (j_pos - both_) / (n - k_pos) ELSE 0 END - j_pos / n AS negative
+  FROM pairs)""",
+        """vectors AS (SELECT gene, list(p ORDER BY label) AS x FROM cells GROUP BY 1)""",
+        """distances AS (
+  SELECT a.gene, b.gene AS other, list_sum(list_transform(list_zip(a.x, b.x), lambda v: 1 - (1 + least(v[1], v[2])) / (1 + greatest(v[1], v[2])))) AS d
+  FROM vectors a JOIN vectors b ON a.gene <> b.gene)""",
+        """near AS (SELECT gene, other FROM distances QUALIFY row_number() OVER (PARTITION BY gene ORDER BY d, other) <= 5)""",
+        """hit AS (
+  SELECT n.gene, c.label, avg(CASE WHEN (c.p > 0.5) = (c.y = 1) THEN 1 ELSE 0 END) AS w FROM near n JOIN cells c ON c.gene = n.other GROUP BY 1, 2)""",
+        """best AS (
+  SELECT k FROM (SELECT t.label AS k, row_number() OVER (ORDER BY coalesce(a.aupr, 0) DESC, t.label) AS place, count(*) OVER () AS size
+    FROM (SELECT DISTINCT label FROM cells) t LEFT JOIN areas a USING (label)) x WHERE place <= floor(size * 0.5) + 1)""",
+        """said AS (
+  SELECT c.gene, r.j AS label, sum(c.p * r.positive + (1 - c.p) * r.negative) AS said
+  FROM cells c JOIN best b ON b.k = c.label JOIN relation r ON r.k = c.label GROUP BY 1, 2)""",
     ),
     "over_threshold": _cells("SELECT gene, label, round(p / nullif(t, 0), 6) AS p FROM cells JOIN thresholds USING (label)"),
     "column_max_scale": _cells("SELECT gene, label, round(CASE WHEN max(p) OVER (PARTITION BY label) > 0 THEN p / max(p) OVER (PARTITION BY label) ELSE p END, 6) AS p FROM cells"),

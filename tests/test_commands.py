@@ -40,3 +40,17 @@ def test_prop_on_files_and_flags(spark, tmp_path):
     assert got.per_label and got.k == [0.1, 0.5, 2.0] and got.beta == 1.0
     with pytest.raises(SystemExit):
         parser().parse_args(["tune", "--out", "x"])
+
+
+def test_prop_with_priors_on_files(spark, tmp_path):
+    names = [f"n{k}" for k in range(12)]
+    (tmp_path / "net.tsv").write_text("".join(f"n{k}\tn{(k + 1) % 12}\t1\n" for k in range(12)))
+    (tmp_path / "y.tsv").write_text("id\ta\n" + "".join(f"n{k}\t{int(k in (0, 1, 2, 3, 6))}\n" for k in range(8)))
+    (tmp_path / "genes.tsv").write_text("n9\n")
+    near = [[1 + j % 3 if abs(k - j) in (1, 11) else 0 for j in range(12)] for k in range(12)]
+    (tmp_path / "prior.tsv").write_text("\t".join(["id", *names]) + "\n" + "".join("\t".join([names[k], *map(str, row)]) + "\n" for k, row in enumerate(near)))
+    files = ["--networks", f"{tmp_path}/net.tsv", "--labels", f"{tmp_path}/y.tsv", "--genes", f"{tmp_path}/genes.tsv", "--prior", f"{tmp_path}/prior.tsv", "--out", f"{tmp_path}/e"]
+    main(spark, ["prop", *files])
+    rows = _lines(f"{tmp_path}/e/features")
+    assert {"n0", "n7", "n9"} <= {r[0] for r in rows} and rows[0][1:] == ["0000/a"]
+    assert all(0 < float(r[1]) < 1 for r in rows if r[0] == "n0")

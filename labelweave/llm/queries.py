@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm import bloom_lm, decontam, langid, licenses, mixing, quality_model, quality_rules, secret_grammar, simhash, warc
+from labelweave.llm import bloom_lm, collocations, decontam, hard_negatives, langid, licenses, mixing, quality_model, quality_rules, secret_grammar, simhash, token_counts, warc
 from labelweave.llm.common import id_bucket, table
 
 
@@ -146,6 +146,78 @@ FROM placed
 """
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """Tokens of every document in a public byte-level vocabulary, or in the one at a path."""
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    counted = token_counts.count(table(spark, sf_dir, "documents").select("doc_id", "text"), token_counts.read_vocabulary(vocabulary))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh counts under the next label."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0, label=label)
+
+
+OP12_SQL = """
+WITH part AS (
+  SELECT row_number() OVER () AS row_id, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.row_id AS anchor, a.vec_id AS anchor_id, b.row_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM part a, part b WHERE a.vec_id % 100 = 0 AND a.row_id <> b.row_id),
+positives AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS k FROM scored WHERE same),
+allowed AS (
+  SELECT p.anchor_id, p.anchor, p.row_id AS positive, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor, p.row_id ORDER BY n.score DESC, n.vec_id) AS rank
+  FROM positives p JOIN scored n ON p.anchor = n.anchor AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+  WHERE p.k <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM allowed WHERE rank <= 10
+"""
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language whose words stick together most."""
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-
+]')) AS piece
+  FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k AS size, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM split, (VALUES (1), (2), (3)) sizes(k) WHERE len(w) >= k),
+totals AS (SELECT lang, count(*) AS n FROM grams WHERE size = 1 GROUP BY lang),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10),
+cut AS (
+  SELECT lang, size, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[:k], ' ') AS head, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS tail
+  FROM f, (VALUES (1), (2)) cuts(k) WHERE k < size),
+scored AS (
+  SELECT c.lang, c.size, c.phrase, c.a, c.k, h.f AS l, t.f AS r, (1000000::HUGEINT * c.a * c.a) // (h.f::HUGEINT * t.f) AS score
+  FROM cut c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f t ON t.lang = c.lang AND t.phrase = c.tail),
+lowest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS pick FROM scored) WHERE pick = 1),
+around AS (
+  SELECT lang, phrase, max(f) AS inside FROM (
+    SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS phrase
+    FROM f WHERE size = 3) GROUP BY lang, phrase),
+ranked AS (
+  SELECT lang, phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE "binary") AS rank
+  FROM lowest LEFT JOIN around USING (lang, phrase) WHERE coalesce(100 * inside < 50 * a, true))
+SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -158,8 +230,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_licenses": op9_licenses,
         "op10_mixing": op10_mixing,
+        "op11_token_counts": op11_token_counts,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op9_licenses": _op9_sql(), "op10_mixing": OP10_SQL}
+    return {"op4_warc": OP4_SQL, "op9_licenses": _op9_sql(), "op10_mixing": OP10_SQL, "op12_hard_negatives": OP12_SQL, "op13_collocations": OP13_SQL}

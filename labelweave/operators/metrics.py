@@ -5,53 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelweave.operators.ranking import dealt
 from labelweave.operators.windows import RUNNING
 
-#: Equal ranges that scores from 1/32 to 1 are split into, so that no label is ranked in one task.
-RANGES = 256
-#: Below 1/32, ranges for each halving of the score: scores that crowd near 0 still spread.
-HALVING = 8
-#: Genes that cut the cells of a score of 0 or 1, by id, where most cells of a label may lie.
-CUTS = 64
 
 
-def score_range(ranges: int = RANGES) -> Column:
-    """The range that a score p is in, an integer that never falls as p grows."""
-    p = F.col("p")
-    small = F.floor(F.log2(F.greatest(p, F.lit(1e-300))) * HALVING).cast("int")
-    least = int(-1000 * HALVING)
-    return (
-        F.when(p < 0, least - 1)
-        .when(p == 0, least)
-        .when(p < 1 / 32, small + (5 * HALVING - 1))
-        .when(p < 1, F.floor(p * ranges).cast("int"))
-        .when(p == 1, ranges)
-        .otherwise(ranges + 1)
-    )
-
-
-def _gene_cuts(rows: DataFrame) -> DataFrame:
-    """One row with a sorted array of at most CUTS genes, the least by hash of each of as many buckets."""
-    hashed = F.xxhash64("gene")
-    each = rows.groupBy(F.pmod(hashed, F.lit(CUTS)).alias("_b")).agg(F.min_by("gene", hashed).alias("_g"))
-    return each.agg(F.array_sort(F.collect_list("_g")).alias("_cuts"))
-
-
-def ranked(cells: DataFrame, key: str = "label", ranges: int = RANGES, keep: tuple[str, ...] = ()) -> DataFrame:
+def ranked(cells: DataFrame, key: str = "label", ranges: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Cells with rank `rn`, running positives `tp` and running weights `w_all`, `w_pos`, and the key's totals.
 
-    Scores are cut into ranges, those of 0 and 1 further by gene, since ties are ordered by gene;
-    sums of the ranges, aggregated before the shuffle, give each range its start. cells may have a
-    weight column `cost` (1 if it hasn't), and columns besides the known ones if `keep` names them.
+    Cells are dealt once by ranges of key, score and id (ranking.dealt), so any number of equal scores is
+    split; sums of the ranges give each range its start. What cells are made of is read for that
+    only. cells may have a weight column `cost` (1 if it hasn't), and columns besides the known ones if
+    `keep` names them.
     """
     known = dict.fromkeys(("_all", "gene", "label", "y", "p", "cost", "log_beta", "cand", *keep))
     cells = cells.select(*[c for c in known if c in cells.columns])
     cost = F.col("cost") if "cost" in cells.columns else F.lit(1.0)
     p = F.when(F.col("p").isNull() | F.isnan("p"), 0.0).otherwise(F.col("p"))
-    rows = cells.withColumns({"p": p, "cost": cost})
     # Ranks go from high scores to low and, among equal ones, from small genes to large.
-    tied = F.when(F.col("p").isin(0.0, 1.0), F.size(F.filter("_cuts", lambda g: g < F.col("gene")))).otherwise(0)
-    rows = rows.join(F.broadcast(_gene_cuts(cells))).withColumn("_range", F.struct(score_range(ranges).alias("at"), (-tied).alias("cut"))).drop("_cuts")
+    tie = [c for c in ("gene", "label") if c in cells.columns]
+    rows = dealt(cells.withColumns({"p": p, "cost": cost}), key, F.desc("p"), *tie, ranges=ranges)
     gained = F.col("y") * F.col("cost")
     sums = rows.groupBy(key, "_range").agg(
         F.count("*").alias("_n"),
@@ -61,7 +34,7 @@ def ranked(cells: DataFrame, key: str = "label", ranges: int = RANGES, keep: tup
         F.sum((F.col("p") >= 1).cast("long")).alias("_one"),
         F.sum((F.col("p") <= 0).cast("long")).alias("_zero"),
     )
-    above = Window.partitionBy(key).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(key)
     zero = F.lit(0.0)
     starts = sums.select(
@@ -70,7 +43,6 @@ def ranked(cells: DataFrame, key: str = "label", ranges: int = RANGES, keep: tup
         *[F.coalesce(F.sum(c).over(above), zero).alias(f"{c}0") for c in ("_n", "_p", "_c", "_g")],
         *[F.sum(c).over(whole).alias(name) for c, name in (("_n", "n"), ("_p", "total"), ("_g", "gain"), ("_one", "ones"), ("_zero", "zeros"))],
     )
-    tie = [c for c in ("gene", "label") if c in cells.columns]
     run = Window.partitionBy(key, "_range").orderBy(F.desc("p"), *tie).rowsBetween(*RUNNING)
     return rows.join(starts, [key, "_range"]).select(
         *cells.columns,
@@ -94,7 +66,7 @@ def carried(rows: DataFrame, key: str, names: list[str], until: int = 0) -> Data
     Within a range of scores this is a window; each range begins with the last value of those above it.
     """
     held = rows.groupBy(key, "_range").agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("rn"))).alias(n) for n in names])
-    above = Window.partitionBy(key).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = held.select(key, "_range", *[F.last(n, True).over(above).alias(f"{n}0") for n in names])
     run = Window.partitionBy(key, "_range").orderBy("rn").rowsBetween(Window.unboundedPreceding, until)
     return rows.join(starts, [key, "_range"]).withColumns({n: F.coalesce(F.last(n, True).over(run), f"{n}0") for n in names})

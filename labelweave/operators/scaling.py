@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelweave.functions.lineage import checkpoint
 from labelweave.functions.scalar import nan_to_zero, sigmoid
 from labelweave.operators.metrics import ranked
 from labelweave.operators.windows import with_totals
 
 
 def placed(cells: DataFrame, by: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
-    """Cells (*by, gene, label, p, *keep) with `rn`, the rank from the best score down within by and label, and their number `n`.
+    """Cells (*by, gene, label, p, *keep) with `rn`, the rank from the best score down within by and label, their number `n` and the sum of their scores `sum`.
 
-    Scores that are null or no numbers are 0.
+    Scores that are null or no numbers are 0. Kept in the checkpoint folder, since what follows reads ranks more than once.
     """
-    keyed = cells.select(*by, "gene", "label", "p", *keep, F.struct(*by, "label").alias("_key"), F.lit(0.0).alias("y"))
-    return ranked(keyed, "_key", keep=(*by, *keep, "_key")).select(*by, "gene", "label", "p", *keep, "rn", "n")
+    keyed = cells.select(*by, "gene", "label", "p", *keep, F.struct(*by, "label").alias("_key"), nan_to_zero(F.col("p")).alias("y"))
+    return checkpoint(ranked(keyed, "_key", keep=(*by, *keep, "_key")).select(*by, "gene", "label", "p", *keep, "rn", "n", F.col("total").alias("sum")))
 
 
 def quantile_norm(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -24,8 +25,8 @@ def quantile_norm(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
     Columns `by` keep sets of cells apart.
     """
-    rows = with_totals(placed(cells, by), (*by, "label"), _sum=F.sum("p"))
-    used = F.abs("_sum") > 1e-9
+    rows = placed(cells, by)
+    used = F.abs("sum") > 1e-9
     profile = rows.where(used).groupBy(*by, "rn").agg(F.sum("p").alias("_v"))
     ends = profile.groupBy(*by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     joined = profile.join(ends, list(by)) if by else profile.join(F.broadcast(ends))

@@ -2,7 +2,8 @@
 
 Training rows are (gene, fold, x, y): arrays of features and of 0/1 labels. Every fit needs only sums
 over rows. One job gives, for each fold, the moments of [1, x, y]; ridge regression for all codes
-and penalties, its cross-validated errors and the canonical correlations follow from them. The
+and penalties, its cross-validated errors and the canonical correlations follow from them. Where they would take too much
+memory, triangles and conjugate gradients (operators.factors) give the same. The
 logistic models of labels, penalties and folds are fitted in blocks by Newton's method: each
 round, tasks send one gradient and curvature for each model of a block, whose size is bounded.
 """
@@ -17,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelweave.operators import factors
+
 #: Penalties that both models are searched over: fifteen decades.
 PENALTIES = tuple(10.0**k for k in range(-6, 9))
 
@@ -88,29 +91,10 @@ def canonical_projection(total: np.ndarray, features: int, shrink: float = 1e-6)
     return right @ vt.T
 
 
-def regularised_projection(total: np.ndarray, features: int, ridge: float = 0.5) -> np.ndarray:
-    """Label-side vectors of the correlation of labels with [1, x] that adds `ridge` to the labels' squared singular values.
-
-    From the moments of [1, x, y], which aren't centred: the right singular vectors of the rows cancel,
-    so nothing of the rows' number is needed. There are as many vectors as the correlation has rank.
-    """
-
-    def spectrum(m):
-        values, vectors = np.linalg.eigh(m)
-        kept = values > max(1e-12, len(m) * np.finfo(float).eps * values.max(initial=0))
-        return values[kept], vectors[:, kept]
-
-    d = features + 1
-    (x2, ux), (y2, uy) = spectrum(total[:d, :d]), spectrum(total[d:, d:])
-    b = (y2 + ridge)[:, None] * (uy.T @ total[d:, :d] @ (ux / np.sqrt(x2)) @ ux.T)
-    left, values, _ = np.linalg.svd(b, full_matrices=False)
-    return uy @ (left[:, values > 1e-6] / (y2 + ridge)[:, None])
-
-
-def ridge_codes(sums: dict[int, np.ndarray], features: int, penalties=PENALTIES, regularised: bool = False) -> Codes:
-    """Ridge regression of every canonical code on [1, x]; the penalty by cross-validated squared error."""
+def ridge_codes(sums: dict[int, np.ndarray], features: int, penalties=PENALTIES, projection: np.ndarray | None = None) -> Codes:
+    """Ridge regression of every code on [1, x]; the penalty by cross-validated squared error. Codes are canonical ones if no projection of the labels is given."""
     total = sum(sums.values())
-    b = regularised_projection(total, features) if regularised else canonical_projection(total, features)
+    b = canonical_projection(total, features) if projection is None else projection
     d = features + 1
     errors = np.zeros((len(penalties), b.shape[1]))
     solve = lambda m, lam: np.linalg.solve(m[:d, :d] + lam * np.eye(d), m[:d, d:] @ b)
@@ -125,6 +109,54 @@ def ridge_codes(sums: dict[int, np.ndarray], features: int, penalties=PENALTIES,
     return Codes(b, weights, sigma, np.array([penalties[k] for k in best]))
 
 
+def ridge_codes_by_products(rows: DataFrame, features: int, projection: np.ndarray, penalties=PENALTIES) -> Codes:
+    """ridge_codes() without moments: conjugate gradients over the rows, so that memory grows with the features' number only."""
+    folds = sorted(r[0] for r in rows.select("fold").distinct().collect())
+    held = [*folds, None] if len(folds) > 1 else [None]
+    w = factors.shifted_ridge(rows, projection, features, tuple(penalties), held)
+    number = {f: k for k, f in enumerate(folds)}
+    shared = rows.sparkSession.sparkContext.broadcast(w)
+
+    def squares(part: pd.DataFrame) -> np.ndarray:
+        """For each fold the squared errors of its rows by the weights that it is held out of, and its number of rows."""
+        now = shared.value
+        total = np.zeros((len(folds), len(penalties) * projection.shape[1] + 1))
+        for fold, some in part.groupby("fold"):
+            m, y = factors.design_block(some)
+            z = y @ projection
+            for k in range(len(penalties)):
+                gap = z - m @ now[number[fold] if len(folds) > 1 else 0, k].T
+                total[number[fold], k * z.shape[1] : (k + 1) * z.shape[1]] = (gap * gap).sum(0)
+            total[number[fold], -1] = len(some)
+        return total
+
+    sums = factors.summed(rows, squares, (len(folds), len(penalties) * projection.shape[1] + 1))
+    shared.destroy()
+    errors = (sums[:, :-1] / np.maximum(sums[:, -1:], 1)).mean(0).reshape(len(penalties), -1)
+    best = [middle_best(errors[:, j]) for j in range(projection.shape[1])]
+    sigma = np.sqrt(np.maximum(errors[best, range(len(best))], 1e-12))
+    return Codes(projection, np.stack([w[-1, k, j] for j, k in enumerate(best)], axis=1), sigma, np.array([penalties[k] for k in best]))
+
+
+#: Bytes of moments, a table for each fold, that the driver may hold; wider rows are fitted by products.
+MOMENTS = 256 << 20
+
+
+def fit_codes(rows: DataFrame, features: int, labels: int, penalties=PENALTIES, regularised: bool = False, most_bytes: int = MOMENTS) -> Codes:
+    """Codes of rows (fold, x, y): from moments if those of all folds fit most_bytes, else by products over the rows."""
+    folds = rows.select("fold").distinct().count()
+    narrow = 8 * (features + labels + 1) ** 2 * max(1, folds) <= most_bytes
+    r = None if narrow and not regularised else factors.triangle(rows)
+    projection = factors.regularised_projection(r, features)[0] if regularised else None
+    if narrow:
+        return ridge_codes(moments(rows), features, penalties, projection)
+    if projection is None:
+        n = rows.count()
+        cov = r[1:, 1:].T @ r[1:, 1:]  # behind the column of ones: of centred rows
+        projection = canonical_projection(np.block([[np.full((1, 1), float(n)), np.zeros((1, len(cov)))], [np.zeros((len(cov), 1)), cov]]), features)
+    return ridge_codes_by_products(rows, features, projection, penalties)
+
+
 #: Bytes of curvatures that a task and the driver hold at once.
 CURVATURES = 256 << 20
 
@@ -279,8 +311,7 @@ def grid_cells(rows: DataFrame, labels: list[str], own: np.ndarray, codes: Codes
 def encode_decode(rows: DataFrame, labels: list[str], k: int | None = None, lam: float = 0.1, folds: int = 2, penalties=PENALTIES, regularised: bool = False) -> DataFrame:
     """Fits all models on rows and decodes the same rows: (gene, fold, label, y, p)."""
     features = len(rows.select("x").first()["x"])
-    sums = moments(rows)
-    codes = ridge_codes(sums, features, penalties, regularised)
+    codes = fit_codes(rows, features, len(labels), penalties, regularised)
     own, _ = logistic(rows, len(labels), features, penalties, folds)
     k = min(k or len(labels), features, codes.projection.shape[1])
     return cells_of(rows, labels, predict(rows, own, codes, k, lam))

@@ -65,6 +65,48 @@ def _walk(alpha: str, steps: int, restart: str = "") -> str:
     return ",\n".join(parts)
 
 
+TRANSITIONS = "moves AS (SELECT j AS src, k AS dst, CASE WHEN j_pos > 0 THEN both_ / j_pos ELSE 0 END AS w FROM pairs)"
+
+
+def _smoothed(source: str, out: str, steps: int) -> str:
+    """So many steps of smoothing of source (node, label, p) over `moves` as CTEs; nodes that have settled stay as they are. The last is `out`."""
+    parts = [f"""{out}_n AS (SELECT count(DISTINCT label) - 1 AS others FROM {source}),
+{out}_0 AS (
+  SELECT n.node, l.label, coalesce(s.p, 0) AS start, coalesce(s.p, 0) AS p, true AS open
+  FROM (SELECT DISTINCT node FROM {source}) n CROSS JOIN (SELECT DISTINCT label FROM {source}) l LEFT JOIN {source} s ON s.node = n.node AND s.label = l.label)"""]
+    for k in range(steps):
+        old, new = f"{out}_{k}", f"{out}_{k + 1}"
+        parts.append(f"""{new}_g AS (SELECT s.node, m.dst AS label, sum(s.p * m.w) AS gain FROM {old} s JOIN moves m ON s.label = m.src GROUP BY 1, 2),
+{new}_s AS (
+  SELECT s.node, s.label, s.start, s.open, s.p AS o,
+    CASE WHEN s.open THEN CAST(0.7 AS DOUBLE) * s.start + CAST(0.3 AS DOUBLE) / (SELECT others FROM {out}_n) * coalesce(g.gain, 0) ELSE s.p END AS p
+  FROM {old} s LEFT JOIN {new}_g g ON g.node = s.node AND g.label = s.label),
+{new} AS (SELECT node, label, start, p, open AND coalesce(sum(abs(p - o)) OVER (PARTITION BY node) / nullif(sum(p) OVER (PARTITION BY node), 0) > 0.001, false) AS open FROM {new}_s)""")
+    return ",\n".join([*parts, f"{out} AS (SELECT node, label, p FROM {out}_{steps})"])
+
+
+def _turns(turns: int, steps: int, smoothing: int) -> str:
+    """Turns of walking and smoothing, from the seeds r; the last is `turn` and its number."""
+    parts = ["r0 AS (SELECT node, label, r FROM r)"]
+    for t in range(turns):
+        parts.append(f"w{t}_0 AS (SELECT node, label, r AS p FROM r{t})")
+        for k in range(steps):
+            parts.append(f"""w{t}_{k + 1} AS (SELECT node, label, sum(p) AS p FROM (
+  SELECT e.src AS node, q.label, CAST(0.2 AS DOUBLE) * sum(e.w * q.p) AS p FROM normal e JOIN w{t}_{k} q ON e.dst = q.node GROUP BY 1, 2
+  UNION ALL SELECT node, label, CAST(0.8 AS DOUBLE) * r FROM r{t}) x GROUP BY 1, 2)""")
+        parts.append(_smoothed(f"w{t}_{steps}", f"turn{t}", smoothing))
+        parts.append(f"r{t + 1} AS (SELECT node, label, p / sum(p) OVER (PARTITION BY label) AS r FROM turn{t} WHERE p > 0)")
+    return ",\n".join(parts)
+
+
+USERS = f"""edges AS (
+  SELECT 'u' || CAST(gene AS VARCHAR) AS src, label AS dst, n AS w FROM cells WHERE n > 0
+  UNION ALL SELECT label, 'u' || CAST(gene AS VARCHAR), n FROM cells WHERE n > 0),
+{NORMAL},
+positive AS (SELECT 'u' || CAST(gene AS VARCHAR) AS node, label FROM cells WHERE y = 1 AND 'u' || CAST(gene AS VARCHAR) IN (SELECT node FROM deg)),
+r AS (SELECT node, label, {_ONE} / count(*) OVER (PARTITION BY label) AS r FROM positive QUALIFY count(*) OVER (PARTITION BY label) >= 2)"""
+
+
 def _cells(body: str, *more: str) -> str:
     return f"WITH {', '.join([CELLS, *more])}\n{body}"
 
@@ -140,6 +182,20 @@ UNION ALL SELECT node, label, {_ONE} AS r FROM positive""",
   round(CASE WHEN j_pos > 0 THEN both_ / j_pos ELSE 0 END, 6) AS transition FROM pairs""",
         RELATION,
     ),
+    "label_graph_smooth": _cells(
+        "SELECT CAST(node AS BIGINT) AS gene, label, round(p, 6) AS p FROM settled",
+        RELATION,
+        TRANSITIONS,
+        "given AS (SELECT gene AS node, label, p FROM cells)",
+        _smoothed("given", "settled", 9),
+    ),
+    "two_graphs_unrolled": _cells(
+        "SELECT node, label, round(p / max(p) OVER (PARTITION BY label), 6) AS p FROM turn1 WHERE p > 0",
+        RELATION,
+        TRANSITIONS,
+        USERS,
+        _turns(2, 3, 4),
+    ),
     "label_graph_smooth_unrolled": _cells(
         """SELECT gene, label, round(sum(p), 6) AS p FROM (
   SELECT s.gene, t.dst AS label, sum(s.p * t.w) * CAST(0.7 AS DOUBLE) AS p FROM s1 s JOIN trans t ON s.label = t.src GROUP BY 1, 2

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from labelweave.functions.lineage import checkpoint
 from labelweave.functions.scalar import nan_to_zero
-from labelweave.operators import calibration, metrics, models, network, priors, propagation, sampling, scaling, similarity
+from labelweave.operators import calibration, factors, metrics, models, network, priors, propagation, sampling, scaling, similarity
 from labelweave.plans import oracle, tuning
 from labelweave.sources import tables
 
@@ -94,6 +94,31 @@ def smooth_labels(cells: DataFrame) -> DataFrame:
     return propagation.smooth_labels(cells, relation.select(F.col("k").alias("src"), F.col("j").alias("dst"), F.col("transition").alias("w")))
 
 
+def _transitions(cells: DataFrame) -> DataFrame:
+    """(src, dst, w): the share of a label's genes that have another one."""
+    return similarity.label_relationship(cells).select(F.col("j").alias("src"), F.col("k").alias("dst"), F.col("transition").alias("w"))
+
+
+def label_graph_smooth(cells: DataFrame) -> DataFrame:
+    return propagation.smooth_until_settled(checkpoint(cells.select("gene", "label", "p")), checkpoint(_transitions(cells)))
+
+
+def two_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two turns of users' labels walking on the network of what they do and being smoothed over the labels."""
+    cells, edges = _user_network(spark, sf_dir)
+    normal, nodes = checkpoint(network.degree_normalise(edges)), network.degrees(edges)
+    r = checkpoint(propagation.seeds(cells.select("gene", "label", "y"), nodes))
+    found = propagation.two_graphs(normal, r, checkpoint(_transitions(cells)), most=2, tolerance=0.0, walk_most=3, walk_tolerance=0.0, smooth_most=4)
+    return rounded(found.where("p > 0"))
+
+
+def _user_network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Users' cells, and the network of users and event types."""
+    cells = checkpoint(tables.event_cells(spark, sf_dir).withColumn("gene", F.concat(F.lit("u"), F.col("gene").cast("string"))))
+    edges = tables.both_ways(cells.where("n > 0").select(F.col("gene").alias("src"), F.col("label").alias("dst"), F.col("n").alias("w")))
+    return cells, checkpoint(edges)
+
+
 def column_scale(cells: DataFrame) -> DataFrame:
     return scaling.column_scale(cells, cells.groupBy("label").agg(F.avg("y").alias("rate")))
 
@@ -132,6 +157,20 @@ def encode_decode_regularised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.encode_decode(*event_rows(spark, sf_dir), regularised=True))
 
 
+def canonical_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical correlations of the embeddings with their labels, plain and with a ridge on the labels, by rank."""
+    table = tables.read(spark, sf_dir, "embeddings").where("label IS NOT NULL AND embedding IS NOT NULL")
+    classes = [r[0] for r in table.select("label").distinct().orderBy("label").collect()]
+    rows = table.select(
+        F.lit(0).alias("fold"), F.col("embedding").cast("array<double>").alias("x"), F.array(*[(F.col("label") == F.lit(c)).cast("double") for c in classes]).alias("y")
+    )
+    width = len(rows.select("x").first()["x"])
+    r = factors.triangle(checkpoint(rows))
+    plain, ridge = factors.canonical_pair(r, width)[2], factors.regularised_projection(r, width)[1]
+    found = [("plain", k, float(v)) for k, v in enumerate(plain)] + [("ridge", k, float(v)) for k, v in enumerate(ridge)]
+    return rounded(spark.createDataFrame(found, "kind string, rank long, r double"))
+
+
 def consistent_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts by the suppliers that delivered in every line status, with what each delivered in each."""
     lines = tables.read(spark, sf_dir, "lineitem").where("l_suppkey IS NOT NULL AND l_partkey IS NOT NULL AND l_suppkey % 7 <> 0 OR l_linestatus = 'F'")
@@ -177,8 +216,7 @@ def prior_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prior_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What priors from the network's own weights gain users' labels, by the number of similar nodes."""
-    cells = tables.event_cells(spark, sf_dir).withColumn("gene", F.concat(F.lit("u"), F.col("gene").cast("string")))
-    edges = checkpoint(tables.both_ways(cells.where("n > 0").select(F.col("gene").alias("src"), F.col("label").alias("dst"), F.col("n").alias("w"))))
+    cells, edges = _user_network(spark, sf_dir)
     normal, nodes = checkpoint(network.degree_normalise(edges)), checkpoint(network.degrees(edges).select("node"))
     return rounded(priors.prior_areas(normal, nodes, checkpoint(cells.select("gene", "label", "y")), edges, ranks=(0, 2, 4)))
 
@@ -201,8 +239,7 @@ def _objectives(cells: DataFrame, cut: int) -> DataFrame:
 
 def tune_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probabilities of all users' labels, by settings chosen over folds; users walk on the network of what they do."""
-    cells = checkpoint(tables.event_cells(spark, sf_dir).withColumn("gene", F.concat(F.lit("u"), F.col("gene").cast("string"))))
-    edges = checkpoint(tables.both_ways(cells.where("n > 0").select(F.col("gene").alias("src"), F.col("label").alias("dst"), F.col("n").alias("w"))))
+    cells, edges = _user_network(spark, sf_dir)
     labels = cells.select("gene", "label", "y")
     found = tuning.tuned([edges], labels, labels.select("gene").distinct(), tuning.Settings(lam_steps=2, propagation={"alpha": 0.2}))
     return rounded(found.predictions)
@@ -230,6 +267,7 @@ def queries() -> dict[str, Query]:
         "mlsmote": synthetic_rows,
         "encode_decode": encode_decode,
         "encode_decode_regularised": encode_decode_regularised,
+        "canonical_correlations": canonical_correlations,
         "consistent_features": consistent_features,
         "feature_range_scale": _cells(feature_range_scale),
         "chop_scale": _cells(lambda c: scaling.chop_scale(c, scaling.chop_bounds(c))),
@@ -251,6 +289,8 @@ def queries() -> dict[str, Query]:
         "knn_recalibrate": knn_recalibrate,
         "report": _cells(lambda c: metrics.report(c, 3)),
         "label_relationship": _cells(similarity.label_relationship),
+        "label_graph_smooth": _cells(label_graph_smooth),
+        "two_graphs_unrolled": two_graphs,
         "label_graph_smooth_unrolled": _cells(smooth_labels),
         "pearson_rows": _rows(similarity.pearson_rows),
         "pearson_columns": _rows(similarity.pearson_columns),

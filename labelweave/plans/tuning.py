@@ -111,7 +111,7 @@ def _fit(stack: DataFrame, labels: DataFrame, folds: DataFrame, s: Settings) ->
         rows = rows.unionByName(made.select("gene", "fold", "x", "y"))
     rows = checkpoint(rows)
     columns = [r[0] for r in stack.select("feature").distinct().orderBy("feature").collect()]
-    codes, (own, _) = models.ridge_codes(models.moments(rows), len(columns), regularised=s.regularised), models.logistic(rows, len(names), len(columns))
+    codes, (own, _) = models.fit_codes(rows, len(columns), len(names), regularised=s.regularised), models.logistic(rows, len(names), len(columns))
     return _Fitted(names, columns, own, codes)
 
 

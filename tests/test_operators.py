@@ -304,20 +304,6 @@ def test_trims_pseudo_labels_and_order(spark):
     assert metrics.unseeded_aupr(rows, rows.where("gene = 1")).first()["aupr"] == pytest.approx(0.5)  # from the first hit on
 
 
-def test_regularised_projection_equals_that_of_the_whole_matrices():
-    rng = np.random.default_rng(12)
-    x, y = np.c_[np.ones(80), rng.random((80, 5))], (rng.random((80, 4)) < 0.3).astype(float)
-    (ux, _, vx), (uy, s, vy) = np.linalg.svd(x.T, full_matrices=False), np.linalg.svd(y.T, full_matrices=False)
-    left, values, _ = np.linalg.svd(np.diag(s * (s * s + 0.5)) @ vy @ (vx.T @ ux.T), full_matrices=False)
-    want = uy @ np.diag(1 / (s * s + 0.5)) @ left[:, values > 1e-6]
-    m = np.c_[x, y]
-    got = models.regularised_projection(m.T @ m, 5)
-    assert got.shape == want.shape and np.allclose(np.abs((got * want).sum(0)), (want * want).sum(0), rtol=1e-6)
-    lost = m.copy()
-    lost[:, -1] = lost[:, -2]  # two labels alike: one vector less
-    assert models.regularised_projection(lost.T @ lost, 5).shape == (4, 3)
-
-
 def test_equal_scores_are_ranked_by_gene_over_several_ranges(spark):
     n = 20_000
     rows = spark.range(n).select(

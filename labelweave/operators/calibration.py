@@ -126,18 +126,27 @@ def beta_search(cells: DataFrame, cut: int = 3, rounds: int = ROUNDS, rates=RATE
     First one rate for all labels, log10 beta = (precision at the optimum - 0.5) * rate: the best of a
     grid, then halfway to its neighbours, a few times. Then rounds of moves: each label's best move is found
     with the others left alone, and the better of all these moves together and the best single one is
-    taken, until neither improves the objective. All candidates of a step are evaluated in one job, side
-    by side; there are labels x moves of them, each as large as cells.
+    taken, until neither improves the objective. Cells are ranked once: thresholds of a label at any beta are
+    read off its curve. All candidates of a step are evaluated in one job, side by side; there are labels x moves of them, each as large as cells.
     """
     spark = cells.sparkSession
     cells = checkpoint(cells.select("gene", "label", "y", "p"))
-    precision = {r["label"]: r["precision"] for r in metrics.ag_threshold(cells).collect()}
+    curve = metrics.ag_curve(cells)
+    curve = metrics.Curve(checkpoint(curve.points), checkpoint(curve.totals))
+    known: dict[tuple[str, float], float] = {}  # thresholds of labels at betas, read off the curve as they are asked for
+
+    def measured(pairs: set[tuple[str, float]]) -> dict[tuple[str, float], tuple[float, float]]:
+        table = spark.createDataFrame(sorted(pairs), "label string, log_beta double")
+        return {(r["label"], r["log_beta"]): (r["precision"], r["threshold"]) for r in metrics.thresholds_at(curve, table).collect()}
+
+    precision = {x: p for (x, _), (p, _) in measured({(r["label"], 0.0) for r in curve.totals.select("label").collect()}).items()}
 
     def scores(candidates: list[dict[str, float]]) -> list[float]:
-        table = spark.createDataFrame([(k, x, float(v)) for k, c in enumerate(candidates) for x, v in c.items()], "cand long, plain string, log_beta double")
+        asked = {(x, float(v)) for c in candidates for x, v in c.items()} - known.keys()
+        known.update({pair: t for pair, (_, t) in measured(asked).items()} if asked else {})
+        table = spark.createDataFrame([(k, x, known[x, float(v)]) for k, c in enumerate(candidates) for x, v in c.items()], "cand long, plain string, t double")
         each = cells.withColumnRenamed("label", "plain").join(table, "plain").withColumn("label", F.concat_ws("/", "cand", "plain"))
-        found = metrics.ag_threshold(each).select("label", F.col("threshold").alias("t"))
-        soft = scaling.soft_threshold(each.join(found, "label").select("gene", "label", "p", "t"))
+        soft = scaling.soft_threshold(each.select("gene", "label", "p", "t"))
         both = each.select("cand", "gene", "label", "plain", "y").join(soft, ["gene", "label"]).drop("label").withColumnRenamed("plain", "label")
         got = {r["cand"]: r["objective"] for r in metrics.objective(both, cut, index).collect()}
         return [got.get(k) if got.get(k) is not None else float("-inf") for k in range(len(candidates))]
@@ -163,9 +172,7 @@ def beta_search(cells: DataFrame, cut: int = 3, rounds: int = ROUNDS, rates=RATE
         together = now | {x: v for x, (_, v) in gains.items()}
         value = scores([together])[0] if len(gains) > 1 else float("-inf")
         now, best = (together, value) if value >= gains[single][0] else (now | {single: gains[single][1]}, gains[single][0])
-    table = spark.createDataFrame([(x, v) for x, v in sorted(now.items())], "label string, log_beta double")
-    found = metrics.ag_threshold(cells.join(table, "label")).select("label", "threshold")
-    return table.join(found, "label")
+    return spark.createDataFrame([(x, float(v), known[x, float(v)]) for x, v in sorted(now.items())], "label string, log_beta double, threshold double")
 
 
 def mean_thresholds(thresholds: DataFrame) -> DataFrame:

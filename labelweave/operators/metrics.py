@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,50 +109,96 @@ def micro_aupr(cells: DataFrame) -> DataFrame:
     return _area(ranked(_flat(cells), "_all"), "_all").select(F.col("aupr").alias("micro_aupr"))
 
 
-def ag_threshold(cells: DataFrame, log_beta: float = 0.0) -> DataFrame:
-    """(label, aupr, precision, score, threshold): the score that maximises the adjusted geometric F-measure.
-
-    cells may have the label's log10 of beta as a column `log_beta`.
+@dataclass(frozen=True)
+class Curve:
+    """What the adjusted geometric F-measure needs of scores, whatever beta is.
 
-    The positive measure is that of the last hit and the negative one that of the last miss. A label
-    whose first hit comes after more misses than it has positives, whose area is below its rate of
-    positives, or whose scores are nearly all 0 or 1, gets threshold 1.
+    points (label, rn, p, pr, hit_pr, hit_re, miss_pr, miss_re): for each rank the precision so far, and precision and recall of
+    the positives at the last hit and of the negatives at the last miss. totals (label, aupr, flat, rate, late).
     """
-    log = F.col("log_beta") if "log_beta" in cells.columns else F.lit(log_beta)
-    b, c = F.pow(F.lit(10.0), log), F.pow(F.lit(10.0), -log)
-    rows = ranked(cells)
-    pr, re = F.col("tp") / F.col("rn"), F.col("tp") / F.col("total")
+
+    points: DataFrame
+    totals: DataFrame
+
+
+def ag_curve(cells: DataFrame, keep: tuple[str, ...] = ()) -> Curve:
+    """The curve of cells (gene, label, y, p), ranked once; `keep` names columns that points should have too."""
+    rows = ranked(cells, keep=keep)
+    hit, miss = F.col("y") == 1, (F.col("y") == 0) & (F.col("rn") < F.col("n"))
     tn = F.col("n") - F.col("total") - (F.col("rn") - F.col("tp"))
-    ipr, ire = tn / (F.col("n") - F.col("rn")), tn / (F.col("n") - F.col("total"))
     measured = rows.withColumns(
         {
-            "_f": F.when(F.col("y") == 1, (1 + b * b) * pr * re / (b * b * pr + re)),
-            "_i": F.when((F.col("y") == 0) & (F.col("rn") < F.col("n")), F.when(tn > 0, (1 + c * c) * ipr * ire / (c * c * ipr + ire)).otherwise(0.0)),
+            "pr": F.col("tp") / F.col("rn"),
+            "hit_pr": F.when(hit, F.col("tp") / F.col("rn")),
+            "hit_re": F.when(hit, F.col("tp") / F.col("total")),
+            "miss_pr": F.when(miss, tn / (F.col("n") - F.col("rn"))),
+            "miss_re": F.when(miss, tn / (F.col("n") - F.col("total"))),
         }
     )
-    zero = F.lit(0.0)
-    each = carried(measured, "label", ["_f", "_i"]).withColumns({n: F.coalesce(n, zero) for n in ("_f", "_i")})
-    ag = F.sqrt(F.col("_f") * F.col("_i"))
-    best = (
-        each.withColumn("_ag", ag)
-        .groupBy("label")
-        .agg(
-            F.max("_ag").alias("score"),
-            F.max(F.struct("_ag", -F.col("rn"), F.col("p").alias("p"), pr.alias("pr"))).alias("at"),
-            (F.min(F.when(F.col("y") == 1, F.col("rn"))) - 1 > F.max("total")).alias("late"),
-        )
-    )
-    joined = best.join(_area(rows, "label"), "label")
-    found = (F.col("score") > 0) & ~F.coalesce("late", F.lit(True)) & ~F.col("flat")
+    sides = ["hit_pr", "hit_re", "miss_pr", "miss_re"]
+    points = carried(measured, "label", sides).select("label", "rn", "p", "pr", *sides, *keep)
+    late = rows.groupBy("label").agg((F.min(F.when(hit, F.col("rn"))) - 1 > F.max("total")).alias("late"))
+    return Curve(points, _area(rows, "label").join(late, "label"))
+
+
+def _best_points(points: DataFrame, totals: DataFrame, log: Column, by: tuple[str, ...] = ("label",)) -> DataFrame:
+    """(*by, aupr, precision, score, threshold) where the measure at log10 of beta is best, the first such rank of ties."""
+
+    def f(squared: Column, pr: str, re: str) -> Column:
+        return F.when(F.col(pr) > 0, (1 + squared) * F.col(pr) * F.col(re) / (squared * F.col(pr) + F.col(re))).otherwise(0.0)
+
+    b, c = F.pow(F.lit(10.0), log), F.pow(F.lit(10.0), -log)
+    ag = F.sqrt(f(b * b, "hit_pr", "hit_re") * f(c * c, "miss_pr", "miss_re"))
+    best = points.withColumn("_ag", ag).groupBy(*by).agg(F.max(F.struct("_ag", -F.col("rn"), "p", "pr")).alias("at"))
+    joined = best.join(totals, "label")
+    found = (F.col("at._ag") > 0) & ~F.coalesce("late", F.lit(True)) & ~F.col("flat")
     return joined.select(
-        "label",
+        *by,
         "aupr",
         F.when(found, F.col("at.pr")).otherwise(0.0).alias("precision"),
-        F.when(found, F.col("score")).otherwise(0.0).alias("score"),
+        F.when(found, F.col("at._ag")).otherwise(0.0).alias("score"),
         F.when(found & (F.col("aupr") >= F.col("rate")), F.col("at.p")).otherwise(1.0).alias("threshold"),
     )
 
 
+def ag_threshold(cells: DataFrame, log_beta: float = 0.0) -> DataFrame:
+    """(label, aupr, precision, score, threshold): the score that maximises the adjusted geometric F-measure.
+
+    cells may have the label's log10 of beta as a column `log_beta`.
+
+    The positive measure is that of the last hit and the negative one that of the last miss. A label
+    whose first hit comes after more misses than it has positives, whose area is below its rate of
+    positives, or whose scores are nearly all 0 or 1, gets threshold 1.
+    """
+    own = "log_beta" in cells.columns
+    curve = ag_curve(cells, ("log_beta",) if own else ())
+    return _best_points(curve.points, curve.totals, F.col("log_beta") if own else F.lit(log_beta))
+
+
+def thresholds_at(curve: Curve, betas: DataFrame) -> DataFrame:
+    """ag_threshold() for every (label, log_beta) of betas, with log_beta: no ranking, however many betas are tried."""
+    return _best_points(curve.points.join(betas.select("label", "log_beta"), "label"), curve.totals, F.col("log_beta"), ("label", "log_beta"))
+
+
+#: log10 of beta that beta_for_precision() tries.
+BETAS = tuple(round(0.1 * k - 2, 1) for k in range(41))
+
+
+def beta_for_precision(cells: DataFrame, wanted: float, betas: tuple[float, ...] = BETAS) -> DataFrame:
+    """(label, log_beta, precision): the largest beta whose best point has more than the wanted precision.
+
+    Where no beta above 0 does, log_beta is 0; where none reaches it at all, it is the least one of those with the highest precision. precision
+    is the highest that any beta gives. All betas are read off one curve in one pass.
+    """
+    labels = cells.select("label").distinct()
+    tried = labels.withColumn("log_beta", F.explode(F.array(*[F.lit(float(b)) for b in betas])))
+    at = thresholds_at(ag_curve(cells), tried)
+    enough = F.max(F.when((F.col("precision") > wanted) & (F.col("log_beta") > 0), F.col("log_beta")))
+    each = at.groupBy("label").agg(F.max("precision").alias("precision"), enough.alias("_enough"), F.max(F.struct("precision", (-F.col("log_beta")).alias("minus"))).alias("_best"))
+    top = F.when(F.col("precision") > 0, -F.col("_best.minus")).otherwise(0.0)
+    return each.select("label", F.when(F.col("precision") < wanted, top).otherwise(F.coalesce("_enough", F.lit(0.0))).alias("log_beta"), "precision")
+
+
 def cost_aupr(cells: DataFrame) -> DataFrame:
     """Area over all cells where a positive weighs as much as its label's negatives for each positive."""
     return _cost_areas(_flat(cells), "_all").agg(F.coalesce(F.max("cost_aupr"), F.lit(0.0)).alias("cost_aupr"))

@@ -278,6 +278,23 @@ LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY label ORDER BY ag DESC, rn)
       2 * ((n_all - total - (rn - tp)) / (n_all - rn)) * ((n_all - total - (rn - tp)) / (n_all - total))
       / ((n_all - total - (rn - tp)) / (n_all - rn) + (n_all - total - (rn - tp)) / (n_all - total)) ELSE 0 END END AS i FROM ranked) x)""",
     ),
+    "beta_for_precision": _cells(
+        """SELECT label, round(CASE WHEN best < CAST(0.8 AS DOUBLE) THEN CASE WHEN best > 0 THEN top ELSE 0 END ELSE coalesce(enough, 0) END, 6) AS log_beta, round(best, 6) AS precision FROM (
+  SELECT label, max(precision) AS best, max(CASE WHEN precision > CAST(0.8 AS DOUBLE) AND log_beta > 0 THEN log_beta END) AS enough,
+    arg_min(log_beta, (-precision, log_beta)) AS top FROM tried GROUP BY 1) x""",
+        RANKED,
+        "betas AS (SELECT round(CAST(k AS DOUBLE) / 10 - 2, 1) AS log_beta FROM range(41) t(k))",
+        """sided AS (SELECT label, p, rn, total, tp / rn AS pr, min(CASE WHEN y = 1 THEN rn END) OVER (PARTITION BY label) AS first_hit, ones, zeros, n_all,
+    last_value(hp IGNORE NULLS) OVER w AS hp, last_value(hr IGNORE NULLS) OVER w AS hr, last_value(mp IGNORE NULLS) OVER w AS mp, last_value(mr IGNORE NULLS) OVER w AS mr
+  FROM (SELECT *, CASE WHEN y = 1 THEN tp / rn END AS hp, CASE WHEN y = 1 THEN tp / total END AS hr,
+      CASE WHEN y = 0 AND rn < n_all THEN (n_all - total - (rn - tp)) / (n_all - rn) END AS mp,
+      CASE WHEN y = 0 AND rn < n_all THEN (n_all - total - (rn - tp)) / (n_all - total) END AS mr FROM ranked) x
+  WINDOW w AS (PARTITION BY label ORDER BY rn ROWS UNBOUNDED PRECEDING))""",
+        """measured AS (SELECT label, log_beta, rn, pr, first_hit - 1 > total OR first_hit IS NULL OR ones > floor(n_all * 0.99) OR zeros > floor(n_all * 0.99) AS lost,
+    sqrt(CASE WHEN hp > 0 THEN (1 + pow(10, log_beta) * pow(10, log_beta)) * hp * hr / (pow(10, log_beta) * pow(10, log_beta) * hp + hr) ELSE 0 END
+      * CASE WHEN mp > 0 THEN (1 + pow(10, -log_beta) * pow(10, -log_beta)) * mp * mr / (pow(10, -log_beta) * pow(10, -log_beta) * mp + mr) ELSE 0 END) AS ag FROM sided, betas)""",
+        "tried AS (SELECT label, log_beta, CASE WHEN lost OR ag <= 0 THEN 0 ELSE pr END AS precision FROM (SELECT *, row_number() OVER (PARTITION BY label, log_beta ORDER BY ag DESC, rn) AS k FROM measured) x WHERE k = 1)",
+    ),
     "bin_topk": _cells("SELECT gene, label, b FROM top3", TOP.format(cut=3)),
     "confusion_per_label": _cells(
         """SELECT label, tp, fp, fn, tn, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) END, 6) AS f1 FROM (

@@ -309,6 +309,7 @@ def queries() -> dict[str, Query]:
         "aupr_micro": _cells(metrics.micro_aupr),
         "aupr_cost": _cells(metrics.cost_aupr),
         "ag_fscore_threshold": _cells(lambda c: metrics.ag_threshold(c).select("label", "score", "threshold")),
+        "beta_for_precision": _cells(lambda c: metrics.beta_for_precision(c, 0.8)),
         "bin_topk": _cells(lambda c: metrics.binarise(c, 3).select("gene", "label", "b")),
         "confusion_per_label": _cells(lambda c: metrics.confusion(c, 0.5)),
         "micro_f1": _cells(lambda c: metrics.micro_f1(c, 3)),

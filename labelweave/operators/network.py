@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelweave.operators.windows import value_at_rank, with_totals
+
 
 def symmetric(edges: DataFrame, order: str) -> DataFrame:
     """Both directions of each edge; of edges given twice, in either direction, the last by `order` counts, then the heaviest."""
@@ -35,18 +37,14 @@ def column_normalise(edges: DataFrame) -> DataFrame:
 
 def _threshold(edges: DataFrame, k: int, weight=None) -> DataFrame:
     """Beside each edge, the weight at rank k (from 0) of its row; rows with fewer edges have zeros there."""
-    weight = F.col("w") if weight is None else weight
-    order = Window.partitionBy("src").orderBy(F.desc("_v"), "dst")
-    ranked = edges.withColumn("_v", weight).withColumn("_rank", F.row_number().over(order))
-    at = F.max(F.when(F.col("_rank") == k + 1, F.col("_v"))).over(Window.partitionBy("src"))
-    return ranked.withColumn("_least", F.coalesce(at, F.lit(0.0)))
+    valued = edges.withColumn("_v", F.col("w") if weight is None else weight)
+    return valued.join(value_at_rank(valued, "src", "_v", "dst", k), "src", "left").withColumn("_least", F.coalesce("_least", F.lit(0.0)))
 
 
 def transition_topk(edges: DataFrame, k: int) -> DataFrame:
     """Per row the weights above that of rank k, as shares of all weights from that of rank k on."""
-    cut = _threshold(edges, k)
-    total = F.sum(F.when(F.col("_v") >= F.col("_least"), F.col("w"))).over(Window.partitionBy("src"))
-    return cut.withColumn("_total", total).where(F.col("_v") > F.col("_least")).select("src", "dst", (F.col("w") / F.col("_total")).alias("w"))
+    cut = with_totals(_threshold(edges, k), ("src",), _total=F.sum(F.when(F.col("_v") >= F.col("_least"), F.col("w"))))
+    return cut.where(F.col("_v") > F.col("_least")).select("src", "dst", (F.col("w") / F.col("_total")).alias("w"))
 
 
 def mean_with_transpose(edges: DataFrame) -> DataFrame:

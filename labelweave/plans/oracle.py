@@ -99,6 +99,32 @@ def _turns(turns: int, steps: int, smoothing: int) -> str:
     return ",\n".join(parts)
 
 
+def _newton(rounds: int) -> str:
+    """So many steps of Newton's method for every label's sigmoid 1 / (1 + exp(a p + b)); the last is `fitted`."""
+    parts = [
+        f"""targets AS (SELECT label, (pos + 1) / (pos + 2) AS hi, 1 / (neg + 2) AS lo, ln((neg + 1) / (pos + 1)) AS b FROM (
+  SELECT label, sum(y) AS pos, sum({_ONE} - y) AS neg FROM cells GROUP BY 1) x)""",
+        "ab0 AS (SELECT label, CAST(0 AS DOUBLE) AS a, b FROM targets)",
+    ]
+    for k in range(rounds):
+        parts.append(f"""ab{k + 1} AS (
+  SELECT label, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM (
+    SELECT label, a, b, sum(p * d) AS ga, sum(d) AS gb, sum(p * p * h) + 1e-12 AS haa, sum(h) + 1e-12 AS hbb, sum(p * h) AS hab FROM (
+      SELECT label, a, b, p, t - q AS d, q * (1 - q) AS h FROM (
+        SELECT c.label, n.a, n.b, c.p, CASE WHEN c.y = 1 THEN g.hi ELSE g.lo END AS t, 1 / (1 + exp(n.a * c.p + n.b)) AS q
+        FROM cells c JOIN ab{k} n USING (label) JOIN targets g USING (label)) x) y GROUP BY 1, 2, 3) z)""")
+    return ",\n".join([*parts, f"fitted AS (SELECT * FROM ab{rounds})"])
+
+
+def _series(power: str, doublings: int) -> str:
+    """The sum of all powers of a matrix (src, dst, w), as products of I + M^1, I + M^2, I + M^4, … ; the last is `series`."""
+    parts = [f"m0 AS (SELECT src, dst, w FROM {power})", "s0 AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, w FROM m0 UNION ALL SELECT DISTINCT src, src, 1 FROM m0) x GROUP BY 1, 2)"]
+    for k in range(doublings):
+        parts.append(f"m{k + 1} AS MATERIALIZED (SELECT a.src, b.dst, sum(a.w * b.w) AS w FROM m{k} a JOIN m{k} b ON a.dst = b.src GROUP BY 1, 2)")
+        parts.append(f"s{k + 1} AS MATERIALIZED (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, w FROM s{k} UNION ALL SELECT a.src, b.dst, sum(a.w * b.w) FROM s{k} a JOIN m{k + 1} b ON a.dst = b.src GROUP BY 1, 2) x GROUP BY 1, 2)")
+    return ",\n".join([*parts, f"series AS (SELECT * FROM s{doublings})"])
+
+
 USERS = f"""edges AS (
   SELECT 'u' || CAST(gene AS VARCHAR) AS src, label AS dst, n AS w FROM cells WHERE n > 0
   UNION ALL SELECT label, 'u' || CAST(gene AS VARCHAR), n FROM cells WHERE n > 0),
@@ -278,6 +304,22 @@ LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY label ORDER BY ag DESC, rn)
       2 * ((n_all - total - (rn - tp)) / (n_all - rn)) * ((n_all - total - (rn - tp)) / (n_all - total))
       / ((n_all - total - (rn - tp)) / (n_all - rn) + (n_all - total - (rn - tp)) / (n_all - total)) ELSE 0 END END AS i FROM ranked) x)""",
     ),
+    "platt_fit": _cells(
+        """SELECT gene, label, y, round(CASE WHEN high > low THEN (s - low) / (high - low) ELSE s END, 6) AS p FROM (
+  SELECT *, min(CASE WHEN s > 0 THEN s END) OVER (PARTITION BY label) AS low, max(s) OVER (PARTITION BY label) AS high FROM (
+    SELECT c.gene, c.label, c.y, 1 / (1 + exp(f.a * c.p + f.b)) AS s FROM cells c JOIN fitted f USING (label)) x) y""",
+        _newton(12),
+    ),
+    "closed_form_walk": f"""WITH {edges()},
+one AS (SELECT * FROM edges WHERE src LIKE 's%'),
+shared AS (SELECT a.src, b.src AS dst, sum(least(a.w, b.w)) AS w FROM one a JOIN one b ON a.dst = b.dst AND a.src <> b.src GROUP BY 1, 2),
+degree AS (SELECT src AS node, sum(w) AS d FROM shared GROUP BY 1),
+moved AS (SELECT e.src, e.dst, CAST(0.8 AS DOUBLE) * e.w / (sqrt(a.d) * sqrt(b.d)) AS w FROM shared e JOIN degree a ON e.src = a.node JOIN degree b ON e.dst = b.node),
+{_series("moved", 7)}
+SELECT src, dst, round(w * CAST(0.2 AS DOUBLE), 6) AS w FROM series""",
+    "mlsmote_counts": """WITH classes AS (SELECT label, count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY 1),
+mean AS (SELECT avg(n) AS mean FROM classes)
+SELECT CAST(row_number() OVER (ORDER BY label) AS BIGINT) AS first_label, CAST(CASE WHEN n > 1 AND n < mean THEN floor(1 + mean - n) ELSE 0 END AS BIGINT) AS made FROM classes, mean""",
     "beta_for_precision": _cells(
         """SELECT label, round(CASE WHEN best < CAST(0.8 AS DOUBLE) THEN CASE WHEN best > 0 THEN top ELSE 0 END ELSE coalesce(enough, 0) END, 6) AS log_beta, round(best, 6) AS precision FROM (
   SELECT label, max(precision) AS best, max(CASE WHEN precision > CAST(0.8 AS DOUBLE) AND log_beta > 0 THEN log_beta END) AS enough,

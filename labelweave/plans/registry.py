@@ -197,6 +197,13 @@ def synthetic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.array_position("y", F.lit(1.0)).alias("first_label"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
 
 
+def synthetic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each class of the embeddings is given."""
+    counts = synthetic_rows(spark, sf_dir).groupBy("first_label").agg(F.count("*").alias("made"))
+    classes = tables.read(spark, sf_dir, "embeddings").where("label IS NOT NULL").select("label").distinct().count()
+    return spark.range(1, classes + 1).withColumnRenamed("id", "first_label").join(counts, "first_label", "left").select("first_label", F.coalesce("made", F.lit(0)).alias("made"))
+
+
 def closed_form_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The limit of the walk on the supplier network: suppliers linked by the parts that both deliver, weighed by their number."""
     one = tables.supplier_part_edges(spark, sf_dir).where("src LIKE 's%'")
@@ -265,6 +272,7 @@ def queries() -> dict[str, Query]:
         "feature_stack": feature_stack,
         "sois_folds": lambda spark, sf_dir: sampling.stratified_folds(tables.event_cells(spark, sf_dir), 3),
         "mlsmote": synthetic_rows,
+        "mlsmote_counts": synthetic_counts,
         "encode_decode": encode_decode,
         "encode_decode_regularised": encode_decode_regularised,
         "canonical_correlations": canonical_correlations,

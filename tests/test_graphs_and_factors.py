@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from labelweave.operators import factors, models, network, propagation
+from labelweave.operators import factors, models, network, propagation, similarity
 
 
 def _smooth(p, t, alpha=0.3, tolerance=1e-3, most=100):
@@ -147,3 +147,20 @@ def test_ridge_codes_by_products_equal_those_of_moments(spark, monkeypatch, fold
     wide = models.fit_codes(rows, 6, 4, most_bytes=0)
     assert np.allclose(np.abs(wide.projection), np.abs(want.projection), atol=1e-6) and np.allclose(np.abs(wide.weights), np.abs(want.weights), atol=1e-6)
     assert models.fit_codes(rows, 6, 4, regularised=True).projection.shape == (4, 4)
+
+
+@pytest.mark.parametrize("n, tile, panel", [(60, 16, 3), (60, 2560, 256), (1, 4, 2), (300, 64, 7)])
+def test_tiles_give_every_pair_once(spark, n, tile, panel):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 11))
+    if n > 2:
+        x[2] = 1.0
+    rows = spark.createDataFrame([(f"r{k}", v.tolist()) for k, v in enumerate(x)], "row string, x array<double>").repartition(5)
+    found = similarity.pearson_rows(rows, tile, panel).collect()
+    got = {(r["row_a"], r["row_b"]): r["r"] for r in found}
+    with np.errstate(invalid="ignore", divide="ignore"):
+        want = np.corrcoef(x) if n > 1 else np.ones((1, 1))
+    assert len(found) == len(got) == n * (n + 1) // 2
+    for (a, b), r in got.items():
+        assert a <= b and np.allclose(r, want[int(a[1:]), int(b[1:])], equal_nan=True)
+    assert similarity.pearson_rows(rows.limit(0), tile, panel).count() == 0

@@ -1,15 +1,15 @@
 """License scans, with DataFrame functions only: phrases, and an exact set-similarity join with templates.
 
-A text block is a line, or a run of as many words of the text as the template has, so that notices
-wrapped over lines are found too. Blocks and templates are sets of words; a block matches a template
-if it holds at least THRESHOLD of the template's words. Tokens are ordered by their frequency over all
+A text block is a run of as many words of the text as the template has, wherever lines end, or a whole line of at
+most LINE times as many. So notices wrapped over lines are found, and words of a template scattered over a long text or line are none. Blocks and
+templates are sets of words; a block matches a template if it holds at least THRESHOLD of the template's words. Tokens are ordered by their frequency over all
 texts, the rarest first. A template that needs `a` of its `t` words can only match a block that
 holds one of its first t - a + 1 tokens (prefix filter), that has `a` template words at all (length
 filter), and whose rest behind the shared token is long enough (positional filter); what passes is
 verified by intersecting the sets. Templates and their tokens are a fixed list, so the index that
 is broadcast has a fixed size.
 
-Null and empty texts have no words, no places and no labels. Rows are told apart by a number, not
+Every template that a block matches gives its label, so ties need no rule; `score` is the best containment. Null and empty texts have no words, no places and no labels. Rows are told apart by a number, not
 by their ids, so repeated rows and null ids keep their own results. Texts are scanned whole.
 """
 
@@ -47,6 +47,8 @@ TEMPLATES = [
     ("reserved", "All rights reserved."),
 ]
 THRESHOLD = 0.9
+#: A line is a block of a template with at least so much of its words: longer lines only count by their runs.
+LINE = 2
 
 _CHAR = r"0-9A-Za-z\x{80}-\x{10FFFF}"
 _WORDS = rf"[{_CHAR}]+"
@@ -72,8 +74,13 @@ def _count(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
 
 
+def words_of(text: str) -> list[str]:
+    """A template's words, in order."""
+    return re.findall(r"[a-z0-9]+", text.lower())
+
+
 def template_words(text: str) -> list[str]:
-    return sorted(set(re.findall(r"[a-z0-9]+", text.lower())))
+    return sorted(set(words_of(text)))
 
 
 def token_order(docs: DataFrame, text: str, vocabulary: list[str]) -> dict[str, int]:
@@ -94,39 +101,44 @@ def template_index(spark: SparkSession, templates, order: dict[str, int], thresh
         need = math.ceil(threshold * len(tokens) - 1e-9)
         for place, token in enumerate(tokens[: len(tokens) - need + 1]):
             prefixes.add(token)
-            rows.append((order[token], place, number, label, [order[t] for t in tokens], need, len(re.findall(r"[a-z0-9]+", text.lower()))))
+            rows.append((order[token], place, number, label, [order[t] for t in tokens], need, len(words_of(text))))
     schema = "token int, t_place int, template int, label string, t_tokens array<int>, need int, length int"
     return spark.createDataFrame(rows, schema), sorted(prefixes)
 
 
 def similar_blocks(blocks: DataFrame, index: DataFrame, order: dict[str, int]) -> DataFrame:
-    """(_row, template, label, containment) for every block (_row, block) that meets a template's threshold."""
+    """(_row, template, label, containment) for every line (_row, block) of at most LINE times a template's words that meets its threshold."""
     ranks = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
     words = F.array_distinct(F.transform(F.regexp_extract_all("block", F.lit(_bounded(_any_of(order))), F.lit(0)), lambda w: F.lower(w)))
-    tokens = blocks.select("_row", F.array_sort(F.transform(words, lambda w: ranks[w])).alias("tokens"))
-    probes = tokens.select("_row", "tokens", F.posexplode("tokens").alias("place", "token"))
+    tokens = blocks.select("_row", _count(F.col("block"), _WORDS).alias("size"), F.array_sort(F.transform(words, lambda w: ranks[w])).alias("tokens"))
+    probes = tokens.select("_row", "size", "tokens", F.posexplode("tokens").alias("place", "token"))
     rest = F.least(F.size("tokens") - F.col("place"), F.size("t_tokens") - F.col("t_place"))
     overlap = F.size(F.array_intersect("tokens", "t_tokens"))
     return (
         probes.join(F.broadcast(index), "token")
-        .where((F.size("tokens") >= F.col("need")) & (rest >= F.col("need") - F.least("place", "t_place")))
+        .where((F.col("size") <= LINE * F.col("length")) & (F.size("tokens") >= F.col("need")) & (rest >= F.col("need") - F.least("place", "t_place")))
         .where(overlap >= F.col("need"))
         .select("_row", "template", "label", (overlap / F.size("t_tokens")).alias("containment"))
     )
 
 
-def similar_runs(texts: DataFrame, index: DataFrame, prefixes: list[int], longest: int) -> DataFrame:
-    """(_row, template, label, containment) for every text (_row, ranks) with a run of words, as long as a template, that meets its threshold.
+def prefix_places(ranks: str, prefixes: list[int], longest: int) -> Column:
+    """For each prefix token of a text's word ranks (null for words of no template): its rank, the ranks around it, and where it stands in them."""
+    wanted = F.array(*[F.lit(x) for x in prefixes])
+    places = F.filter(F.transform(ranks, lambda r, k: F.when(F.array_contains(wanted, r), k + 1)), lambda k: k.isNotNull())
+
+    def around(at: Column) -> Column:
+        first = F.greatest(at - longest + 1, F.lit(1))
+        return F.struct(F.get(ranks, at - 1).alias("token"), (at - first + 1).alias("here"), F.slice(ranks, first, F.lit(2 * longest - 1)).alias("near"))
+
+    return F.transform(places, around)
+
 
-    ranks has the rank of every word of the text, null for words of no template.
+def similar_runs(around: DataFrame, index: DataFrame) -> DataFrame:
+    """(_row, template, label, containment) for every text with a run of words, as long as a template, that meets its threshold.
+
+    around (_row, token, here, near) is what prefix_places() gives.
     """
-    wanted = F.array(*[F.lit(x) for x in prefixes])
-    places = F.filter(F.transform("ranks", lambda r, k: F.when(F.array_contains(wanted, r), k + 1)), lambda k: k.isNotNull())
-    first = F.greatest(F.col("at") - longest + 1, F.lit(1))
-    around = (
-        texts.select("_row", "ranks", F.explode(places).alias("at"))
-        .select("_row", F.col("ranks")[F.col("at") - 1].alias("token"), (F.col("at") - first + 1).alias("here"), F.slice("ranks", first, 2 * longest - 1).alias("near"))
-    )
     starts = F.sequence(F.greatest(F.col("here") - F.col("length") + 1, F.lit(1)), F.col("here"))
     held = F.array_max(F.transform(starts, lambda k: F.size(F.array_intersect(F.slice("near", k, F.col("length")), "t_tokens"))))
     return (
@@ -153,7 +165,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templates=TEM
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     known = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
     ranks = F.transform(F.regexp_extract_all(F.translate(body, upper, lower), F.lit(_WORDS), F.lit(0)), lambda w: known[w])
-    longest = max((len(re.findall(r"[a-z0-9]+", t.lower())) for _, t in templates), default=1)
+    longest = max((len(words_of(t)) for _, t in templates), default=1)
     light = checkpoint(
         docs.select(
             F.monotonically_increasing_id().alias("_row"),
@@ -170,12 +182,12 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templates=TEM
             before(".*").alias("last_word"),
             F.when(F.col("_hit"), F.array_sort(F.array_distinct(F.array_compact(F.array(*named))))).otherwise(F.array().cast("array<string>")).alias("base"),
             blocks.alias("blocks"),
-            F.when(F.col("_near") & body.contains("\n"), ranks).alias("ranks"),
-        )
+            F.when(F.col("_near"), ranks).alias("ranks"),
+        ).withColumn("around", prefix_places("ranks", [order[x] for x in prefixes], longest)).drop("ranks")
     )
     found = (
         similar_blocks(light.where("blocks IS NOT NULL").select("_row", F.explode("blocks").alias("block")), index, order)
-        .unionByName(similar_runs(light.where("ranks IS NOT NULL"), index, [order[x] for x in prefixes], longest))
+        .unionByName(similar_runs(light.select("_row", F.explode("around").alias("a")).select("_row", "a.*"), index))
         .groupBy("_row")
         .agg(F.collect_set("label").alias("found"), F.max("containment").alias("score"))
     )

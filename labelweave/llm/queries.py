@@ -91,21 +91,28 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op9_sql() -> str:
-    """Base places by list positions; templates by comparing every line with every template."""
+    """Base places by list positions; templates by comparing every short line, and every run of words that begins with one of theirs, with every template."""
     words = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
-    templates = ", ".join(f"('{label}', [{quoted(licenses.template_words(text))}])" for label, text in licenses.TEMPLATES)
+    templates = ", ".join(f"({k}, '{label}', {len(licenses.words_of(text))}, [{quoted(licenses.template_words(text))}])" for k, (label, text) in enumerate(licenses.TEMPLATES))
     stands = {p: " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split())) for p in licenses.PHRASES}
     hit = " OR ".join(f"({c})" for c in stands.values())
     has = ", ".join(f"CASE WHEN len(list_filter(range(1, len(w) + 1), lambda i: {stands[p]})) > 0 THEN '{label}' END" for p, label in licenses.PHRASES.items())
+    need = f"ceil({licenses.THRESHOLD} * len(words) - 1e-9)"
     return f"""
-WITH templates(label, words) AS (VALUES {templates}),
+WITH templates(template, label, length, words) AS (VALUES {templates}),
 d AS (SELECT row_number() OVER () AS row_id, doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '{words}') AS w FROM documents),
 placed AS (SELECT row_id, doc_id, w, list_filter(range(1, len(w) + 1), lambda i: {hit}) AS places,
   list_sort(list_distinct(list_filter([{has}], lambda x: x IS NOT NULL))) AS base FROM d),
-blocks AS (SELECT row_id, list_distinct(regexp_extract_all(lower(line), '{words}')) AS b FROM (SELECT row_id, unnest(string_split(text, chr(10))) AS line FROM d) x),
-found AS (SELECT row_id, list(DISTINCT label) AS labels, max(CAST(len(list_intersect(b, words)) AS DOUBLE) / len(words)) AS score
-  FROM blocks, templates WHERE len(list_intersect(b, words)) >= ceil({licenses.THRESHOLD} * len(words) - 1e-9) GROUP BY 1)
+lines AS (SELECT row_id, regexp_extract_all(lower(line), '{words}') AS b FROM (SELECT row_id, unnest(string_split(text, chr(10))) AS line FROM d) x),
+by_line AS (SELECT row_id, label, len(list_intersect(list_distinct(b), words)) AS held, words FROM lines, templates WHERE len(b) <= {licenses.LINE} * length),
+standing AS (SELECT row_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+own AS (SELECT template, label, length, words, unnest(words) AS word FROM templates),
+by_run AS (
+  SELECT row_id, label, words, count(DISTINCT s.word) OVER (PARTITION BY row_id, template ORDER BY pos RANGE BETWEEN CURRENT ROW AND length - 1 FOLLOWING) AS held
+  FROM standing s JOIN own ON s.word = own.word),
+found AS (SELECT row_id, list(DISTINCT label) AS labels, max(CAST(held AS DOUBLE) / len(words)) AS score FROM (
+  SELECT row_id, label, held, words FROM by_line WHERE held >= {need} UNION ALL SELECT row_id, label, held, words FROM by_run WHERE held >= {need}) x GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(places) - 1 AS BIGINT) AS first_word, CAST(list_max(places) - 1 AS BIGINT) AS last_word,
   coalesce(array_to_string(base, ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(base, coalesce(f.labels, [])))), ','), '') AS labels, coalesce(f.score, CAST(0 AS DOUBLE)) AS score

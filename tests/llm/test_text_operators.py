@@ -526,7 +526,7 @@ def test_licenses_wrapped_over_lines_match_brute_force(spark):
         want, best, body = set(), 0.0, words(texts[r["doc_id"]])
         for label, template in licenses.TEMPLATES:
             size, all_ = len(words(template)), set(words(template))
-            blocks = [words(x) for x in texts[r["doc_id"]].split("\n")] + [body[k : k + size] for k in range(len(body))]
+            blocks = [words(x) for x in texts[r["doc_id"]].split("\n") if len(words(x)) <= 2 * size] + [body[k : k + size] for k in range(len(body))]
             share = max(len(all_ & set(b)) for b in blocks) / len(all_)
             if share >= licenses.THRESHOLD - 1e-9:
                 want.add(label)
@@ -542,8 +542,35 @@ def test_set_similarity_join_matches_brute_force(spark):
     docs = spark.createDataFrame(blocks, "doc_id long, text string")
     got = {r["doc_id"]: set(r["labels"].split(",")) - {""} for r in licenses.scan(docs, templates=templates, threshold=0.7).collect()}
     for k, text in blocks:
-        have = set(text.split())
-        assert got[k] == {label for label, t in templates if len(have & set(t.split())) >= 0.7 * len(set(t.split()))}
+        body = text.split()
+        runs = [set(body[j : j + 8]) for j in range(len(body))] + ([set(body)] if len(body) <= 16 else [])
+        assert got[k] == {label for label, t in templates if any(len(have & set(t.split())) >= 0.7 * len(set(t.split())) for have in runs)}
+
+
+def test_license_words_scattered_over_a_text_are_no_notice(spark, tmp_path):
+    """The same with and without line breaks; wrapped and inline notices are found, and the SQL says so too."""
+    rng = random.Random(9)
+    filler = [f"word{rng.randint(0, 900)}" for _ in range(6000)]
+    for k, word in enumerate(["all", "rights", "reserved", "released", "under", "the", "mit", "license", "licensed", "apache", "version", "2", "0"]):
+        filler.insert(400 * k + 7, word)
+    notices = ["All rights reserved.", "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", licenses.TEMPLATES[1][1]]
+    texts = [" ".join(filler), "\n".join(textwrap.wrap(" ".join(filler), 70)), "all of the rights that you have are reserved", "all\nrights\nreserved"]
+    for notice in notices:
+        inside = " ".join(filler[:300]) + " " + notice + " " + " ".join(filler[300:900])
+        texts += [inside, "\n".join(textwrap.wrap(inside, 40)), "\n".join(textwrap.wrap(notice, 25)), notice.replace(" ", "  \n")]
+    texts += [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r.asDict() for r in queries.op9_licenses(spark, str(tmp_path)).collect()}
+    assert [got[k]["labels"] for k in range(4)] == ["", "", "", "reserved"]
+    for j, label in enumerate(["reserved", "mit", "apache", "gpl"]):
+        assert all(label in got[4 + 4 * j + k]["labels"].split(",") and got[4 + 4 * j + k]["score"] == 1.0 for k in range(4)), label
+    duckdb = pytest.importorskip("duckdb")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = connection.execute(queries.oracle_sql()["op9_licenses"]).df().astype(object)
+    want = want.where(want.notna(), None)
+    for r in want.to_dict("records"):
+        assert all(got[r["doc_id"]][c] == r[c] or abs(got[r["doc_id"]][c] - r[c]) < 1e-9 for c in want.columns if c != "doc_id"), r
 
 
 def test_mix_meets_targets(nasty, empty):

@@ -157,8 +157,8 @@ def fit_codes(rows: DataFrame, features: int, labels: int, penalties=PENALTIES,
     return ridge_codes_by_products(rows, features, projection, penalties)
 
 
-#: Bytes of curvatures that a task and the driver hold at once.
-CURVATURES = 256 << 20
+#: Bytes of curvatures that a task and the driver hold at once; blocks of so many bytes beyond which products over rows take their place.
+CURVATURES, BLOCKS = 256 << 20, 4
 
 
 def logistic(rows: DataFrame, labels: int, features: int, penalties=PENALTIES, folds: int = 2, rounds: int = 30, most_bytes: int = CURVATURES) -> tuple[np.ndarray, np.ndarray]:
@@ -166,12 +166,14 @@ def logistic(rows: DataFrame, labels: int, features: int, penalties=PENALTIES, f
 
     The penalty with the least mean 1 - F1 over held-out folds is refitted on all rows. Models (label,
     penalty, fold left out) are fitted in blocks whose curvatures take most_bytes at most; a model leaves
-    its block once it has settled.
+    its block once it has settled. Beyond BLOCKS such blocks they are fitted by products instead, to the same weights.
     """
     d = features + 1
     shape = (labels, len(penalties), folds + 1)  # the last fit leaves no fold out
     w = np.zeros((int(np.prod(shape)), d))
     size = max(1, most_bytes // (8 * d * d))
+    if len(w) > BLOCKS * size:
+        return logistic_by_products(rows, labels, features, penalties, folds, rounds)
     for low in range(0, len(w), size):
         open_ = np.arange(low, min(low + size, len(w)))
         for _ in range(rounds):
@@ -188,6 +190,129 @@ def logistic(rows: DataFrame, labels: int, features: int, penalties=PENALTIES, f
     return np.stack([w[j, k, folds] for j, k in enumerate(best)]), np.array([penalties[k] for k in best])
 
 
+#: Rows that a task multiplies with all models at once; products at most for one Newton step.
+SLICE, PRODUCTS = 512, 60
+
+
+def logistic_by_products(rows: DataFrame, labels: int, features: int, penalties=PENALTIES, folds: int = 2, rounds: int = 30, gram_bytes: int = MOMENTS) -> tuple[np.ndarray, np.ndarray]:
+    """logistic() without curvature matrices: Newton's steps by conjugate gradients, whose products with the curvature are sums over rows.
+
+    All models (label, penalty, fold left out) go side by side, so a job is one gradient or one product for all that still move; tasks' sums are
+    added up over the cluster in pieces (factors.summed). What a job holds grows with models x features. Directions are preconditioned
+    by the curvature's bound, penalty and a quarter of the rows' squares, which is one table for each fold; where that takes more than
+    gram_bytes, by its diagonal. A step is solved the more exactly the nearer the end is.
+    """
+    d = features + 1
+    shape = (labels, len(penalties), folds + 1)
+    label, penalty, fold = (x.ravel() for x in np.indices(shape))
+    inverse = 1.0 / np.array(penalties)[penalty]
+    w = np.zeros((len(label), d))
+    scale = _bound(rows, d, folds, fold, inverse, gram_bytes)
+    open_ = np.arange(len(w))
+    for _ in range(rounds):
+        own = label[open_], fold[open_]
+        gradient = inverse[open_, None] * _slopes(rows, w[open_], *own) + w[open_]
+        size = np.linalg.norm(gradient, axis=1)
+        move = _solved(
+            lambda p, some: inverse[open_[some], None] * _curved(rows, w[open_[some]], p, fold[open_[some]]) + p,  # noqa: B023
+            gradient, lambda r, some: scale(r, open_[some]), np.minimum(0.1, np.sqrt(size)) * np.minimum(size, 1.0) * 1e-1,  # noqa: B023
+        )
+        length = np.linalg.norm(move, axis=1, keepdims=True)
+        w[open_] -= move * np.minimum(1, 20 / np.maximum(length, 1e-12))
+        open_ = open_[length[:, 0] >= 1e-6]
+        if not len(open_):
+            break
+    w = w.reshape(*shape, d)
+    score = _held_out_f1(rows, w, folds)
+    best = [middle_best(1 - score[j]) for j in range(labels)]
+    return np.stack([w[j, k, folds] for j, k in enumerate(best)]), np.array([penalties[k] for k in best])
+
+
+def _solved(product, b: np.ndarray, scale, goal: np.ndarray) -> np.ndarray:
+    """x of H x = b for each row of b, to a residual of `goal`; product(p, rows) and scale(r, rows) work on some of the rows."""
+    x, r = np.zeros_like(b), b.copy()
+    z = scale(r, np.arange(len(b)))
+    p, rz = z.copy(), (r * z).sum(1)
+    for _ in range(PRODUCTS):
+        some = np.flatnonzero(np.linalg.norm(r, axis=1) > goal)
+        if not len(some):
+            break
+        through = product(p[some], some)
+        step = (rz[some] / np.maximum((p[some] * through).sum(1), 1e-300))[:, None]
+        x[some] += step * p[some]
+        r[some] -= step * through
+        z = scale(r[some], some)
+        now = (r[some] * z).sum(1)
+        p[some] = z + (now / np.maximum(rz[some], 1e-300))[:, None] * p[some]
+        rz[some] = now
+    return x
+
+
+def _bound(rows: DataFrame, d: int, folds: int, fold: np.ndarray, inverse: np.ndarray, most_bytes: int):
+    """A function (r, models) that divides by the bound of each model's curvature: 1 + a quarter of its rows' squares over the penalty."""
+    dense = 8 * d * d * (folds + 1) <= most_bytes
+
+    def each(part: pd.DataFrame) -> np.ndarray:
+        total = np.zeros((folds, d, d) if dense else (folds, d))
+        for f, some in part.groupby("fold"):
+            m = np.c_[np.ones(len(some)), np.stack(some["x"])]
+            total[int(f)] += m.T @ m if dense else (m * m).sum(0)
+        return total
+
+    squares = factors.summed(rows, each, (folds, d, d) if dense else (folds, d), ("fold", "x"))
+    left = np.concatenate([squares.sum(0)[None] - squares, squares.sum(0)[None]])  # by the fold that is left out, the last leaves none
+    if not dense:
+        return lambda r, models: r / (1 + inverse[models, None] * left[fold[models]] / 4)
+    spectra = [np.linalg.eigh(m) for m in left]
+
+    def divide(r: np.ndarray, models: np.ndarray) -> np.ndarray:
+        out = np.empty_like(r)
+        for f, (values, vectors) in enumerate(spectra):
+            own = fold[models] == f
+            out[own] = (r[own] @ vectors / (1 + inverse[models[own], None] * np.maximum(values, 0) / 4)) @ vectors.T
+        return out
+
+    return divide
+
+
+def _slopes(rows: DataFrame, now: np.ndarray, label: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """The sum over each model's rows of (probability - label) [1, x]."""
+    shared = rows.sparkSession.sparkContext.broadcast((now, label, fold))
+
+    def each(part: pd.DataFrame) -> np.ndarray:
+        w, label, fold = shared.value
+        total = np.zeros(w.shape)
+        for low in range(0, len(part), SLICE):
+            some = part.iloc[low : low + SLICE]
+            m, y = factors.design_block(some)
+            p = 1 / (1 + np.exp(-np.clip(m @ w.T, -40, 40)))
+            total += ((p - y[:, label]) * (some["fold"].to_numpy()[:, None] != fold)).T @ m
+        return total
+
+    total = factors.summed(rows, each, now.shape)
+    shared.destroy()
+    return total
+
+
+def _curved(rows: DataFrame, now: np.ndarray, p: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """The curvature of each model at its weights, times its direction."""
+    shared = rows.sparkSession.sparkContext.broadcast((now, p, fold))
+
+    def each(part: pd.DataFrame) -> np.ndarray:
+        w, p, fold = shared.value
+        total = np.zeros(w.shape)
+        for low in range(0, len(part), SLICE):
+            some = part.iloc[low : low + SLICE]
+            m = np.c_[np.ones(len(some)), np.stack(some["x"])]
+            q = 1 / (1 + np.exp(-np.clip(m @ w.T, -40, 40)))
+            total += (q * (1 - q) * (some["fold"].to_numpy()[:, None] != fold) * (m @ p.T)).T @ m
+        return total
+
+    total = factors.summed(rows, each, now.shape, ("fold", "x"))
+    shared.destroy()
+    return total
+
+
 def _newton_moves(rows: DataFrame, now: np.ndarray, label: np.ndarray, fold: np.ndarray, inverse: np.ndarray) -> np.ndarray:
     """Newton's step of each model (weights now, its label, the fold that it leaves out, one over its penalty): one job."""
     d = now.shape[1]

@@ -164,3 +164,13 @@ def test_tiles_give_every_pair_once(spark, n, tile, panel):
     for (a, b), r in got.items():
         assert a <= b and np.allclose(r, want[int(a[1:]), int(b[1:])], equal_nan=True)
     assert similarity.pearson_rows(rows.limit(0), tile, panel).count() == 0
+
+
+@pytest.mark.parametrize("gram_bytes", [1 << 20, 0])
+def test_logistic_models_by_products_equal_those_by_curvature(spark, gram_bytes):
+    x, y = _data(6, n=120, d=5, q=3)
+    rows = _rows(spark, x, y, 2, 3).cache()
+    penalties = (1e-3, 0.1, 1.0, 100.0)
+    want, own = models.logistic(rows, 3, 5, penalties)
+    got, chosen = models.logistic_by_products(rows, 3, 5, penalties, gram_bytes=gram_bytes)
+    assert np.allclose(got, want, atol=1e-5) and (own == chosen).all()

@@ -49,6 +49,7 @@ def parser() -> argparse.ArgumentParser:
         one.add_argument("--beta", type=float, default=1.0)
         one.add_argument("--trim", action="store_true")
         one.add_argument("--regularised", action="store_true", help="project labels by regularised correlation")
+        one.add_argument("--refill", action="store_true", help="keep features that a fold lacks, as zeros")
         one.add_argument("--verbose", action="store_true", help="write measures, relations and training scores too")
         if name == "tune":
             one.add_argument("--auto-beta", action="store_true")
@@ -112,7 +113,7 @@ def main(spark: SparkSession, words: list[str] | None = None) -> None:
             stack = commands.prop(networks, labels, labels.select("gene").union(genes), **options)
             tsv.write_matrix(tuning.as_features(stack), f"{args.out}/features", "gene", "feature", "x")
             return
-        shared = {"folds": args.folds, "objective": args.objective, "cut": args.cut, "neighbours": args.neighbours, "trim": args.trim, "regularised": args.regularised, "log_beta": math.log10(args.beta), "propagation": options}
+        shared = {"folds": args.folds, "objective": args.objective, "cut": args.cut, "neighbours": args.neighbours, "trim": args.trim, "regularised": args.regularised, "refill": args.refill, "log_beta": math.log10(args.beta), "propagation": options}
         if args.command == "tune":
             (k_low, k_high, k_steps), (lam_low, lam_high, lam_steps) = args.k, args.lam
             grid = {"k_low": k_low, "k_high": k_high, "k_steps": int(k_steps), "lam_low": lam_low, "lam_high": lam_high, "lam_steps": int(lam_steps)}

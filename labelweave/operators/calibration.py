@@ -175,6 +175,15 @@ def beta_search(cells: DataFrame, cut: int = 3, rounds: int = ROUNDS, rates=RATE
     return spark.createDataFrame([(x, float(v), known[x, float(v)]) for x, v in sorted(now.items())], "label string, log_beta double, threshold double")
 
 
+def mean_betas(folds: list[DataFrame], **options) -> DataFrame:
+    """(label, log_beta): the mean of the betas that beta_search() finds in each fold's cells (gene, label, y, p), over the folds where the label has a positive."""
+    found = None
+    for cells in folds:
+        betas = beta_search(cells, **options).select("label", "log_beta").join(cells.where("y = 1").select("label").distinct(), "label", "left_semi")
+        found = betas if found is None else found.unionByName(betas)
+    return found.groupBy("label").agg(F.avg("log_beta").alias("log_beta"))
+
+
 def mean_thresholds(thresholds: DataFrame) -> DataFrame:
     """(label, t): the mean of each label's thresholds t over folds."""
     return thresholds.groupBy("label").agg(F.avg("t").alias("t"))

@@ -35,6 +35,26 @@ def quantile_norm(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return rows.join(scaled, [*by, "rn"], "left").select(*by, "gene", "label", F.when(used, F.col("q")).otherwise(0.0).alias("p"))
 
 
+def quantile_norm_thresholds(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """quantile_norm() of scores (gene, label, p, t) with each label's threshold t ranked among them: scores (gene, label, p) and thresholds (label, t).
+
+    A threshold stands behind the scores that reach it, so they reach it afterwards too; it adds nothing to its rank's sum. Labels without any score
+    get threshold 1.
+    """
+    rows = placed(cells, keep=("t",)).withColumn("_rn", F.col("rn") + (F.col("p") < F.col("t")).cast("int"))
+    used = F.abs("sum") > 1e-9
+    profile = rows.where(used).groupBy("_rn").agg(F.sum("p").alias("_v"))
+    ends = profile.agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_k"))
+    # Ranks that only thresholds have sum to 0.
+    bare = F.col("_k") <= F.col("n")
+    low, high = F.when(bare, F.least("_low", F.lit(0.0))).otherwise(F.col("_low")), F.when(bare, F.greatest("_high", F.lit(0.0))).otherwise(F.col("_high"))
+    share = F.coalesce((F.coalesce("_v", F.lit(0.0)) - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
+    own = rows.groupBy("label").agg(F.sum((F.col("p") >= F.col("t")).cast("long")).alias("_above"), F.max("n").alias("n"), F.max("sum").alias("sum")).withColumn("_rn", (F.col("_above") + 1).cast("double"))
+    scaled = lambda x: x.join(profile, "_rn", "left").join(F.broadcast(ends), how="left")  # noqa: E731  one row of ends
+    scores = scaled(rows).select("gene", "label", F.when(used, share).otherwise(0.0).alias("p"))
+    return scores, scaled(own).select("label", F.when(used, share).otherwise(1.0).alias("t"))
+
+
 def over_threshold(cells: DataFrame) -> DataFrame:
     """Scores (gene, label, p, t) over the label's threshold."""
     return cells.select("gene", "label", (F.col("p") / F.nullif(F.col("t"), F.lit(0.0))).alias("p"))

@@ -250,6 +250,22 @@ SELECT row, other, round(d, 6) AS d, rank FROM ranked WHERE rank <= 5""",
         "profile AS (SELECT rk, sum(p) AS v FROM ranks WHERE abs(s) > 1e-9 GROUP BY 1)",
         "scaled AS (SELECT rk, (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()) AS q FROM profile)",
     ),
+    "quantile_norm_thresholds": _cells(
+        """SELECT gene, label, round(CASE WHEN abs(s) > 1e-9 THEN q ELSE CASE WHEN gene = -1 THEN 1 ELSE 0 END END, 6) AS p FROM ranks LEFT JOIN scaled USING (rk)""",
+        """entries AS (SELECT gene, label, p, 0 AS mark FROM cells UNION ALL SELECT -1, label, t, 1 FROM thresholds),
+sums AS (SELECT label, sum(p) AS s FROM cells GROUP BY 1),
+ranks AS (SELECT e.*, s.s, row_number() OVER (PARTITION BY e.label ORDER BY e.p DESC, e.mark, e.gene) AS rk FROM entries e JOIN sums s USING (label)),
+profile AS (SELECT rk, sum(CASE WHEN mark = 0 AND abs(s) > 1e-9 THEN p ELSE 0 END) AS v FROM ranks GROUP BY 1),
+scaled AS (SELECT rk, (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()) AS q FROM profile)""",
+    ),
+    "refilled_features": """WITH sums AS (
+  SELECT l_linestatus AS status, l_partkey AS gene, l_suppkey AS feature, CAST(sum(l_quantity) AS DOUBLE) AS x FROM lineitem
+  WHERE l_suppkey IS NOT NULL AND l_partkey IS NOT NULL AND (l_suppkey % 50 <> 7 OR l_linestatus = 'F') AND l_linestatus IN ('F', 'O') GROUP BY 1, 2, 3),
+lacking AS (
+  SELECT s.status, f.feature FROM (VALUES ('F'), ('O')) s(status), (SELECT DISTINCT feature FROM sums) f
+  WHERE NOT EXISTS (SELECT 1 FROM sums x WHERE x.status = s.status AND x.feature = f.feature))
+SELECT status, gene, feature, round(x, 6) AS x FROM sums
+UNION ALL SELECT g.status, g.gene, l.feature, CAST(0 AS DOUBLE) FROM (SELECT DISTINCT status, gene FROM sums) g JOIN lacking l ON g.status = l.status""",
     "soft_threshold": _cells(
         f"""SELECT gene, label, round(CASE WHEN e >= 1 THEN {_HALF} * (e - 1) / (m - 1) + {_HALF} ELSE {_HALF} * e END, 6) AS p FROM (
   SELECT gene, label, p / t AS e, max(p / t) OVER (PARTITION BY label) AS m FROM cells JOIN thresholds USING (label)) x"""

@@ -180,6 +180,20 @@ def consistent_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(kept[0].unionByName(kept[1]))
 
 
+def refilled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by the suppliers that delivered them in either line status, zeros where a status has a supplier never."""
+    lines = tables.read(spark, sf_dir, "lineitem").where("l_suppkey IS NOT NULL AND l_partkey IS NOT NULL AND (l_suppkey % 50 <> 7 OR l_linestatus = 'F')")
+    sums = checkpoint(lines.groupBy("l_linestatus", F.col("l_partkey").alias("gene"), F.col("l_suppkey").alias("feature")).agg(F.sum("l_quantity").cast("double").alias("x")))
+    kept = sampling.refilled_features([sums.where(F.col("l_linestatus") == status).drop("l_linestatus") for status in ("F", "O")])
+    return rounded(kept[0].withColumn("status", F.lit("F")).unionByName(kept[1].withColumn("status", F.lit("O"))))
+
+
+def quantile_norm_thresholds(cells: DataFrame) -> DataFrame:
+    """Scores and, as gene -1, thresholds."""
+    scores, thresholds = scaling.quantile_norm_thresholds(_with_threshold(cells))
+    return scores.unionByName(thresholds.select(F.lit(-1).cast("long").alias("gene"), "label", F.col("t").alias("p")))
+
+
 def feature_range_scale(cells: DataFrame) -> DataFrame:
     return scaling.feature_range_scale(cells.select("gene", F.col("label").alias("feature"), F.col("n").alias("x")))
 
@@ -277,6 +291,8 @@ def queries() -> dict[str, Query]:
         "encode_decode_regularised": encode_decode_regularised,
         "canonical_correlations": canonical_correlations,
         "consistent_features": consistent_features,
+        "refilled_features": refilled_features,
+        "quantile_norm_thresholds": _cells(quantile_norm_thresholds),
         "feature_range_scale": _cells(feature_range_scale),
         "chop_scale": _cells(lambda c: scaling.chop_scale(c, scaling.chop_bounds(c))),
         "chop_scale_unseen": _cells(lambda c: scaling.chop_scale_unseen(c, scaling.chop_bounds(c.where("p < 0.5")))),

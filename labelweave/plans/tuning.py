@@ -38,6 +38,7 @@ class Settings:
     trim: bool = False
     oversample: float = 0.0
     regularised: bool = False
+    refill: bool = False
     propagation: dict = field(default_factory=dict)
 
 
@@ -147,8 +148,9 @@ def tuned(networks: list[DataFrame], labels: DataFrame, test_genes: DataFrame, s
     helds = [labels.join(dealt.where(F.col("fold") == number).select("gene"), "gene", "left_semi") for number in range(s.folds)]
     seens = [checkpoint(labels.join(held.select("gene").distinct(), "gene", "left_anti")) for held in helds]
     spread = [(seen, genes) for seen in seens] + [(labels, everyone)]
-    # A label with too few seeds in one fold is a feature in none.
-    *stacks, last = sampling.consistent_features([checkpoint(as_features(propagated(networks, seen, some, **s.propagation))) for seen, some in spread])
+    # A label with too few seeds in one fold is a feature in none, or one of zeros there.
+    even = sampling.refilled_features if s.refill else sampling.consistent_features
+    *stacks, last = even([checkpoint(as_features(propagated(networks, seen, some, **s.propagation))) for seen, some in spread])
     if last.isEmpty():
         raise ValueError("no label has seeds enough in every fold; take fewer folds")
     for number, (held, seen, stack) in enumerate(zip(helds, seens, stacks, strict=True)):
@@ -175,7 +177,8 @@ def tuned(networks: list[DataFrame], labels: DataFrame, test_genes: DataFrame, s
     chosen = checkpoint(best.join(table, "c").select("label", "c", "k", "lam"))
 
     # Pooled scores of the chosen settings, each gene predicted by models that saw none of its labels.
-    pooled = checkpoint(raw.join(chosen.select("c", "label"), ["c", "label"], "left_semi").select("gene", "label", "y", "p"))
+    pooled = checkpoint(raw.join(chosen.select("c", "label"), ["c", "label"], "left_semi").select("gene", "label", "y", "p", "fold"))
+    dealt_scores, pooled = pooled, pooled.drop("fold")
     trimmed = pooled
     if s.trim:
         share = calibration.best_trim(pooled).select("label", "share")
@@ -183,7 +186,12 @@ def tuned(networks: list[DataFrame], labels: DataFrame, test_genes: DataFrame, s
     ab = checkpoint(calibration.platt_fit(trimmed))
     whole = lambda cells: _rescaled(cells.withColumns({"c": F.lit(0), "fold": F.lit(0)}), ab).drop("c", "fold")
     flat = checkpoint(whole(pooled))
-    if s.auto_beta:
+    if s.auto_beta and s.per_label:
+        parts = [checkpoint(whole(dealt_scores.where(F.col("fold") == number).drop("fold")).select("gene", "label", "y", "p")) for number in range(s.folds)]
+        betas = calibration.mean_betas([part for part in parts if not part.where("y = 1").isEmpty()], cut=cut, index=s.objective)
+        betas = checkpoint(flat.select("label").distinct().join(betas, "label", "left").select("label", F.coalesce("log_beta", F.lit(s.log_beta)).alias("log_beta")))
+        found = betas.join(metrics.ag_threshold(flat.join(betas, "label")).select("label", F.col("threshold").alias("t")), "label")
+    elif s.auto_beta:
         found = calibration.beta_search(flat, cut, index=s.objective).withColumnRenamed("threshold", "t")
     else:
         found = metrics.ag_threshold(flat, s.log_beta).select("label", F.lit(s.log_beta).alias("log_beta"), F.col("threshold").alias("t"))

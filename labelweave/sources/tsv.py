@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _line() -> Column:
+    """What orders the lines of several files: the file, the part of it that a task read, and the line within that."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+
+
 def read_network(spark: SparkSession, path: str) -> DataFrame:
-    """Edges (src, dst, w) in both directions of a file of three columns; a pair given again counts as given last.
+    """Edges (src, dst, w) in both directions of a file of three columns, or of a folder of them; a pair given again counts as given last.
 
-    Weights that are no numbers are 0.
+    Files follow each other by name. Weights that are no numbers are 0.
     """
     from labelweave.operators.network import symmetric
 
     lines = spark.read.csv(path, sep="\t", schema="src string, dst string, weight string")
-    numbered = lines.select("src", "dst", F.expr("coalesce(try_cast(weight AS double), 0.0)").alias("w"), F.monotonically_increasing_id().alias("line"))
+    numbered = lines.select("src", "dst", F.expr("coalesce(try_cast(weight AS double), 0.0)").alias("w"), _line().alias("line"))
     return symmetric(numbered.where("src IS NOT NULL AND dst IS NOT NULL"), "line")
 
 

@@ -73,3 +73,13 @@ def test_tune_and_pred_on_files(spark, tmp_path):
         assert _lines(f"{tmp_path}/t/{name}"), name
     betas = _lines(f"{tmp_path}/t/thresholds")
     assert "log_beta" in betas[0] and len(betas) >= 3
+
+
+def test_the_last_line_of_the_last_file_counts(spark, tmp_path):
+    from labelweave.sources import tsv
+
+    (tmp_path / "net").mkdir()
+    (tmp_path / "net" / "a.tsv").write_text("x\ty\t1\n")
+    (tmp_path / "net" / "b.tsv").write_text("".join(f"n{k}\tm{k}\t1\n" for k in range(200)) + "x\ty\t5\ny\tx\t7\n")
+    edges = {(r["src"], r["dst"]): r["w"] for r in tsv.read_network(spark, f"{tmp_path}/net").collect()}
+    assert edges["x", "y"] == edges["y", "x"] == 7.0 and len(edges) == 402

@@ -12,7 +12,7 @@ parts are summed afterwards.
 
 Bounds: the driver and every task hold the group of at most 2^23 hashed prefixes and at most as many
 extended ones; a group holds at most BUDGET suffixes, more only beyond 2^42 words. Tasks number words
-as they meet them and begin anew after 2^20 different ones.
+as they meet them and begin anew after 2^19 different ones.
 
 Null texts are empty, a null language is `und`. A-Z become lower case. Texts without words give
 nothing, and an empty table gives no row. Repeated rows count each time; a piece of any length is read in
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,27 +33,30 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import buffers, checkpoint, mix64, utf8
+from labelweave.llm.common import buffers, checkpoint, mix64, powers, utf8
 
 #: Words of a phrase at most; occurrences of a candidate at least; percentage of them inside one longer candidate that drops it; phrases of a language.
 LONGEST, LEAST, INSIDE, FIRST = 3, 10, 50, 2000
 #: Suffixes that one group holds in memory; prefixes that the driver may hold as hashes.
 BUDGET, MOST_PREFIXES = 1 << 21, 1 << 23
-_SLAB, _WORDS, _PENDING, _BLOCK = 1 << 20, 1 << 20, 1 << 22, 1 << 17
-#: Lower case for A-Z, one byte for what ends a piece, one for what ends a word.
-_BYTES = bytes(b + 32 if 65 <= b < 91 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
-_EDGE = re.compile(rb"[ \n]")
+_SLAB, _WORDS, _PENDING, _BLOCK = 1 << 20, 1 << 19, 1 << 20, 1 << 17
+#: Lower case for A-Z, a byte that UTF-8 never has for what ends a piece, a blank for what ends a word.
+_END = b"\xff"
+_BYTES = bytes(b + 32 if 65 <= b < 91 else 255 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
+_EDGE = re.compile(rb"[ \xff]")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Numbering(dict):
-    """Numbers words in order of appearance; "" is 0 and a piece's end 1."""
+    """Numbers words in order of appearance; no word is 0 and a piece's end 1."""
 
     def __init__(self):
-        super().__init__({b"": 0, b"\n": 1})
+        super().__init__({b"": 0, _END: 1})
+        self.words = [b"", _END]
 
     def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
+        n = self[word] = len(self.words)
+        self.words.append(word)
         return n
 
 
@@ -71,10 +74,10 @@ def token_runs(data: bytes, size: int = _SLAB) -> Iterator[list[bytes]]:
     """Words and piece ends of prepared bytes, slab by slab; each run begins with the last two tokens of the one before, and two ends close the last."""
     left: list[bytes] = []
     for slab in slabs(data, size):
-        run = left + [w for w in slab.replace(b"\n", b" \n ").split(b" ") if w]
+        run = left + slab.replace(_END, b" \xff ").split()
         yield run
         left = run[-2:]
-    yield [*left, b"\n", b"\n"]
+    yield [*left, _END, _END]
 
 
 def keys_of(ids: np.ndarray) -> np.ndarray:
@@ -89,49 +92,92 @@ def paths_of(keys: np.ndarray) -> np.ndarray:
     return np.stack([keys >> 42, (keys >> 21) & 0x1FFFFF, keys & 0x1FFFFF], 1)
 
 
-def _settled(parts: list[tuple[np.ndarray, np.ndarray | None]]) -> tuple[np.ndarray, np.ndarray]:
-    """Different keys, in order, with their sums; counts None stand for ones."""
-    keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    n = np.concatenate([np.ones(len(k), np.int64) if n is None else n for k, n in parts])
-    return keys, np.bincount(back, n, len(keys)).astype(np.int64)
+def _runs(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys of a sorted array with their sums; counts None stand for ones."""
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.r_[first, len(keys)]) if n is None else np.add.reduceat(n, first) if len(first) else n
 
 
-def gathered(batches: Iterator[pa.RecordBatch], keep: Callable) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
-    """(language, words by number, keys, counts) of an Arrow stream (lang, text), as often as a task's memory asks for.
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted runs of keys and counts as one."""
+    keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    return _runs(keys[order], n[order])
 
-    `keep` picks and cuts keys: it gets the language, the words so far and keys.
-    """
-    numbers, held, fresh, total = Numbering(), {}, 0, 0
+
+def _prepared(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+    """(language, bytes) of a batch (lang, text): the texts of each language in lower case, with one byte between words and another between pieces."""
+    langs = np.array(batch.column(0).to_pylist(), object)
+    raw, at = buffers(batch.column(1))
+    for lang in dict.fromkeys(langs):
+        yield lang, b"\n".join(raw[at[k] : at[k + 1]].tobytes() for k in np.flatnonzero(langs == lang)).translate(_BYTES)
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """(language, words by number, keys, counts) of an Arrow stream (lang, text), as often as a task's memory asks for."""
+    numbers, fresh, held = Numbering(), {}, {}
+    waiting, total = 0, 0
     for batch in batches:
-        langs = np.array(batch.column(0).to_pylist(), object)
-        raw, at = buffers(batch.column(1))
-        for lang in dict.fromkeys(langs):
-            data = b"\n".join(raw[at[k] : at[k + 1]].tobytes() for k in np.flatnonzero(langs == lang)).translate(_BYTES)
+        for lang, data in _prepared(batch):
             for run in token_runs(data):
                 ids = np.fromiter(map(numbers.__getitem__, run), np.int64, len(run))
                 if len(ids) > 2:
-                    found = keep(lang, numbers, keys_of(ids))
-                    held.setdefault(lang, []).append((found, None))
-                    fresh += len(found)
-                if fresh > _PENDING:
-                    held = {x: [_settled(parts)] for x, parts in held.items()}
-                    fresh, total = 0, sum(len(k) for parts in held.values() for k, _ in parts)
+                    fresh.setdefault(lang, []).append(keys_of(ids))
+                    waiting += len(fresh[lang][-1])
+                if waiting > _PENDING:
+                    total += _settle(fresh, held)
+                    waiting = 0
                 if len(numbers) > _WORDS or total > 2 * _PENDING:
-                    yield from _handed(numbers, held)
-                    numbers, held, fresh, total = Numbering(), {}, 0, 0
-    yield from _handed(numbers, held)
+                    yield from _handed(numbers, fresh, held)
+                    numbers, fresh, held = Numbering(), {}, {}
+                    waiting, total = 0, 0
+    yield from _handed(numbers, fresh, held)
+
 
+def _settle(fresh: dict, held: dict) -> int:
+    """Sorts and counts what came last; how many different keys that makes."""
+    total = 0
+    for lang, parts in fresh.items():
+        held.setdefault(lang, []).append(_runs(np.sort(np.concatenate(parts))))
+        total += len(held[lang][-1][0])
+    fresh.clear()
+    return total
 
-def _handed(numbers: Numbering, held: dict) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
-    words = np.fromiter(numbers, object, len(numbers))
+
+def _handed(numbers: Numbering, fresh: dict, held: dict) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    _settle(fresh, held)
+    words = np.fromiter(numbers.words, object, len(numbers.words))
     for lang, parts in held.items():
-        yield lang, words, *_settled(parts)
+        yield lang, words, *_merged(parts)
+
+
+def hashed_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of prepared bytes, and the number of its piece: polynomials by prefix sums, no word is touched on its own."""
+    blank = (data == 32) | (data == 255)
+    edge = np.diff(np.r_[True, blank, True].astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    up, down = powers(len(data) + 1)
+    total = np.r_[np.uint64(0), np.cumsum((data + np.uint64(1)) * up[: len(data)], dtype=np.uint64)]
+    return (total[ends] - total[starts]) * down[starts], np.cumsum(data == 255)[starts]
+
+
+def _seeded(hashes: np.ndarray, lang: str) -> np.ndarray:
+    return mix64(hashes ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode())))
 
 
-def word_hashes(lang: str, words: np.ndarray) -> np.ndarray:
-    """A hash for each word's number, seeded by the language; 0 (no word) has one too."""
-    seed = xxhash.xxh3_64_intdigest(lang.encode())
-    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
+#: The hash of no word, behind a piece's end; words that are hashed at once.
+_NOTHING, _SOME = np.uint64(0x27D4EB2F165667C5), 1 << 16
+
+
+def word_hashes(lang: str, words: np.ndarray | list[bytes]) -> np.ndarray:
+    """A hash for each of a numbering's words, seeded by the language; no word and a piece's end have one too."""
+    parts = [hashed_words(np.frombuffer(b" ".join(words[k : k + _SOME]), np.uint8))[0] for k in range(2, len(words), _SOME)]
+    return np.r_[_NOTHING, _NOTHING, _seeded(np.concatenate(parts), lang) if parts else np.zeros(0, np.uint64)]
+
+
+def prefix_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a prefix from that of the prefix without its last word (0: none)."""
+    return mix64(before * _STEP + word)
 
 
 def prefix_hashes(hashes: np.ndarray, path: np.ndarray) -> np.ndarray:
@@ -139,7 +185,7 @@ def prefix_hashes(hashes: np.ndarray, path: np.ndarray) -> np.ndarray:
     out = np.zeros(path.shape, np.uint64)
     before = np.zeros(len(path), np.uint64)
     for k in range(path.shape[1]):
-        before = out[:, k] = mix64(before * _STEP + hashes[path[:, k]])
+        before = out[:, k] = prefix_hash(before, hashes[path[:, k]])
     return out
 
 
@@ -167,35 +213,47 @@ class Partition:
 
 
 def _prefix_counts(texts: DataFrame, size: int, shared) -> DataFrame:
-    """(lang, h, n): how many suffixes begin with each prefix of `size` words whose shorter prefixes are all extended."""
+    """(lang, h, n): how many suffixes begin with each prefix of `size` words whose shorter prefixes are all extended.
+
+    Only hashes are counted: they say where suffixes go, not what they are. A prefix that a slab's end cuts counts as one that its piece ends.
+    """
+
+    def prefixes(lang: str, slab: bytes) -> np.ndarray:
+        plain, piece = hashed_words(np.frombuffer(slab, np.uint8))
+        word = _seeded(plain, lang)
+        at = np.arange(len(word))
+        h = prefix_hash(np.zeros(len(word), np.uint64), word)
+        for k in range(1, size):
+            long = shared.value.long(k, h)
+            at, h = at[long], h[long]
+            after = np.minimum(at + k, len(word) - 1)
+            there = (at + k < len(word)) & (piece[after] == piece[at])
+            h = prefix_hash(h, np.where(there, word[after], _NOTHING))
+        return np.sort(h)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, mask = shared.value, np.int64(-1) << np.int64(21 * (LONGEST - size))
-        seen: dict[str, np.ndarray] = {}
-
-        def keep(lang: str, numbers: Numbering, keys: np.ndarray) -> np.ndarray:
-            if size > 1:
-                path = paths_of(keys)[:, : size - 1]
-                hashes = prefix_hashes(hashes_of(lang, numbers), path)
-                for k in range(1, size):
-                    ok = part.long(k, hashes[:, k - 1])
-                    keys, hashes = keys[ok], hashes[ok]
-            return keys & mask
-
-        def hashes_of(lang: str, numbers: Numbering) -> np.ndarray:
-            """Hashes of the words so far, those of new words appended."""
-            old, first = seen.get(lang, (None, None))
-            if first is not numbers:
-                old = np.zeros(0, np.uint64)
-            new = np.fromiter(itertools.islice(numbers, len(old), None), object, len(numbers) - len(old))
-            seen[lang] = (np.r_[old, word_hashes(lang, new)], numbers)
-            return seen[lang][0]
-
-        for lang, words, keys, n in gathered(batches, keep):
-            h = prefix_hashes(word_hashes(lang, words), paths_of(keys)[:, :size])[:, -1].view(np.int64)
-            for low in range(0, len(h), _BLOCK):
-                some = slice(low, low + _BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h[some]), pa.string()), pa.array(h[some]), pa.array(n[some])], ["lang", "h", "n"])
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        total = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                h, n = _merged(parts)
+                for low in range(0, len(h), _BLOCK):
+                    some = h[low : low + _BLOCK].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(n[low : low + _BLOCK])], ["lang", "h", "n"])
+
+        for batch in batches:
+            for lang, data in _prepared(batch):
+                for slab in slabs(data):
+                    held.setdefault(lang, []).append(_runs(prefixes(lang, slab)))
+                    total += len(held[lang][-1][0])
+                    if total > 2 * _PENDING:
+                        held = {x: [_merged(parts)] for x, parts in held.items()}
+                        total = sum(len(h) for parts in held.values() for h, _ in parts)
+                        if total > _PENDING:
+                            yield from out()
+                            held, total = {}, 0
+        yield from out()
 
     return texts.mapInArrow(run, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
 
@@ -236,20 +294,30 @@ def packed(loads: np.ndarray, budget: int) -> np.ndarray:
     return groups
 
 
+def _compact(path: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that a path uses, in order, and the path by their places."""
+    if 8 * path.size < words:
+        used = np.unique(path)
+        return used, np.searchsorted(used, path)
+    seen = np.zeros(words, bool)
+    seen[path] = True
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[path]
+
+
 def _blocks(shared):
     """A task: its different suffixes as blocks (lang, grp, words, path, n) for the groups they go to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = shared.value
-        for lang, words, keys, n in gathered(batches, lambda lang, numbers, keys: keys):
+        for lang, words, keys, n in gathered(batches):
             path = paths_of(keys)
             group = part.group(prefix_hashes(word_hashes(lang, words), path))
             order = np.argsort(group, kind="stable")
             path, n, group = path[order], n[order], group[order]
             edges = np.unique(np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), np.arange(0, len(group), _BLOCK), len(group)])
             for low, high in zip(edges[:-1], edges[1:], strict=True):
-                used, own = np.unique(path[low:high], return_inverse=True)
-                row = [lang, int(group[low]), b"\n".join(words[used]), own.astype(np.int32).tobytes(), n[low:high].tobytes()]
+                used, own = _compact(path[low:high], len(words))
+                row = [lang, int(group[low]), _END.join(words[used]), own.astype(np.int32).tobytes(), n[low:high].tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _BLOCK_TYPES, strict=True)], ["lang", "grp", "words", "path", "n"])
 
     return run
@@ -260,7 +328,8 @@ _BLOCK_TYPES = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
 
 def subtree(path: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(prefixes, counts) of the nodes at each depth of a group's tree; a node's count is the sum of its leaves."""
-    order = np.lexsort(path.T[::-1])
+    small = path.max(initial=0) < 1 << 21
+    order = np.argsort(path.astype(np.int64) @ (1 << np.array([42, 21, 0])), kind="stable") if small else np.lexsort(path.T[::-1])
     path, n = path[order], n[order]
     new = np.zeros(len(path), bool)
     for size in range(1, path.shape[1] + 1):
@@ -275,9 +344,9 @@ def _trees(shared, least: int):
     """A task: blocks in order of group and language as phrases (lang, phrase, size, n), the frequent ones and all parts of extended prefixes."""
 
     def phrases(lang: str, blocks: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        part, numbers, paths = shared.value, {b"": 0}, []
+        part, numbers, paths = shared.value, {b"": 0, _END: 1}, []
         for words, path, _ in blocks:
-            own = np.array([numbers.setdefault(w, len(numbers)) for w in words.split(b"\n")], np.int32)
+            own = np.array([numbers.setdefault(w, len(numbers)) for w in words.split(_END)], np.int32)
             paths.append(own[np.frombuffer(path, np.int32).reshape(-1, LONGEST)])
         words = np.fromiter(numbers, object, len(numbers))
         hashes = word_hashes(lang, words)
@@ -354,5 +423,5 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     best = [F.desc("score"), F.desc("a"), "phrase"]
     some = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(64))).orderBy(*best)  # no language is ranked in one task as a whole
     few = alone.withColumn("_r", F.row_number().over(some)).where(F.col("_r") <= first).drop("_r")
-    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best))).where(F.col("rank") <= first)
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")).where(F.col("rank") <= first)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -183,10 +183,24 @@ def test_prefixes_are_extended_until_groups_fit(spark):
     part, totals = collocations.partition(docs.select("lang", F.col("text").cast("binary")), 200)
     assert [len(x) for x in part.extended] == [3, 3] and totals.collect()[0]["n"] == 1040  # a, b, c and a b, b c, c a
     assert collocations.packed(np.array([90, 90, 30, 5, 300, 1]), 200).tolist() == [0, 0, 1, 1, 2, 3]
-    hashes = collocations.prefix_hashes(collocations.word_hashes("en", np.array([b"", b"a", b"b", b"x"], object)), np.array([[1, 2, 3], [1, 2, 1], [3, 1, 2], [3, 1, 0]]))
+    hashes = collocations.prefix_hashes(collocations.word_hashes("en", np.array([b"", b"\xff", b"a", b"b", b"x"], object)), np.array([[2, 3, 4], [2, 3, 2], [4, 2, 3], [4, 2, 0]]))
     assert (hashes[0, :2] == hashes[1, :2]).all() and hashes[2, 1] == hashes[3, 1] and hashes[2, 2] != hashes[3, 2]
 
 
+def test_counted_prefixes_are_where_suffixes_go():
+    """Hashes counted from bytes equal those of the numbered words, by which suffixes are sent to groups."""
+    import pyarrow as pa
+
+    text = "a b, c d a b\nx a b c! \t b".encode()
+    data = np.frombuffer(next(iter(collocations._prepared(pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([text])], ["lang", "text"]))))[1], np.uint8)
+    plain, piece = collocations.hashed_words(data)
+    numbers = collocations.Numbering()
+    ids = np.array([numbers[w] for w in data.tobytes().replace(b"\xff", b" \xff ").split()])
+    own = collocations.word_hashes("en", numbers.words)
+    assert (collocations._seeded(plain, "en") == own[ids[ids > 1]]).all() and piece.tolist() == [0, 0, 1, 1, 1, 1, 2, 2, 2, 2, 3]
+    assert len(collocations.hashed_words(data[:0])[0]) == 0
+
+
 def test_numbering_begins_anew_between_slabs(monkeypatch):
     import pyarrow as pa
 
@@ -195,7 +209,7 @@ def test_numbering_begins_anew_between_slabs(monkeypatch):
     words = [f"w{k % 23}" for k in range(300)]
     batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([" ".join(words).encode()])], ["lang", "text"])
     got = collections.Counter()
-    for lang, names, keys, n in collocations.gathered(iter([batch]), lambda lang, numbers, keys: keys):
+    for lang, names, keys, n in collocations.gathered(iter([batch])):
         for line, m in zip(collocations.paths_of(keys), n, strict=True):
             got[tuple(names[k].decode() for k in line)] += int(m)
     ends = [*words, "", ""]

@@ -36,7 +36,7 @@ from labelweave.llm.common import checkpoint, shared_folder
 
 #: Positives of an anchor and negatives of a positive; shares of a positive's score, in hundredths, between which a negative lies.
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 10, 30, 90
-#: Bytes of vectors, and anchors, that one block holds at most (a longer vector is a block of its own).
+#: Bytes of vectors, and anchors, of one block on average at most: anchors are dealt to blocks by hash (a longer vector is a block of its own).
 BLOCK_BYTES, BLOCK_ANCHORS = 8 << 20, 4096
 #: Scores that a task holds at once.
 _CELLS = 1 << 21

@@ -10,7 +10,7 @@ text are those of each chunk between its two splices. An overlap without a prove
 doubling up to half a chunk; where that fails too, the cut is given up and the two chunks are one, so
 a text without any stable place is encoded whole.
 
-Shorter texts are encoded whole: they are cut at stable places (blanks behind ASCII signs) and each
+Shorter texts are encoded whole: they are cut at stable places (blanks behind what is none) and each
 different stretch is encoded once a task, as long as 32 MB hold them. Both need a byte-level tokenizer
 without normaliser whose added tokens have no blanks and strip nothing; other tokenizers encode every
 text whole, which gives the library's counts as well.

@@ -36,9 +36,9 @@ def prior_areas(normal: DataFrame, nodes: DataFrame, labels: DataFrame, similari
     r = None
     for k in ranks:
         own = dealt.select("node", F.concat_ws("/", F.lit(k), "fold", "label").alias("label"))
-        one = _unit(propagation.add_prior(nodes, similarity, own, k))
+        one = propagation.add_prior(nodes, similarity, own, k)
         r = one if r is None else r.unionByName(one)
-    r = checkpoint(r)
+    r = checkpoint(_unit(checkpoint(r)))
     scores = propagation.walk(normal, r, alpha).select(F.col("node").alias("gene"), "label", "p")
     asked = r.select("label").distinct().withColumn("_part", F.split("label", "/", 3))
     keyed = asked.select(F.col("label").alias("key"), F.col("_part")[0].cast("int").alias("k"), F.col("_part")[1].cast("int").alias("fold"), F.col("_part")[2].alias("label"))
@@ -68,6 +68,6 @@ def walk_with_priors(normal: DataFrame, nodes: DataFrame, labels: DataFrame, sim
     for k in ranks:  # at most as many as there are ranks to try
         one = propagation.add_prior(nodes, similarity, marks.join(chosen.where(F.col("k") == k).select("label"), "label", "left_semi").select("node", "label"), k)
         r = one if r is None else r.unionByName(one)
-    r = checkpoint(_unit(r))
+    r = checkpoint(_unit(checkpoint(r)))
     p = propagation.walk(normal, r, alpha)
     return propagation.ratio(p, propagation.walk(normal, r, 1.0)) if relative else p

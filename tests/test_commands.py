@@ -56,25 +56,6 @@ def test_prop_with_priors_on_files(spark, tmp_path):
     assert all(0 < float(r[1]) < 1 for r in rows if r[0] == "n0")
 
 
-def test_tune_and_pred_on_files(spark, tmp_path):
-    """tune with betas searched and rare labels oversampled, and pred, from files to files."""
-    (tmp_path / "net.tsv").write_text("".join(f"n{k}\tn{(k + s) % 20}\t{1 + (k * s) % 3}\n" for k in range(20) for s in (1, 3)))
-    (tmp_path / "y.tsv").write_text("id\ta\tb\tc\n" + "".join(f"n{k}\t{int(k % 2 == 0)}\t{int(k % 3 == 0)}\t{int(k in (1, 2, 7, 8))}\n" for k in range(16)))
-    (tmp_path / "genes.tsv").write_text("n17\nn18\n")
-    shared = ["--networks", f"{tmp_path}/net.tsv", "--labels", f"{tmp_path}/y.tsv", "--genes", f"{tmp_path}/genes.tsv", "--folds", "2", "--neighbours", "0"]
-    main(spark, ["tune", *shared, "--out", f"{tmp_path}/t", "--k", "0.3", "0.4", "1", "--lam", "0.1", "0.2", "1", "--cut", "1", "--auto-beta", "--oversample", "0.9", "--regularised", "--verbose"])
-    main(spark, ["pred", *shared, "--out", f"{tmp_path}/p"])
-    for out in ("t", "p"):
-        head, *rows = _lines(f"{tmp_path}/{out}/test.prob")
-        rows = rows if head[0] not in ("n17", "n18") else [head, *rows]
-        found = {r[0]: [float(x) for x in r[1:]] for r in rows if r[0] in ("n17", "n18")}
-        assert set(found) == {"n17", "n18"} and all(0 <= x <= 1 for v in found.values() for x in v)
-    for name in ("measures", "areas", "chosen", "thresholds", "order", "positive.relation", "negative.relation", "train.raw", "train.prob", "train.label"):
-        assert _lines(f"{tmp_path}/t/{name}"), name
-    betas = _lines(f"{tmp_path}/t/thresholds")
-    assert "log_beta" in betas[0] and len(betas) >= 3
-
-
 def test_the_last_line_of_the_last_file_counts(spark, tmp_path):
     from labelweave.sources import tsv
 

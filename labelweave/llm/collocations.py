@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -99,10 +99,14 @@ def _runs(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted runs of keys and counts as one."""
+    """Sorted runs of keys and counts as one; the parts are let go."""
     keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
     order = np.argsort(keys, kind="stable")
-    return _runs(keys[order], n[order])
+    keys = keys[order]
+    n = n[order]
+    del order
+    return _runs(keys, n)
 
 
 def _prepared(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
@@ -145,10 +149,12 @@ def _settle(fresh: dict, held: dict) -> int:
 
 
 def _handed(numbers: Numbering, fresh: dict, held: dict) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """What a task has met, language by language; the numbering and the parts are let go before they are used."""
     _settle(fresh, held)
     words = np.fromiter(numbers.words, object, len(numbers.words))
-    for lang, parts in held.items():
-        yield lang, words, *_merged(parts)
+    numbers.clear(), numbers.words.clear()
+    for lang in list(held):
+        yield lang, words, *_merged(held.pop(lang))
 
 
 def hashed_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -310,14 +316,16 @@ def _blocks(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = shared.value
         for lang, words, keys, n in gathered(batches):
-            path = paths_of(keys)
-            group = part.group(prefix_hashes(word_hashes(lang, words), path))
+            hashes = word_hashes(lang, words)
+            group = np.zeros(len(keys), np.int32)
+            for low in range(0, len(keys), _BLOCK):  # paths and their hashes take six times what keys take
+                group[low : low + _BLOCK] = part.group(prefix_hashes(hashes, paths_of(keys[low : low + _BLOCK])))
             order = np.argsort(group, kind="stable")
-            path, n, group = path[order], n[order], group[order]
+            group = group[order]
             edges = np.unique(np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), np.arange(0, len(group), _BLOCK), len(group)])
             for low, high in zip(edges[:-1], edges[1:], strict=True):
-                used, own = _compact(path[low:high], len(words))
-                row = [lang, int(group[low]), _END.join(words[used]), own.astype(np.int32).tobytes(), n[low:high].tobytes()]
+                used, own = _compact(paths_of(keys[order[low:high]]), len(words))
+                row = [lang, int(group[low]), _END.join(words[used]), own.astype(np.int32).tobytes(), n[order[low:high]].tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _BLOCK_TYPES, strict=True)], ["lang", "grp", "words", "path", "n"])
 
     return run
@@ -326,45 +334,71 @@ def _blocks(shared):
 _BLOCK_TYPES = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
 
 
-def subtree(path: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(prefixes, counts) of the nodes at each depth of a group's tree; a node's count is the sum of its leaves."""
+def subtree(path: np.ndarray, n: np.ndarray, wanted: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(prefixes, counts) of the nodes at each depth of a group's tree that `wanted` (depth, prefixes, counts) marks, a block at a time.
+
+    A node's count is the sum of its leaves. path is put in order in place; at no time are all nodes of a depth made.
+    """
     small = path.max(initial=0) < 1 << 21
-    order = np.argsort(path.astype(np.int64) @ (1 << np.array([42, 21, 0])), kind="stable") if small else np.lexsort(path.T[::-1])
-    path, n = path[order], n[order]
+    if small:
+        order = path[:, 0].astype(np.int64)
+        for k in (1, 2):
+            order <<= 21
+            order |= path[:, k]
+        order = np.argsort(order, kind="stable")
+    else:
+        order = np.lexsort(path.T[::-1])
+    for k in range(path.shape[1]):
+        path[:, k] = path[order, k]
+    n = n[order]
+    del order
     new = np.zeros(len(path), bool)
     for size in range(1, path.shape[1] + 1):
-        new |= np.r_[True, path[1:, size - 1] != path[:-1, size - 1]]
+        new[:1] = True
+        new[1:] |= path[1:, size - 1] != path[:-1, size - 1]
         at = np.flatnonzero(new)
-        node = path[at, :size]
-        there = node[:, -1] != 0  # a suffix that ended before has no node here
-        yield node[there], np.add.reduceat(n, at)[there]
+        total = np.add.reduceat(n, at) if len(at) else n
+        for low in range(0, len(at), _BLOCK):
+            node, some = path[at[low : low + _BLOCK], :size], total[low : low + _BLOCK]
+            there = (node[:, -1] != 0) & wanted(size, node, some)  # a suffix that ended before has no node here
+            yield node[there], some[there]
 
 
 def _trees(shared, least: int):
     """A task: blocks in order of group and language as phrases (lang, phrase, size, n), the frequent ones and all parts of extended prefixes."""
 
-    def phrases(lang: str, blocks: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        part, numbers, paths = shared.value, {b"": 0, _END: 1}, []
-        for words, path, _ in blocks:
-            own = np.array([numbers.setdefault(w, len(numbers)) for w in words.split(_END)], np.int32)
-            paths.append(own[np.frombuffer(path, np.int32).reshape(-1, LONGEST)])
+    def phrases(lang: str, blocks: list[tuple[bytes, pa.Buffer, pa.Buffer]]) -> Iterator[pa.RecordBatch]:
+        part, numbers = shared.value, {b"": 0, _END: 1}
+        path, n = np.zeros((sum(len(x[2]) for x in blocks) // 8, LONGEST), np.int32), np.zeros(sum(len(x[2]) for x in blocks) // 8, np.int64)
+        low = len(n)
+        while blocks:  # a block is let go when it is copied
+            words, own, some = blocks.pop()
+            own, some = np.frombuffer(own, np.int32).reshape(-1, LONGEST), np.frombuffer(some, np.int64)
+            low -= len(some)
+            path[low : low + len(some)] = np.array([numbers.setdefault(w, len(numbers)) for w in words.split(_END)], np.int32)[own]
+            n[low : low + len(some)] = some
         words = np.fromiter(numbers, object, len(numbers))
+        numbers.clear()
         hashes = word_hashes(lang, words)
-        for node, total in subtree(np.concatenate(paths), np.concatenate([np.frombuffer(n, np.int64) for _, _, n in blocks])):
-            size = node.shape[1]
-            kept = total >= least
-            if size < LONGEST:
-                kept |= part.long(size, prefix_hashes(hashes, node)[:, -1])
-            node, total = node[kept], total[kept]
-            for low in range(0, len(node), _BLOCK):
-                some = [b" ".join(words[list(line)]) for line in node[low : low + _BLOCK]]
+
+        def wanted(size: int, node: np.ndarray, total: np.ndarray) -> np.ndarray:
+            often = total >= least
+            return often if size == LONGEST else often | part.long(size, prefix_hashes(hashes, node)[:, -1])
+
+        for node, total in subtree(path, n, wanted):
+            if len(node):
+                some = [b" ".join(words[list(line)]) for line in node]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(some), pa.string()), pa.array(some, pa.binary()).cast(pa.string()), pa.array([size] * len(some), pa.int32()), pa.array(total[low : low + _BLOCK])],
+                    [pa.array([lang] * len(some), pa.string()), pa.array(some, pa.binary()).cast(pa.string()), pa.array([node.shape[1]] * len(some), pa.int32()), pa.array(total)],
                     ["lang", "phrase", "size", "n"],
                 )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((r["grp"], r["lang"], (r["words"], r["path"], r["n"])) for batch in batches for r in batch.to_pylist())
+        rows = (
+            (grp.as_py(), lang.as_py(), (words.as_py(), path.as_buffer(), n.as_buffer()))  # one copy of a block's numbers is Arrow's
+            for batch in batches
+            for lang, grp, words, path, n in zip(*batch.columns, strict=True)
+        )
         for (_, lang), own in itertools.groupby(rows, key=lambda r: r[:2]):
             yield from phrases(lang, [r[2] for r in own])
 

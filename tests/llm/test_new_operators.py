@@ -5,8 +5,10 @@ import json
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,6 +218,41 @@ def test_numbering_begins_anew_between_slabs(monkeypatch):
     assert got == collections.Counter(zip(ends, ends[1:], ends[2:])) - collections.Counter([("", "", "")])
 
 
+def test_a_task_deals_its_suffixes_in_few_bytes_each(monkeypatch):
+    class Shared:
+        value = collocations.Partition((), np.zeros(1 << 10, np.int32))
+
+    size = 1 << 20
+    keys = np.sort(np.random.default_rng(3).integers(2, 1000, size) << 42 | np.arange(size) % 1000 + 2 << 21)
+    words = np.array([b"", b"\xff", *[b"w%d" % k for k in range(1000)]], object)
+    monkeypatch.setattr(collocations, "gathered", lambda batches: [("en", words, keys, np.ones(size, np.int64))])
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    total = sum(len(b["n"][0].as_py()) // 8 for b in collocations._blocks(Shared)(iter(())))
+    most = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert total == size and most < 64 * size
+
+
+def test_a_group_reads_its_tree_in_few_bytes_a_suffix():
+    class Shared:
+        value = collocations.Partition((), np.zeros(1, np.int32))
+
+    size, rng = 1 << 19, np.random.default_rng(4)
+    words = b"\xff".join([b"", b"\xff"[:0], *[b"w%d" % k for k in range(998)]])
+    path = np.stack([rng.integers(2, 1000, size), np.arange(size) % 998 + 2, rng.integers(2, 1000, size)], 1).astype(np.int32)
+    row = ["en", 0, words, path.tobytes(), np.ones(size, np.int64).tobytes()]
+    batch = pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, collocations._BLOCK_TYPES, strict=True)], ["lang", "grp", "words", "path", "n"])
+    first = collections.Counter(path[:, 0].tolist())
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    found = [b.to_pydict() for b in collocations._trees(Shared, 10)(iter([batch]))]
+    most = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    ones = {p: n for b in found for p, size, n in zip(b["phrase"], b["size"], b["n"], strict=True) if size == 1}
+    assert ones == {f"w{k - 2}": n for k, n in first.items() if n >= 10} and most < 72 * size
+
+
 def test_queries_have_the_contracts_columns(spark, tmp_path, nasty):
     nasty.write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.op11_token_counts(spark, str(tmp_path))

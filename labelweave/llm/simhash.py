@@ -9,8 +9,9 @@ all its pairs. A key with very many fingerprints is split into pairs of bounded
 Null and empty texts have fingerprint zero and link like any other. Texts with fewer than three
 words are one shingle. A null id never becomes a component's id unless all its ids are null.
 
-Near copies (one_of_each) are a matter of the shingle sets themselves: keys of least hashes find
-candidates, and every candidate link is verified by the exact Jaccard similarity of the two sets.
+Near copies (one_of_each) are the texts that agree on three blocks of the same fingerprints, and whose
+shingle sets then have the exact Jaccard similarity asked for. Texts at that similarity whose fingerprints
+differ in more bits than blocks allow for meet under keys of least hashes besides; they are verified alike.
 """
 
 from __future__ import annotations
@@ -138,10 +139,15 @@ def _linked(distance: int):
     return link
 
 
+def block_keys(fp: Column, masks: list[list[int]]) -> Column:
+    """An array of keys of a fingerprint (an array of longs): one for each choice of blocks."""
+    return F.array(*[F.xxhash64(F.lit(k), *[fp[w].bitwiseAND(F.lit(m)) for w, m in enumerate(mask)]) for k, mask in enumerate(masks)])
+
+
 def links(nodes: DataFrame, masks: list[list[int]], distance: int, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) between nodes (node, fp) that connect all close fingerprints which agree under a mask; they may repeat."""
     width = len(masks[0])
-    keys = F.array(*[F.xxhash64(F.lit(k), *[F.col("fp")[w].bitwiseAND(F.lit(m)) for w, m in enumerate(mask)]) for k, mask in enumerate(masks)])
+    keys = block_keys(F.col("fp"), masks)
     columns = [F.col("fp")[w].alias(f"fp{w}") for w in range(width)]
     dealt = nodes.select("node", *columns, F.explode(keys).alias("run"))
     hot = checkpoint(
@@ -198,12 +204,14 @@ def set_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _set_columns(words: int):
-    @F.arrow_udf("struct<node:long,keys:array<long>>")
+    @F.arrow_udf("struct<node:long,fp:long,keys:array<long>>")
     def named(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            sets = [shingle_set(x.as_py(), words) for x in texts]
+            bodies = [x.as_py() for x in texts]
+            sets = [shingle_set(x, words) for x in bodies]
             nodes = pa.array([xxhash.xxh64_intdigest(x.tobytes(), _SEED) for x in sets], pa.uint64()).view(pa.int64())
-            yield pa.StructArray.from_arrays([nodes, pa.array([set_keys(x) for x in sets], pa.list_(pa.int64()))], ["node", "keys"])
+            prints = pa.array([fingerprint_of(x)[0] for x in bodies], pa.int64())
+            yield pa.StructArray.from_arrays([nodes, prints, pa.array([set_keys(x) for x in sets], pa.list_(pa.int64()))], ["node", "fp", "keys"])
 
     @F.arrow_udf("binary")
     def members(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -266,26 +274,30 @@ def set_links(nodes: DataFrame, texts: DataFrame, members: Column, similarity: f
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.xxhash64("key", F.least(j, own), F.greatest(j, own)))
     runs = checkpoint(dealt.join(once, "key").select("node", F.explode(F.when(F.col("chunks") == 1, F.array("key")).otherwise(pairs)).alias("run")))
     wanted = nodes.join(runs.select("node").distinct(), "node", "left_semi").select("node", "row")
-    sets = checkpoint(texts.join(wanted, "row").select("node", members.alias("members")))
+    sets = texts.join(wanted, "row").select("node", members.alias("members"))
     ordered = runs.join(sets, "node").select("run", "node", "members").repartition("run").sortWithinPartitions("run")
     return ordered.mapInArrow(_verified(similarity), "a long, b long")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = NEAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = NEAR_WORDS, similarity: float = SIMILARITY, least: bool = True) -> DataFrame:
     """docs with one row of each component: that with the smallest key, nulls last; of repeated rows the first.
 
-    Texts are linked whose sets of `words`-word shingles have a Jaccard similarity of at least
-    `similarity`. Keys of least hashes find the candidates; each is verified on the sets themselves.
-    All columns stay as they are.
+    Candidates are texts whose SimHash fingerprints agree on three blocks (so all within DISTANCE bits),
+    and, unless `least` is off, those that share a key of least hashes. Candidates are linked if their
+    sets of `words`-word shingles have a Jaccard similarity of at least `similarity`, which is computed
+    on the sets themselves. Equal sets are one node. All columns stay as they are.
     """
     named, members = _set_columns(words)
     row = fresh(docs, "_row")
     numbered = checkpoint(docs.withColumn(row, F.monotonically_increasing_id()))  # a number is only good while rows keep it
     first = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(row).alias("row"))
     made = numbered.select(first.alias("first"), named(utf8(text)).alias("s"))
-    nodes = checkpoint(made.groupBy("s.node").agg(F.min("first").alias("first"), F.min_by("s.keys", "first").alias("keys")))
+    nodes = checkpoint(made.groupBy("s.node").agg(F.min("first").alias("first"), F.min_by("s.keys", "first").alias("keys"), F.collect_set("s.fp").alias("prints")))
     texts = numbered.select(F.col(row).alias("row"), F.col(text).alias("text"))
-    roots = components(set_links(nodes.select("node", "first.row", "keys"), texts, members(utf8("text")), similarity)).withColumnRenamed("node", "linked")
+    # A set without a member has no key, and one node may have several fingerprints: a key counts once.
+    blocks = F.flatten(F.transform("prints", lambda fp: block_keys(F.array(fp), block_masks())))
+    keys = F.when(F.size("keys") > 0, F.array_distinct(F.concat("keys", blocks) if least else blocks)).otherwise(F.col("keys")).alias("keys")
+    roots = components(set_links(nodes.select("node", "first.row", keys), texts, members(utf8("text")), similarity)).withColumnRenamed("node", "linked")
     rooted = nodes.join(roots, F.col("node") == F.col("linked"), "left").select("first", F.coalesce("root", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     return numbered.join(kept, row, "left_semi").drop(row)

@@ -204,6 +204,20 @@ def test_near_copies_are_those_above_the_similarity(spark):
     assert len(want) > 30 and len(keep) > 40 and not want & kept and keep <= kept
 
 
+def test_near_copies_are_found_by_fingerprints(spark):
+    rng = random.Random(9)
+    rows, close = [], 0
+    for number in range(0, 80, 2):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(600)]
+        other = [*words[:599], "x"] if number % 4 else [f"w{rng.randrange(10**9)}" for _ in range(600)]
+        prints = [simhash.fingerprint_of(" ".join(t).encode())[0] for t in (words, other)]
+        close += ((prints[0] ^ prints[1]) & (1 << 64) - 1).bit_count() <= 3
+        rows += [(number, " ".join(words)), (number + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.one_of_each(docs, least=False).collect()}
+    assert close > 15 and 80 - len(kept) >= close and {number for number in range(0, 80, 4)} | {number + 1 for number in range(0, 80, 4)} <= kept
+
+
 def test_similar_sets_match_brute_force_when_a_key_is_split(spark):
     rng = np.random.default_rng(5)
     base = [f"w{k}" for k in range(60)]

@@ -15,7 +15,7 @@ ANSWER rarest words all stand there too (a paraphrase).
 
 Items are the query set, searched in blocks of about BLOCK items, one after another: a block's searcher is broadcast, used and
 destroyed before the next is made, so memory doesn't grow with the benchmark. The
-basis is fitted on at most FIT passages. Items of under SHORT words have too little for a vector and
+basis is fitted on all passages. Items of under SHORT words have too little for a vector and
 are found verbatim, by the hash of the whole run. Items of one or two words are no passage and match
 nothing, as null and empty texts do; an empty benchmark or table gives no match; repeated rows match
 each for themselves, and null ids are carried along. Texts are searched whole, in pieces of bounded
@@ -41,8 +41,8 @@ BUCKETS, RANK, WINDOW, STRIDE, PASSAGE = 1 << 15, 128, 64, 16, 48
 HELD, SEEN = 0.35, 0.4
 #: Shares of an item's words in order; rare words of an answer; items under SHORT words are found verbatim, under LEAST not at all.
 SHARE, LOOSE, ANSWER, SHORT, LEAST = 0.8, 0.5, 3, 8, 3
-#: Passages that the basis is fitted on at most, items that are broadcast at once; bytes of text and numbers of a matrix handled at once.
-FIT, BLOCK, _CHUNK, _SLAB = 8192, 16384, 256 << 10, 4 << 20
+#: Items that are broadcast at once; bytes of text and numbers of a matrix handled at once; buckets whose lines one row of a fit carries.
+BLOCK, _CHUNK, _SLAB, _LINES = 16384, 256 << 10, 4 << 20, 1024
 #: Weight that a word in every text still has.
 _FLOOR = 0.05
 _TABLE = np.frombuffer(ALNUM, np.uint8)
@@ -130,12 +130,12 @@ def passages(words: np.ndarray, most: int = PASSAGE) -> list[tuple[int, np.ndarr
     return [(a, words[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def latent_basis(items: DataFrame, idf: np.ndarray, text: str = "text", rank: int = RANK, rounds: int = 3, seed: int = 5, fit: int = FIT) -> np.ndarray:
-    """Right singular vectors (buckets x rank) of the passages' TF-IDF rows, by randomised subspace iteration.
+def latent_basis(items: DataFrame, idf: np.ndarray, text: str = "text", rank: int = RANK, rounds: int = 3, seed: int = 5) -> np.ndarray:
+    """Right singular vectors (buckets x rank) of all passages' TF-IDF rows, by randomised subspace iteration.
 
-    Each round is a job: tasks multiply their rows with the current basis and back, and send the
-    lines of the buckets that they met; the driver adds them up and orthogonalises. Above `fit`
-    passages, those with the least hashes are taken.
+    Each round is a job: tasks multiply their rows with the current basis and back, the lines of the
+    buckets that they met are added up in groups of _LINES buckets, and the driver, which gets a table
+    of fixed size, orthogonalises. Equal passages are one row with a weight.
     """
     context = items.sparkSession.sparkContext
     buckets, width = len(idf), rank + 16
@@ -144,31 +144,43 @@ def latent_basis(items: DataFrame, idf: np.ndarray, text: str = "text", rank: in
         for batch in batches:
             yield pd.DataFrame({"words": [w.tobytes() for value in batch["text"] for _, w in passages(text_words(value))]})
 
-    rows = items.select(utf8(text).alias("text")).mapInPandas(cut, "words binary").withColumn("h", F.xxhash64("words"))
-    rows = checkpoint(rows.orderBy("h").limit(fit).repartition(8))
+    rows = items.select(utf8(text).alias("text")).mapInPandas(cut, "words binary")
+    rows = checkpoint(rows.groupBy("words").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("words")))
+    tasks = min(256, max(8, rows.count() // 8192))  # what a task sends has a fixed size, however many rows it reads
+    rows = checkpoint(rows.repartition(tasks, "h").sortWithinPartitions("h", "words").select("words", "n"))  # in an order of their own, so that sums of floats agree
 
     def gram(shared):
         def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             basis = shared.value
-            total = np.zeros((buckets, width), np.float32)
+            total, least = np.zeros((buckets, width), np.float32), b""
             for batch in batches:
-                for value in batch["words"]:
+                for value, n in zip(batch["words"], batch["n"], strict=True):
+                    least = least or value
                     used, counts = np.unique(bucket_of(np.frombuffer(value, np.uint64), buckets), return_counts=True)
                     weights = counts * idf[used]
                     norm = np.sqrt((weights**2).sum())
                     if norm > 0:
                         weights = weights / norm
-                        total[used] += np.outer(weights, weights @ basis[used])
+                        total[used] += np.outer(n * weights, weights @ basis[used])
             at = np.flatnonzero(total.any(1))
-            yield pd.DataFrame({"buckets": [at.tobytes()], "part": [total[at].tobytes()]})
+            for lines in np.split(at, np.flatnonzero(np.diff(at // _LINES)) + 1) if len(at) else ():
+                yield pd.DataFrame({"lines": [int(lines[0]) // _LINES], "task": [least], "buckets": [lines.tobytes()], "part": [total[lines].tobytes()]})
 
         return multiply
 
+    def added(parts: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros((_LINES, width))
+        for own, part in parts.sort_values("task")[["buckets", "part"]].itertuples(index=False):
+            total[np.frombuffer(own, np.int64) % _LINES] += np.frombuffer(part, np.float32).reshape(-1, width)
+        return pd.DataFrame({"lines": [parts["lines"].iloc[0]], "part": [total.astype(np.float32).tobytes()]})
+
     basis = np.random.default_rng(seed).standard_normal((buckets, width), np.float32)
     for number in range(rounds):
-        shared, total = context.broadcast(basis), np.zeros((buckets, width), np.float32)
-        for row in rows.mapInPandas(gram(shared), "buckets binary, part binary").toLocalIterator(prefetchPartitions=True):
-            total[np.frombuffer(row["buckets"], np.int64)] += np.frombuffer(row["part"], np.float32).reshape(-1, width)
+        shared, total = context.broadcast(basis), np.zeros((-(-buckets // _LINES) * _LINES, width), np.float32)
+        parts = rows.mapInPandas(gram(shared), "lines int, task binary, buckets binary, part binary")
+        for row in parts.groupBy("lines").applyInPandas(added, "lines int, part binary").toLocalIterator():
+            total[row["lines"] * _LINES : (row["lines"] + 1) * _LINES] = np.frombuffer(row["part"], np.float32).reshape(-1, width)
+        total = total[:buckets]
         shared.destroy()
         used = np.flatnonzero(total.any(1))  # only buckets of the items: the others' rows are zero
         if number < rounds - 1:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+import xxhash
 
 from labelweave.llm import decontam
 
@@ -100,3 +101,16 @@ def test_one_block_of_items_is_live_at_a_time(spark, monkeypatch):
         kept = {r["doc_id"] for r in decontam.clean(docs, bench, block=block).collect()}
         assert kept == set(range(0, 40, 2)) and max(most) == 1
         live.clear()
+
+
+def test_the_basis_is_fitted_on_all_passages(spark):
+    rng = np.random.default_rng(6)
+    common = [" ".join(f"c{k}" for k in rng.integers(0, 400, 10)) for _ in range(40)]
+    signed = lambda text: np.array([xxhash.xxh64_intdigest(decontam.text_words(text.encode()).tobytes(), 42)], np.uint64).view(np.int64)[0]
+    # Of the passages below that are not `common`, this one has the largest hash: what is cut off by hashes is cut off here.
+    rare = max((" ".join(f"r{k}x{j}" for j in range(10)) for k in range(300)), key=signed)
+    rows = [(k, common[k % 40]) for k in range(8600)] + [(9000, rare)]
+    idf = np.ones(decontam.BUCKETS, np.float32)
+    basis = decontam.latent_basis(spark.createDataFrame(rows, "item_id long, text string"), idf)
+    used = np.unique(decontam.bucket_of(decontam.text_words(rare.encode())))
+    assert signed(rare) > max(signed(x) for x in common) and np.linalg.norm(basis[used].sum(0)) / np.sqrt(len(used)) > 0.95

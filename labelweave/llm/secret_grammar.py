@@ -9,13 +9,13 @@ or without digits, is then scored under each automaton, and so is every part of
 (`=`, `/` or `.`) or its start to a later separator or its end: keys stand in assignments, URLs and at
 sentence ends. A candidate is reported if it is as likely as held-out credentials are (each half is held out once), and
 more likely than under the background by MARGIN bits; of overlapping ones the one with most bits, then the first.
-A part is at most twice as long as the longest credential of the sample; tokens as a whole may have any length.
+A part is at most twice as long as the longest credential; tokens as a whole may have any length.
 
 Base spans always stay. A token that lies in a base span adds nothing; one that reaches beyond a base
 span (a prefix and hexadecimal digits, say) is a span of its own if it is in a format.
 
-The sample that the automata are inferred from is bounded (SAMPLE different values of each kind,
-the least hash in each of SAMPLE buckets); everything else covers all texts. Null and empty texts
+Structure, frequencies, lengths and thresholds come from all different values of all texts, which stay where
+they are: states are merged in rounds, and each round counts over the values. Null and empty texts
 have no spans. Without credentials there are no automata, and only the base patterns count. Spans
 are in code points, the end exclusive. Texts are scanned whole.
 """
@@ -23,18 +23,20 @@ are in code points, the end exclusive. Texts are scanned whole.
 from __future__ import annotations
 
 import bisect
-import json
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelweave.llm.common import checkpoint
+
 # The base patterns, in the order of their kinds, with the least length of the value.
 KINDS = ("assign", "access", "hex")
 PATTERNS = {
@@ -43,8 +45,8 @@ PATTERNS = {
     "hex": (r"[0-9a-f]+", 0, 16),
 }
 FORMAT = "format"
-#: Values of each kind that automata are inferred from at most, confidence of the merge test, share of held-out credentials that may score below the threshold.
-SAMPLE, CONFIDENCE, MISSED = 1024, 0.05, 0.02
+#: Confidence of the merge test, share of held-out credentials that may score below the threshold.
+CONFIDENCE, MISSED = 0.05, 0.02
 #: Characters of a candidate at least; bits by which an automaton must explain it better than the background; weight of the background in a state.
 LEAST, MARGIN, BLEND = 12, 12.0, 0.5
 #: Bits by which another state must explain a tree better than the state that it hangs on: rare symbols say little about where they lead.
@@ -64,6 +66,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-
 _NUMBER = np.full(256, len(ALPHABET), np.int64)
 _NUMBER[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
 _EDGE = len(ALPHABET)
+_CODES = bytes(_NUMBER.tolist())
+_BOUND = math.sqrt(0.5 * math.log(2 / CONFIDENCE))
 
 
 def base_matches(text: str) -> list[tuple[int, int, int, str]]:
@@ -80,7 +84,7 @@ def base_matches(text: str) -> list[tuple[int, int, int, str]]:
 
 
 class Automaton:
-    """States with symbol and end frequencies; first a prefix tree, then merged."""
+    """States with symbol and end frequencies; first a prefix tree, then merged. Of values in memory; merged_states() does it for tables."""
 
     def __init__(self, values: list[str]):
         self.seen, self.ends, self.next, self.uses = [0], [0], [{}], [{}]
@@ -196,33 +200,6 @@ def background_likelihood(bits: np.ndarray, value: str) -> float:
     return float(bits[np.r_[_EDGE, at], np.r_[at, _EDGE]].sum())
 
 
-def _held_out(values: list[str], background: np.ndarray) -> list[float]:
-    """Mean log2-probability of each value's symbols under the automaton of the half that it isn't in."""
-    halves = values[::2], values[1::2]
-    if not halves[1]:
-        halves = halves[0], halves[0]
-    found = []
-    for learn, held in (halves, halves[::-1]):
-        states = smoothed(Automaton(learn).merged(), background)
-        found += [likelihood(states, v) / (len(v) + 1) for v in held]
-    return found
-
-
-def _infer(background: np.ndarray):
-    def infer(rows: pd.DataFrame) -> pd.DataFrame:
-        """An automaton for one kind, from a bounded sample, with the least likelihood and length of what is in its format."""
-        values = sorted(v for v in rows["value"] if set(v) <= set(ALPHABET))
-        if not values:
-            return pd.DataFrame({"kind": [], "model": []})
-        scores, lengths = sorted(_held_out(values, background)), sorted(map(len, values))
-        states = smoothed(Automaton(values).merged(), background)
-        at = int(MISSED * len(scores))
-        model = {"kind": rows["kind"].iloc[0], "states": states, "least": scores[at], "length": max(LEAST, lengths[int(MISSED * len(lengths))]), "longest": lengths[-1]}
-        return pd.DataFrame({"kind": [model["kind"]], "model": [json.dumps(model)]})
-
-    return infer
-
-
 def credentials(docs: DataFrame, text: str = "text") -> DataFrame:
     """(kind, value) of every base match in docs."""
 
@@ -306,20 +283,355 @@ class Formats:
         return sorted(taken)
 
 
-def automata(labelled: DataFrame, usual: np.ndarray, sample: int = SAMPLE) -> Formats:
-    """An automaton for each kind of labelled (kind, value). The driver gets one small row for each kind."""
-    bounded = (
-        labelled.groupBy("kind", F.pmod(F.xxhash64("value"), F.lit(sample)).alias("bucket"))
-        .agg(F.min_by("value", F.xxhash64("value", F.lit(1))).alias("value"))
-        .select("kind", "value")
+#: Automata of a kind: one for each half of its values, and one for all of them.
+_PARTS, _ALL = 3, 2
+#: What the hashes of paths are made with, modulo a prime.
+_BASE, _PRIME = 0x1F3D5B79, (1 << 61) - 1
+#: Fits are added up as integers, so that their order doesn't matter; thresholds are found in steps of these powers of two.
+_FINE, _STEPS = 1 << 16, (6, 16, 26)
+
+Counts = dict[int, dict[int, int]]
+
+
+def _edge(state: int, symbol: int) -> int:
+    """The number of the node that an undecided transition leads to; states have numbers from 0."""
+    return -1 - (state * _EDGE + symbol)
+
+
+def _each(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+    """(automaton, symbols) of each value, for both automata that learn from it."""
+    for kind, half, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        codes = value.encode().translate(_CODES)
+        yield kind * _PARTS + _ALL, codes
+        yield kind * _PARTS + half, codes
+
+
+def _exits(batch: pa.RecordBatch, drafts: dict[int, list[list[int]]]) -> Iterator[tuple[int, int, bytes]]:
+    """(automaton, undecided transition, symbols after it) of each value that comes to one."""
+    for model, codes in _each(batch):
+        to, state = drafts[model], 0
+        for k, x in enumerate(codes):
+            ahead = to[state][x]
+            if ahead < 0:
+                yield model, _edge(state, x), codes[k + 1 :]
+                break
+            state = ahead
+
+
+def _room(n: int, m: int) -> float:
+    """Hoeffding's bound for frequencies among n and among m. At 1 or more nothing can exceed it."""
+    return _BOUND * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+
+
+def _alike(a: dict[int, int], b: dict[int, int]) -> bool:
+    n, m = sum(a.values()), sum(b.values())
+    return all(abs(a.get(x, 0) / n - b.get(x, 0) / m) <= _room(n, m) for x in a.keys() | b.keys())
+
+
+def _counted(values: DataFrame, drafts: dict[int, list[list[int]]]) -> dict[int, Counts]:
+    """How often each symbol (or the end) follows each state, and each undecided transition, in all values of each automaton."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for batch in batches:
+            for model, codes in _each(batch):
+                to, state = drafts[model], 0
+                for k, x in enumerate(codes):
+                    total[model, state, x] += 1
+                    ahead = to[state][x]
+                    if ahead < 0:
+                        total[model, _edge(state, x), codes[k + 1] if k + 1 < len(codes) else _EDGE] += 1
+                        break
+                    state = ahead
+                else:
+                    total[model, state, _EDGE] += 1
+        yield _rows([(*key, n) for key, n in total.items()], COUNTED)
+
+    found: dict[int, Counts] = {}
+    for r in values.mapInArrow(count, COUNTED).groupBy("model", "node", "symbol").agg(F.sum("n").alias("n")).collect():
+        found.setdefault(r["model"], {}).setdefault(r["node"], {})[r["symbol"]] = r["n"]
+    return found
+
+
+COUNTED = "model int, node int, symbol int, n long"
+EXITS = "model int, edge int, rest binary"
+NODES = "model int, edge int, depth int, hash long, symbol int, n long"
+PAIRS = "model int, edge int, depth int, hash long, state int, node int, depth_a int, hash_a long"
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(columns, fields, strict=True)], [name for name, _ in fields])
+
+
+def _shared(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, int, int]]:
+    """(automaton, transition, rest, depth that the row before shares, depth to look at) of ordered rows.
+
+    A path that two rows of a batch share, they share with all rows between them. The first and the last row may
+    share any path with other batches.
+    """
+    rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    before = 0
+    for k, (model, edge, rest) in enumerate(rows):
+        after = 0
+        if k + 1 < len(rows) and rows[k + 1][:2] == (model, edge):
+            other = rows[k + 1][2]
+            most = min(len(rest), len(other))
+            while after < most and rest[after] == other[after]:
+                after += 1
+        yield model, edge, rest, before, len(rest) if k in (0, len(rows) - 1) else max(before, after)
+        before = after
+
+
+def _hashes(rest: bytes, depth: int) -> list[int]:
+    found = [0]
+    for x in rest[:depth]:
+        found.append((found[-1] * _BASE + x + 1) % _PRIME)
+    return found
+
+
+def _differing(values: DataFrame, drafts: dict[int, list[list[int]]], counts: dict[int, Counts], doubtful: dict[tuple[int, int], list[int]]) -> set[tuple[int, int, int]]:
+    """(automaton, transition, state) whose frequencies differ anywhere below, beyond the bound.
+
+    What follows an undecided transition is a prefix tree. Its nodes are counted by sorting what is left of the values:
+    a node that one value alone reaches can't differ from anything. Each node is compared with what the same
+    symbols lead to from each state in question: a state, or a node of this or another tree.
+    """
+    models = {model for model, _ in doubtful}
+    seen = {model: {node: sum(c.values()) for node, c in counts[model].items()} for model in models}
+
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _rows([row for row in _exits(batch, drafts) if row[0] in models], EXITS)
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total: Counter = Counter()
+            for model, edge, rest, _, deep in _shared(batch):
+                found = _hashes(rest, deep)
+                for d in range(1, deep + 1):
+                    total[model, edge, d, found[d], rest[d] if d < len(rest) else _EDGE] += 1
+            yield _rows([(*key, n) for key, n in total.items()], NODES)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for model, edge, rest, before, deep in _shared(batch):
+                states = doubtful.get((model, edge), ())
+                found = _hashes(rest, deep) if states and deep > before else []
+                for first in states if found else ():
+                    to, state, node, left = drafts[model], first, first, 0
+                    for d in range(1, deep + 1):
+                        if not left:
+                            ahead = to[state][rest[d - 1]]
+                            node, left = (ahead, 0) if ahead >= 0 else (_edge(state, rest[d - 1]), d)
+                            state = ahead
+                        if node not in seen[model] or _room(seen[model][edge], seen[model][node]) >= 1:
+                            if left:
+                                break
+                            continue
+                        if d > before:
+                            deeper = d - left if left else 0
+                            power = pow(_BASE, deeper, _PRIME)
+                            rows.append((model, edge, d, found[d], first, node, deeper, (found[d] - found[left] * power) % _PRIME if deeper else 0))
+            yield _rows(rows, PAIRS)
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = set()
+            for model, edge, state, node, uses, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mine, theirs = Counter(), Counter()
+                for u in uses:
+                    mine[u["symbol"]] += u["n"]
+                for u in other or ():
+                    theirs[u["symbol"]] += u["n"]
+                if not _alike(mine, counts[model][node] if other is None else theirs):
+                    rows.add((model, edge, state))
+            yield _rows(list(rows), "model int, edge int, state int")
+
+    order = ("model", "edge", "rest")
+    rest = values.mapInArrow(leave, EXITS).repartitionByRange(*order).sortWithinPartitions(*order)
+    tree = (
+        rest.mapInArrow(nodes, NODES).groupBy("model", "edge", "depth", "hash")
+        .agg(F.sum("n").alias("seen"), F.collect_list(F.struct("symbol", "n")).alias("uses"))
+        .where("seen > 1").drop("seen")
+    )
+    other = tree.select("model", F.col("edge").alias("node"), F.col("depth").alias("depth_a"), F.col("hash").alias("hash_a"), F.col("uses").alias("other"))
+    met = (
+        rest.mapInArrow(pairs, PAIRS).join(tree, ["model", "edge", "depth", "hash"])
+        .join(other, ["model", "node", "depth_a", "hash_a"], "left")
+        .where("depth_a = 0 or other is not null")
+        .select("model", "edge", "state", "node", "uses", "other")
     )
-    rows = bounded.groupBy("kind").applyInPandas(_infer(usual), "kind string, model string").orderBy("kind").collect()
-    return Formats([json.loads(r["model"]) for r in rows], usual_bits(usual))
+    return {tuple(r) for r in met.mapInArrow(differ, "model int, edge int, state int").distinct().collect()}
+
+
+def _fits(values: DataFrame, drafts: dict[int, list[list[int]]], counts: dict[int, Counts], usual: dict[int, Counts], wanted: dict[tuple[int, int], list[int]]) -> dict[tuple[int, int, int], float]:
+    """log2-probability of all that follows a transition, read from each state wanted.
 
+    Each symbol and the end count half more often. Past an undecided transition one more symbol is known; those
+    behind it cost what they do anywhere in the values.
+    """
+    size = _EDGE + 1
+
+    def bits(uses: dict[int, int]) -> list[float]:
+        n = sum(uses.values()) + size / 2
+        return [math.log2((uses.get(x, 0) + 0.5) / n) for x in range(size)]
 
-def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Formats:
+    models = {model for model, _ in wanted}
+    known = {model: {node: bits(uses) for node, uses in counts[model].items()} for model in models}
+    anywhere = {model: bits(usual[model][0]) for model in models}
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for batch in batches:
+            for model, edge, rest in _exits(batch, drafts):
+                if (model, edge) not in wanted:
+                    continue
+                to, tables, symbols = drafts[model], known[model], [*rest, _EDGE]
+                left = np.cumsum([0.0, *[anywhere[model][x] for x in reversed(symbols)]])[::-1].tolist()
+                for first in wanted[model, edge]:
+                    state, found = first, 0.0
+                    for k, x in enumerate(symbols):
+                        found += tables[state][x]
+                        if x == _EDGE:
+                            break
+                        ahead = to[state][x]
+                        if ahead < 0:
+                            node = _edge(state, x)
+                            found += tables[node][symbols[k + 1]] + left[k + 2] if node in tables else left[k + 1]
+                            break
+                        state = ahead
+                    total[model, edge, first] += round(found * _FINE)
+        yield _rows([(*key, n) for key, n in total.items()], FITS)
+
+    rows = values.mapInArrow(fit, FITS).groupBy("model", "edge", "state").agg(F.sum("fit").alias("fit")).collect()
+    return {(r["model"], r["edge"], r["state"]): r["fit"] / _FINE for r in rows}
+
+
+FITS = "model int, edge int, state int, fit long"
+
+
+def _settle(edges: Counts, alive: dict[int, list[int]]) -> tuple[list[int], list[int]]:
+    """Transitions to merge and those that become states, the most frequent first.
+
+    One that may be merged with a new state waits, as does one less frequent than what a new state leads to.
+    """
+    merge, new, floor = [], [], 0
+    for edge in sorted(edges, key=lambda e: (-sum(edges[e].values()), -e)):
+        if edge not in alive or sum(edges[edge].values()) < floor or any(_alike(edges[n], edges[edge]) for n in new):
+            continue
+        if alive[edge]:
+            merge.append(edge)
+        else:
+            new.append(edge)
+            floor = max([floor, *[n for x, n in edges[edge].items() if x != _EDGE]])
+    return merge, new
+
+
+def merged_states(values: DataFrame) -> dict[int, list[dict]]:
+    """Automata of all (kind, half, value), by number of kind times three plus half, or plus two for all values of the kind.
+
+    As Automaton.merged() does it, for all automata at once, over values that stay where they are. The driver holds the states and the
+    undecided transitions with their frequencies. In each round values are read up to their first undecided
+    transition; transitions are then merged with the state that explains best what follows, or become states.
+    """
+    usual = _counted(values, {m: [[0] * _EDGE] for m in range(len(KINDS) * _PARTS)})
+    drafts = {m: [[-1] * _EDGE] for m in range(len(KINDS) * _PARTS)}
+    while True:
+        counts = _counted(values, drafts)
+        edges = {m: {node: c for node, c in counts[m].items() if node < 0} for m in counts}
+        if not any(edges.values()):
+            break
+        alive = {m: {e: [r for r in range(len(drafts[m])) if _alike(counts[m][r], c)] for e, c in edges[m].items()} for m in edges}
+        doubtful = {}
+        for m in edges:
+            most = max((sum(c.values()) for c in counts[m].values()), default=0)
+            due = set(_settle(edges[m], alive[m])[0])
+            for e in list(alive[m]):
+                if alive[m][e] and _room(sum(edges[m][e].values()), most) < 1:
+                    if e in due:
+                        doubtful[m, e] = alive[m][e]
+                    else:
+                        del alive[m][e]
+        for m, e, r in _differing(values, drafts, counts, doubtful) if doubtful else ():
+            alive[m][e] = [s for s in alive[m][e] if s != r]
+        chosen = {m: _settle(edges[m], alive[m]) for m in edges}
+        wanted = {(m, e): alive[m][e] for m, (merge, _) in chosen.items() for e in merge if len(alive[m][e]) > 1}
+        fits = _fits(values, drafts, counts, usual, wanted) if wanted else {}
+        for m, (merge, new) in chosen.items():
+            for e in merge:
+                state, symbol = divmod(-1 - e, _EDGE)
+                drafts[m][state][symbol] = max(alive[m][e], key=lambda r: (fits.get((m, e, r), 0.0) + STAY * (r == state), -r))  # noqa: B023
+            for e in new:
+                state, symbol = divmod(-1 - e, _EDGE)
+                drafts[m][state][symbol] = len(drafts[m])
+                drafts[m].append([-1] * _EDGE)
+    return {
+        m: [
+            {"seen": sum(c.values()), "end": c.get(_EDGE, 0), "to": {ALPHABET[x]: [drafts[m][s][x], n] for x, n in c.items() if x != _EDGE}}
+            for s, c in sorted(counts[m].items())
+        ]
+        for m in counts
+    }
+
+
+def _least(scored: DataFrame, ranks: dict[int, int]) -> dict[int, float]:
+    """The score of each kind that so many others are below, rounded down to a multiple of 2^-26; all scores are counted, in ever finer steps."""
+    at: dict[int, int] = {}
+    left = dict(ranks)
+    for k, step in enumerate(_STEPS):
+        bins = scored.select("kind", F.floor(F.col("score") * (1 << step)).alias("bin"))
+        if k:
+            inside = [(F.col("kind") == kind) & (F.floor(F.col("bin") / (1 << (step - _STEPS[k - 1]))) == b) for kind, b in at.items()]
+            bins = bins.where(reduce(lambda a, b: a | b, inside))
+        done = set()
+        for kind, b, n in bins.groupBy("kind", "bin").count().orderBy("kind", "bin").collect():
+            if kind not in done:
+                at[kind] = b
+                if left[kind] < n:
+                    done.add(kind)
+                else:
+                    left[kind] -= n
+    return {kind: b / (1 << _STEPS[-1]) for kind, b in at.items()}
+
+
+def automata(labelled: DataFrame, usual: np.ndarray) -> Formats:
+    """An automaton for each kind of labelled (kind, value), from all different values, with the least likelihood and length of what is in its format."""
+    number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")) - 1
+    plain = F.col("value").rlike(r"\A[A-Za-z0-9+/_.=-]+\z")
+    values = checkpoint(
+        labelled.where(plain).select(number.cast("int").alias("kind"), "value").distinct()
+        .select("kind", F.pmod(F.xxhash64("value"), F.lit(2)).cast("int").alias("half"), "value")
+    )
+    models = {m: smoothed(states, usual) for m, states in merged_states(values).items()}
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, halves, found = (c.to_pylist() for c in batch.columns)
+            held = [models.get(k * _PARTS + 1 - h, models[k * _PARTS + _ALL]) for k, h in zip(kinds, halves, strict=True)]
+            scores = [likelihood(states, v) / (len(v) + 1) for states, v in zip(held, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(scores, pa.float64()), pa.array(list(map(len, found)), pa.int32())], ["kind", "score", "length"])
+
+    scored = values.mapInArrow(score, "kind int, score double, length int")
+    lengths: dict[int, list[tuple[int, int]]] = {}
+    for r in scored.groupBy("kind", "length").count().orderBy("kind", "length").collect():
+        lengths.setdefault(r["kind"], []).append((r["length"], r["count"]))
+    ranks = {kind: int(MISSED * sum(n for _, n in found)) for kind, found in lengths.items()}
+    least = _least(scored, ranks) if ranks else {}
+    formats = []
+    for kind in sorted(ranks, key=KINDS.__getitem__):
+        below = np.cumsum([n for _, n in lengths[kind]])
+        short = lengths[kind][int(np.searchsorted(below, ranks[kind], side="right"))][0]
+        formats.append({"kind": KINDS[kind], "states": models[kind * _PARTS + _ALL], "least": least[kind], "length": max(LEAST, short), "longest": lengths[kind][-1][0]})
+    return Formats(formats, usual_bits(usual))
+
+
+def learn(docs: DataFrame, text: str = "text") -> Formats:
     """The formats of all credentials that the base patterns find in docs."""
-    return automata(credentials(docs, text), background(docs, text), sample)
+    return automata(credentials(docs, text), background(docs, text))
 
 
 def candidates(text: str, base: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int, str]]:

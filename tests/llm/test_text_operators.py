@@ -1,6 +1,7 @@
 """Each operator over rows with nulls, empty and long texts, repeats and clashing columns, against plain Python."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -359,6 +360,71 @@ def test_automaton_learns_a_format():
     assert good > secret_grammar.likelihood(states, "K-zzzzzzzzzzzzzzzz") + 30
 
 
+def labelled(spark, values, kind="assign"):
+    return spark.createDataFrame([(kind, v) for v in values], "kind string, value string").repartition(5)
+
+
+def test_formats_come_from_all_values(spark):
+    rng = random.Random(6)
+    usual = [hashlib.md5(str(k).encode()).hexdigest() for k in range(8000)]
+    rare = [FORMATS["letters"](rng) for _ in range(1200)]  # enough of them to tell their letters from hexadecimal digits, a ninth of them are not
+    long = ["0123456789abcdef" * k for k in range(5, 12)]
+    formats = secret_grammar.automata(labelled(spark, usual + rare + long), np.ones((69, 69)))
+    (model,) = formats.models
+    assert model["longest"] == 11 * 16 and model["length"] == 24
+    assert sum(bool(formats.best(FORMATS["letters"](rng))) for _ in range(300)) >= 270
+
+
+def test_thresholds_are_order_statistics_of_all_scores(spark):
+    rng = random.Random(9)
+    scores = {0: [-rng.expovariate(0.5) for _ in range(5000)], 2: [rng.choice([-4.25, -4.25 - 2**-20, -3.0]) for _ in range(700)], 1: [-6.5]}
+    scored = spark.createDataFrame([(kind, x) for kind, found in scores.items() for x in found], "kind int, score double").repartition(7)
+    for share in (0.0, 0.02, 0.5, 0.999):
+        ranks = {kind: int(share * len(found)) for kind, found in scores.items()}
+        least = secret_grammar._least(scored, ranks)
+        for kind, found in scores.items():
+            want = sorted(found)[ranks[kind]]
+            assert want - 2**-26 <= least[kind] <= want
+
+
+@pytest.mark.parametrize("names", [["mixed"], ["letters", "mixed"], ["dashes", "letters", "mixed"]])
+def test_states_merged_in_rounds_explain_values_as_those_merged_in_memory(spark, names):
+    rng = random.Random(7)
+    values = sorted({FORMATS[name](rng) for name in names for _ in range(400)})
+    rows = spark.createDataFrame([(0, k % 2, v) for k, v in enumerate(values)], "kind int, half int, value string").repartition(5)
+    found = secret_grammar.merged_states(rows)
+    for part, own in enumerate((values[::2], values[1::2], values)):
+        want = secret_grammar.Automaton(own).merged()
+        assert abs(len(found[part]) - len(want)) <= 2 and sum(s["end"] for s in found[part]) == len(own)
+        assert sum(s["seen"] for s in found[part]) == sum(len(v) + 1 for v in own)  # every symbol of every value is counted
+        usual = np.ones((69, 69))
+        mine, theirs = secret_grammar.smoothed(found[part], usual), secret_grammar.smoothed(want, usual)
+        gap = [secret_grammar.likelihood(mine, v) - secret_grammar.likelihood(theirs, v) for v in own]
+        assert np.mean(gap) > -15, np.mean(gap)  # bits a value of 70 to 130; both are greedy, and merging in rounds tests on older counts
+
+
+def test_states_that_differ_only_further_on_stay_apart(spark):
+    rng = random.Random(8)
+    # both begin alike; three symbols on, one has digits and the other letters
+    values = {"A" + "".join(rng.choices("xy", k=3)) + "".join(rng.choices("01", k=12)) for _ in range(1500)}
+    values |= {"B" + "".join(rng.choices("xy", k=3)) + "".join(rng.choices("QR", k=12)) for _ in range(1500)}
+    formats = secret_grammar.automata(labelled(spark, values), np.ones((69, 69)))
+    states = formats.models[0]["states"]
+    after = lambda s: functools.reduce(lambda at, x: states[at]["to"][x], s, 0)
+    assert after("A") != after("B") and after("Axyx") != after("Bxyx")
+    assert secret_grammar.likelihood(states, "Axyx011010011101") > secret_grammar.likelihood(states, "BxyxQRQR10011101") + 20
+
+
+def test_odd_credentials_train_too(spark):
+    odd = ["a" * 20_000, "a" * 20_001, "a" * 12, "=" * 500, "." * 12, "/" * 13 + "a" * 30_000]
+    formats = secret_grammar.automata(labelled(spark, [*odd, *odd, None]), np.ones((69, 69)))
+    assert [(m["kind"], m["longest"], m["length"]) for m in formats.models] == [("assign", 30_013, 12)]
+    assert sum(s["end"] <= 0 for s in formats.models[0]["states"]) == len(formats.models[0]["states"])  # log2-probabilities
+    one = secret_grammar.automata(labelled(spark, ["0123456789abcdef"], "hex"), np.ones((69, 69)))
+    assert [m["length"] for m in one.models] == [16]
+    assert secret_grammar.automata(labelled(spark, []), np.ones((69, 69))).models == []
+
+
 def test_leaks_are_found_and_clean_texts_stay(spark, nasty, empty):
     items = [(k, " ".join(f"q{k}x{j % 29}" for j in range(34)) + " the of and.") for k in range(20)] + [(20, None), (21, ""), (None, "short item")]
     bench = spark.createDataFrame(items, "item_id long, text string")

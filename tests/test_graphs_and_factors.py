@@ -174,3 +174,43 @@ def test_logistic_models_by_products_equal_those_by_curvature(spark, gram_bytes)
     want, own = models.logistic(rows, 3, 5, penalties)
     got, chosen = models.logistic_by_products(rows, 3, 5, penalties, gram_bytes=gram_bytes)
     assert np.allclose(got, want, atol=1e-5) and (own == chosen).all()
+
+
+def test_dynamic_propagation_equals_dense_kernels_and_takes_any_number_of_nodes(spark):
+    rng = np.random.default_rng(4)
+    n, k = 90, 10
+    w = np.triu(np.where(rng.random((n, n)) < 0.2, rng.integers(1, 6, (n, n)), 0), 1).astype(float)
+    w = w + w.T
+    w[0], w[:, 0] = 3.0, 3.0  # a row without zeros
+    names = [f"n{x:02d}" for x in range(n)]
+    y = (rng.random((n, 3)) < 0.3).astype(float)
+    edges = spark.createDataFrame([(names[i], names[j], float(w[i, j])) for i, j in zip(*np.nonzero(w), strict=True)], "src string, dst string, w double")
+    cells = [(names[i], f"l{j}", 1.0) for i, j in zip(*np.nonzero(y), strict=True)]
+    labels = spark.createDataFrame([*cells, ("n01", "lone", 1.0), ("gone", "l0", 1.0)], "gene string, label string, y double")
+
+    def normal(m):
+        d = np.sqrt(m.sum(1))
+        d = np.divide(1.0, d, out=np.zeros_like(d), where=d > 0)
+        return m * d[:, None] * d
+
+    def transition(at):
+        least = np.sort(w, 1)[:, ::-1][:, min(at, n - 1)][:, None]
+        total = np.where(w >= least, w, 0).sum(1, keepdims=True)
+        return normal(np.divide(np.where(w > least, w, 0), total, out=np.zeros_like(w), where=total > 0))
+
+    for most in (1, 4):
+        p, near, now = transition(n), transition(k), y.copy()
+        for _ in range(most):
+            before = now.sum()
+            now = 0.2 * p @ now + 0.8 * y
+            p = normal(near @ (p + 0.2 * now @ now.T) @ near.T + np.eye(n))
+            if abs(now.sum() - before) <= 10:
+                break
+        got = {(r["node"], r["label"]): r["p"] for r in propagation.dynamic_propagation(edges, labels, most=most).collect()}
+        assert len(got) == n * 3
+        assert all(got[names[i], f"l{j}"] == pytest.approx(now[i, j], abs=1e-12) for i in range(n) for j in range(3))
+    # more nodes than a dense kernel was allowed
+    users = spark.range(4100).selectExpr("concat('u', id) AS src", "concat('t', id % 5) AS dst", "CAST(1 + id % 7 AS DOUBLE) AS w", "CAST(id % 3 = 0 AS DOUBLE) AS y")
+    both = users.select("src", "dst", "w").unionByName(users.selectExpr("dst AS src", "src AS dst", "w"))
+    found = propagation.dynamic_propagation(both, users.selectExpr("src AS gene", "'a' AS label", "y"))
+    assert found.where("p > 0").count() > 1300 and found.count() == 4105

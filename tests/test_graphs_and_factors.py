@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from labelweave.operators import factors, models, network, propagation, similarity
+from labelweave.operators import factors, inverse, models, network, propagation, similarity
 
 
 def _smooth(p, t, alpha=0.3, tolerance=1e-3, most=100):
@@ -214,3 +214,22 @@ def test_dynamic_propagation_equals_dense_kernels_and_takes_any_number_of_nodes(
     both = users.select("src", "dst", "w").unionByName(users.selectExpr("dst AS src", "src AS dst", "w"))
     found = propagation.dynamic_propagation(both, users.selectExpr("src AS gene", "'a' AS label", "y"))
     assert found.where("p > 0").count() > 1300 and found.count() == 4105
+
+
+def test_closed_form_walk_by_components_and_by_tiles(spark):
+    rng = np.random.default_rng(8)
+    n, names = 41, [f"n{x:02d}" for x in rng.permutation(41)]
+    w = np.zeros((n, n))
+    for low, high in ((0, 23), (23, 38), (38, 41)):
+        w[low:high, low:high] = np.where(rng.random((high - low, high - low)) < 0.4, rng.random((high - low, high - low)), 0) + np.eye(high - low, k=1)
+    w = w + w.T
+    d = w.sum(1)
+    w = w / np.sqrt(d[:, None] * d)
+    edges = spark.createDataFrame([(names[i], names[j], float(w[i, j])) for i, j in zip(*np.nonzero(w), strict=True)], "src string, dst string, w double").repartition(3)
+    want = 0.2 * np.linalg.inv(np.eye(n) - 0.8 * w)
+    for dense, tile in ((100, 100), (16, 8)):
+        got = {(r["src"], r["dst"]): r["w"] for r in inverse.resolvent(edges, 0.8, 0.2, dense, tile).collect()}
+        assert len(got) == 23**2 + 15**2 + 3**2
+        assert all(got.get((names[i], names[j]), 0.0) == pytest.approx(want[i, j], abs=1e-12) for i in range(n) for j in range(n))
+    pairs = spark.range(5000).selectExpr("concat('n', id) AS src", "concat('n', id + 1 - 2 * (id % 2)) AS dst", "CAST(1 AS DOUBLE) AS w")
+    assert propagation.closed_form_walk(pairs).count() == 10000  # more nodes than one task took

@@ -233,3 +233,30 @@ def test_closed_form_walk_by_components_and_by_tiles(spark):
         assert all(got.get((names[i], names[j]), 0.0) == pytest.approx(want[i, j], abs=1e-12) for i in range(n) for j in range(n))
     pairs = spark.range(5000).selectExpr("concat('n', id) AS src", "concat('n', id + 1 - 2 * (id % 2)) AS dst", "CAST(1 AS DOUBLE) AS w")
     assert propagation.closed_form_walk(pairs).count() == 10000  # more nodes than one task took
+
+
+@pytest.mark.parametrize("hubs", [0, 1 << 22])
+def test_fields_give_the_filtered_spectrum(monkeypatch, hubs):
+    monkeypatch.setattr(network, "HUBS", hubs)
+    monkeypatch.setattr(network, "EDGES", 50)
+    rng = np.random.default_rng(3)
+    n = 150
+    w = np.triu((rng.random((n, n)) < 0.1) * rng.random((n, n)), 1)
+    w[2] = np.r_[0, 0, 0, rng.random(n - 3)]
+    w = w + w.T
+    i, j = np.nonzero(w)
+    fields = network.transition_fields(n, n, i, j, w[i, j])
+    m = w + np.diag(1 + w.sum(1))
+    m = m / m.sum(0)[:, None]
+    m = m / np.sqrt(m.sum(0))
+    assert np.allclose(fields.product(np.eye(n)), m @ m.T) and len(fields.hubs) == (1 if hubs else 0)
+    values, vectors = np.linalg.eigh(m @ m.T)
+    terms = network.chebyshev(lambda v: 0.1 * v / (1 - 0.9 * v**2))
+    got = sum(c * p for c, p in zip(terms, fields.polynomials(np.arange(n), len(terms)), strict=True))
+    assert np.abs(got - vectors @ np.diag(0.1 * values / (1 - 0.9 * values**2)) @ vectors.T).max() < 1e-13
+
+
+def test_a_network_of_more_nodes_than_a_dense_spectrum_took(spark):
+    users = spark.range(4100).selectExpr("concat('u', id) AS src", "concat('t', id % 41) AS dst", "CAST(1 + id % 7 AS DOUBLE) AS w")
+    found = network.enhance(users.unionByName(users.selectExpr("dst AS src", "src AS dst", "w")))
+    assert found.count() == 41 * 101 * 100 // 2  # 41 stars that no path joins

@@ -1,6 +1,7 @@
 """Smoothing, two-graph propagation, triangles, canonical vectors and ridge codes by products, against numpy."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from labelweave.operators import factors, inverse, models, network, propagation, similarity
@@ -260,3 +261,28 @@ def test_a_network_of_more_nodes_than_a_dense_spectrum_took(spark):
     users = spark.range(4100).selectExpr("concat('u', id) AS src", "concat('t', id % 41) AS dst", "CAST(1 + id % 7 AS DOUBLE) AS w")
     found = network.enhance(users.unionByName(users.selectExpr("dst AS src", "src AS dst", "w")))
     assert found.count() == 41 * 101 * 100 // 2  # 41 stars that no path joins
+
+
+@pytest.mark.parametrize("low, near, square", [(0.0, 7, 3), (0.0, 2048, 256), (-3.0, 16, 5)])
+def test_neighbours_by_screened_squares_equal_all_distances(spark, monkeypatch, low, near, square):
+    monkeypatch.setattr(similarity, "NEAR", near)
+    monkeypatch.setattr(similarity, "SQUARE", square)
+    rng = np.random.default_rng(2)
+    x = np.round(rng.random((60, 3)) * 4 + low)  # many ties, equal rows
+    x[:30] += rng.random((30, 3)) * 1e-9  # told apart in double only
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "row long, x array<double>")
+    d = np.zeros((60, 60))
+    for c in range(3):
+        with np.errstate(all="ignore"):
+            d += 1 - (1 + np.minimum(x[:, None, c], x[None, :, c])) / (1 + np.maximum(x[:, None, c], x[None, :, c]))
+    got = {(r["row"], r["rank"]): r["other"] for r in similarity.hassanat_topk(rows, 4).collect()}
+    want = {(i, k + 1): j for i in range(60) for k, j in enumerate([j for j in np.lexsort((np.arange(60), d[i])) if j != i and not np.isinf(d[i, j])][:4])}
+    assert got == want
+
+
+def test_neighbours_shuffle_no_row_per_block(spark):
+    rows = spark.range(64).selectExpr("id AS row", "array(CAST(id AS DOUBLE)) AS x")
+    found = similarity.block_pairs(rows, lambda pairs: (pd.DataFrame({"n": [len(a) * len(b) * (1 if one == two else 2)]}) for one, a, _, two, b, _ in pairs), "n long", 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    assert found.groupBy().sum("n").first()[0] == 64 * 64

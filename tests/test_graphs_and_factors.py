@@ -286,3 +286,18 @@ def test_neighbours_shuffle_no_row_per_block(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Exchange" not in plan
     assert found.groupBy().sum("n").first()[0] == 64 * 64
+
+
+def test_narrow_rows_are_correlated_without_a_shuffle(spark):
+    x = np.random.default_rng(6).random((50, 5))
+    x[7] = 2.0
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "row long, x array<double>")
+    found = similarity.pearson_rows(rows, 8)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    with np.errstate(all="ignore"):
+        want = np.corrcoef(x)
+    got = {(r["row_a"], r["row_b"]): r["r"] for r in found.collect()}
+    assert len(got) == 50 * 51 / 2 and all(a <= b and v == pytest.approx(want[a, b], nan_ok=True) for (a, b), v in got.items())
+    wide = {(r["row_a"], r["row_b"]): r["r"] for r in similarity.pearson_rows(rows, 8, 1).collect()}  # more than four panels: by tiles
+    assert wide.keys() == got.keys() and all(v == pytest.approx(got[k], nan_ok=True) for k, v in wide.items())

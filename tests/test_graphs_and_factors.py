@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from labelweave.operators import factors, inverse, models, network, propagation, similarity
+from labelweave.operators import factors, hubs, inverse, models, network, propagation, similarity
 
 
 def _smooth(p, t, alpha=0.3, tolerance=1e-3, most=100):
@@ -301,3 +301,44 @@ def test_narrow_rows_are_correlated_without_a_shuffle(spark):
     assert len(got) == 50 * 51 / 2 and all(a <= b and v == pytest.approx(want[a, b], nan_ok=True) for (a, b), v in got.items())
     wide = {(r["row_a"], r["row_b"]): r["r"] for r in similarity.pearson_rows(rows, 8, 1).collect()}  # more than four panels: by tiles
     assert wide.keys() == got.keys() and all(v == pytest.approx(got[k], nan_ok=True) for k, v in wide.items())
+
+
+def test_walk_by_hubs_equals_matrix_steps(spark, monkeypatch):
+    monkeypatch.setattr(hubs, "SMALL", 0)
+    monkeypatch.setattr(hubs, "LABELS", 2)
+    rng = np.random.default_rng(5)
+    n = 60
+    w = np.zeros((n, n))
+    w[:4, 4:50] = np.where(rng.random((4, 46)) < 0.5, rng.random((4, 46)), 0)  # four hubs, leaves, ten nodes without an edge
+    w[0, 1] = w[2, 2] = 0.3
+    w = np.maximum(w, w.T)
+    w[0, 10] = 0.0  # one way only
+    w /= 5
+    names = [f"n{k:02d}" for k in range(n)]
+    normal = spark.createDataFrame([(names[i], names[j], float(w[i, j])) for i, j in zip(*np.nonzero(w), strict=True)], "src string, dst string, w double").repartition(3)
+    start = np.where(rng.random((n, 3)) < 0.2, rng.random((n, 3)), 0)
+    start[1, 0] = start[7, 1] = start[55, 2] = 0.5
+    r = spark.createDataFrame([(names[i], f"l{j}", float(start[i, j])) for i, j in zip(*np.nonzero(start), strict=True)], "node string, label string, r double")
+    network_ = hubs.Hubs.of(normal, r, ["l0", "l1", "l2"])
+    assert network_.count == 4 and len(list(network_.blocks())) == 2
+
+    def compare(found, p):
+        got = {(x["node"], x["label"]): x["p"] for x in found.collect()}
+        assert len(got) == (p > 0).sum() and all(v == pytest.approx(p[names.index(a), int(b[1])], abs=1e-13) for (a, b), v in got.items())
+
+    for steps in (1, 3):
+        p = start
+        for _ in range(steps):
+            p = 0.4 * w @ p + 0.6 * start
+        compare(propagation.walk_steps(normal, r, 0.4, steps), p)
+    p = np.zeros_like(start)
+    for block in ([0, 1], [2]):
+        new = start[:, block]
+        for step in range(1, 100):
+            old, new = new, 0.4 * w @ new + 0.6 * start[:, block]
+            if step % 4 == 0 and np.abs(new - old).sum(0).max() <= 1e-6:
+                break
+        p[:, block] = new
+    compare(propagation.walk(normal, r, 0.4), p)
+    ring = spark.createDataFrame([(names[k], names[(k + 1) % 60], 1.0) for k in range(60)] + [("n00", names[k], 1.0) for k in range(2, 50)], "src string, dst string, w double")
+    assert hubs.Hubs.of(ring, r, ["l0", "l1", "l2"]) is None  # leaves that are neighbours

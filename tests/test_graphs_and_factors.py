@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from labelweave.operators import factors, hubs, inverse, models, network, propagation, similarity
+from labelweave.plans import registry
 
 
 def _smooth(p, t, alpha=0.3, tolerance=1e-3, most=100):
@@ -342,3 +343,8 @@ def test_walk_by_hubs_equals_matrix_steps(spark, monkeypatch):
     compare(propagation.walk(normal, r, 0.4), p)
     ring = spark.createDataFrame([(names[k], names[(k + 1) % 60], 1.0) for k in range(60)] + [("n00", names[k], 1.0) for k in range(2, 50)], "src string, dst string, w double")
     assert hubs.Hubs.of(ring, r, ["l0", "l1", "l2"]) is None  # leaves that are neighbours
+
+
+def test_large_sums_are_kept_as_columns(spark):
+    kept = registry.refilled_features(spark, "/root/testdata/sf0.001").inputFiles()
+    assert kept and not any("/testdata/" in x for x in kept)
